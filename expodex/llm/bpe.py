@@ -19,6 +19,7 @@ from __future__ import annotations
 import base64
 import hashlib
 from collections.abc import Iterable, Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -160,14 +161,14 @@ class ByteBPE:
         if len(self.known) > CACHE:
             self.forget()
         known = self.known
-        new = list({piece for pieces in split for piece in pieces if piece not in known})
+        new = list(set(chain.from_iterable(split)).difference(known))
         if new:
             made = self.encode_pieces([piece.encode() for piece in new])
             known.update(zip(new, range(len(known), len(known) + len(new)), strict=True))
             self.flat = np.concatenate([self.flat, *made]).astype(np.uint32)
             self.start = np.concatenate([self.start, self.start[-1] + np.cumsum(np.fromiter(map(len, made), np.int64, len(made)))])
         count = np.fromiter(map(len, split), np.int64, len(split))
-        index = np.fromiter((k for pieces in split for k in map(known.__getitem__, pieces)), np.int64, int(count.sum()))
+        index = np.fromiter(map(known.__getitem__, chain.from_iterable(split)), np.int64, int(count.sum()))
         size = self.start[index + 1] - self.start[index]
         ends = np.cumsum(size)
         ids = self.flat[np.repeat(self.start[index] - (ends - size), size) + np.arange(int(ends[-1]) if len(ends) else 0)]
