@@ -191,3 +191,19 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = SIMILARITY)
     return out.select(
         "doc_id", "n_shingles", component.alias("component_id"), F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept")
     )
+
+
+def one_of_each(docs: DataFrame, width: int = 5, percent: int = SIMILARITY) -> DataFrame:
+    """The rows of docs, with all columns, that are kept: one of each group of near copies.
+
+    Rows that share a doc_id are one document: if any do, one row of each doc_id stays. Rows with a
+    null doc_id, and those without words, all stay.
+    """
+    judged = near_duplicates(docs, width, percent).select("doc_id", "kept")
+    judged = stored(judged, "kept")
+    gone = judged.filter("not kept").select(F.col("doc_id").alias("__gone")).distinct()
+    out = docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    counted = judged.filter("doc_id is not null").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("d")).first()
+    if counted["n"] != counted["d"]:
+        out = out.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(out.filter("doc_id is null"))
+    return out

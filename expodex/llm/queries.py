@@ -6,12 +6,29 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, langid, minhash, suffixtree
+from . import bpe, decontaminate, html, langid, minhash, pii, shard, suffixtree, topk, urlfilter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
 
 
+def op1_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.top_k(vectors, vectors.filter("vec_id % 20 = 0"), k=20)
+
+
+def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.found(table(spark, sf_dir, "documents"))
+
+
+def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extracted(table(spark, sf_dir, "pages"))
+
+
+def op4_urlfilter(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return urlfilter.judged(table(spark, sf_dir, "pages"))
+
+
 def op5_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), width=2)
 
@@ -20,6 +37,10 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op7_shard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shard.shards(table(spark, sf_dir, "documents"))
+
+
 def op8_langid(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.predictions(table(spark, sf_dir, "documents"))
 
@@ -35,8 +56,51 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op5_minhash, op6_decontaminate, op8_langid, op9_suffixtree, op10_bpe)}
+    return {f.__name__: f for f in (op1_topk, op2_pii, op3_html, op4_urlfilter, op5_minhash, op6_decontaminate, op7_shard, op8_langid, op9_suffixtree, op10_bpe)}
+
+
+_FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+_TOPK = """
+WITH e AS (SELECT vec_id, list_transform(embedding, x -> floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, d.vec_id, list_sum(list_transform(range(1, len(q.v) + 1), i -> q.v[i] * d.v[i]))::BIGINT AS score
+      FROM e q JOIN e d ON q.vec_id % 20 = 0 AND q.vec_id <> d.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
+"""
+
+_NEAR = f"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all({_FOLD.format("coalesce(text, '')")}, '[^\\x20\\x09-\\x0D]+') AS ws FROM documents),
+s AS (SELECT DISTINCT doc_id, CASE WHEN len(ws) = 1 THEN ws[1] ELSE ws[i] || ' ' || ws[i + 1] END AS sh
+      FROM w, unnest(range(1, greatest(len(ws), 2))) AS u(i) WHERE len(ws) > 0),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY 1, 2),
+l AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 80 * (nx.n + ny.n - c)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r(root, at) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.root, e.y FROM r JOIN e ON r.at = e.x WHERE e.y > r.root),
+b AS (SELECT at AS doc_id, min(root) AS component_id FROM r GROUP BY at),
+z AS (SELECT e.x AS doc_id, min(b.component_id) AS m FROM e JOIN b ON b.doc_id = e.y GROUP BY e.x)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(b.component_id, coalesce(z.m, b.component_id)) AS component_id,
+       d.doc_id = least(b.component_id, coalesce(z.m, b.component_id)) AS kept
+FROM documents d LEFT JOIN n USING (doc_id) JOIN b USING (doc_id) LEFT JOIN z USING (doc_id)
+"""
+
+_LEAKS = f"""
+WITH d AS (SELECT doc_id, regexp_extract_all({_FOLD.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM documents),
+i AS (SELECT item_id::VARCHAR AS item_id, regexp_extract_all({_FOLD.format("coalesce(text, '')")}, '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS ws FROM benchmark),
+p AS (SELECT DISTINCT item_id, least(len(ws), 10) AS k, array_to_string(ws[j:j + 9], ' ') AS win FROM i, unnest(range(1, greatest(len(ws) - 8, 2))) AS u(j) WHERE len(ws) > 0),
+ks AS (SELECT DISTINCT k FROM p),
+o AS (SELECT doc_id, j, k, array_to_string(ws[j:j + k - 1], ' ') AS win FROM d, ks, unnest(range(1, greatest(len(ws) - k + 2, 1))) AS u(j)),
+m AS (SELECT o.doc_id, o.j, o.k, p.item_id FROM o JOIN p ON o.win = p.win AND o.k = p.k),
+h AS (SELECT doc_id, count(DISTINCT q) AS n_hit FROM (SELECT DISTINCT doc_id, j, k FROM m), unnest(range(j, j + k)) AS u(q) GROUP BY doc_id),
+t AS (SELECT doc_id, count(DISTINCT item_id) AS n_items, string_agg(DISTINCT item_id, ',' ORDER BY item_id) AS ids FROM m GROUP BY doc_id)
+SELECT d.doc_id, len(ws)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+       sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    """DuckDB SQL for the queries that it can express."""
+    return {"op1_topk": _TOPK, "op4_urlfilter": urlfilter.oracle(), "op5_minhash": _NEAR, "op6_decontaminate": _LEAKS}
