@@ -62,9 +62,9 @@ def queries() -> dict[str, Query]:
 _FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 
 _TOPK = """
-WITH e AS (SELECT vec_id, list_transform(embedding, x -> floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
-           WHERE embedding IS NOT NULL AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
-s AS (SELECT q.vec_id AS query_id, d.vec_id, list_sum(list_transform(range(1, len(q.v) + 1), i -> q.v[i] * d.v[i]))::BIGINT AS score
+WITH e AS (SELECT vec_id, list_transform(embedding, lambda x: floor(64 * x::DOUBLE)::BIGINT) AS v FROM embeddings
+           WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+s AS (SELECT q.vec_id AS query_id, d.vec_id, list_sum(list_transform(range(1, len(q.v) + 1), lambda i: q.v[i] * d.v[i]))::BIGINT AS score
       FROM e q JOIN e d ON q.vec_id % 20 = 0 AND q.vec_id <> d.vec_id),
 r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INTEGER AS rank FROM s)
 SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 20
@@ -78,12 +78,11 @@ n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
 p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM s a JOIN s b ON a.sh = b.sh AND a.doc_id < b.doc_id GROUP BY 1, 2),
 l AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 80 * (nx.n + ny.n - c)),
 e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
-r(root, at) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.root, e.y FROM r JOIN e ON r.at = e.x WHERE e.y > r.root),
-b AS (SELECT at AS doc_id, min(root) AS component_id FROM r GROUP BY at),
-z AS (SELECT e.x AS doc_id, min(b.component_id) AS m FROM e JOIN b ON b.doc_id = e.y GROUP BY e.x)
-SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, least(b.component_id, coalesce(z.m, b.component_id)) AS component_id,
-       d.doc_id = least(b.component_id, coalesce(z.m, b.component_id)) AS kept
-FROM documents d LEFT JOIN n USING (doc_id) JOIN b USING (doc_id) LEFT JOIN z USING (doc_id)
+r(root, node) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.root, e.y FROM r JOIN e ON r.node = e.x),
+b AS (SELECT node AS doc_id, min(root) AS component_id FROM r GROUP BY node)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, b.component_id,
+       d.doc_id = b.component_id AS kept
+FROM documents d LEFT JOIN n USING (doc_id) JOIN b USING (doc_id)
 """
 
 _LEAKS = f"""
