@@ -7,7 +7,8 @@ links. Groups never expand into all their pairs:
 
 1. documents with equal shingle sets collapse to one representative (smallest doc_id);
 2. in every band bucket each member is tried against one hub, the bucket's smallest representative;
-3. only pairs of one bucket that still lie in different components are tried directly.
+3. buckets whose members still lie in different components are compared in bounded blocks, by matrix
+   products; no pair becomes a row unless it joins two components.
 
 Defined results: null, empty and blank texts have an empty set (n_shingles 0), are linked with
 nothing and kept; a text of fewer words than the width has one shingle; repeated rows and repeated
@@ -36,6 +37,11 @@ _MUL = (_rng.integers(0, 2**31, PERMUTATIONS, dtype=np.uint32) << np.uint32(1))
 _ADD = _rng.integers(0, 2**32, PERMUTATIONS, dtype=np.uint32)
 _WEIGHT = _rng.integers(0, 2**63, 2 * PERMUTATIONS, dtype=np.uint64) | np.uint64(1)
 
+#: Members of a bucket that are held against a copy of their hub.
+MEMBERS = 512
+#: Rows of a cluster that are compared at once with as many others, and shingles in one matrix product.
+BLOCK, SLICE = 256, 4096
+
 #: Slots of the fixed-size membership bitmap that spares the verification of shuffling other texts.
 BITMAP_WORDS = 1 << 18
 
@@ -97,30 +103,32 @@ def signed(docs: DataFrame, width: int) -> DataFrame:
 
 def _confirmed(width: int, percent: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, own = object(), None
-        for batch in chunks(batches, "text_b"):
-            kept = []
-            for k, (u, left, right) in enumerate(zip(batch.column("u").to_pylist(), batch.column("text_a"), batch.column("text_b"), strict=True)):
-                if u != last:
-                    own, last = _set_of(left.as_py(), width), u
-                other = _set_of(right.as_py(), width)
-                both = np.concatenate([own, other])
+        last, own = None, np.zeros(0, np.uint64)
+        for batch in chunks(batches, "text"):
+            u, v = [], []
+            for hub, name, text in zip(batch.column("hub").to_pylist(), batch.column("id").to_pylist(), batch.column("text"), strict=True):
+                if hub == name:  # sorted before all that are held against it
+                    last, own = hub, _set_of(text.as_py(), width)
+                    continue
+                if hub != last:
+                    raise ValueError(f"document {hub} is missing")
+                both = np.concatenate([own, _set_of(text.as_py(), width)])
                 both.sort()
                 same = int((both[1:] == both[:-1]).sum())
                 if 100 * same >= percent * (len(both) - same):
-                    kept.append(k)
-            yield batch.select(["u", "v"]).take(pa.array(kept, pa.int64()))
+                    u.append(hub)
+                    v.append(name)
+            yield pa.RecordBatch.from_arrays([pa.array(u, pa.int64()), pa.array(v, pa.int64())], names=["u", "v"])
 
     return run
 
 
 def _set_of(text: str | None, width: int) -> np.ndarray:
-    flat = np.frombuffer((text or "").encode(), np.uint8)
-    return np.unique(shingles(words(flat, np.array([0, len(flat)]))[2], width))
+    return np.unique(shingles(words(*_flat(text))[2], width))
 
 
 def _with_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(doc_id, text) of one row for each id: others are dropped before any text is shuffled.
+    """(id, text) of the rows with these ids, and few others: those are dropped before any text is shuffled.
 
     A bitmap of 2^24 bits, at most BITMAP_WORDS rows whatever the table's size, goes to every task;
     it never drops a wanted row.
@@ -132,19 +140,84 @@ def _with_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text").filter("id is not null")
     rows = rows.withColumn("word", word("id")).join(F.broadcast(bitmap), "word")
     rows = rows.filter(F.expr("(bits & shiftleft(1L, cast(xxhash64(id) & 63 as int))) <> 0")).select("id", "text")
-    return rows.join(ids, "id", "left_semi")
+    return rows
 
 
 def _links(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """The pairs (u, v) whose full shingle sets are as similar as asked."""
-    ids = pairs.select(F.col("u").alias("id")).unionByName(pairs.select(F.col("v").alias("id"))).distinct()
-    texts = stored(_with_ids(docs, ids), "texts")
-    left = texts.select(F.col("id").alias("u"), F.col("text").alias("text_a"))
-    right = texts.select(F.col("id").alias("v"), F.col("text").alias("text_b"))
-    full = pairs.join(right, "v").join(left, "u").select("u", "v", "text_a", "text_b")
-    links = stored(full.mapInArrow(_confirmed(width, percent), "u long, v long"), "links")
-    dropped(texts)
-    return links
+    """The pairs (u, v) whose full shingle sets are as similar as asked.
+
+    Texts move twice: to their pairs, then to their hubs, a hub with many members being split into
+    parts of about MEMBERS that each get the hub's text.
+    """
+    parts = pairs.groupBy("u").agg(F.ceil(F.count("*") / F.lit(float(MEMBERS))).cast("int").alias("parts"))
+    members = pairs.join(parts, "u").select(F.col("v").alias("id"), F.col("u").alias("hub"), F.pmod(F.xxhash64("v"), F.col("parts")).cast("int").alias("part"))
+    hubs = parts.select(F.col("u").alias("id"), F.col("u").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    wanted = stored(members.unionByName(hubs), "wanted")
+    texts = _with_ids(docs, wanted.select("id").distinct())
+    full = wanted.join(texts, "id").repartition("hub", "part").sortWithinPartitions("hub", "part", F.col("id") != F.col("hub"))
+    return stored(full.select("hub", "id", "text").mapInArrow(_confirmed(width, percent), "u long, v long"), "links")
+
+
+def _compared(width: int, percent: int):
+    def run(table: pa.Table) -> pa.Table:
+        own = [np.unique(shingles(words(*_flat(t))[2], width)) for t in table.column("text").to_pylist()]
+        size = np.array([len(x) for x in own])
+        owner = np.repeat(np.arange(len(own)), size)
+        _, place, count = np.unique(np.concatenate(own), return_inverse=True, return_counts=True)
+        several = count[place] > 1
+        number = (np.cumsum(count > 1) - 1)[place[several]]
+        owner = owner[several]
+        same = np.zeros((len(own), len(own)), np.float32)
+        for at in range(0, int(number.max(initial=-1)) + 1, SLICE):
+            held = np.zeros((len(own), SLICE), np.float32)
+            inside = (number >= at) & (number < at + SLICE)
+            held[owner[inside], number[inside] - at] = 1
+            same += held @ held.T
+        linked = 100 * same >= percent * (size[:, None] + size[None, :] - same)
+        group = table.column("component").to_numpy()
+        linked &= group[:, None] != group[None, :]
+        # Of the links found, a spanning forest of the groups suffices.
+        to: dict[int, int] = {}
+
+        def root(x: int) -> int:
+            while to.setdefault(x, x) != x:
+                to[x] = to[to[x]]
+                x = to[x]
+            return x
+
+        ids, u, v = table.column("rep").to_pylist(), [], []
+        for i, j in np.argwhere(np.triu(linked)).tolist():
+            x, y = root(int(group[i])), root(int(group[j]))
+            if x != y:
+                to[x] = y
+                u.append(min(ids[i], ids[j]))
+                v.append(max(ids[i], ids[j]))
+        return pa.table({"u": pa.array(u, pa.int64()), "v": pa.array(v, pa.int64())})
+
+    return run
+
+
+def _flat(text: str | None) -> tuple[np.ndarray, np.ndarray]:
+    flat = np.frombuffer((text or "").encode(), np.uint8)
+    return flat, np.array([0, len(flat)])
+
+
+def _block_links(docs: DataFrame, rest: DataFrame, width: int, percent: int) -> DataFrame:
+    """Links between different components among the members of unsettled buckets: (rep, component, hub).
+
+    Buckets that share members form clusters. A cluster's members are dealt into blocks of about
+    BLOCK, and every two blocks of a cluster meet in one bounded group, where intersections are
+    counted by matrix products; only links that join components leave it.
+    """
+    clusters = components(rest.select(F.col("rep").alias("u"), F.col("hub").alias("v")))
+    member = rest.select("rep", "component").distinct().join(clusters.withColumnRenamed("id", "rep").withColumnRenamed("component", "cluster"), "rep")
+    member = stored(member, "members")
+    sizes = member.groupBy("cluster").agg(F.ceil(F.count("*") / F.lit(float(BLOCK))).cast("int").alias("blocks"))
+    member = member.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
+    texts = _with_ids(docs, member.select(F.col("rep").alias("id"))).withColumnRenamed("id", "rep")
+    dealt = member.join(texts, "rep").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("rep", "component", "text", "cluster", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
+    return stored(dealt.groupBy("cluster", "low", "high").applyInArrow(_compared(width, percent), "u long, v long"), "late")
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = SIMILARITY) -> DataFrame:
@@ -157,25 +230,21 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = SIMILARITY)
     # A doc_id with several different texts is represented by each of its sets; links join them by id.
     classes = linked.groupBy("h1", "h2", "n_shingles").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands"))
     classes = stored(classes, "classes")
-    members = classes.select("rep", "n_shingles", F.explode("bands").alias("band"))
-    hubs = members.groupBy("band").agg(F.min("rep").alias("hub"), F.max("rep").alias("top"), F.min(F.struct("rep", "n_shingles")).alias("h"))
-    hubs = hubs.filter("hub <> top").select("band", "hub", F.col("h.n_shingles").alias("hub_n"))
-    fits = F.expr(f"100 * least(n_shingles, hub_n) >= {percent} * greatest(n_shingles, hub_n)")
+    members = classes.select("rep", F.explode("bands").alias("band"))
+    hubs = members.groupBy("band").agg(F.min("rep").alias("hub"), F.max("rep").alias("top")).filter("hub <> top").select("band", "hub")
     shared = stored(members.join(hubs, "band"), "buckets")
-    first = stored(shared.filter("rep <> hub").filter(fits).groupBy("hub", "rep").count().select(F.col("hub").alias("u"), F.col("rep").alias("v")), "pairs")
+    sizes = classes.select("rep", "n_shingles")
+    first = shared.filter("rep <> hub").select(F.col("hub").alias("u"), F.col("rep").alias("v")).distinct()
+    first = first.join(sizes.toDF("u", "n_u"), "u").join(sizes.toDF("v", "n_v"), "v").filter(f"100 * least(n_u, n_v) >= {percent} * greatest(n_u, n_v)")
+    first = stored(first.select("u", "v").distinct(), "pairs")
     links = _links(docs, first, width, percent)
     groups = stored(components(links), "groups")
-    # Pairs of a bucket that the hub did not bring together.
-    spread = shared.join(groups.withColumnRenamed("id", "rep"), "rep", "left").select(
-        "band", "rep", "n_shingles", F.coalesce("component", "rep").alias("component")
-    )
-    split = spread.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high")).filter("low <> high").select("band")
-    rest = spread.join(split, "band")
-    a = rest.select("band", F.col("rep").alias("u"), F.col("n_shingles").alias("n_u"), F.col("component").alias("c_u"))
-    b = rest.select("band", F.col("rep").alias("v"), F.col("n_shingles").alias("n_v"), F.col("component").alias("c_v"))
-    more = a.join(b, "band").filter("u < v and c_u <> c_v").filter(f"100 * least(n_u, n_v) >= {percent} * greatest(n_u, n_v)")
-    more = stored(more.select("u", "v").distinct().join(first, ["u", "v"], "left_anti"), "more")
-    late = _links(docs, more, width, percent)
+    # Buckets of three and more that the hub did not bring together: their members are compared in blocks.
+    spread = shared.join(groups.withColumnRenamed("id", "rep"), "rep", "left").select("band", "rep", F.coalesce("component", "rep").alias("component"))
+    split = spread.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"), F.min("rep").alias("hub"))
+    rest = spread.join(split.filter("low <> high and n > 2").select("band", "hub"), "band")
+    rest = stored(rest.select("rep", "component", "hub").distinct(), "rest")
+    late = _block_links(docs, rest, width, percent)
     # Rows find their class by its set, so copies, however many, are no edges; a doc_id of several texts joins their classes.
     named = stored(
         rows.select("doc_id", "n_shingles", F.when(F.col("doc_id").isNotNull(), F.col("h1")).alias("h1"), "h2")
