@@ -2,8 +2,9 @@
 
 1. Every page's containers are scored: a container earns the text of the blocks right inside it,
    less what is linked, and half of what its child containers earn.
-2. The best container votes, with its score, for its path of generalised tags and classes (digits
-   removed, classes sorted). Spark sums the votes by host; the path with most votes wins.
+2. The best container votes for its path of generalised tags and classes (digits removed, classes
+   sorted). Spark counts the votes by host; the path with most votes wins, of tied ones that with the
+   higher sum of scores.
 3. Pages are read again with their host's path; a page where it finds nothing uses its own best
    container.
 
@@ -12,7 +13,7 @@ left out by tag, role and class wherever they stand.
 
 Defined results: null and empty pages, and pages without text, give empty text and n_chars 0; text
 outside every tag counts as the body's; unclosed and stray tags are tolerated; long pages are read
-whole; a null url belongs to the empty host; of tied paths the alphabetically first wins; repeated
+whole; a null url belongs to the empty host; of paths still tied the alphabetically first wins; repeated
 rows are extracted (and vote) as often as they occur; an empty table gives an empty result; further
 columns are not looked at.
 """
@@ -235,8 +236,8 @@ def _reading(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def host_paths(pages: DataFrame) -> DataFrame:
     """(host, path): the path with the most votes of each host."""
     votes = pages.select(host_of().alias("host"), "html").mapInArrow(_voting, "host string, path string, score double")
-    votes = votes.groupBy("host", "path").agg(F.sum(F.round("score")).alias("votes"))
-    return votes.groupBy("host").agg(F.min_by("path", F.struct(-F.col("votes"), F.col("path"))).alias("path"))
+    votes = votes.groupBy("host", "path").agg(F.count("*").alias("votes"), F.sum(F.round("score")).alias("score"))
+    return votes.groupBy("host").agg(F.min_by("path", F.struct(-F.col("votes"), -F.col("score"), F.col("path"))).alias("path"))
 
 
 def extracted(pages: DataFrame) -> DataFrame:

@@ -1,11 +1,12 @@
 """Sharding by vector bin packing: bytes, tokens and rows are balanced jointly.
 
-Groups (equal texts) become units of bounded number: a group of at least 1 / (SLICES * shards) of
-all bytes, tokens or rows is a unit of its own, or several if it holds more, its rows dealt out by
-doc_id; the others share PACKETS units by the hash of their text, so equal texts stay together.
-Units, largest first, go to the shard where the dot product of the unit's vector with the shard's
-residual capacity is highest. Only units' sums reach the driver, at most PACKETS plus six times
-SLICES * shards of them, whatever the input. Everything else is DataFrame functions.
+Groups (equal texts) become units of bounded number: a group of at least 1 / SLICES of a shard's
+share of all bytes, tokens or rows is a unit of its own, or several, its rows dealt out by doc_id, if
+it holds a multiple of that; the others share PACKETS units by the hash of their text, so equal texts
+stay together. Units, largest first, go to the shard where the dot product of the unit's vector with
+the shard's residual capacity is highest. Slots are numbered within units, in those of one group
+within LANES parts of each. Only sums reach the driver, at most PACKETS plus 3 * SLICES * LANES * shards
+of them, whatever the input. Everything else is DataFrame functions.
 
 The law that holds is `bytes`: sizes are near equal as long as no single document exceeds a shard.
 
@@ -23,8 +24,9 @@ from pyspark.sql import functions as F
 from .common import stored
 
 SHARDS = 40
-SLICES = 64
+SLICES = 4
 PACKETS = 4096
+LANES = 16
 OVERHEAD = 16
 
 
@@ -63,18 +65,23 @@ def shards(docs: DataFrame, bins: int = SHARDS) -> DataFrame:
     least = [max((total[k] or 0) / (SLICES * bins), 1) for k in ("size", "tokens", "rows")]
     groups = rows.groupBy("g", "text_crc32").agg(*measures).filter("rows > 1")
     share = F.greatest(*[F.col(k) / F.lit(float(v)) for k, v in zip(("size", "tokens", "rows"), least, strict=True)])
-    large = groups.select("g", "text_crc32", F.ceil(share).cast("long").alias("pieces"), share.alias("share")).filter("share >= 1").collect()
+    large = groups.select("g", "text_crc32", F.floor(share).cast("long").alias("pieces"), share.alias("share")).filter("share >= 1").collect()
     first, heavy = PACKETS, []
     for row in sorted(large, key=lambda r: (r["g"], r["text_crc32"])):
         heavy.append((row["g"], row["text_crc32"], row["pieces"], first))
-        first += row["pieces"]
+        first += row["pieces"] * LANES
     own = F.broadcast(spark.createDataFrame(heavy, "g long, text_crc32 long, pieces long, first long"))
-    unit = F.coalesce(F.col("first") + F.pmod(F.xxhash64("doc_id"), F.col("pieces")), F.pmod(F.xxhash64("g", "text_crc32"), F.lit(PACKETS)))
+    drawn = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40))
+    part = F.pmod(drawn, F.col("pieces")) * LANES + F.pmod(F.floor(drawn / F.col("pieces")), F.lit(LANES))
+    unit = F.coalesce(F.col("first") + part, F.pmod(F.xxhash64("g", "text_crc32"), F.lit(PACKETS)))
     rows = rows.join(own, ["g", "text_crc32"], "left").withColumn("unit", unit)
     sums = rows.groupBy("unit").agg(*measures).orderBy("unit").collect()
-    vectors = np.array([[r["size"], r["tokens"], r["rows"]] for r in sums], float).reshape(len(sums), 3)
+    whole = np.array([u if u < PACKETS else PACKETS + (u - PACKETS) // LANES for u in (r["unit"] for r in sums)], np.int64)
+    names, place = np.unique(whole, return_inverse=True)
+    vectors = np.zeros((len(names), 3))
+    np.add.at(vectors, place, np.array([[r["size"], r["tokens"], r["rows"]] for r in sums], float).reshape(len(sums), 3))
     filled, placed = [0] * bins, []
-    for row, k in zip(sums, pack(vectors, bins).tolist(), strict=True):
+    for row, k in zip(sums, pack(vectors, bins)[place].tolist(), strict=True):
         placed.append((row["unit"], k, filled[k]))
         filled[k] += row["rows"]
     places = F.broadcast(spark.createDataFrame(placed, "unit long, shard int, start long"))
