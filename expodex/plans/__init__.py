@@ -1 +1,47 @@
+"""The prescribed order of operators: pages to records, records to a clean directory."""
 
+from __future__ import annotations
+
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+
+from .. import dictionaries as D
+from ..functions import text as X
+from ..operators import extract, links, records, relational
+
+
+def extraction(pages: DataFrame, enough: int = 3, context: dict[str, str] | None = None) -> DataFrame:
+    """Cheap before costly: a schema.org record of at least `enough` core fields stands alone; others are merged with rule-based ones."""
+    cheap = extract.schema_org_records(pages)
+    n = X.populated([F.col(f) for f in D.CORE_FIELDS])
+    full = cheap.filter(n >= enough)
+    rest = pages.join(full.select("page_id"), "page_id", "left_anti")
+    both = cheap.filter(n < enough).unionByName(extract.rule_based_records(rest))
+    merged = records.merged_sources(both.withColumn("ord", F.when(F.col("extraction_method") == "schema_org", 0).otherwise(1)), "page_id")
+    out = full.drop("extras", "ord").unionByName(merged, allowMissingColumns=True).withColumn("ord", F.col("page_id"))
+    return records.validated(relational.context_filled(out, context or {}))
+
+
+def directory(vendors: DataFrame, found: DataFrame | None = None) -> DataFrame:
+    """Enrich what needs it, deduplicate, best first."""
+    if found is not None:
+        need = records.needs_enrichment(vendors)
+        done = records.enriched(need, found, "ord")
+        vendors = vendors.join(need.select("ord"), "ord", "left_anti").unionByName(done)
+    out = records.deduplicated(records.with_confidence(vendors))
+    return out.orderBy(F.desc("confidence_score"), "ord")
+
+
+def seeds(results: DataFrame, query_regions: DataFrame | None = None, most: int = 40) -> DataFrame:
+    """Search hits scored, deduplicated and cut to the best."""
+    from ..functions import scoring
+
+    rows = results.withColumn("score", scoring.seed_score(F.col("url"), F.col("title"), F.col("snippet")))
+    return records.deduplicated_seeds(rows).orderBy(F.desc("score"), "ord").limit(most)
+
+
+def crawl_edges(pages: DataFrame) -> DataFrame:
+    """(src, dst, kind, score) for operators.frontier.crawl."""
+    scored = links.links(pages)
+    kind = F.when(F.col("url").rlike(r"(?i)/page/\d+|[?&]page=\d+"), "page").when(F.col("score") >= 8, "list").otherwise("link")
+    return scored.select(F.col("base").alias("src"), F.col("url").alias("dst"), kind.alias("kind"), "score").distinct()
