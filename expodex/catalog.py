@@ -50,7 +50,7 @@ FIXTURES = {
         "(1, 'https://10times.com/expo-list', 'Cyber security expo', 'exhibitors and sponsors')", "(2, 'https://a.com/x', 'A page', '')", "(3, 'https://a.com/x/', 'A page again', '')", "(4, 'https://a.com/vendor-directory', 'Vendor directory', 'booth')",
         "(5, 'https://a.com/y', 'Plain', 'text')", "(6, 'https://B.com/y', 'Conference', 'military defence')", "(7, '', 'none', '')", "(8, 'https://b.com/z', 'Summit', '')",
     ]),
-    "regions_f": ("ord, query", ["(1, 'cyber expo in Tokyo and Seoul, 2026')", "(2, 'defence shows dubai, saudi arabia')", "(3, 'robotics')", "(4, 'Germany and france fairs')", "(5, 'new zealand, australia')"]),
+    "regions_f": ("ord, query", ["(1, 'cyber expo in Tokyo and Seoul, 2026')", "(2, 'defence shows dubai, saudi arabia')", "(3, 'robotics')", "(4, 'Germany and france fairs')", "(5, 'new zealand, australia')", "(6, 'worldwide drone shows')"]),
     "names_f": ("ord, name", [
         "(1, 'Home')", "(2, '2026')", "(3, 'AI/ML')", "(4, 'A/B/C')", "(5, 'one two three four five six seven eight nine ten eleven')", "(6, 'Drone Zone')", "(7, '2J Antennas')", "(8, 'Energy/Power')", "(9, 'x')",
         "(10, 'Acme Inc')", "(11, 'Acme Ltd.')", "(12, 'ACME')", "(13, 'Company Profile')", "(14, 'our exhibitors')", "(15, 'Security Systems Series')", "(16, '  Big   Blue GmbH ')", "(17, 'Contact')", "(18, 'Contact Lens Co')", "(19, 'Corporate Culture')", "(20, 'Müller AG')",
@@ -429,11 +429,9 @@ def _region_cte() -> str:
     return f"r(o, label, engine, keyword) AS (VALUES {rows})"
 
 
-@query(f"""WITH {_region_cte()}, q AS (SELECT * FROM {_values('regions_f')}) SELECT DISTINCT q.ord, label, engine FROM q JOIN r ON contains(lower(query), keyword) UNION ALL SELECT ord, 'Global', 'google' FROM q""")
+@query(f"""WITH {_region_cte()}, q AS (SELECT * FROM {_values('regions_f')}) SELECT DISTINCT q.ord, label, engine FROM q JOIN r ON contains(lower(query), keyword) OR regexp_matches(lower(query), '{'|'.join(D.GLOBAL_KEYWORDS)}') UNION ALL SELECT ord, 'Global', 'google' FROM q""")
 def region_detect(spark, d):
-    q, r = fixture(spark, "regions_f"), D.region_table(spark).withColumnRenamed("ord", "o")
-    hits = q.join(F.broadcast(r), F.lower("query").contains(F.col("keyword"))).select("ord", "label", "engine").distinct()
-    return hits.unionByName(q.select("ord", F.lit("Global").alias("label"), F.lit("google").alias("engine")))
+    return relational.detected_regions(fixture(spark, "regions_f"), D.region_table(spark))
 
 
 def _has_sql(text: str, words: list[str]) -> str:
@@ -586,13 +584,69 @@ def robots_rules(spark, d):
     return rows.select("site", r["crawl_delay"].alias("crawl_delay"), F.array_join(r["disallowed"], "|").alias("disallowed"), snapshot.robots_allow(F.col("body"), F.lit("/admin/x")).alias("admin_allowed"), snapshot.robots_allow(F.col("body"), F.lit("/")).alias("home_allowed"))
 
 
-@query("SELECT s_suppkey AS id, 0 AS ord, s_name AS name, s_nationkey::VARCHAR AS country FROM supplier")
+@query("SELECT s_suppkey AS id, 0 AS ord, s_name AS name, s_nationkey::VARCHAR AS country_code, NULL AS hidden FROM supplier")
 def json_walk(spark, d):
-    inner = F.struct(F.col("s_name").alias("name"), F.col("s_nationkey").alias("country"))
-    body = F.to_json(F.struct(F.struct(F.array(inner).alias("items")).alias("data"), F.lit(1).alias("name")))
+    inner = F.struct(F.col("s_name").alias("name"), F.col("s_nationkey").alias("country-code"), F.lit(1).alias("rank"))
+    body = F.to_json(F.struct(F.struct(F.array(inner, F.struct(F.lit("").alias("name"), F.lit(1).alias("country-code"), F.lit(1).alias("rank"))).alias("items")).alias("data"), F.lit(1).alias("name")))
     rows = table(spark, d, "supplier").select(F.col("s_suppkey").alias("id"), body.alias("body"))
-    out = extract.json_objects(rows, ["name", "companyname"], ["country", "website", "booth"])
-    return out.select("id", "ord", F.try_element_at("fields", F.lit("name")).alias("name"), F.try_element_at("fields", F.lit("country")).alias("country"))
+    get = lambda k: F.try_element_at("fields", F.lit(k))
+    return extract.json_objects(rows).select("id", "ord", get("name").alias("name"), get("country_code").alias("country_code"), get("rank").alias("hidden"))
+
+
+@query(f"SELECT page_id, regexp_matches(lower(regexp_extract(url, '^[^?]*', 0)), '\\.(html|{'|'.join(D.IGNORED_EXTENSIONS)})$') AS ignored FROM pages")
+def url_ignored_extension(spark, d):
+    return table(spark, d, "pages").select("page_id", U.has_ignored_extension(F.col("url"), ["html", *D.IGNORED_EXTENSIONS]).alias("ignored"))
+
+
+@query(f"""WITH f AS (SELECT *, lower(url) AS u FROM {_values('links_f')}) SELECT ord, ({' + '.join(f"CASE WHEN contains(u, '{w}') THEN 2 ELSE 0 END + CASE WHEN contains(lower(text), '{w}') THEN 1 ELSE 0 END" for w in ('exhibitor', 'directory', 'booth'))})::INTEGER AS score FROM f""")
+def link_score_simple(spark, d):
+    return fixture(spark, "links_f").select("ord", S.simple_score(F.col("url"), F.col("text"), ["exhibitor", "directory", "booth"]).alias("score"))
+
+
+_BARE = "regexp_replace(html, '(?is)<script.*?</script>|<style.*?</style>|<head.*?</head>|<!--.*?-->', '', 'g')"
+
+
+@query(f"""WITH b AS (SELECT page_id, {_BARE} AS h FROM pages), s AS (SELECT page_id, h, length(regexp_extract(h, '^((?s).*?)<ul', 1)) + 1 AS p FROM b)
+SELECT page_id, md5(substr(h, p, 5000)) AS sample FROM s WHERE length(h) - p + 1 > 300""")
+def html_sample(spark, d):
+    bare = F.length(F.regexp_replace("html", r"(?is)<script.*?</script>|<style.*?</style>|<head.*?</head>|<!--.*?-->", ""))
+    rows = table(spark, d, "pages").filter(bare > 400)
+    return rows.select("page_id", F.md5(extract.sample_of(F.col("html"))).alias("sample"))
+
+
+@query("""WITH l AS (SELECT doc_id, list_filter(list_transform(string_split(text, chr(10)), lambda x: trim(x)), lambda x: length(x) > 3) AS l FROM documents)
+SELECT doc_id, regexp_matches(lower(left(array_to_string(l[1:200], chr(10)), 5000)), 'casino|all rights reserved') AS junk FROM l""")
+def junk_pages(spark, d):
+    return table(spark, d, "documents").select("doc_id", extract.is_junk_page(F.col("text"), ["casino", "all rights reserved"]).alias("junk"))
+
+
+@query("""SELECT n_nationkey AS k, CASE n_nationkey % 4 WHEN 0 THEN 'def parse(h):' || chr(10) || ' return ' || n_nationkey WHEN 1 THEN 'def parse(h): pass' WHEN 2 THEN 'def parse(h): 1' ELSE '' END AS code FROM nation""")
+def parser_code(spark, d):
+    k = F.col("n_nationkey").cast("string")
+    fence = F.lit("`" * 3)
+    text = (
+        F.when(F.col("n_nationkey") % 4 == 0, F.concat(F.lit("Here:\n"), fence, F.lit("python\ndef parse(h):\n return "), k, F.lit("\n"), fence))
+        .when(F.col("n_nationkey") % 4 == 1, F.concat(fence, F.lit("\ndef parse(h): pass\n"), fence))
+        .when(F.col("n_nationkey") % 4 == 2, F.lit("# note\n\ndef parse(h): 1\n"))
+        .otherwise(F.lit("nothing here"))
+    )
+    return table(spark, d, "nation").select(F.col("n_nationkey").alias("k"), extract.code_block(text).alias("code"))
+
+
+@query("SELECT coalesce(CASE WHEN c_nationkey < 5 THEN NULL ELSE c_mktsegment END, 'Global') AS label, count(*) AS n FROM customer GROUP BY 1")
+def region_counts(spark, d):
+    return report.region_counts(table(spark, d, "customer").withColumn("region", F.when(F.col("c_nationkey") >= 5, F.col("c_mktsegment"))))
+
+
+@query("SELECT p_partkey AS ord, p_size * p_retailprice AS product FROM part ORDER BY product DESC, ord LIMIT 25")
+def listing_ranks(spark, d):
+    rows = table(spark, d, "part").select(F.col("p_partkey").alias("ord"), F.col("p_size").alias("listing_score"), F.col("p_retailprice").alias("score"))
+    return report.listing_ranks(rows).select("ord", "product").limit(25)
+
+
+@query(f"SELECT ord, round(({' + '.join(f'CASE WHEN {f} <> {chr(39) * 2} THEN 1 ELSE 0 END' for f in ('name', 'website', 'email', 'phone'))}) / 4.0::DOUBLE, 2) AS share FROM {_values('vendors_f')}")
+def share_filled(spark, d):
+    return fixture(spark, "vendors_f").select("ord", report.share_filled([F.col(f) for f in ("name", "website", "email", "phone")]).alias("share"))
 
 
 # --- Validation ---------------------------------------------------------------------------------

@@ -83,6 +83,24 @@ REGIONS = [
     ("Asia", "google", ["asia ", " asia", ",asia", "asian"]),
 ]
 GLOBAL_REGION = ("Global", "google")
+GLOBAL_KEYWORDS = ["global", "worldwide", "world", "seluruh dunia", "all regions", "covers over", "international", "internasional"]
+IGNORED_DOMAINS = ["google.com", "facebook.com", "twitter.com", "linkedin.com", "youtube.com", "instagram.com", "wikipedia.org", "amazon.com", "microsoft.com", "apple.com", "github.com"]
+IGNORED_EXTENSIONS = [
+    "pdf", "doc", "docx", "xls", "xlsx", "ppt", "pptx", "zip", "rar", "tar", "gz", "exe", "dmg", "pkg", "jpg", "jpeg", "png", "gif", "svg",
+    "ico", "webp", "mp4", "mp3", "avi", "mov", "wmv", "flv", "css", "js", "json", "xml", "txt", "csv",
+]
+JUNK_PAGES = [
+    "make an appointment", "click here to apply", "register for event", "book a meeting", "apply to exhibit", "apply booth pass",
+    "sign up for", "register now", "schedule visit", "request demo", "download brochure", "fill out form", "complete registration",
+    "reserve your spot",
+]
+RENDER_MARKS = [
+    'id="__next"', "data-reactroot", "/_next/static/", 'id="root">', 'id="app">', "react-app", "ng-version", "vue-app", "__nuxt",
+    "please enable javascript", "javascript is required", "cloudflare", "checking your browser", "<noscript>",
+]
+API_NAME_KEYS = ["name", "companyName", "company_name", "title", "displayName", "exhibitorName", "vendorName", "organizationName"]
+API_FIELDS = ["name", "website", "url", "email", "phone", "country", "city", "category", "description", "booth", "stand", "linkedin", "twitter", "logo", "industry"]
+SAMPLE_WORDS = ["exhibitor", "vendor", "company", "participant", "booth", "sponsor", "listing"]
 COUNTRIES = {
     "united states": "United States", "usa": "United States", "u.s.a": "United States", "u.s.a.": "United States", "us": "United States",
     "canada": "Canada", "mexico": "Mexico", "brazil": "Brazil", "brasil": "Brazil", "argentina": "Argentina", "colombia": "Colombia",

@@ -112,6 +112,10 @@ def is_ignored(url: Column, on_path: bool = True) -> Column:
     return F.lower(where).rlike("|".join(D.IGNORED_PATHS)) | F.lower(url).rlike("|".join(D.IGNORED_SCHEMES))
 
 
+def has_ignored_extension(url: Column, extensions: list[str] = D.IGNORED_EXTENSIONS) -> Column:
+    return F.lower(F.element_at(F.split(url, r"\?"), 1)).rlike(rf"\.({'|'.join(extensions)})$")
+
+
 def is_news(url: Column, domains: list[str] = D.NEWS_DOMAINS) -> Column:
     return D.suffix_match(bare_host(url, anywhere=True), domains)
 

@@ -51,7 +51,7 @@ def top_links(scored: DataFrame, threshold: int = 2, most: int = 500) -> DataFra
     return scored.filter(F.col("score") >= threshold).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
 
 
-def external_domains(scored: DataFrame, ignored: list[str] = D.WEBSITE_BLOCKLIST, most: int = 200) -> DataFrame:
+def external_domains(scored: DataFrame, ignored: list[str] = D.IGNORED_DOMAINS, most: int = 200) -> DataFrame:
     """The first external link to each host of a page."""
     rows = scored.filter("is_external and score >= 0").withColumn("host", U.host(F.col("url"))).filter("host <> ''").filter(~D.suffix_match(F.col("host"), ignored))
     rows = first_by(rows, ["page_id", "host"], F.col("ord"))

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import dictionaries as D
 from ..functions import text as X
 
 
@@ -29,6 +30,16 @@ def context_filled(rows: DataFrame, context: dict[str, str]) -> DataFrame:
     return rows
 
 
+def detected_regions(queries: DataFrame, regions: DataFrame) -> DataFrame:
+    """(ord, query) -> ord, label, engine: Global and every region with a keyword in the query; all of them
+    for a query that asks for the whole world. regions: (ord, label, engine, keyword), a short fixed list."""
+    low = F.lower(F.col("query"))
+    world = low.rlike("|".join(D.GLOBAL_KEYWORDS))
+    r = F.broadcast(regions.withColumnRenamed("ord", "__o"))
+    hits = queries.join(r, world | low.contains(F.col("keyword"))).select("ord", "label", "engine").distinct()
+    return hits.unionByName(queries.select("ord", F.lit(D.GLOBAL_REGION[0]).alias("label"), F.lit(D.GLOBAL_REGION[1]).alias("engine")))
+
+
 def search_queries(query: str, regions: DataFrame, templates: list[str]) -> DataFrame:
     """One search for each region and template (both short lists)."""
     each = F.posexplode(F.array(*[F.lit(t.replace("{query}", query)) for t in templates])).alias("template_ord", "query")

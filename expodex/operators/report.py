@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import dictionaries as D
@@ -40,6 +40,21 @@ def dynamic_columns(df: DataFrame) -> DataFrame:
     return out.select("field", F.initcap(F.replace("field", F.lit("_"), F.lit(" "))).alias("header"), "n", "first_ord").orderBy(F.desc("n"), "first_ord", "field")
 
 
+def region_counts(top: DataFrame) -> DataFrame:
+    """label, n of the chosen seeds; those without a region count as Global."""
+    return top.groupBy(F.coalesce("region", F.lit("Global")).alias("label")).agg(F.count("*").alias("n"))
+
+
+def listing_ranks(df: DataFrame) -> DataFrame:
+    """Listings by the product of their own and the engine's score, best first."""
+    return df.withColumn("product", F.col("listing_score") * F.col("score")).orderBy(F.desc("product"), "ord")
+
+
+def share_filled(fields: list[Column]) -> Column:
+    """Share of filled fields, rounded to two places."""
+    return F.round(X.populated(fields) / F.lit(float(len(fields))), 2)
+
+
 def run_stats(runs: DataFrame) -> DataFrame:
     """One row of sums with success rate, share and cost of model calls, and requests a second."""
     sums = runs.agg(*[F.sum(c).alias(c) for c in ("crawled", "failed", "schema_org", "rule_based", "llm", "tokens_in", "tokens_out")], F.max("elapsed").alias("elapsed"))
