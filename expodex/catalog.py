@@ -137,7 +137,7 @@ def _in_suffixes(host: str, suffixes: list[str]) -> str:
 _IGNORED = "|".join(D.IGNORED_PATHS)
 _A_TAGS = """
 a0 AS (SELECT page_id, url AS base, regexp_extract_all(html, '<a [^>]*href="([^"]*)"[^>]*>([^<]*)</a>', 1) AS hs, regexp_extract_all(html, '<a [^>]*href="([^"]*)"[^>]*>([^<]*)</a>', 2) AS ts FROM pages),
-a1 AS (SELECT page_id, base, i - 1 AS ord, replace(hs[i], '&amp;', '&') AS href, left(trim(ts[i]), 200) AS text FROM a0, unnest(range(1, len(hs) + 1)) AS u(i)),
+a1 AS (SELECT page_id, base, (i - 1)::INTEGER AS ord, replace(hs[i], '&amp;', '&') AS href, left(trim(ts[i]), 200) AS text FROM a0, unnest(range(1, len(hs) + 1)) AS u(i)),
 a2 AS (SELECT page_id, base, ord, href, text, regexp_extract(base, '^[a-z]+://[^/?#]*', 0) || href AS abs FROM a1 WHERE href <> ''),
 a3 AS (SELECT *, regexp_extract(abs, '^([a-z]+://)', 1) || lower(regexp_extract(abs, '^[a-z]+://([^/?#]*)', 1)) || regexp_replace(regexp_extract(abs, '^[a-z]+://[^/?#]*([^?#]*)', 1), '/+$', '') || regexp_extract(abs, '([?][^#]*)', 1) AS url FROM a2),
 """
@@ -584,7 +584,7 @@ def robots_rules(spark, d):
     return rows.select("site", r["crawl_delay"].alias("crawl_delay"), F.array_join(r["disallowed"], "|").alias("disallowed"), snapshot.robots_allow(F.col("body"), F.lit("/admin/x")).alias("admin_allowed"), snapshot.robots_allow(F.col("body"), F.lit("/")).alias("home_allowed"))
 
 
-@query("SELECT s_suppkey AS id, 0 AS ord, s_name AS name, s_nationkey::VARCHAR AS country_code, NULL AS hidden FROM supplier")
+@query("SELECT s_suppkey AS id, 0 AS ord, s_name AS name, nullif(s_nationkey, 0)::VARCHAR AS country_code, NULL::VARCHAR AS hidden FROM supplier")
 def json_walk(spark, d):
     inner = F.struct(F.col("s_name").alias("name"), F.col("s_nationkey").alias("country-code"), F.lit(1).alias("rank"))
     body = F.to_json(F.struct(F.struct(F.array(inner, F.struct(F.lit("").alias("name"), F.lit(1).alias("country-code"), F.lit(1).alias("rank"))).alias("items")).alias("data"), F.lit(1).alias("name")))
