@@ -127,20 +127,22 @@ def _set_of(text: str | None, width: int) -> np.ndarray:
     return np.unique(shingles(words(*_flat(text))[2], width))
 
 
-def _with_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
-    """(id, text) of the rows with these ids, and few others: those are dropped before any text is shuffled.
+def _held(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """rows with __held: false only if the key is surely none of the ids (column `id`).
 
-    A bitmap of 2^24 bits, at most BITMAP_WORDS rows whatever the table's size, goes to every task;
-    it never drops a wanted row.
+    A bitmap of 2^24 bits, at most BITMAP_WORDS rows whatever the table's size, goes to every task.
     """
-    slot = lambda c: F.shiftrightunsigned(F.xxhash64(c), 6)
-    word = lambda c: F.pmod(slot(c), F.lit(BITMAP_WORDS))
-    bit = lambda c: F.expr(f"shiftleft(1L, cast(xxhash64({c}) & 63 as int))")
-    bitmap = ids.select(word("id").alias("word"), bit("id").alias("b")).groupBy("word").agg(F.bit_or("b").alias("bits"))
+    word = lambda c: F.pmod(F.shiftrightunsigned(F.xxhash64(c), 6), F.lit(BITMAP_WORDS))
+    bit = lambda c: F.expr(f"shiftleft(1L, cast(xxhash64(`{c}`) & 63 as int))")
+    bitmap = ids.select(word("id").alias("__word"), bit("id").alias("__bit")).groupBy("__word").agg(F.bit_or("__bit").alias("__bits"))
+    rows = rows.withColumn("__word", word(key)).join(F.broadcast(bitmap), "__word", "left")
+    return rows.withColumn("__held", F.coalesce(F.col("__bits").bitwiseAND(bit(key)) != 0, F.lit(False))).drop("__word", "__bits")
+
+
+def _with_ids(docs: DataFrame, ids: DataFrame) -> DataFrame:
+    """(id, text) of the rows with these ids, and few others: those are dropped before any text is shuffled."""
     rows = docs.select(F.col("doc_id").cast("long").alias("id"), "text").filter("id is not null")
-    rows = rows.withColumn("word", word("id")).join(F.broadcast(bitmap), "word")
-    rows = rows.filter(F.expr("(bits & shiftleft(1L, cast(xxhash64(id) & 63 as int))) <> 0")).select("id", "text")
-    return rows
+    return _held(rows, "id", ids).filter("__held").select("id", "text")
 
 
 def _links(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
@@ -270,8 +272,12 @@ def one_of_each(docs: DataFrame, width: int = 5, percent: int = SIMILARITY) -> D
     """
     judged = near_duplicates(docs, width, percent).select("doc_id", "kept")
     judged = stored(judged, "kept")
-    gone = judged.filter("not kept").select(F.col("doc_id").alias("__gone")).distinct()
-    out = docs.join(gone, docs["doc_id"] == gone["__gone"], "left_anti")
+    gone = judged.filter("not kept").select(F.col("doc_id").alias("id")).distinct()
+    # Only rows whose id may be among those that go are shuffled to see whether it is.
+    names = docs.columns
+    marked = _held(docs.withColumn("__id", F.col("doc_id").cast("long")), "__id", gone)
+    doubtful = marked.filter("__held").join(gone.withColumnRenamed("id", "__id"), "__id", "left_anti")
+    out = marked.filter("not __held").select(names).unionByName(doubtful.select(names))
     counted = judged.filter("doc_id is not null").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("d")).first()
     if counted["n"] != counted["d"]:
         out = out.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(out.filter("doc_id is null"))
