@@ -1,7 +1,8 @@
 """Main-text extraction by consensus host paths.
 
 1. Every page's containers are scored: a container earns the text of the blocks right inside it,
-   less what is linked, and half of what its child containers earn.
+   less what is linked, and half of what its child containers earn. From the best one the choice
+   widens to the article around it, or to a parent that adds the page's title and little else.
 2. The best container votes for its path of generalised tags and classes (digits removed, classes
    sorted). Spark counts the votes by host; the path with most votes wins, of tied ones that with the
    higher sum of scores.
@@ -40,8 +41,10 @@ LEFT_OUT = frozenset("head script style noscript template nav footer aside form
 LEFT_OUT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog menu menubar form".split())
 #: Words in a class or id that mark what is no article.
 LEFT_OUT_WORDS = frozenset(
-    "ad ads adbox adslot advert adverts advertisement advertising banner breadcrumb breadcrumbs comment comments consent cookie cookies disqus footer gdpr masthead menu modal nav navbar navigation newsletter notice notices pager pagination popup promo promotion related respond share sharing sidebar skip social sponsor sponsored subscribe toolbar widget widgets".split()
+    "ad ads adbox adsbygoogle adslot adunit alert announcement aside banner consent discussion disqus gdpr guestbook interstitial lightbox masthead menu modal nav navbar navigation navigator notice notices overlay pager pagination paywall popup promo promoted promotion rail reactions related replies reply respond responses share sharing skip social taboola outbrain toast toolbar topbar widget widgets".split()
 )
+#: Beginnings of such words.
+LEFT_OUT_STEMS = ("advert", "breadcrumb", "comment", "cookie", "footer", "newsletter", "sidebar", "sponsor", "subscri")
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 #: Elements that hold one block of running text; all other elements that are not inline are containers.
 BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre dt dd figcaption caption td th address summary legend".split())
@@ -56,6 +59,7 @@ class Page:
         self.paths: list[str] = [""]
         self.parents: list[int] = [-1]
         self.blocks: list[tuple[int, str, int]] = []
+        self.titles: list[int] = []  # places of h1 in blocks
         self._stack: list[tuple[str, int, bool]] = []  # tag, container, left out
         self._text: list[str] = []
         self._linked = 0
@@ -99,6 +103,8 @@ class Page:
         if self._text:
             text = " ".join(entities.unescape("".join(self._text)).split())
             if text:
+                if any(t == "h1" for t, _, _ in self._stack[-3:]):
+                    self.titles.append(len(self.blocks))
                 self.blocks.append((self._where(), text, self._linked))
             self._text, self._linked = [], 0
 
@@ -169,7 +175,7 @@ class Page:
                 if name in ("class", "id") and tag not in ("html", "body"):
                     words = CLASS_WORD.findall(value)
                     if tag not in ("article", "main") or words[:1] and words[0] in ("comment", "ad", "advert", "sponsored"):
-                        out = out or not LEFT_OUT_WORDS.isdisjoint(words)
+                        out = out or not LEFT_OUT_WORDS.isdisjoint(words) or any(w.startswith(LEFT_OUT_STEMS) for w in words)
                         out = out or ("header" in words and not inside)
                     if name == "class":
                         classes += sorted({re.sub(r"\d+", "", c) for c in value.split()} - {""})
@@ -188,14 +194,28 @@ class Page:
         for k in range(len(score) - 1, 0, -1):
             score[self.parents[k]] += score[k] / 2
         top = max(range(len(score)), key=lambda k: (score[k], -k))
-        # An article as a whole stands for its parts.
+        # An article as a whole stands for its parts; so does a parent that adds the title and little else.
         k = top
         while k > 0:
             if self.paths[k].rpartition("/")[2].partition(".")[0] == "article":
                 top = k
             k = self.parents[k]
+        size = [0] * len(self.paths)
+        for where, text, _ in self.blocks:
+            size[where] += len(text)
+        for k in range(len(size) - 1, 0, -1):
+            size[self.parents[k]] += size[k]
+        while self.titles and (up := self.parents[top]) > 0 and not any(self._inside(self.blocks[t][0], top) for t in self.titles):
+            if size[up] - size[top] > size[top] / 4:
+                break
+            top = up
         return top, score[top]
 
+    def _inside(self, k: int, of: int) -> bool:
+        while k > of:
+            k = self.parents[k]
+        return k == of
+
     def text_of(self, chosen: set[int]) -> str:
         inside = [False] * len(self.paths)
         for k in range(len(inside)):

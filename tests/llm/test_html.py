@@ -44,3 +44,8 @@ def test_odd_pages(spark):
     by = {r.page_id: r.text for r in got}
     assert by[1] == by[2] == "" and by[3] == "plain <text>" and by[4] == by[None] == "a\n\nb c" and by[6] == "deep" and len(by[7]) == 5 * 60000 - 1
     assert html.extracted(df.limit(0)).count() == 0
+
+
+def test_title_beside_the_text():
+    page = "<body><main><h1>Title</h1><div class='by'>Ann</div><div class='text'>" + "<p>words and words</p>" * 9 + "</div></main><div class='cookiebar'><p>" + "z " * 500 + "</p></div></body>"
+    assert html.Page(page).extract(None) == "\n\n".join(["Title", "Ann", *["words and words"] * 9])
