@@ -162,7 +162,7 @@ def url_parts(spark, d):
 
 @query(f"WITH {_A_TAGS.rstrip().rstrip(',')} SELECT page_id, ord, href, url FROM a3")
 def url_normalize(spark, d):
-    return links.anchors(table(spark, d, "pages")).select("page_id", "ord", "href", U.normalized(F.col("href"), F.col("base")).alias("url"))
+    return links.anchors(table(spark, d, "pages")).select("page_id", "ord", "href", "url")
 
 
 @query(f"SELECT {_bare('url')} AS domain, count(*) AS n, count(DISTINCT {_path('url')}) AS paths FROM pages GROUP BY 1")
@@ -201,7 +201,7 @@ def url_pagination_expand(spark, d):
 
 @query(f"WITH {_A_TAGS.rstrip().rstrip(',')} SELECT page_id, ord, url, regexp_matches(lower({_path('url')}), '{_IGNORED}|th') AS ignored FROM a3")
 def url_ignored_filter(spark, d):
-    rows = links.anchors(table(spark, d, "pages")).withColumn("url", U.normalized(F.col("href"), F.col("base")))
+    rows = links.anchors(table(spark, d, "pages"))
     return rows.select("page_id", "ord", "url", (U.is_ignored(F.col("url")) | F.lower(U.path(F.col("url"))).contains("th")).alias("ignored"))
 
 

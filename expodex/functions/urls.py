@@ -6,6 +6,8 @@ that takes what crawlers meet. Missing parts are empty strings, as are the resul
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,8 +16,18 @@ from .. import dictionaries as D
 _SPLIT = r"^(?:([A-Za-z][A-Za-z0-9+.\-]*):)?(?://([^/?#]*))?([^?#]*)(\?[^#]*)?(#.*)?$"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """body(value) with value computed once, however often body uses it."""
+    return F.try_element_at(F.transform(F.array(value), body), F.lit(1))
+
+
+def pieces(url: Column) -> Column:
+    """[scheme, authority, path, ?query, #fragment] by one run of the pattern."""
+    return F.split(F.regexp_replace(F.trim(F.coalesce(url, F.lit(""))), _SPLIT, "$1\u0001$2\u0001$3\u0001$4\u0001$5"), "\u0001")
+
+
 def _part(url: Column, k: int) -> Column:
-    return F.coalesce(F.regexp_extract(F.trim(url), _SPLIT, k), F.lit(""))
+    return F.coalesce(F.get(pieces(url), F.lit(k - 1)), F.lit(""))
 
 
 def scheme(url: Column) -> Column:
@@ -78,32 +90,42 @@ def without_dots(p: Column) -> Column:
     return F.concat(F.array_join(kept, "/"), closing)
 
 
-def resolved(href: Column, base: Column) -> Column:
-    """href against base, as a browser would; other schemes than http(s) give an empty string."""
-    h = F.trim(href)
-    root = F.concat(scheme(base), F.lit("://"), _part(base, 2))
-    folder = F.regexp_replace(path(base), r"[^/]*$", "")
+def _resolved(h: Column, p: Column, b: Column) -> Column:
+    """h: trimmed href; p, b: pieces of href and base."""
+    at = lambda c, k: F.coalesce(F.get(c, F.lit(k)), F.lit(""))
+    root = F.concat(F.lower(at(b, 0)), F.lit("://"), at(b, 1))
+    folder = F.regexp_replace(at(b, 2), r"[^/]*$", "")
     folder = F.when(folder == "", F.lit("/")).otherwise(folder)
-    own, tail = path(h), F.concat(_part(h, 4), _part(h, 5))
+    own, tail = at(p, 2), F.concat(at(p, 3), at(p, 4))
     return (
         F.when(h.isNull() | (h == ""), F.lit(""))
         .when(h.rlike(r"^(?i)https?://"), h)
-        .when(h.startswith("//"), F.concat(scheme(base), F.lit(":"), h))
-        .when(scheme(h) != "", F.lit(""))
-        .when(scheme(base).isin("http", "https") == F.lit(False), F.lit(""))
-        .when(h.startswith("#"), F.concat(root, path(base), _part(base, 4), h))
-        .when(h.startswith("?"), F.concat(root, path(base), h))
+        .when(h.startswith("//"), F.concat(F.lower(at(b, 0)), F.lit(":"), h))
+        .when((at(p, 0) != "") | ~F.lower(at(b, 0)).isin("http", "https"), F.lit(""))
+        .when(h.startswith("#"), F.concat(root, at(b, 2), at(b, 3), h))
+        .when(h.startswith("?"), F.concat(root, at(b, 2), h))
         .when(h.startswith("/"), F.concat(root, F.when(own.contains("/."), without_dots(own)).otherwise(own), tail))
         .otherwise(F.concat(root, F.when(own.startswith(".") | own.contains("/."), without_dots(F.concat(folder, own))).otherwise(F.concat(folder, own)), tail))
     )
 
 
+def resolved(href: Column, base: Column) -> Column:
+    """href against base, as a browser would; other schemes than http(s) give an empty string."""
+    h = F.trim(href)
+    return let(F.struct(h.alias("h"), pieces(href).alias("p"), pieces(base).alias("b")), lambda s: _resolved(s["h"], s["p"], s["b"]))
+
+
+def tidied(url: Column) -> Column:
+    """Host lower-cased, trailing slashes and fragment removed; an empty string stays."""
+    at = lambda c, k: F.coalesce(F.get(c, F.lit(k)), F.lit(""))
+    path_of = lambda p: F.when(at(p, 2) == "/", at(p, 2)).otherwise(F.regexp_replace(at(p, 2), "/+$", ""))
+    query_of = lambda p: F.when(F.length(at(p, 3)) > 1, at(p, 3)).otherwise(F.lit(""))
+    return let(pieces(url), lambda p: F.when(at(p, 0) == "", F.lit("")).otherwise(F.concat(F.lower(at(p, 0)), F.lit("://"), F.lower(at(p, 1)), path_of(p), query_of(p))))
+
+
 def normalized(href: Column, base: Column) -> Column:
-    """Resolved, host lower-cased, trailing slashes and fragment removed; empty if it is no http(s) URL."""
-    u = resolved(href, base)
-    p = path(u)
-    p = F.when(p == "/", p).otherwise(F.regexp_replace(p, "/+$", ""))
-    return F.when(u == "", F.lit("")).otherwise(F.concat(scheme(u), F.lit("://"), host(u), p, F.when(F.length(_part(u, 4)) > 1, _part(u, 4)).otherwise(F.lit(""))))
+    """Resolved and tidied; empty if it is no http(s) URL."""
+    return tidied(resolved(href, base))
 
 
 def is_ignored(url: Column, on_path: bool = True) -> Column:

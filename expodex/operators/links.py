@@ -11,20 +11,32 @@ from ..functions import urls as U
 
 
 def _attribute(tag: Column, name: str) -> Column:
-    pattern = rf"""(?is)\s{name}\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))"""
-    return F.replace(F.concat(*[F.coalesce(F.regexp_extract(tag, pattern, k), F.lit("")) for k in (1, 2, 3)]), F.lit("&amp;"), F.lit("&"))
+    value = F.regexp_extract(tag, rf"""(?is)\s{name}\s*=\s*("[^"]*"|'[^']*'|[^\s"'>]+)""", 1)
+    return F.replace(F.regexp_replace(value, "^[\"']|[\"']$", ""), F.lit("&amp;"), F.lit("&"))
 
 
 def anchors(pages: DataFrame) -> DataFrame:
-    """page_id, base, ord, href, text, title, rel, cls, aria of every <a href> in page order."""
-    found = F.regexp_extract_all("html", F.lit(r"(?is)<a\s[^>]*>.*?</a>"), F.lit(0))
-    rows = pages.select("page_id", F.col("url").alias("base"), F.posexplode(found).alias("ord", "a"))
-    tag = F.regexp_extract("a", r"(?s)^<[^>]*>", 0)
-    inner = F.regexp_replace(F.regexp_replace(F.col("a"), r"(?s)<[^>]*>", ""), r"\s+", " ")
-    return rows.select(
-        "page_id", "base", "ord", _attribute(tag, "href").alias("href"), F.left(F.trim(inner), F.lit(200)).alias("text"),
-        F.left(_attribute(tag, "title"), F.lit(100)).alias("title"), F.lower(_attribute(tag, "rel")).alias("rel"), _attribute(tag, "class").alias("cls"), _attribute(tag, "aria-label").alias("aria"),
-    ).filter("href <> ''")
+    """page_id, base, ord, href, text, title, rel, cls, aria, absolute, url of every <a href> in page order.
+
+    Everything costly is computed inside the array, before it is exploded: no filter on a result can
+    then be pushed below and make it be computed again. One shuffle of these small rows by page serves
+    all operators that work within a page.
+    """
+
+    def fields(a: Column) -> Column:
+        def of(tag: Column) -> Column:
+            href = _attribute(tag, "href")
+            inner = F.regexp_replace(F.regexp_replace(a, r"(?s)<[^>]*>", ""), r"\s+", " ")
+            return F.struct(
+                href.alias("href"), F.left(F.trim(inner), F.lit(200)).alias("text"), F.left(_attribute(tag, "title"), F.lit(100)).alias("title"),
+                F.lower(_attribute(tag, "rel")).alias("rel"), _attribute(tag, "class").alias("cls"), _attribute(tag, "aria-label").alias("aria"), U.resolved(href, F.col("url")).alias("absolute"),
+            )
+
+        return U.let(U.let(F.regexp_extract(a, r"(?s)^<[^>]*>", 0), of), lambda s: F.struct(s.alias("a"), U.tidied(s["absolute"]).alias("url")))
+
+    found = F.transform(F.regexp_extract_all("html", F.lit(r"(?is)<a\s[^>]*>.*?</a>"), F.lit(0)), fields)
+    rows = pages.select("page_id", F.col("url").alias("base"), F.posexplode(found).alias("ord", "a")).repartition("page_id")
+    return rows.select("page_id", "base", "ord", "a.a.*", "a.url").filter("href <> ''")
 
 
 def first_by(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
@@ -34,7 +46,7 @@ def first_by(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
 
 def links(pages: DataFrame, strong: list[str] = D.STRONG_KEYWORDS, medium: list[str] = D.MEDIUM_KEYWORDS, keep_news: bool = False) -> DataFrame:
     """Normalised links, the first of each URL in a page, scored; ignored paths and news media go."""
-    rows = anchors(pages).withColumn("url", U.normalized(F.col("href"), F.col("base"))).filter("url <> ''").filter(~U.is_ignored(F.col("url")))
+    rows = anchors(pages).filter("url <> ''").filter(~U.is_ignored(F.col("url")))
     if not keep_news:
         rows = rows.filter(~U.is_news(F.col("url")))
     rows = first_by(rows, ["page_id", "url"], F.col("ord"))
@@ -77,7 +89,7 @@ def vendor_urls(
 ) -> DataFrame:
     """Profile URLs of listing pages: keywords in the path, +5 for every occurrence in a repeated prefix,
     +8 for a place in the site's own sitemap (page_id, url)."""
-    rows = anchors(pages).withColumn("url", U.resolved(F.col("href"), F.col("base"))).filter("url <> '' and not startswith(trim(href), '#')")
+    rows = anchors(pages).withColumn("url", F.col("absolute")).filter("url <> '' and not startswith(trim(href), '#')")
     rows = rows.filter(U.host(F.col("url")).contains(U.host(F.col("base")))).filter(F.regexp_replace("url", "/+$", "") != F.regexp_replace("base", "/+$", ""))
     rows = rows.filter(F.length(U.query(F.col("url"))) <= 30).filter(~S.is_navigation(F.col("url"), navigation))
     if patterns is not None:
@@ -102,7 +114,7 @@ def sitemap_vendor_urls(locs: DataFrame, words: list[str] = D.VENDOR_PATH_KEYWOR
 
 def pagination(pages: DataFrame, most: int = 20) -> DataFrame:
     """page_id, number, url: pages 2 to the highest page number among a page's own links, `most` at most."""
-    rows = anchors(pages).withColumn("url", U.resolved(F.col("href"), F.col("base"))).filter(U.host(F.col("url")).contains(U.host(F.col("base"))))
+    rows = anchors(pages).withColumn("url", F.col("absolute")).filter(U.host(F.col("url")).contains(U.host(F.col("base"))))
     in_path = U.path(F.col("url")).rlike(r"(?i)/page/\d+/?$")
     rows = rows.withColumn("number", U.page_number(F.col("url"))).withColumn("style", F.when(in_path, "path").otherwise("query")).filter("number > 1")
     params = "|".join(D.PAGE_PARAMS)
@@ -126,7 +138,7 @@ def next_links(pages: DataFrame, glyphs: bool = True) -> DataFrame:
     if glyphs:
         word = word | F.col("text").rlike("^(>|›|»|&gt;|&rsaquo;|&raquo;)$")
     marked = word | F.col("cls").rlike("(?i)next|forward|arrow-right") | F.col("aria").rlike("(?i)next") | F.array_contains(F.split("rel", r"\s+"), "next")
-    rows = rows.filter(marked).withColumn("next_url", U.normalized(F.col("href"), F.col("base"))).filter("next_url <> '' and next_url <> base")
+    rows = rows.filter(marked).withColumnRenamed("url", "next_url").filter("next_url <> '' and next_url <> base")
     return first_by(rows, ["page_id"], F.col("ord")).select("page_id", "next_url")
 
 
