@@ -157,7 +157,9 @@ def _links(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataF
     wanted = stored(members.unionByName(hubs), "wanted")
     texts = _with_ids(docs, wanted.select("id").distinct())
     full = wanted.join(texts, "id").repartition("hub", "part").sortWithinPartitions("hub", "part", F.col("id") != F.col("hub"))
-    return stored(full.select("hub", "id", "text").mapInArrow(_confirmed(width, percent), "u long, v long"), "links")
+    links = stored(full.select("hub", "id", "text").mapInArrow(_confirmed(width, percent), "u long, v long"), "links")
+    dropped(wanted)
+    return links
 
 
 def _compared(width: int, percent: int):
@@ -213,13 +215,15 @@ def _block_links(docs: DataFrame, rest: DataFrame, width: int, percent: int) ->
     """
     clusters = components(rest.select(F.col("rep").alias("u"), F.col("hub").alias("v")))
     member = rest.select("rep", "component").distinct().join(clusters.withColumnRenamed("id", "rep").withColumnRenamed("component", "cluster"), "rep")
-    member = stored(member, "members")
+    held = member = stored(member, "members")
     sizes = member.groupBy("cluster").agg(F.ceil(F.count("*") / F.lit(float(BLOCK))).cast("int").alias("blocks"))
     member = member.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     texts = _with_ids(docs, member.select(F.col("rep").alias("id"))).withColumnRenamed("id", "rep")
     dealt = member.join(texts, "rep").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("rep", "component", "text", "cluster", F.least("block", "other").alias("low"), F.greatest("block", "other").alias("high"))
-    return stored(dealt.groupBy("cluster", "low", "high").applyInArrow(_compared(width, percent), "u long, v long"), "late")
+    late = stored(dealt.groupBy("cluster", "low", "high").applyInArrow(_compared(width, percent), "u long, v long"), "late")
+    dropped(held)
+    return late
 
 
 def near_duplicates(docs: DataFrame, width: int = 5, percent: int = SIMILARITY) -> DataFrame:
@@ -257,6 +261,8 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = SIMILARITY)
     several = named.groupBy("doc_id").agg(F.min("rep").alias("u"), F.max("rep").alias("top")).filter("u <> top").select("doc_id", "u")
     several = named.join(several, "doc_id").select("u", F.col("rep").alias("v")).filter("u <> v")
     groups = components(links.unionByName(late).unionByName(several))
+    for done in (rows, classes, shared, first, links, rest, late):  # what follows reads `named` and `groups` alone
+        dropped(done)
     out = named.join(groups.withColumnRenamed("id", "rep"), "rep", "left")
     component = F.coalesce("component", "rep", "doc_id")
     return out.select(

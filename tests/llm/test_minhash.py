@@ -97,3 +97,23 @@ def test_min_and_max_are_unbiased():
     assert abs(agree - 0.5) < 0.12
     half = len(minhash.signature(a)) // 2
     assert half == minhash.PERMUTATIONS
+
+
+def test_components_of_chains_and_stars(spark):
+    from expodex.llm.graph import components
+
+    edges = [(k, k + 1) for k in range(60)] + [(100, 100 + k) for k in range(1, 40)] + [(139, 200), (7, 7)]
+    got = {r.id: r.component for r in components(spark.createDataFrame(edges, "u long, v long")).collect()}
+    assert got == {k: 0 for k in range(61)} | {k: 100 for k in range(100, 140)} | {200: 100}
+    assert components(spark.createDataFrame([], "u long, v long")).count() == 0
+
+
+def test_scratch_tables_that_nothing_reads_are_removed(tmp_path, odd, monkeypatch):
+    import os
+
+    from expodex.llm import common
+
+    monkeypatch.setattr(common, "scratch_dir", lambda spark: f"file://{tmp_path}")
+    rows = minhash.near_duplicates(odd, 2)
+    left = {n.partition("-")[0] for n in os.listdir(tmp_path)}
+    assert rows.count() == odd.count() and left <= {"named", "edges", "groups"}
