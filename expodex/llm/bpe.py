@@ -27,7 +27,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HashIndex, chunks
+from .common import HashIndex, bounded_batches, chunks
 
 LONGEST = 48
 CELLS = 1 << 18
@@ -195,6 +195,7 @@ def encoded(docs: DataFrame, rank_file: str, pattern: str, with_ids: bool = Fals
 
     rank_file: path of a rank file on the driver (a vocabulary has a fixed size; it is broadcast).
     """
+    bounded_batches(docs)
     with open(rank_file, "rb") as f:
         ranks = docs.sparkSession.sparkContext.broadcast(f.read())
 

@@ -57,6 +57,18 @@ def dropped(df: DataFrame) -> None:
             folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+#: Rows of an Arrow batch: with texts of some kilobytes a batch stays below ten megabytes on both sides of the pipe.
+BATCH_ROWS = 2000
+
+
+def bounded_batches(df: DataFrame) -> None:
+    """Lower the session's Arrow batches to BATCH_ROWS rows, unless they are smaller."""
+    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get(name, "10000")) <= BATCH_ROWS:
+        conf.set(name, str(BATCH_ROWS))
+
+
 def chunks(batches: Iterator[pa.RecordBatch], column: str, limit: int = CHUNK_BYTES) -> Iterator[pa.RecordBatch]:
     """Slices of the batches whose `column` holds about `limit` bytes each (one long value may exceed it)."""
     for batch in batches:

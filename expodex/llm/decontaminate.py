@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import ALNUM, HashIndex, chunks, flat_bytes, words
+from .common import ALNUM, HashIndex, bounded_batches, chunks, flat_bytes, words
 
 WIDTH = 10
 STRETCH = 64
@@ -147,6 +147,7 @@ def windows_of(items: DataFrame) -> DataFrame:
 
 def matchers(items: DataFrame) -> list:
     """The windows in blocks of PATTERNS_PER_BLOCK at most, each broadcast by itself."""
+    bounded_batches(items)
     spark = items.sparkSession
     blocks, patterns, owners = [], [], []
     for row in windows_of(items).toLocalIterator():

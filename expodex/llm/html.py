@@ -29,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, stored
+from .common import bounded_batches, chunks, stored
 
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[/!?a-zA-Z][^>]*+>", re.S)
 ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|([a-zA-Z_:][-\w:.]*)")
@@ -262,6 +262,7 @@ def host_paths(pages: DataFrame) -> DataFrame:
 
 def extracted(pages: DataFrame) -> DataFrame:
     """page_id, url, text, n_chars, host_path for every row of pages."""
+    bounded_batches(pages)
     winners = stored(host_paths(pages), "paths")
     rows = pages.select(F.col("page_id").cast("long"), "url", "html", host_of().alias("host"))
     return rows.join(winners, "host", "left").select("page_id", "url", "html", "path").mapInArrow(

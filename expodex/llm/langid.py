@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, flat_bytes, mix
+from .common import bounded_batches, chunks, flat_bytes, mix
 
 LENGTHS = (3, 5)
 HASHES = 3
@@ -148,6 +148,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def learned(labelled: DataFrame) -> Filters:
     """Filters from rows (doc_id, text, lang), sampled as the module says."""
+    bounded_batches(labelled)
     rows = labelled.select("doc_id", "text", "lang").filter("lang is not null and text is not null and doc_id is not null")
     sizes = rows.groupBy("lang").count().withColumn("keep", F.least(F.lit(1.0), F.lit(float(SAMPLE)) / F.col("count")))
     place = F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(1 << 30)) / F.lit(float(1 << 30))

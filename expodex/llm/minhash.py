@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks, dropped, flat_bytes, mix, shingles, stored, words
+from .common import bounded_batches, chunks, dropped, flat_bytes, mix, shingles, stored, words
 from .graph import components
 
 ROWS, BANDS = 6, 42
@@ -231,6 +231,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = SIMILARITY)
 
     width: words in a shingle. percent: least similarity of a link, as 100 * intersection / union.
     """
+    bounded_batches(docs)
     rows = stored(signed(docs, width), "signed")
     linked = rows.filter("n_shingles > 0 and doc_id is not null")
     # A doc_id with several different texts is represented by each of its sets; links join them by id.

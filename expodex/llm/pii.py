@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chunks
+from .common import bounded_batches, chunks
 
 KINDS = ("email", "ip", "card", "phone")
 LABELERS = 4
@@ -208,6 +208,7 @@ def _counting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def judge_of(docs: DataFrame) -> Judge:
+    bounded_batches(docs)
     counts = docs.select("text").mapInArrow(_counting, "pattern long, feature long, n long").groupBy("pattern", "feature").agg(F.sum("n").alias("n")).toArrow().to_pandas()
     counts = counts.sort_values(["pattern", "feature"])
     return Judge(counts["pattern"].to_numpy(np.int64), counts["feature"].to_numpy(np.int64), counts["n"].to_numpy(np.int64))
