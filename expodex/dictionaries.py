@@ -188,6 +188,20 @@ SKIP_DOMAINS = ["linkedin.com", "facebook.com", "twitter.com", "wikipedia.org",
 BLOCKLIST_SIGNALS = ["appointment", "book-", "booking", "apply", "register-booth", "event-pass", "ticket", "credential", "accreditation", "reserve", "signup-event"]
 ENRICHABLE = ["website", "email", "phone", "address", "city", "description", "linkedin", "twitter", "category", "company_size", "founded_year"]
 EVENT_PAGE_KEYWORDS = ["exhibitor", "vendor", "sponsor", "booth", "tradeshow", "expo", "exhibition"]
+CHINA_WORDS = [
+    "china", "chinese", "prc", "beijing", "shanghai", "shenzhen", "guangzhou", "chengdu", "wuhan", "tianjin", "hangzhou", "nanjing",
+    "qingdao", "xian", "xi'an", "chongqing", "dalian", "suzhou",
+]
+RUSSIA_WORDS = ["russia", "russian", "moscow", "moskow", "st. petersburg", "saint petersburg", "novosibirsk"]
+#: engine, words in a company's country and name
+ENGINE_WORDS = [
+    ("baidu", ["china", "chinese", "prc", "beijing", "shanghai", "shenzhen", "guangzhou"]),
+    ("yandex", ["russia", "russian", "moscow", "moskow"]),
+    ("yahoo", ["japan", "japanese", "tokyo", "osaka", "kyoto", "nagoya"]),
+    ("naver", ["korea", "korean", "seoul", "busan", "incheon"]),
+]
+TWITTER_PAGES = ["intent", "share", "home", "search", "hashtag", "i/", "settings", "notifications", "messages", "explore", "login", "signup", "about"]
+TRADE_WORDS = ["expo", "exhibition", "show", "fair", "conference", "summit", "congress", "forum"]
 LEGAL_SUFFIXES = ["inc", "llc", "ltd", "corp", "corporation", "company", "co", "gmbh", "ag", "bv", "sa", "spa", "plc", "pty", "nv"]
 #: Public suffixes of two labels that the registered domain keeps whole.
 TWO_LABEL_SUFFIXES = ["co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.nz", "co.jp", "or.jp", "ne.jp", "com.cn", "net.cn", "org.cn", "gov.cn", "com.br", "com.tr", "com.mx", "co.in", "co.kr", "or.kr", "com.sg", "com.my", "co.id", "com.hk", "com.tw", "co.za", "com.ar", "com.sa", "com.pk", "com.ua", "com.vn", "co.th", "co.il"]

@@ -87,8 +87,7 @@ def linkedin(text: Column) -> Column:
 
 
 def twitter(text: Column) -> Column:
-    closed = "intent|share|home|search|hashtag|i/|settings|notifications|messages|explore|login|signup|about"
-    name = F.regexp_extract(text, rf"https?://(?:www\.)?(?:twitter\.com|x\.com)/(?!{closed})([A-Za-z0-9_]{{1,50}})(?:[/?]|$)", 1)
+    name = F.regexp_extract(text, rf"https?://(?:www\.)?(?:twitter\.com|x\.com)/(?!{'|'.join(D.TWITTER_PAGES)})([A-Za-z0-9_]{{1,50}})(?:[/?]|$)", 1)
     return F.when(name != "", F.concat(F.lit("https://twitter.com/"), name))
 
 
@@ -154,13 +153,7 @@ def script_engine(name: Column) -> Column:
 
 
 def keyword_engine(text: Column) -> Column:
-    has = lambda words: reduce(lambda a, b: a | b, [text.contains(w) for w in words])
-    return (
-        F.when(has(["china", "chinese", "prc", "beijing", "shanghai", "shenzhen", "guangzhou"]), "baidu")
-        .when(has(["russia", "russian", "moscow", "moskow"]), "yandex")
-        .when(has(["japan", "japanese", "tokyo", "osaka", "kyoto", "nagoya"]), "yahoo")
-        .when(has(["korea", "korean", "seoul", "busan", "incheon"]), "naver")
-    )
+    return F.coalesce(*[F.when(text.rlike("|".join(words)), F.lit(engine)) for engine, words in D.ENGINE_WORDS])
 
 
 def country_exact(text: Column) -> Column:

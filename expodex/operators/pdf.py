@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .. import dictionaries as D
 from ..functions import text as X
 from .links import first_by
 
@@ -85,7 +86,7 @@ def numbered_rows(docs: DataFrame, country_first: bool = True) -> DataFrame:
 def event_header(docs: DataFrame) -> DataFrame:
     """url, event_name, event_location, event_date from the first forty lines."""
     lines = F.filter(F.transform(F.slice(F.split("markdown", "\n"), 1, 40), lambda x: F.trim(F.regexp_replace(x, r"^[#*\s]+|[*\s]+$", ""))), lambda x: x != "")
-    name = F.filter(lines, lambda x: F.length(x).between(6, 150) & ~x.startswith("|") & x.rlike(r"(?i)expo|exhibition|show|fair|conference|summit|congress|forum"))
+    name = F.filter(lines, lambda x: F.length(x).between(6, 150) & ~x.startswith("|") & x.rlike("(?i)" + "|".join(D.TRADE_WORDS)))
     place = F.filter(lines, lambda x: x.rlike(r"(?i)^(venue|location|place|held at)\s*:"))
     months = "january|february|march|april|may|june|july|august|september|october|november|december|jan|feb|mar|apr|jun|jul|aug|sep|oct|nov|dec"
     form = rf"(?i)(\d{{1,2}}(?:\s*[-–]\s*\d{{1,2}})?\s+(?:{months})[a-z]*\.?,?\s+\d{{4}}|(?:{months})[a-z]*\.?\s+\d{{1,2}}(?:\s*[-–]\s*\d{{1,2}})?,?\s+\d{{4}}|\d{{4}}-\d{{2}}-\d{{2}})"

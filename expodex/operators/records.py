@@ -126,8 +126,7 @@ def websearch_filled(df: DataFrame, found: DataFrame, key: str) -> DataFrame:
 
 
 def chinese_or_russian(df: DataFrame) -> Column:
-    cn = "china|chinese|prc|beijing|shanghai|shenzhen|guangzhou|chengdu|wuhan|tianjin|hangzhou|nanjing|qingdao|xian|xi'an|chongqing|dalian|suzhou"
-    words = f"{cn}|russia|russian|moscow|moskow|st\\. petersburg|saint petersburg|novosibirsk"
+    words = "|".join(w.replace(".", r"\.") for w in D.CHINA_WORDS + D.RUSSIA_WORDS)
     of = lambda f: F.lower(F.coalesce(_has(df, f), F.lit("")))
     tld = lambda f: U.host(of(f)).rlike(r"\.(cn|ru|su)$") | of(f).contains(".com.cn")
     name = F.coalesce(_has(df, "name"), F.lit(""))
