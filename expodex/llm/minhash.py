@@ -41,6 +41,8 @@ _WEIGHT = _rng.integers(0, 2**63, 2 * PERMUTATIONS, dtype=np.uint64) | np.uint64
 MEMBERS = 512
 #: Rows of a cluster that are compared at once with as many others, and shingles in one matrix product.
 BLOCK, SLICE = 256, 4096
+#: Blocks of long texts are smaller: about so many shingles each.
+BLOCK_SHINGLES = 1 << 18
 
 #: Slots of the fixed-size membership bitmap that spares the verification of shuffling other texts.
 BITMAP_WORDS = 1 << 18
@@ -207,16 +209,17 @@ def _flat(text: str | None) -> tuple[np.ndarray, np.ndarray]:
 
 
 def _block_links(docs: DataFrame, rest: DataFrame, width: int, percent: int) -> DataFrame:
-    """Links between different components among the members of unsettled buckets: (rep, component, hub).
+    """Links between different components among the members of unsettled buckets: (rep, component, hub, n_shingles).
 
     Buckets that share members form clusters. A cluster's members are dealt into blocks of about
-    BLOCK, and every two blocks of a cluster meet in one bounded group, where intersections are
+    BLOCK rows and BLOCK_SHINGLES shingles at most, and every two blocks of a cluster meet in one bounded group, where intersections are
     counted by matrix products; only links that join components leave it.
     """
     clusters = components(rest.select(F.col("rep").alias("u"), F.col("hub").alias("v")))
-    member = rest.select("rep", "component").distinct().join(clusters.withColumnRenamed("id", "rep").withColumnRenamed("component", "cluster"), "rep")
+    member = rest.select("rep", "component", "n_shingles").distinct().join(clusters.withColumnRenamed("id", "rep").withColumnRenamed("component", "cluster"), "rep")
     held = member = stored(member, "members")
-    sizes = member.groupBy("cluster").agg(F.ceil(F.count("*") / F.lit(float(BLOCK))).cast("int").alias("blocks"))
+    load = F.greatest(F.count("*") / F.lit(float(BLOCK)), F.sum("n_shingles") / F.lit(float(BLOCK_SHINGLES)))
+    sizes = member.groupBy("cluster").agg(F.ceil(load).cast("int").alias("blocks"))
     member = member.join(sizes, "cluster").withColumn("block", F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int"))
     texts = _with_ids(docs, member.select(F.col("rep").alias("id"))).withColumnRenamed("id", "rep")
     dealt = member.join(texts, "rep").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
@@ -250,7 +253,7 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = SIMILARITY)
     spread = shared.join(groups.withColumnRenamed("id", "rep"), "rep", "left").select("band", "rep", F.coalesce("component", "rep").alias("component"))
     split = spread.groupBy("band").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count("*").alias("n"), F.min("rep").alias("hub"))
     rest = spread.join(split.filter("low <> high and n > 2").select("band", "hub"), "band")
-    rest = stored(rest.select("rep", "component", "hub").distinct(), "rest")
+    rest = stored(rest.select("rep", "component", "hub").distinct().join(sizes, "rep"), "rest")
     late = _block_links(docs, rest, width, percent)
     # Rows find their class by its set, so copies, however many, are no edges; a doc_id of several texts joins their classes.
     named = stored(
