@@ -1,17 +1,22 @@
 """Language-model scoring with a probabilistic suffix tree over words.
 
 Root: the next-symbol distribution of the empty context, (c + 1) / (N + V + 1) for a token seen c
-times among N training tokens of V kinds; an unknown token counts as c = 0. It has as many entries
-as the corpus has distinct tokens, lies in a table and is joined, never collected. A context (the
-last 1 to MAX_DEPTH tokens; a document's first token follows the end of another) becomes a state if
-it makes up at least CONTEXT_SHARE of all tokens and the Kullback-Leibler divergence of its
-next-symbol distribution from that of its longest retained suffix reaches DIVERGENCE. A state keeps
-the symbols that, together with it, make up at least CELL_SHARE of all tokens, discounted by
-DISCOUNT; the rest of its mass goes to the suffix's distribution. Each token is scored in the
-longest suffix state at hand.
-
-The shares bound what is sent to the executors, whatever the corpus holds: at most 1 / CELL_SHARE
-frequent tokens and as many entries on each level. Tokens below that share are counted by a join.
+times among N training tokens of V kinds; an unknown token counts as c = 0. A context (the last 1 to
+MAX_DEPTH tokens; a document's first token follows the end of another) becomes a state if it occurs
+at least MIN_CONTEXT times and the Kullback-Leibler divergence of its next-symbol distribution from
+that of its longest retained suffix reaches DIVERGENCE. A state keeps the symbols that occur with it
+at least MIN_CELL times, discounted by DISCOUNT; the rest of its mass goes to the suffix's
+distribution. Each token is scored in its longest suffix state. The thresholds are counts, the same
+at every size, so the tree grows with the corpus.
+
+Root and levels lie in written tables and are joined, never collected. A gram (a context, or a
+context with its symbol) is named by a hash of its own prefix and suffix, so the cell of the suffix
+state is found by a join, and it is always there, for it occurs at least as often. A token's
+log-probability is the root's plus, for each retained suffix context, log(left) and, where the
+symbol is kept, log(p / p of the suffix) - log(left). So each gram has one weight, and a row's
+score is a sum of weights over its grams. Grams that make up CELL_SHARE of all tokens, at most
+1 / CELL_SHARE of each order, are broadcast with their weights; the others are looked up by one join.
+Filters of at most 2^FILTER_BITS bits spare rows that no join would meet; they change no result.
 
 Defined results: null and empty texts consist of the end alone; repeated rows are scored, and
 counted in training, as often as they occur; rows with a null doc_id are neither held out (null)
@@ -21,23 +26,28 @@ long texts are read whole; an empty table gives an empty result; other columns a
 
 from __future__ import annotations
 
+import gc
 from collections.abc import Iterator
+from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import HashIndex, bounded_batches, chunks, flat_bytes, mix, stored, words
+from .common import HashIndex, bounded_batches, chunks, dropped, flat_bytes, mix, stored, words
 
 MAX_DEPTH = 3
+MIN_CONTEXT = 4
+MIN_CELL = 2
 CELL_SHARE = 2.0**-20
-CONTEXT_SHARE = 2.0**-16
 DIVERGENCE = 0.05
 DISCOUNT = 0.5
+FILTER_BITS = 28
 END = np.uint64(0xE4D0F7E4DE4DE4DF)
-_NEXT = 21  # bits of a token number in a cell's code
-_FLUSH = 1_500_000
+_SLICE = 8  # bits of a hash that name its part of a filter
+_FLUSH = 400_000
+_PIECE = 50_000
 
 
 def tokens(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
@@ -52,25 +62,48 @@ def tokens(batch: pa.RecordBatch) -> tuple[np.ndarray, np.ndarray]:
     return out, begins
 
 
+def joined(context: np.ndarray, suffix: np.ndarray) -> np.ndarray:
+    """Hash of the gram with this prefix and this suffix (each one token shorter)."""
+    with np.errstate(over="ignore"):
+        return mix(context * np.uint64(0xD6E8FEB86659FD93) + suffix)
+
+
+def grams(token: np.ndarray, order: int) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
+    """(place of the last token, hash, prefix, suffix) of the grams of 1 .. order tokens; an END stands first or last only."""
+    before = np.append(END, token[:-1])
+    at = np.arange(len(token))
+    yield at, token, token, token
+    whole = token
+    for k in range(2, order + 1):
+        context = np.append(END if k == 2 else np.uint64(0), whole[:-1])
+        if k > 2:  # the prefix must be a gram, and its last token no END
+            place = np.zeros(len(token), bool)
+            place[at] = True
+            at = np.flatnonzero(np.append(False, place[:-1]) & (before != END))
+        own = joined(context[at], whole[at])
+        yield at, own, context[at], whole[at]
+        whole = np.zeros(len(token), np.uint64)
+        whole[at] = own
+
+
 class Counter:
-    """Sums of counts by 64-bit key, given out in pieces of bounded size."""
+    """Sums of counts by 64-bit key, with further columns that the key determines, given out in pieces of bounded size."""
 
     def __init__(self) -> None:
-        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
+        self.parts: list[list[np.ndarray]] = []
         self.size = 0
 
-    def add(self, keys: np.ndarray) -> None:
-        own, n = np.unique(keys, return_counts=True)
-        self.parts.append((own, n))
+    def add(self, keys: np.ndarray, *also: np.ndarray) -> None:
+        own, first, n = np.unique(keys, return_index=True, return_counts=True)
+        self.parts.append([own, n, *(x[first] for x in also)])
         self.size += len(own)
 
-    def merged(self) -> tuple[np.ndarray, np.ndarray]:
-        keys = np.concatenate([k for k, _ in self.parts])
-        n = np.concatenate([n for _, n in self.parts])
+    def merged(self) -> list[np.ndarray]:
+        keys, n, *also = (np.concatenate(x) for x in zip(*self.parts, strict=True))
         order = np.argsort(keys, kind="stable")
         keys, n = keys[order], n[order]
         at = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
-        return keys[at], np.add.reduceat(n, at) if len(at) else n
+        return [keys[at], np.add.reduceat(n, at) if len(at) else n, *(x[order[at]] for x in also)]
 
     def shrink(self) -> bool:
         """True if even the merged counts are too many to keep."""
@@ -80,146 +113,214 @@ class Counter:
         self.size = len(self.parts[0][0])
         return self.size > _FLUSH // 2
 
-    def batch(self) -> pa.RecordBatch:
-        keys, n = self.merged() if self.parts else (np.zeros(0, np.uint64), np.zeros(0, np.int64))
+    def given(self) -> list[np.ndarray]:
+        out = self.merged() if self.parts else []
         self.parts, self.size = [], 0
-        return pa.RecordBatch.from_arrays([pa.array(keys.astype(np.uint64).view(np.int64)), pa.array(n.astype(np.int64))], names=["h", "n"])
+        return out
 
 
-def _counting(keys_of):
+def _counting(order: int, wanted=None):
+    """Counts of the batches' grams of one order, by hash or by prefix and suffix; wanted: filters of prefixes and of suffixes."""
+
+    def batch(counter: Counter) -> Iterator[pa.RecordBatch]:
+        given = counter.given()
+        if given:
+            keys, n, *also = given
+            columns = [pa.array(x.view(np.int64)) for x in (also or [keys])] + [pa.array(n.astype(np.int64))]
+            whole = pa.RecordBatch.from_arrays(columns, names=["h", "n"] if order == 1 else ["ctx", "suf", "n"])
+            yield from (whole.slice(at, _PIECE) for at in range(0, len(n), _PIECE))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter()
-        for batch in chunks(batches, "text"):
-            counter.add(keys_of(batch))
+        for part in chunks(batches, "text"):
+            for k, (_, own, context, suffix) in enumerate(grams(tokens(part)[0], order), 1):
+                if k == order == 1:
+                    counter.add(own)
+                elif k == order:
+                    held = np.flatnonzero(wanted.value[0](context))
+                    held = held[wanted.value[1](suffix[held])]
+                    counter.add(own[held], context[held], suffix[held])
             if counter.shrink():
-                yield counter.batch()
-        yield counter.batch()
+                yield from batch(counter)
+        yield from batch(counter)
 
     return run
 
 
-class Model:
-    """What the executors know: frequent tokens, and the levels of the tree so far."""
-
-    def __init__(self, keys: np.ndarray, counts: np.ndarray, total: int, kinds: int):
-        self.index = HashIndex(keys)
-        self.counts, self.total, self.kinds = counts, total, kinds
-        self.root = (counts + 1.0) / (total + kinds + 1.0)
-        self.end = int(self.index(np.array([END]))[0])
-        frequent = counts >= max(CONTEXT_SHARE * total, 2)
-        self.context = np.where(frequent, np.cumsum(frequent) - 1, -1)  # token -> context of one token
-        self.context_counts = counts[frequent]
-        self.suffix = [np.full(len(self.context_counts), -1)]  # context of each level -> its longest proper suffix's context
-        self.suffix_of_next: list[np.ndarray] = []
-        self.levels: list[dict] = []
-
-    def walk(self, token: np.ndarray, depth: int) -> list[np.ndarray]:
-        """Contexts (or -1) of 1 .. depth tokens before each token; a chunk begins after an END."""
-        before = np.append(self.end, token[:-1])
-        found = [np.where(before >= 0, self.context[before], -1) if len(self.context) else np.full(len(token), -1)]
-        for level in self.levels[: depth - 1]:
-            up = np.append(-1, found[-1][:-1])
-            cell = self.cells(level, up, np.where(before == self.end, -1, before))
-            found.append(np.where(cell >= 0, level["child"][cell], -1))
-        return found
-
-    @staticmethod
-    def cells(level: dict, context: np.ndarray, token: np.ndarray) -> np.ndarray:
-        out = np.full(len(token), -1, np.int64)
-        at = np.flatnonzero((context >= 0) & (token >= 0))
-        out[at] = level["index"]((context[at].astype(np.uint64) << np.uint64(_NEXT)) | token[at].astype(np.uint64))
+def _with_hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        context, suffix = (b.column(k).to_numpy().view(np.uint64) for k in ("ctx", "suf"))
+        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(joined(context, suffix).view(np.int64))], names=[*b.schema.names, "h"])
+
+
+class Filter:
+    """A Bloom filter in parts: never denies a hash that was put in."""
+
+    def __init__(self, width: int):
+        self.width = width  # bits of a place within a part
+        self.held = np.zeros((1 << _SLICE) << max(width - 3, 0), np.uint8)
+
+    def places(self, h: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        m, mask = mix(h ^ np.uint64(0x5851F42D4C957F2D)), np.uint64((1 << self.width) - 1)
+        return (m & mask).astype(np.int64), ((m >> np.uint64(32)) & mask).astype(np.int64)
+
+    def __call__(self, h: np.ndarray) -> np.ndarray:
+        part = (h >> np.uint64(64 - _SLICE)).astype(np.int64) << (self.width - 3)
+        a, b = self.places(h)
+        return ((self.held[part + (a >> 3)] >> (a & 7)) & (self.held[part + (b >> 3)] >> (b & 7)) & 1).astype(bool)
+
+
+def filter_of(hashes: DataFrame) -> Filter:
+    """A filter of the column h: its parts are made by the executors and joined here."""
+    out = Filter(min(FILTER_BITS, max(16, int(hashes.count() * 12).bit_length())) - _SLICE)
+    size = 1 << (out.width - 3)
+
+    def part(key: tuple, rows: pa.Table) -> pa.Table:
+        held = np.zeros(size << 3, bool)
+        for at in out.places(rows.column("h").to_numpy().astype(np.int64).view(np.uint64)):
+            held[at] = True
+        return pa.table({"part": pa.array([key[0].as_py()], pa.int32()), "held": pa.array([np.packbits(held, bitorder="little").tobytes()], pa.binary())})
+
+    parts = hashes.select("h", F.shiftrightunsigned("h", 64 - _SLICE).cast("int").alias("part"))
+    for row in parts.groupBy("part").applyInArrow(part, "part int, held binary").collect():
+        out.held[row["part"] * size : (row["part"] + 1) * size] = np.frombuffer(row["held"], np.uint8)
+    return out
+
+
+def _released(df: DataFrame) -> None:
+    """Let Spark remove the shuffle files of finished queries, which nothing refers to any more."""
+    gc.collect()
+    df.sparkSession.sparkContext._jvm.System.gc()
+
+
+class Tree:
+    """The tables of a tree: `root` (h, c), and for each level `states` (ctx, suf, n, left, kept) and `cells` (h, suf, n, p, w)."""
+
+    def __init__(self, root: DataFrame, total: int, kinds: int):
+        self.root, self.total, self.kinds = root, total, kinds
+        self.denominator = float(total + kinds + 1)
+        self.states: list[DataFrame] = []
+        self.cells: list[DataFrame] = []
+
+    def weights(self) -> DataFrame:
+        """h, c (null unless a token), n, w: the parts of the weight of every gram that matters to a score."""
+        out = self.root.select("h", "c", F.col("c").alias("n"), F.lit(0.0).alias("w"))
+        for states, cells in zip(self.states, self.cells, strict=True):
+            none = F.lit(None).cast("long")
+            kept = states.filter("kept")
+            out = out.unionByName(kept.select(F.col("ctx").alias("h"), none.alias("c"), "n", F.log10("left").alias("w")))
+            out = out.unionByName(cells.filter("w <> 0").select("h", none.alias("c"), "n", "w"))
         return out
 
-    def codes(self, batch: pa.RecordBatch) -> np.ndarray:
-        """Cells of the next level that the batch holds."""
-        token = self.index(tokens(batch)[0])
-        context = self.walk(token, len(self.levels) + 1)[-1]
-        at = np.flatnonzero((context >= 0) & (token >= 0))
-        return (context[at].astype(np.uint64) << np.uint64(_NEXT)) | token[at].astype(np.uint64)
-
-    def grow(self, code: np.ndarray, n: np.ndarray) -> None:
-        """Add a level from its frequent cells."""
-        order = np.argsort(code, kind="stable")
-        code, n = code[order], n[order].astype(float)
-        context = (code >> np.uint64(_NEXT)).astype(np.int64)
-        token = (code & np.uint64((1 << _NEXT) - 1)).astype(np.int64)
-        total = self.context_counts.astype(float)
-        share = np.maximum(n - DISCOUNT, 0) / total[context] if len(code) else n
-        left = np.maximum(1 - np.bincount(context, share, len(total)), 0.0)
-        suffix = self.suffix[-1]
-        below = self.chance(suffix[context], token, len(self.levels)) if len(code) else share
-        full = share + left[context] * below
-        gain = np.bincount(context, full * np.log(full / np.maximum(below, 1e-300)), len(total)).astype(float)
-        rest, base = 1 - np.bincount(context, full, len(total)), 1 - np.bincount(context, below, len(total))
-        with np.errstate(divide="ignore", invalid="ignore"):
-            gain += np.where((rest > 1e-12) & (base > 1e-12), rest * np.log(rest / base), 0.0)
-        often = n >= max(CONTEXT_SHARE * self.total, 2)
-        often &= token != self.end
-        child = np.where(often, np.cumsum(often) - 1, -1)
-        level = {"index": HashIndex(code, mixed=False), "share": np.append(share, 0.0), "left": left, "kept": gain >= DIVERGENCE, "child": child, "code": code}
-        # The suffix of (s, w) is (suffix of s, w): a cell one level down, or w alone.
-        up, last = suffix[context[often]], token[often]
-        if self.levels:
-            cell = self.cells(self.levels[-1], up, last)
-            self.suffix.append(np.where(cell >= 0, self.levels[-1]["child"][cell], -1))
-        else:
-            self.suffix.append(self.context[last] if len(last) else last)
-        self.levels.append(level)
-        self.context_counts = n[often]
+    # What follows collects tables: it is for looking at small trees.
 
-    def chance(self, context: np.ndarray, token: np.ndarray, depth: int) -> np.ndarray:
-        """P(token | context of `depth` tokens), by the longest retained suffix; context -1 is the root."""
+    @cached_property
+    def _tokens(self) -> tuple[np.ndarray, np.ndarray]:
+        rows = self.root.toArrow()
+        return rows["h"].to_numpy().view(np.uint64), rows["c"].to_numpy()
+
+    @property
+    def counts(self) -> np.ndarray:
+        return self._tokens[1]
+
+    @cached_property
+    def levels(self) -> list[dict]:
+        out = []
+        for states, cells in zip(self.states, self.cells, strict=True):
+            rows, held = states.toArrow().to_pydict(), cells.toArrow().to_pydict()
+            place = {c: k for k, c in enumerate(rows["ctx"])}
+            out.append(rows | {"place": place, "kept": np.array(rows["kept"], bool), "p": dict(zip(held["h"], held["p"], strict=True))})
+        return out
+
+    def _met(self, context: int, depth: int) -> tuple[np.ndarray, np.ndarray]:
+        """(hashes of the context's grams with each token, chance of each token)."""
         if depth == 0:
-            return self.root[token]
+            return self._tokens[0], (self.counts + 1.0) / self.denominator
         level = self.levels[depth - 1]
-        lower = self.chance(np.where(context >= 0, self.suffix[depth - 1][context], -1) if len(self.suffix[depth - 1]) else np.full(len(token), -1), token, depth - 1)
-        cell = self.cells(level, context, token)
-        inside = (context >= 0) & level["kept"][context] if len(level["kept"]) else np.zeros(len(token), bool)
-        return np.where(inside, level["share"][cell] + (level["left"][context] if len(level["left"]) else 0.0) * lower, lower)
-
-    def scored(self, batch: pa.RecordBatch) -> dict[str, np.ndarray]:
-        hashed, begins = tokens(batch)
-        token = self.index(hashed)
-        known = token >= 0
-        base = np.where(known, self.root[token], 1.0) if len(self.root) else np.ones(len(token))
-        chance = base.copy()
-        for level, context in zip(self.levels, self.walk(token, len(self.levels)), strict=False):
-            at = np.flatnonzero(context >= 0)
-            at = at[level["kept"][context[at]]]
-            cell = self.cells(level, context[at], token[at])
-            chance[at] = level["share"][cell] + level["left"][context[at]] * chance[at]
-        rows = np.repeat(np.arange(len(begins) - 1), np.diff(begins))
-        light = np.flatnonzero(~known)
-        return {
-            "n_tokens": np.diff(begins), "n_known": np.bincount(rows[known], minlength=len(begins) - 1),
-            "base": np.add.reduceat(np.log10(base), begins[:-1]), "score": np.add.reduceat(np.log10(np.maximum(chance, 1e-300)), begins[:-1]),
-            "uid": np.add.reduceat(mix(hashed + np.arange(len(hashed), dtype=np.uint64) - np.repeat(begins[:-1], np.diff(begins)).astype(np.uint64)), begins[:-1]),
-            "light": hashed[light], "light_first": np.searchsorted(rows[light], np.arange(len(begins))),
-        }
+        down = self.levels[depth - 2]["place"][level["suf"][context]] if depth > 1 else -1
+        suffix, lower = self._met(down, depth - 1)
+        own = joined(np.full(len(suffix), level["ctx"][context], np.int64).view(np.uint64), suffix)
+        rest = lower * (level["left"][context] if level["kept"][context] else 1.0)
+        return own, np.array([level["p"].get(h, x) for h, x in zip(own.view(np.int64).tolist(), rest.tolist(), strict=True)])
+
+    def chance(self, context: np.ndarray, token: np.ndarray, depth: int) -> np.ndarray:
+        """P(token | context of `depth` tokens), by the longest retained suffix."""
+        return np.array([self._met(int(c), depth)[1][t] for c, t in zip(context, token, strict=True)]) if len(set(context.tolist())) > 1 else self._met(int(context[0]), depth)[1][token]
 
 
 def held_out_of():
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7)) == 2
 
 
-def trained(rows: DataFrame) -> tuple[Model, DataFrame]:
+def trained(rows: DataFrame) -> tuple[Tree, DataFrame]:
     """(the tree, the root's table h, c) from the rows' text."""
     spark = rows.sparkSession
     texts = rows.select("text")
-    counts = texts.mapInArrow(_counting(lambda b: tokens(b)[0]), "h long, n long").groupBy("h").agg(F.sum("n").alias("c"))
-    counts = stored(counts, "counts")
+    counts = stored(texts.mapInArrow(_counting(1), "h long, n long").groupBy("h").agg(F.sum("n").alias("c")), "counts")
     row = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    total, kinds = int(row["n"]), int(row["v"])
-    heavy = counts.filter(F.col("c") >= CELL_SHARE * total).toArrow()
-    model = Model(heavy["h"].to_numpy().view(np.uint64), heavy["c"].to_numpy(), total, kinds)
-    for _ in range(MAX_DEPTH):
-        if not len(model.context_counts):
-            break
-        shared = spark.sparkContext.broadcast(model)
-        cells = texts.mapInArrow(_counting(lambda b, m=shared: m.value.codes(b)), "h long, n long").groupBy("h").agg(F.sum("n").alias("n"))
-        cells = cells.filter(F.col("n") >= max(CELL_SHARE * total, 2)).toArrow()
-        model.grow(cells["h"].to_numpy().view(np.uint64), cells["n"].to_numpy())
-    return model, counts
+    tree = Tree(counts, int(row["n"]), int(row["v"]))
+    below = counts.select("h", F.lit(None).cast("long").alias("suf"), F.col("c").alias("n"), ((F.col("c") + 1.0) / F.lit(tree.denominator)).alias("p"))
+    for depth in range(1, MAX_DEPTH + 1):
+        often = below.filter(F.col("n") >= MIN_CONTEXT)
+        wanted = spark.sparkContext.broadcast((filter_of(often), filter_of(below.filter(F.col("n") >= MIN_CELL))))
+        cells = texts.mapInArrow(_counting(depth + 1, wanted), "ctx long, suf long, n long").groupBy("ctx", "suf").agg(F.sum("n").alias("n"))
+        cells = stored(cells.filter(F.col("n") >= MIN_CELL), "grams")
+        _released(cells)
+        met = cells.join(below.select(F.col("h").alias("suf"), F.col("p").alias("below")).hint("shuffle_hash"), "suf")
+        met = met.join(often.select(F.col("h").alias("ctx"), F.col("suf").alias("down"), F.col("n").alias("total")).hint("shuffle_hash"), "ctx")
+        met = stored(met, "met")
+        dropped(cells)
+        share = (F.col("n") - DISCOUNT) / F.col("total")
+        left = F.greatest(1.0 - F.sum(share), F.lit(1e-12)).alias("left")
+        sums = stored(met.groupBy("ctx").agg(left, F.sum("below").alias("base")), "sums")
+        full = (share + F.col("left") * F.col("below")).alias("full")
+        gain = met.join(sums.hint("shuffle_hash"), "ctx").select("ctx", "down", "total", "left", "base", "below", full)
+        first = [F.first(c).alias(c) for c in ("down", "total", "left", "base")]
+        gain = gain.groupBy("ctx").agg(*first, F.sum(F.col("full") * F.ln(F.col("full") / F.col("below"))).alias("gain"), F.sum("full").alias("full"))
+        rest, base = 1.0 - F.col("full"), 1.0 - F.col("base")
+        gain = gain.withColumn("gain", F.col("gain") + F.when((rest > 1e-12) & (base > 1e-12), rest * F.ln(rest / base)).otherwise(0.0))
+        states = stored(gain.select("ctx", F.col("down").alias("suf"), F.col("total").alias("n"), "left", (F.col("gain") >= DIVERGENCE).alias("kept")), "states")
+        dropped(sums)
+        _released(states)
+        held = met.join(states.select("ctx", "left", "kept").hint("shuffle_hash"), "ctx").select("*", full)
+        w = F.log10(F.col("full") / F.col("below")) - F.log10("left")
+        held = held.select("ctx", "suf", "n", F.when(F.col("kept"), F.col("full")).otherwise(F.col("below")).alias("p"), F.when(F.col("kept"), w).otherwise(0.0).alias("w"))
+        held = stored(held.mapInArrow(_with_hash, "ctx long, suf long, n long, p double, w double, h long").drop("ctx"), "cells")
+        dropped(met)
+        tree.states.append(states)
+        tree.cells.append(held)
+        below = held.select("h", "suf", "n", "p")
+        _released(held)
+    return tree, counts
+
+
+class Model:
+    """What the executors know: the frequent grams with their weights, and a filter of all others that have one."""
+
+    def __init__(self, keys: np.ndarray, base: np.ndarray, weight: np.ndarray, rare: Filter):
+        self.index, self.rare = HashIndex(keys), rare
+        self.base, self.weight = np.append(base, 0.0), np.append(weight, 0.0)
+
+    def scored(self, batch: pa.RecordBatch) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
+        """(columns of the batch's rows, row and hash of the grams to be looked up)."""
+        token, begins = tokens(batch)
+        n = len(begins) - 1
+        rows = np.repeat(np.arange(n), np.diff(begins))
+        base, score, light, known = np.zeros(n), np.zeros(n), [], None
+        for k, (at, own, _, _) in enumerate(grams(token, MAX_DEPTH + 1), 1):
+            found = self.index(own)
+            score += np.bincount(rows[at], self.weight[found], n)
+            if k == 1:
+                base = np.bincount(rows, self.base[found], n)
+                known = np.bincount(rows[found >= 0], minlength=n)
+            open_ = (found < 0) & self.rare(own) if k > 1 else found < 0
+            light.append((rows[at[open_]], own[open_]))
+        place = np.arange(len(token), dtype=np.uint64) - np.repeat(begins[:-1], np.diff(begins)).astype(np.uint64)
+        with np.errstate(over="ignore"):
+            doc = batch.column("doc_id").fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+            uid = mix(np.add.reduceat(mix(token + place), begins[:-1]) + mix(doc + np.array(batch.column("doc_id").is_null().to_numpy(zero_copy_only=False), np.uint64) * np.uint64(7**20)))
+        columns = {"uid": uid, "n_tokens": np.diff(begins), "n_known": known, "base": base, "score": base + score}
+        return columns, np.concatenate([r for r, _ in light]), np.concatenate([h for _, h in light])
 
 
 def scores(docs: DataFrame) -> DataFrame:
@@ -227,36 +328,47 @@ def scores(docs: DataFrame) -> DataFrame:
     bounded_batches(docs)
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("held_out", held_out_of())
-    model, counts = trained(rows.filter("not held_out"))
+    tree, _ = trained(rows.filter("not held_out"))
+    weights = stored(tree.weights(), "weights")
+    for table in (*tree.states, *tree.cells):
+        dropped(table)
+    _released(weights)
+    frequent = F.col("n") >= CELL_SHARE * tree.total
+    heavy, rare = weights.filter(frequent).groupBy("h").agg(F.max("c").alias("c"), F.sum("w").alias("w")).toArrow(), weights.filter(~frequent)
+    count = heavy["c"].to_numpy(zero_copy_only=False).astype(float)
+    unknown = float(-np.log10(tree.denominator))
+    model = Model(heavy["h"].to_numpy().view(np.uint64), np.where(np.isnan(count), 0.0, np.log10(np.nan_to_num(count) + 1.0) + unknown), heavy["w"].to_numpy(), filter_of(rare.filter("w <> 0")))
     shared = spark.sparkContext.broadcast(model)
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in chunks(batches, "text"):
-            x = shared.value.scored(batch)
+            x, _, _ = shared.value.scored(batch)
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("held_out"), pa.array(x["uid"].view(np.int64)), pa.array(x["n_tokens"].astype(np.int64)), pa.array(x["n_known"].astype(np.int64)), pa.array(x["base"]), pa.array(x["score"]), pa.ListArray.from_arrays(pa.array(x["light_first"].astype(np.int32)), pa.array(x["light"].view(np.int64)))],
-                names=["doc_id", "held_out", "uid", "n_tokens", "n_known", "base", "score", "light"],
+                [batch.column("doc_id"), batch.column("held_out"), pa.array(x["uid"].view(np.int64)), pa.array(x["n_tokens"].astype(np.int64)), pa.array(x["n_known"].astype(np.int64)), pa.array(x["base"]), pa.array(x["score"])],
+                names=["doc_id", "held_out", "uid", "n_tokens", "n_known", "base", "score"],
             )
 
-    scored = stored(
-        rows.mapInArrow(run, "doc_id long, held_out boolean, uid long, n_tokens long, n_known long, base double, score double, light array<long>"), "scored"
-    )
-    # Rare tokens: their counts come from the root's table, sums go back to their rows.
-    key = F.coalesce("doc_id", F.lit(-1)).alias("key")
-    rare = scored.select(key, "uid", F.posexplode("light").alias("at", "h"))
-    per = rare.join(counts.filter(F.col("c") < CELL_SHARE * model.total), "h", "left").groupBy("key", "uid")
-    denominator = float(model.total + model.kinds + 1)
-    per = per.agg(
-        F.count("c").alias("seen"), F.sum(F.log10((F.coalesce("c", F.lit(0)) + 1.0) / F.lit(denominator))).alias("more"), F.count_if(F.col("at") == 0).alias("copies")
-    )
-    out = scored.drop("light").withColumn("key", F.coalesce("doc_id", F.lit(-1))).join(per, ["key", "uid"], "left")
-    more = F.coalesce(F.col("more") / F.col("copies"), F.lit(0.0))
+    def open_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in chunks(batches, "text"):
+            x, row, h = shared.value.scored(batch)
+            order = np.argsort(row, kind="stable")
+            uid = np.concatenate([x["uid"], x["uid"][row[order]]])
+            h = np.concatenate([x["uid"], h[order]])  # the first of these, which no table holds, count the copies of a row
+            yield pa.RecordBatch.from_arrays([pa.array(uid.view(np.int64)), pa.array(h.view(np.int64))], names=["uid", "h"])
+
+    # Rare grams: their weights come from the tables, sums go back to their rows.
+    met = rows.mapInArrow(open_grams, "uid long, h long").join(rare.select("h", "c", "w").hint("shuffle_hash"), "h", "left")
+    root = F.sum(F.when(F.col("c").isNotNull(), F.log10(F.col("c") + 1.0)))
+    per = met.groupBy("uid").agg(F.count("c").alias("seen"), root.alias("root"), F.sum("w").alias("w"), F.count_if(F.col("h") == F.col("uid")).alias("copies"))
+    share = lambda c: F.coalesce(F.col(c) / F.col("copies"), F.lit(0.0))
+    out = rows.mapInArrow(scored, "doc_id long, held_out boolean, uid long, n_tokens long, n_known long, base double, score double").join(per, "uid", "left")
+    more = share("root") + (F.col("n_tokens") - F.col("n_known")) * F.lit(unknown)
     return out.select(
         "doc_id",
         "held_out",
         "n_tokens",
-        (F.col("n_known") + F.coalesce((F.col("seen") / F.col("copies")).cast("long"), F.lit(0))).alias("n_known"),
-        F.lit(model.total).cast("long").alias("train_tokens"),
+        (F.col("n_known") + share("seen").cast("long")).alias("n_known"),
+        F.lit(tree.total).cast("long").alias("train_tokens"),
         (F.col("base") + more).alias("base_score"),
-        (F.col("score") + more).alias("score"),
+        (F.col("score") + more + share("w")).alias("score"),
     )

@@ -67,3 +67,63 @@ def test_distributions_sum_to_one(spark):
         for context in range(len(model.levels[depth - 1]["kept"]) if depth else 1):
             p = model.chance(np.full(len(everything), context), everything, depth)
             assert p.sum() <= 1 + 1e-9 and p.sum() > 1 - 2 * unknown - 1e-6
+
+
+def test_rare_contexts_are_states_at_every_size(spark, monkeypatch):
+    """A phrase that occurs four times is learned however much other text there is, and scores equal a plain recursion."""
+    filler = [f"w{(k * 7919) % 4001} v{(k * 104729) % 3989}" for k in range(160_000)]
+    texts = [" ".join(filler[k : k + 200]) for k in range(0, len(filler), 200)] + ["quite rare phrase indeed here"] * 4
+    train = [i for i in range(2000) if held(i) is False][: len(texts)]
+    test = next(i for i in range(2000) if held(i))
+    rows = [*zip(train, texts, strict=True), (test, "quite rare phrase indeed here")]
+    counts = [Counter() for _ in range(5)]
+
+    def path(text):
+        t = [None, *tokens(text)]
+        return [(t[max(0, i - 3) : i], t[i]) for i in range(1, len(t))]
+
+    for _, text in rows[:-1]:
+        for before, x in path(text):
+            counts[0][x] += 1
+            for d in range(1, len(before) + 1):
+                counts[d][(*before[-d:], x)] += 1
+    n, v = sum(counts[0].values()), len(counts[0])
+    follow, states = {}, {}
+    for d in (1, 2, 3):
+        for gram, c in counts[d].items():
+            if c >= 2:
+                follow.setdefault(gram[:-1], {})[gram[-1]] = c
+
+    def total(context):
+        return counts[0][context[0]] if len(context) == 1 else counts[len(context) - 1][context]
+
+    def state(context):
+        if context not in states:
+            cells = follow.get(context, {})
+            states[context] = None
+            if total(context) >= 4 and cells:
+                share = {x: (c - 0.5) / total(context) for x, c in cells.items()}
+                left = 1 - sum(share.values())
+                below = {x: chance(context[1:], x) for x in cells}
+                full = {x: share[x] + left * below[x] for x in cells}
+                rest, base = 1 - sum(full.values()), 1 - sum(below.values())
+                gain = sum(p * math.log(p / below[x]) for x, p in full.items()) + (rest * math.log(rest / base) if rest > 1e-12 and base > 1e-12 else 0)
+                if gain >= 0.05:
+                    states[context] = share, left
+        return states[context]
+
+    def chance(context, x):
+        if not context:
+            return (counts[0][x] + 1) / (n + v + 1)
+        lower = chance(context[1:], x)
+        kept = state(context)
+        return lower if kept is None else kept[0].get(x, 0.0) + kept[1] * lower
+
+    want = {i: sum(math.log10(chance(tuple(b), x)) for b, x in path(text)) for i, text in rows}
+    assert 4 < n * 2.0**-16  # four occurrences lie below a share of 2^-16
+    for share in (2.0**-20, 2.0**-10):  # all broadcast, nearly all joined
+        monkeypatch.setattr(suffixtree, "CELL_SHARE", share)
+        got = {r.doc_id: r for r in suffixtree.scores(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
+        assert got.keys() == want.keys()
+        assert all(abs(got[i].score - want[i]) < 1e-6 * max(1, abs(want[i])) for i in want)
+    assert got[test].score > got[test].base_score + 10
