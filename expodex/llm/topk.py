@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 BLOCK, QUERY_BLOCK, SUB = 16384, 2048, 128
-DEPTHS = (0.5, 0.75)
+DEPTHS = (0.5, 0.75, 0.9, 0.95, 0.99)
 #: A query's reading stops once at most this share of a block's rows can still qualify.
 RESOLVE = 1 / 32
 
@@ -77,16 +77,21 @@ class Lists:
         self.ids, self.rows = ids, rows
         bound = float(np.abs(rows).max(initial=0)) * most * max(rows.shape[1], 1)
         self.kind = np.float32 if bound < 2**23 else np.float64 if bound < 2**52 else np.int64
-        ordered = np.sort(rows, axis=0)
-        self.least, self.most = ordered[0], ordered[-1]
+        self.ordered = np.sort(rows, axis=0)
+        self.least, self.most = self.ordered[0], self.ordered[-1]
         self.full = np.ascontiguousarray(rows.T.astype(self.kind))
-        self.bounds = []
-        for depth in DEPTHS:
+        self.read: dict[float, tuple[np.ndarray, np.ndarray]] = {}
+
+    def bounds(self, depth: float) -> tuple[np.ndarray, np.ndarray]:
+        """(upper, lower) bounds of every row's products once the lists are read to the depth; made when first asked for."""
+        if depth not in self.read:
+            rows = self.rows
             read = min(len(rows) - 1, int(depth * len(rows)))
-            high, low = ordered[len(rows) - 1 - read], ordered[read]  # the frontiers, from above and from below
+            high, low = self.ordered[len(rows) - 1 - read], self.ordered[read]  # the frontiers, from above and from below
             upper = np.concatenate([np.maximum(rows, high), np.minimum(rows, low)], 1)
             lower = np.concatenate([np.where(rows >= high, rows, self.least), np.where(rows <= low, rows, self.most)], 1)
-            self.bounds.append(tuple(np.ascontiguousarray(x.T.astype(self.kind)) for x in (upper, lower)))
+            self.read[depth] = tuple(np.ascontiguousarray(x.T.astype(self.kind)) for x in (upper, lower))
+        return self.read[depth]
 
     def best(self, names: np.ndarray, queries: np.ndarray, k: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
         """(query id, vec_ids, scores) of the k best rows of the block for each query."""
@@ -96,13 +101,14 @@ class Lists:
         out_of = np.iinfo(np.int64).min // 4 if self.kind is np.int64 else -np.inf
         open_ = np.arange(len(queries))
         n = len(self.ids)
-        for upper, lower in self.bounds if n > 4 * k else []:
+        for depth in DEPTHS if n > 4 * k else ():
+            upper, lower = self.bounds(depth)
             low = both[open_] @ lower
             low[self.ids == names[open_, None]] = out_of
             reach = np.partition(low, n - k, axis=1)[:, n - k]
             can = both[open_] @ upper >= reach[:, None]
             can &= self.ids != names[open_, None]
-            few = can.sum(axis=1) <= max(2 * k, RESOLVE * n)
+            few = (can.sum(axis=1) <= max(2 * k, RESOLVE * n)) | (depth == DEPTHS[-1])  # at last, whatever can still qualify
             for q, row in zip(open_[few].tolist(), can[few], strict=True):
                 at = np.flatnonzero(row)
                 yield self._first(int(names[q]), at, queries[q] @ self.full[:, at], k)

@@ -57,3 +57,21 @@ def test_odd_rows(spark):
     assert got(df) == brute(rows, 20)
     assert got(df.limit(0)) == []
     assert got(df.filter("vec_id = 0")) == []
+
+
+def test_hard_queries_are_answered_without_the_whole_product():
+    import numpy as np
+
+    rng = np.random.default_rng(1)
+    rows = np.floor(64 * rng.normal(0, 1, (4000, 16))).astype(np.int64)  # half and three quarters of the lists decide nothing here
+    lists = topk.Lists(np.arange(4000), rows, 1000.0)
+    sizes, first = [], lists._first
+    lists._first = lambda name, at, score, k: sizes.append(len(at)) or first(name, at, score, k)
+    queries = np.floor(64 * rng.normal(0, 1, (20, 16))).astype(np.int64)
+    got = {int(name): (ids.tolist(), score.tolist()) for name, ids, score in lists.best(np.arange(10**6, 10**6 + 20), queries, 20)}
+    assert len(lists.read) > 2  # read on beyond 0.75
+    assert len(sizes) == 20 and max(sizes) < 2000
+    for k, q in enumerate(queries):
+        exact = rows @ q
+        order = np.lexsort((np.arange(4000), -exact))[:20]
+        assert got[10**6 + k] == (order.tolist(), exact[order].tolist())
