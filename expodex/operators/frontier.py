@@ -37,12 +37,13 @@ def popped(frontier: DataFrame, size: int = 100) -> DataFrame:
     return frontier.orderBy(F.desc("priority"), "ord").limit(size)
 
 
-def crawl(seeds: DataFrame, edges: DataFrame, max_depth: int = 3, max_rounds: int = 20, batch: int | None = None, limit: int | None = None) -> DataFrame:
+def crawl(seeds: DataFrame, edges: DataFrame, max_depth: int = 3, max_rounds: int = 10_000, batch: int | None = None, limit: int | None = None) -> DataFrame:
     """url, depth, priority, round: what a crawl from the seeds (url) over edges (src, dst, kind, score) reaches.
 
     kind `page` and `list` keep the depth (priority 8 and 9), `link` adds one (priority 1 to 10 by
     score). A URL takes the best entry of the round that first finds it. batch: URLs crawled in a
-    round by priority, the rest wait; limit: rounds end once so many were crawled.
+    round by priority, the rest wait; limit: rounds end once so many were crawled. Otherwise rounds go
+    on until nothing waits; RuntimeError if something still does after max_rounds.
     """
     visited = _stored(seeds.select("url").distinct().select("url", F.lit(0).alias("depth"), F.lit(10).alias("priority"), F.lit(0).alias("round")))
     waiting = visited
@@ -62,5 +63,5 @@ def crawl(seeds: DataFrame, edges: DataFrame, max_depth: int = 3, max_rounds: in
         done += batch or 0
         visited = _stored(visited.unionByName(new)) if k % 8 == 0 else visited.unionByName(new)
         if waiting.isEmpty() or (limit and done >= limit):
-            break
-    return visited
+            return visited
+    raise RuntimeError(f"the crawl did not end within {max_rounds} rounds")

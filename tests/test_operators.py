@@ -145,3 +145,11 @@ def test_streams_agree_with_batch(spark, data, tmp_path):
     q = streaming.append_each(keyed, lambda df, k: got.extend(r.user_id for r in df.collect()), str(tmp_path / "check"))
     q.awaitTermination()
     assert sorted(got) == sorted(r.user_id for r in events.select("user_id").distinct().collect())
+
+
+def test_crawl_follows_long_chains_and_says_when_it_stops(spark):
+    seeds = spark.createDataFrame([("p0",)], "url string")
+    edges = spark.createDataFrame([(f"p{k}", f"p{k + 1}", "page", 0) for k in range(24)], "src string, dst string, kind string, score int")
+    assert {r.url for r in frontier.crawl(seeds, edges).collect()} == {f"p{k}" for k in range(25)}
+    with pytest.raises(RuntimeError):
+        frontier.crawl(seeds, edges, max_rounds=3)
