@@ -277,9 +277,14 @@ def near_duplicates(docs: DataFrame, width: int = 5, percent: int = SIMILARITY)
 def one_of_each(docs: DataFrame, width: int = 5, percent: int = SIMILARITY) -> DataFrame:
     """The rows of docs, with all columns, that are kept: one of each group of near copies.
 
-    Rows that share a doc_id are one document: if any do, one row of each doc_id stays. Rows with a
-    null doc_id, and those without words, all stay.
+    Rows are judged, not ids: where rows share a doc_id, each different text of it stays unless it is a
+    near copy of a row that stays; of near copies the least doc_id, then the least text does. Rows with
+    a null doc_id all stay, and so do those without words, one of each doc_id.
     """
+    number = F.col("doc_id").cast("long")
+    counted = docs.agg(F.count(number).alias("n"), F.count_distinct(number).alias("d")).first()
+    if counted["n"] != counted["d"]:
+        return _one_row_of_each(docs, width, percent)
     judged = near_duplicates(docs, width, percent).select("doc_id", "kept")
     judged = stored(judged, "kept")
     gone = judged.filter("not kept").select(F.col("doc_id").alias("id")).distinct()
@@ -287,8 +292,17 @@ def one_of_each(docs: DataFrame, width: int = 5, percent: int = SIMILARITY) -> D
     names = docs.columns
     marked = _held(docs.withColumn("__id", F.col("doc_id").cast("long")), "__id", gone)
     doubtful = marked.filter("__held").join(gone.withColumnRenamed("id", "__id"), "__id", "left_anti")
-    out = marked.filter("not __held").select(names).unionByName(doubtful.select(names))
-    counted = judged.filter("doc_id is not null").agg(F.count("*").alias("n"), F.count_distinct("doc_id").alias("d")).first()
-    if counted["n"] != counted["d"]:
-        out = out.filter("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(out.filter("doc_id is null"))
-    return out
+    return marked.filter("not __held").select(names).unionByName(doubtful.select(names))
+
+
+def _one_row_of_each(docs: DataFrame, width: int, percent: int) -> DataFrame:
+    """one_of_each() of rows whose doc_id may repeat: rows are numbered in the order of doc_id and text, and judged by number."""
+    names, number = docs.columns, F.col("doc_id").cast("long")
+    others = F.xxhash64(F.to_json(F.struct(F.lit(0).alias("__0"), *[c for c in names if c not in ("doc_id", "text")])))
+    rows = docs.filter(number.isNotNull()).orderBy(number, "text", others)
+    rows = stored(rows.withColumn("__row", F.monotonically_increasing_id()), "numbered")
+    judged = near_duplicates(rows.select(F.col("__row").alias("doc_id"), "text"), width, percent).filter("kept")
+    left = rows.join(stored(judged.select(F.col("doc_id").alias("__row"), "n_shingles"), "kept").withColumnRenamed("n_shingles", "__words"), "__row")
+    blank = left.filter("__words = 0").groupBy(number.alias("__id")).agg(F.min("__row").alias("__row")).select("__row")
+    left = left.filter("__words > 0").select(names).unionByName(left.join(blank, "__row", "left_semi").select(names))
+    return left.unionByName(docs.filter(number.isNull()))

@@ -117,3 +117,16 @@ def test_scratch_tables_that_nothing_reads_are_removed(tmp_path, odd, monkeypatc
     rows = minhash.near_duplicates(odd, 2)
     left = {n.partition("-")[0] for n in os.listdir(tmp_path)}
     assert rows.count() == odd.count() and left <= {"named", "edges", "groups"}
+
+
+def test_different_texts_of_a_repeated_id_stay(spark):
+    a = " ".join(f"a{k}" for k in range(60))
+    b = " ".join(f"b{k}" for k in range(60))
+    near_b = b + " end"
+    c = " ".join(f"c{k}" for k in range(60))
+    rows = [(7, a, 1), (7, b, 2), (9, near_b, 3), (9, c, 4), (9, c, 5), (3, near_b + " here", 6), (8, "", 7), (8, " ", 8), (None, b, 9), (11, None, 10)]
+    for parts in (1, 5):
+        kept = minhash.one_of_each(spark.createDataFrame(rows, "doc_id long, text string, extra int").repartition(parts))
+        got = sorted((str(r.doc_id), r.text or "") for r in kept.collect())
+        assert kept.columns == ["doc_id", "text", "extra"]
+        assert got == sorted([("7", a), ("3", near_b + " here"), ("9", c), ("8", ""), ("None", b), ("11", "")])
