@@ -237,7 +237,7 @@ def link_score_domain_words(spark, d):
 @query(f"""WITH {_LINKS}, s AS (SELECT page_id, ord, url, {_scores(STRONG, MEDIUM)}::INTEGER AS score FROM l),
 r AS (SELECT *, row_number() OVER (PARTITION BY page_id ORDER BY score DESC, ord)::INTEGER AS rank FROM s WHERE score >= 2) SELECT page_id, url, score, rank FROM r WHERE rank <= 5""")
 def link_classify_topk(spark, d):
-    return links.top_links(links.links(table(spark, d, "pages"), STRONG, MEDIUM), most=5).select("page_id", "url", "score", "rank")
+    return links.best_links(table(spark, d, "pages"), most=5, strong=STRONG, medium=MEDIUM).select("page_id", "url", "score", "rank")
 
 
 @query(f"""WITH {_LINKS}, s AS (SELECT page_id, ord, url, {_scores(STRONG, MEDIUM)} AS score FROM l)

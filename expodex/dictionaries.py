@@ -219,13 +219,21 @@ BAD_NAME_WORDS = (
     r"exhibitor\s*(info(rmation)?|details?|overview)|vendor\s*(info(rmation)?|details?)|"
     r"about\s+(the\s+)?company|about\s+(the\s+)?exhibitor|enterprise\s*(profile|info(rmation)?|introduction)|"
     r"participants?(\s+list)?|sponsors?(\s+list)?|our\s+(exhibitors?|vendors?|sponsors?|partners?)|"
-    r"all\s+(exhibitors?|companies|vendors?)|quick\s+links?|"
+    r"all\s+(exhibitors?|companies|vendors?)|quick\s+links?|exhibitor\s+list|vendor\s+list|company\s+list|"
     r"overseas\s+(exhibition|expo|fair|show|event|engineering)|domestic\s+(exhibition|expo|fair|show)|"
     r"(exhibition|booth|stand)\s+(construction|engineering|setup|service)|(organizational?|organisation(al)?)\s+(structure|chart)|"
     r"corporate\s+(culture|values?|history|mission|vision)|company\s+culture|(join|recruit)\s+us|careers?|recruitment|"
     r"news\s+(center|centre)|company\s+news|latest\s+news|more\s+(details?|info(rmation)?)|see\s+all|"
-    r"(aviation|aerospace|defense|automotive|maritime|marine|security|fire\s*fighting|surveillance).*(series|sector|type|category|zone)"
+    r"(aviation|aerospace|defense|automotive|maritime|marine|security|fire\s*fighting|surveillance).*(series|sector|type|category|zone)|"
+    r"公司介绍|企业介绍|关于我们|联系我们|加入我们|组织结构|企业文化|境外展|自办展|国内展示工程|海外搭建工程|展会新闻|新闻中心|展会动态|"
+    r"更多|查看更多|了解更多|返回首页|网站地图|航空.*防务|汽车.*汽配|船舶.*海事|安防.*消防|"
+    r".*召开.*会议|.*举行.*会议|.*举办.*活动|.*签署.*协议|.*开展.*合作|.*发布.*报告|.*举行.*仪式|.*完成.*工作|.*取得.*成果|.*实现.*目标"
 )
+SECTION_HEADINGS = r"about|overview|contact|news|home|services?|products?|solutions?|resources?|support|faq|privacy|terms|menu|search|quick\s+links?|our\s+\w+|all\s+\w+"
+HEADING_PREFIXES = r"about|overview|profile|description|summary|introduction|info|information|history|vision|mission|company|who we are"
+EVENT_WORDS = r"exhibition|expo|fair|congress|summit|conference|symposium|forum|trade\s+show"
+NEXT_DATA_KEYS = ["name", "title", "website", "country", "stand", "description", "logo", "slug", "id", "category"]
+PAGE_MINIMA = {"api": 50, "pdf": 100, "reader": 150, "listing": 200}
 # End of fixed values.
 
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import Column
@@ -10,7 +11,6 @@ from pyspark.sql import functions as F
 from .. import dictionaries as D
 
 CONTROL = r"[\x00-\x08\x0b\x0c\x0e-\x1f\x7f-\x9f]"
-WORD_EDGE = ("(^|[^a-z0-9_])", "([^a-z0-9_]|$)")
 
 
 def clean(text: Column, most: int = 500) -> Column:
@@ -112,6 +112,21 @@ def title_name(title: Column) -> Column:
     return F.when(F.length(part).between(2, 100), part)
 
 
+def no_heading(name: Column) -> Column:
+    """NULL for what is a section's heading, not a name."""
+    return F.when(~F.trim(name).rlike(rf"(?i)^({D.SECTION_HEADINGS})$"), name)
+
+
+def without_heading(text: Column) -> Column:
+    """Free text without the heading word that was joined to its front."""
+    return F.trim(F.regexp_replace(text, rf"(?i)^(?:{D.HEADING_PREFIXES})\s*", ""))
+
+
+def unnumbered(name: Column) -> Column:
+    """A list entry without its number: `1. Acme`, `(2) Acme`."""
+    return F.trim(F.regexp_replace(name, r"^\s*(?:\(\d+\)|\d+[.)])\s*", ""))
+
+
 def core_query(text: Column) -> Column:
     return F.trim(F.left(F.trim(F.element_at(F.split(text, ","), 1)), F.lit(100)))
 
@@ -160,35 +175,32 @@ def country_exact(text: Column) -> Column:
     return F.try_element_at(D.map_of(D.COUNTRIES), F.lower(F.trim(text)))
 
 
+def _aliases(text: Column) -> Column:
+    """The aliases that stand in the text as whole words, by the place where they begin (one a place)."""
+    either = "|".join(_escaped(a) for a in D.COUNTRIES)
+    return F.regexp_extract_all(F.lower(text), F.lit(rf"(?<![\p{{L}}\p{{N}}_])(?=({either})(?![\p{{L}}\p{{N}}_]))"), F.lit(1))
+
+
 def country_first(text: Column) -> Column:
     """Country of the first alias, in the table's order, that stands in the text as whole words."""
-    return F.coalesce(*[F.when(F.lower(text).rlike(_bounded(alias)), F.lit(name)) for alias, name in D.COUNTRIES.items()])
+    order = D.map_of({a: k for k, a in enumerate(D.COUNTRIES)})
+    names = F.array(*[F.lit(c) for c in D.COUNTRIES.values()])
+    return F.get(names, F.array_min(F.transform(_aliases(text), lambda a: F.try_element_at(order, a))))
 
 
 def country_earliest(text: Column) -> Column:
-    """Country of the alias that stands earliest in the text; of equal places the table's first."""
-    low = F.lower(text)
-    places = F.array(*[F.struct(_place(low, a).alias("at"), F.lit(k).alias("ord"), F.lit(c).alias("country")) for k, (a, c) in enumerate(D.COUNTRIES.items())])
-    return F.array_min(F.filter(places, lambda p: p["at"] > 0))["country"]
+    """Country of the alias that begins earliest in the text."""
+    return F.try_element_at(D.map_of(D.COUNTRIES), F.get(_aliases(text), F.lit(0)))
 
 
 def _escaped(word: str) -> str:
     return "".join("\\" + c if c in ".^$*+?()[]{}|\\-" else c for c in word)
 
 
-def _bounded(word: str) -> str:
-    end = WORD_EDGE[1] if word[-1].isalnum() else ""
-    return WORD_EDGE[0] + _escaped(word) + end
-
-
-def _place(low: Column, word: str) -> Column:
-    """1-based place of the first bounded occurrence, 0 if there is none."""
-    head = F.regexp_extract(low, f"^((?s).*?){_bounded(word)}", 0)
-    return F.when(low.rlike(_bounded(word)), F.length(head)).otherwise(F.lit(0))
-
-
-def valid_name(name: Column) -> Column:
+def valid_name(name: Column, translate: Callable[[Column], Column] = lambda c: c) -> Column:
+    """A plausible company name, else NULL; names in Chinese or Cyrillic script are translated before they are judged."""
     n = F.trim(F.regexp_replace(name, r"\s+", " "))
+    n = F.when(n.rlike(r"[\x{4e00}-\x{9fff}\x{0400}-\x{04ff}]"), F.coalesce(missing(translate(n)), n)).otherwise(n)
     slashes = count_of(n, "/")
     bad = (
         (F.length(n) < 2)

@@ -138,6 +138,10 @@ def has_ignored_extension(url: Column, extensions: list[str] = D.IGNORED_EXTENSI
     return F.lower(F.element_at(F.split(url, r"\?"), 1)).rlike(rf"\.({'|'.join(extensions)})$")
 
 
+def is_pdf(url: Column) -> Column:
+    return F.coalesce(F.lower(path(url)).endswith(".pdf"), F.lit(False))
+
+
 def is_news(url: Column, domains: list[str] = D.NEWS_DOMAINS) -> Column:
     return D.suffix_match(bare_host(url, anywhere=True), domains)
 

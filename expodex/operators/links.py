@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .. import dictionaries as D
 from ..functions import scoring as S
 from ..functions import urls as U
+from .relational import computed
 
 
 def _attribute(tag: Column, name: str) -> Column:
@@ -15,28 +18,53 @@ def _attribute(tag: Column, name: str) -> Column:
     return F.replace(F.regexp_replace(value, "^[\"']|[\"']$", ""), F.lit("&amp;"), F.lit("&"))
 
 
-def anchors(pages: DataFrame) -> DataFrame:
-    """page_id, base, ord, href, text, title, rel, cls, aria, absolute, url of every <a href> in page order.
+#: Operators that work within a page keep its anchors in one array, so nothing is shuffled.
+ANCHOR = "ord int, href string, text string, title string, rel string, cls string, aria string, absolute string, url string"
+
+
+def page_anchors(pages: DataFrame) -> DataFrame:
+    """page_id, base, links: array of every <a href> in page order, one row a page.
 
-    Everything costly is computed inside the array, before it is exploded: no filter on a result can
-    then be pushed below and make it be computed again. One shuffle of these small rows by page serves
-    all operators that work within a page.
+    A null or empty page has an empty array; repeated rows each give their own.
     """
 
-    def fields(a: Column) -> Column:
+    def fields(a: Column, ord: Column) -> Column:
         def of(tag: Column) -> Column:
             href = _attribute(tag, "href")
             inner = F.regexp_replace(F.regexp_replace(a, r"(?s)<[^>]*>", ""), r"\s+", " ")
             return F.struct(
-                href.alias("href"), F.left(F.trim(inner), F.lit(200)).alias("text"), F.left(_attribute(tag, "title"), F.lit(100)).alias("title"),
+                ord.alias("ord"), href.alias("href"), F.left(F.trim(inner), F.lit(200)).alias("text"), F.left(_attribute(tag, "title"), F.lit(100)).alias("title"),
                 F.lower(_attribute(tag, "rel")).alias("rel"), _attribute(tag, "class").alias("cls"), _attribute(tag, "aria-label").alias("aria"), U.resolved(href, F.col("url")).alias("absolute"),
             )
 
-        return U.let(U.let(F.regexp_extract(a, r"(?s)^<[^>]*>", 0), of), lambda s: F.struct(s.alias("a"), U.tidied(s["absolute"]).alias("url")))
+        def whole(s: Column) -> Column:
+            return F.struct(*[s[f].alias(f) for f in ("ord", "href", "text", "title", "rel", "cls", "aria", "absolute")], U.tidied(s["absolute"]).alias("url"))
+
+        return U.let(U.let(F.regexp_extract(a, r"(?s)^<[^>]*>", 0), of), whole)
 
     found = F.transform(F.regexp_extract_all("html", F.lit(r"(?is)<a\s[^>]*>.*?</a>"), F.lit(0)), fields)
-    rows = pages.select("page_id", F.col("url").alias("base"), F.posexplode(found).alias("ord", "a")).repartition("page_id")
-    return rows.select("page_id", "base", "ord", "a.a.*", "a.url").filter("href <> ''")
+    rows = computed(pages.select("page_id", F.col("url").alias("base"), "url", "html"), links=F.coalesce(found, F.array().cast(f"array<struct<{ANCHOR.replace(' ', ':').replace(',:', ',')}>>")))
+    return rows.select("page_id", "base", F.filter("links", lambda a: a["href"] != "").alias("links"))
+
+
+def anchors(pages: DataFrame) -> DataFrame:
+    """page_id, base, ord, href, text, title, rel, cls, aria, absolute, url of every <a href> in page order."""
+    return page_anchors(pages).select("page_id", "base", F.explode("links").alias("a")).select("page_id", "base", "a.*")
+
+
+def firsts(links: Column, key: Callable[[Column], Column]) -> Column:
+    """The first element of each key of an array, in order; linear, by a map of the places."""
+    keyed = F.transform(links, lambda a, k: F.struct(key(a).alias("k"), k.alias("n")))
+    places = F.array_sort(keyed)
+    kept = F.filter(places, lambda p, k: (k == 0) | (F.get(places, k - 1)["k"] != p["k"]))
+    return F.transform(F.array_sort(F.transform(kept, lambda p: p["n"])), lambda n: F.get(links, n))
+
+
+def ranked(links: Column, order: Callable[[Column], list[Column]], most: int) -> Column:
+    """The `most` least elements of an array by the order's values, each as (rank, a)."""
+    keyed = F.transform(links, lambda a, k: F.struct(*[o.alias(f"o{i}") for i, o in enumerate(order(a))], k.alias("n")))
+    best = F.slice(F.array_sort(keyed), 1, most)
+    return F.transform(best, lambda p, k: F.struct((k + 1).alias("rank"), F.get(links, p["n"]).alias("a")))
 
 
 def first_by(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
@@ -44,21 +72,34 @@ def first_by(df: DataFrame, keys: list[str], *order: Column) -> DataFrame:
     return df.withColumn("__n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).filter("__n = 1").drop("__n")
 
 
-def links(pages: DataFrame, strong: list[str] = D.STRONG_KEYWORDS, medium: list[str] = D.MEDIUM_KEYWORDS, keep_news: bool = False) -> DataFrame:
-    """Normalised links, the first of each URL in a page, scored; ignored paths and news media go."""
-    rows = anchors(pages).filter("url <> ''").filter(~U.is_ignored(F.col("url")))
-    if not keep_news:
-        rows = rows.filter(~U.is_news(F.col("url")))
-    rows = first_by(rows, ["page_id", "url"], F.col("ord"))
-    base, own = U.registered_domain(U.bare_host(F.col("base"))), U.registered_domain(U.bare_host(F.col("url")))
-    return rows.select(
-        "page_id", "base", "ord", "url", "text", "title", (own != base).alias("is_external"), S.link_score(F.col("url"), F.col("text"), F.col("title"), strong, medium).alias("score"),
-        S.link_reasons(F.col("url"), F.col("text"), F.col("title"), strong, medium).alias("score_reasons"), U.path_depth(F.col("url")).alias("depth_hint"),
+def page_links(pages: DataFrame, strong: list[str] = D.STRONG_KEYWORDS, medium: list[str] = D.MEDIUM_KEYWORDS, keep_news: bool = False) -> DataFrame:
+    """page_id, base, links: normalised links of a page, the first of each URL, scored; ignored paths and news media go."""
+    rows = page_anchors(pages)
+    good = lambda a: (a["url"] != "") & ~U.is_ignored(a["url"]) if keep_news else (a["url"] != "") & ~U.is_ignored(a["url"]) & ~U.is_news(a["url"])
+    rows = computed(rows, links=F.filter("links", good))
+    rows = computed(rows, links=firsts(F.col("links"), lambda a: a["url"]), own=U.registered_domain(U.bare_host(F.col("base"))))
+    scored = lambda a: F.struct(
+        a["ord"].alias("ord"), a["url"].alias("url"), a["text"].alias("text"), a["title"].alias("title"), (U.registered_domain(U.bare_host(a["url"])) != F.col("own")).alias("is_external"),
+        S.link_score(a["url"], a["text"], a["title"], strong, medium).alias("score"), S.link_reasons(a["url"], a["text"], a["title"], strong, medium).alias("score_reasons"), U.path_depth(a["url"]).alias("depth_hint"),
     )
+    return computed(rows, links=F.transform("links", scored)).drop("own")
+
+
+def links(pages: DataFrame, strong: list[str] = D.STRONG_KEYWORDS, medium: list[str] = D.MEDIUM_KEYWORDS, keep_news: bool = False) -> DataFrame:
+    """page_links() as rows: page_id, base, ord, url, text, title, is_external, score, score_reasons, depth_hint."""
+    return page_links(pages, strong, medium, keep_news).select("page_id", "base", F.explode("links").alias("a")).select("page_id", "base", "a.*")
+
+
+def best_links(pages: DataFrame, threshold: int = 2, most: int = 500, **lists) -> DataFrame:
+    """links() of at least `threshold`, best first within each page, ties in page order, with their rank; no shuffle."""
+    rows = page_links(pages, **lists)
+    good = F.filter("links", lambda a: a["score"] >= threshold)
+    rows = computed(rows, links=ranked(good, lambda a: [-a["score"], a["ord"]], most))
+    return rows.select("page_id", "base", F.explode("links").alias("r")).select("page_id", "base", "r.a.*", "r.rank")
 
 
 def top_links(scored: DataFrame, threshold: int = 2, most: int = 500) -> DataFrame:
-    """Links of at least `threshold`, best first within each page, ties in page order; at most `most` a page."""
+    """best_links() of rows that are not in page arrays: a window over each page_id."""
     order = Window.partitionBy("page_id").orderBy(F.desc("score"), "ord")
     return scored.filter(F.col("score") >= threshold).withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
 
@@ -79,31 +120,61 @@ def list_pages(scored: DataFrame, strong: list[str] = D.STRONG_KEYWORDS, medium:
     return rows.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most)
 
 
+#: Patterns that blocked() takes at most: they are collected into one expression.
+MOST_PATTERNS = 10_000
+
+
 def blocked(rows: DataFrame, patterns: DataFrame) -> DataFrame:
-    """rows whose URL path holds none of the patterns (a short list, by nature of a blocklist)."""
-    return rows.join(patterns, F.lower(U.path(rows["url"])).contains(patterns["pattern"]), "left_anti")
+    """rows whose URL path holds none of the patterns, lower-cased; ValueError beyond MOST_PATTERNS of them. A null URL stays."""
+    held = [r["pattern"] for r in patterns.select(F.lower("pattern").alias("pattern")).filter("pattern <> ''").distinct().limit(MOST_PATTERNS + 1).collect()]
+    if len(held) > MOST_PATTERNS:
+        raise ValueError(f"more than {MOST_PATTERNS} blocked patterns")
+    return rows.filter(~F.coalesce(holds_any(U.path(F.col("url")), held), F.lit(False)))
+
+
+def holds_any(path: Column, patterns: list[str]) -> Column:
+    """Whether the path, lower-cased, holds one of the words."""
+    return F.lower(path).rlike("|".join("".join("\\" + c if c in ".^$*+?()[]{}|\\-" else c for c in p) for p in sorted(patterns))) if patterns else F.lit(False)
 
 
 def vendor_urls(
     pages: DataFrame, sitemap: DataFrame | None = None, words: list[str] = D.VENDOR_PATH_KEYWORDS, navigation: list[str] = D.NAV_PATH_KEYWORDS, patterns: DataFrame | None = None, most: int = 100, group: int = 3
 ) -> DataFrame:
     """Profile URLs of listing pages: keywords in the path, +5 for every occurrence in a repeated prefix,
-    +8 for a place in the site's own sitemap (page_id, url)."""
-    rows = anchors(pages).withColumn("url", F.col("absolute")).filter("url <> '' and not startswith(trim(href), '#')")
-    rows = rows.filter(U.host(F.col("url")).contains(U.host(F.col("base")))).filter(F.regexp_replace("url", "/+$", "") != F.regexp_replace("base", "/+$", ""))
-    rows = rows.filter(F.length(U.query(F.col("url"))) <= 30).filter(~S.is_navigation(F.col("url"), navigation))
+    +8 for a place in the site's own sitemap (page_id, url). Long queries (over 30 characters) are no profiles."""
+    short = r"/+$"
+
+    def good(a: Column) -> Column:
+        own = U.host(a["absolute"]).contains(U.host(F.col("base"))) & (F.regexp_replace(a["absolute"], short, "") != F.regexp_replace("base", short, ""))
+        return (a["absolute"] != "") & ~F.startswith(F.trim(a["href"]), F.lit("#")) & own & (F.length(U.query(a["absolute"])) <= 30) & ~S.is_navigation(a["absolute"], navigation)
+
+    rows = computed(page_anchors(pages), links=F.filter("links", good))
+    each = lambda a: F.struct(a["absolute"].alias("url"), U.pattern_key(a["absolute"]).alias("prefix"), S.vendor_path_score(a["absolute"], words).alias("by_path"), a["ord"].alias("ord"))
+    rows = rows.select("page_id", F.explode(F.transform("links", each)).alias("a")).select("page_id", "a.*")
     if patterns is not None:
         rows = blocked(rows, patterns)
-    rows = rows.withColumn("prefix", U.pattern_key(F.col("url"))).withColumn("prefix_n", F.count("*").over(Window.partitionBy("page_id", "prefix")))
-    found = rows.groupBy("page_id", "url").agg(F.min("ord").alias("ord"), F.count("*").alias("times"), F.first("prefix_n").alias("prefix_n"))
-    found = found.withColumn("score", S.vendor_path_score(F.col("url"), words) + F.when(F.col("prefix_n") >= group, 5 * F.col("times")).otherwise(0))
+    # URLs and prefixes of a page are counted by map-side sums of its few rows.
+    urls = rows.groupBy("page_id", "prefix", "url").agg(F.min("ord").alias("ord"), F.count("*").alias("times"), F.first("by_path").alias("by_path"))
+    within = urls.groupBy("page_id").agg(F.collect_list(F.struct("prefix", "url", "ord", "times", "by_path")).alias("links"))
+    if sitemap is not None:
+        listed = sitemap.groupBy("page_id").agg(F.collect_set("url").alias("listed"))
+        within = within.join(listed, "page_id", "full").withColumn("links", F.coalesce("links", F.expr("cast(array() as array<struct<prefix:string,url:string,ord:int,times:bigint,by_path:int>>)")))
+    counts = F.aggregate("links", F.create_map().cast("map<string,bigint>"), lambda m, a: F.map_concat(F.map_filter(m, lambda k, v: k != a["prefix"]), F.create_map(a["prefix"], F.coalesce(F.try_element_at(m, a["prefix"]), F.lit(0).cast("bigint")) + a["times"])))
+    within = computed(within, counts=counts)
+    boost = lambda a: F.when(F.try_element_at("counts", a["prefix"]) >= group, 5 * a["times"]).otherwise(0)
+    score = lambda a: (a["by_path"] + boost(a)).cast("long")
+    place = lambda a: a["ord"]
+    if sitemap is not None:
+        in_map = lambda a: F.coalesce(F.array_contains("listed", a["url"]), F.lit(False))
+        score = lambda a: F.when(in_map(a), 8 + boost(a)).otherwise(a["by_path"] + boost(a)).cast("long")
+        place = lambda a: F.when(in_map(a), F.lit(-1)).otherwise(a["ord"])
+    found = F.transform("links", lambda a: F.struct(a["url"].alias("url"), score(a).alias("score"), place(a).alias("ord")))
     if sitemap is not None:
-        listed = sitemap.groupBy("page_id", "url").agg(F.lit(-1).alias("map_ord"), F.lit(8).alias("map_score"))
-        found = found.join(listed, ["page_id", "url"], "full")
-        boost = F.when(F.col("prefix_n") >= group, 5 * F.col("times")).otherwise(0)
-        found = found.withColumn("score", F.when(F.col("map_score").isNotNull(), F.col("map_score") + boost).otherwise(F.col("score"))).withColumn("ord", F.coalesce("map_ord", "ord"))
-    order = Window.partitionBy("page_id").orderBy(F.desc("score"), "ord", "url")
-    return found.filter("score > 0").withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= most).select("page_id", "url", F.col("score").cast("long"), "rank")
+        only = F.filter("listed", lambda u: ~F.exists("links", lambda a: a["url"] == u))
+        found = F.concat(found, F.coalesce(F.transform(only, lambda u: F.struct(u.alias("url"), F.lit(8).cast("long").alias("score"), F.lit(-1).alias("ord"))), F.expr("cast(array() as array<struct<url:string,score:bigint,ord:int>>)")))
+    within = computed(within, found=F.filter(found, lambda a: a["score"] > 0))
+    best = computed(within, best=ranked(F.col("found"), lambda a: [-a["score"], a["ord"], a["url"]], most))
+    return best.select("page_id", F.explode("best").alias("r")).select("page_id", "r.a.url", "r.a.score", "r.rank")
 
 
 def sitemap_vendor_urls(locs: DataFrame, words: list[str] = D.VENDOR_PATH_KEYWORDS, navigation: list[str] = D.NAV_PATH_KEYWORDS) -> DataFrame:

@@ -6,6 +6,8 @@ on which "first wins" rests; further fields travel in the map column `extras`.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +15,7 @@ from .. import dictionaries as D
 from ..functions import text as X
 from ..functions import urls as U
 from .links import first_by
+from .relational import computed
 
 
 def _has(df: DataFrame, name: str) -> Column:
@@ -23,16 +26,17 @@ def with_confidence(df: DataFrame) -> DataFrame:
     return df.withColumn("confidence_score", X.confidence({k: _has(df, k) for k in D.CORE_FIELDS}))
 
 
-def validated(df: DataFrame) -> DataFrame:
-    """Records with a plausible name; implausible fields become NULL, the rest is normalised."""
+def validated(df: DataFrame, translate: Callable[[Column], Column] = lambda c: c) -> DataFrame:
+    """Records with a plausible name; implausible fields become NULL, the rest is normalised.
+
+    translate: what names in Chinese or Cyrillic script go through before they are judged.
+    """
     rules = {
-        "email": lambda c: X.valid_email(c), "website": lambda c: X.valid_website(c), "phone": lambda c: X.valid_phone(c), "country": lambda c: X.valid_country(c),
-        "description": lambda c: X.valid_description(c), **{k: (lambda c: X.clean(c)) for k in ("city", "address", "category", "booth_number", "event_name")},
+        "name": lambda c: X.valid_name(c, translate), "email": X.valid_email, "website": X.valid_website, "phone": X.valid_phone, "country": X.valid_country,
+        "description": X.valid_description, **dict.fromkeys(("city", "address", "category", "booth_number", "event_name"), X.clean),
     }
-    out = df.withColumn("name", X.valid_name(F.col("name"))).filter("name is not null")
-    for field, rule in rules.items():
-        if field in out.columns:
-            out = out.withColumn(field, rule(X.missing(F.col(field))))
+    held = [f for f in rules if f in df.columns]
+    out = computed(computed(df, **{f: X.missing(F.col(f)) for f in held}), **{f: rules[f](F.col(f)) for f in held}).filter("name is not null")
     return with_confidence(out).withColumn("is_valid", F.lit(True))
 
 
@@ -93,36 +97,75 @@ def deduplicated_seeds(df: DataFrame, least: int = 5) -> DataFrame:
     return rows.withColumn("__n", n).filter(F.expr(f"__n = 1 or coalesce(score, 0) >= {least}")).drop("__n", "__key")
 
 
+_SIX = ["website", "email", "phone", "description", "linkedin", "category"]
+
+
+def lacking(fields: list[str] | None = None) -> Column:
+    """How many of the fields are missing."""
+    fields = fields or _SIX
+    return F.lit(len(fields)) - X.populated([F.col(f) for f in fields])
+
+
 def needs_enrichment(df: DataFrame, fields: list[str] | None = None, least: int = 3) -> DataFrame:
-    fields = fields or ["website", "email", "phone", "description", "linkedin", "category"]
-    return df.filter(F.lit(len(fields)) - X.populated([F.col(f) for f in fields]) >= least)
+    return df.filter(lacking(fields) >= least)
+
+
+def own_domain(df: DataFrame) -> Column:
+    """The vendor's own host; NULL if it has none or shares it with the page it was found on."""
+    own, source = U.bare_host(F.coalesce(_has(df, "website"), F.lit(""))), U.bare_host(F.coalesce(_has(df, "source_url"), F.lit("")))
+    return F.when((own != "") & (own != source), own)
+
+
+def needs_domain(df: DataFrame, most: int | None = None) -> DataFrame:
+    """Vendors with a domain of their own that lack two of email, phone, description and country; the first `most` by ord."""
+    rows = df.filter((lacking(["email", "phone", "description", "country"]) >= 2) & own_domain(df).isNotNull())
+    return rows if most is None else rows.orderBy("ord").limit(most)
+
+
+def without_skipped(df: DataFrame, column: str = "url", domains: list[str] = D.SKIP_DOMAINS) -> DataFrame:
+    """Rows whose host holds none of the domains; a missing URL stays."""
+    hit = U.host(F.col(column)).rlike("|".join(d.replace(".", r"\.") for d in domains))
+    return df.filter(~F.coalesce(hit, F.lit(False)))
+
+
+def confident(df: DataFrame, least: float = 0.10) -> DataFrame:
+    """Rows of at least that confidence; a missing one counts as 0."""
+    return df.filter(F.coalesce("confidence_score", F.lit(0.0)) >= least)
 
 
-def enriched(df: DataFrame, found: DataFrame, key: str, fields: list[str] = D.ENRICHABLE, blank_short: bool = False) -> DataFrame:
-    """Left merge: empty fields filled from `found` (one row a key), never overwritten.
+def enriched(df: DataFrame, found: DataFrame, key: str, fields: list[str] = D.ENRICHABLE, blank_short: bool = False, only: Column | None = None) -> DataFrame:
+    """Left merge: empty fields filled from `found` (of several rows of a key the first by its values), never overwritten.
 
     Existing and new values are cleaned first; blank_short=True also empties values that are shorter
-    than three characters.
+    than three characters; rows outside `only` stay as they are.
     """
-    both = [f for f in fields if f in found.columns]
-    out = df.join(found.select(key, *[F.col(f).alias(f"__n_{f}") for f in both]), key, "left")
-    for f in [c for c, kind in df.dtypes if kind == "string" and c != key]:
+    both = [f for f in fields if f in found.columns and f in df.columns]
+    only = F.lit(True) if only is None else only
+    new = found.groupBy(key).agg(F.min(F.struct(*[F.col(f) for f in both])).alias("__new")) if both else found.select(key, F.lit(None).alias("__new")).distinct()
+    out = df.withColumn("__only", only).join(new, key, "left")
+    columns = []
+    for f, kind in df.dtypes:
+        if kind != "string" or f == key:
+            columns.append(F.col(f))
+            continue
         free = f in ("description", "category", "address")
         now = X.clean_field(F.col(f), free) if blank_short else F.when(F.length(F.trim(F.col(f))) < 3, F.col(f)).otherwise(X.clean_field(F.col(f), free))
-        new = F.left(X.clean_field(F.col(f"__n_{f}"), free), F.lit(500)) if f in both else F.lit(None)
-        out = out.withColumn(f, F.coalesce(X.missing(now), new))
-    return out.drop(*[f"__n_{f}" for f in both])
+        fill = F.left(X.clean_field(F.col("__new")[f], free), F.lit(500)) if f in both else F.lit(None)
+        columns.append(F.when(F.col("__only"), F.coalesce(X.missing(now), fill)).otherwise(F.col(f)).alias(f))
+    return out.select(*columns)
 
 
-def websearch_filled(df: DataFrame, found: DataFrame, key: str) -> DataFrame:
-    """Any string field of `found` fills an empty one; the method says so if anything was filled."""
+def websearch_filled(df: DataFrame, found: DataFrame, key: str, only: Column | None = None, mark: str = "+websearch") -> DataFrame:
+    """Any string field of `found` (of several rows of a key the first by its values) fills an empty one; the method says so if anything was filled."""
     fields = [f for f in found.columns if f != key and f in df.columns and f != "extraction_method"]
-    out = df.join(found.select(key, *[F.col(f).alias(f"__n_{f}") for f in fields]), key, "left")
+    new = found.groupBy(key).agg(F.min(F.struct(*[F.col(f) for f in fields])).alias("__new"))
+    out = df.withColumn("__only", F.lit(True) if only is None else only).join(new, key, "left")
+    fill = {f: F.when(F.col("__only"), X.missing(F.col("__new")[f])) for f in fields}
     filled = F.lit(False)
     for f in fields:
-        filled = filled | (X.missing(F.col(f)).isNull() & X.missing(F.col(f"__n_{f}")).isNotNull())
-    out = out.withColumn("extraction_method", F.when(filled, F.concat("extraction_method", F.lit("+websearch"))).otherwise(F.col("extraction_method")))
-    return out.select(*[F.coalesce(X.missing(F.col(f)), F.col(f"__n_{f}")).alias(f) if f in fields else F.col(f) for f in df.columns])
+        filled = filled | (X.missing(F.col(f)).isNull() & fill[f].isNotNull())
+    method = F.when(filled, F.concat("extraction_method", F.lit(mark))).otherwise(F.col("extraction_method")).alias("extraction_method")
+    return out.select(*[F.coalesce(X.missing(F.col(f)), fill[f]).alias(f) if f in fields else method if f == "extraction_method" else F.col(f) for f in df.columns])
 
 
 def chinese_or_russian(df: DataFrame) -> Column:
@@ -134,6 +177,7 @@ def chinese_or_russian(df: DataFrame) -> Column:
 
 
 def normalized_extras(column: Column) -> Column:
-    """Keys normalised, empty values dropped."""
-    pairs = F.filter(F.map_entries(column), lambda e: X.missing(e["value"]).isNotNull())
-    return F.map_from_entries(F.transform(pairs, lambda e: F.struct(X.key_name(e["key"]).alias("key"), e["value"].alias("value"))))
+    """Keys normalised, empty values dropped, the first of keys that become equal; NULL gives an empty map."""
+    pairs = F.transform(F.filter(F.map_entries(column), lambda e: X.missing(e["value"]).isNotNull()), lambda e: F.struct(X.key_name(e["key"]).alias("key"), e["value"].alias("value")))
+    first = F.filter(pairs, lambda p, k: F.array_position(F.transform(pairs, lambda q: q["key"]), p["key"]) == k + 1)
+    return F.coalesce(F.map_from_entries(first), F.create_map().cast("map<string,string>"))

@@ -1,4 +1,8 @@
-"""The pipeline's joins and set operations, by name."""
+"""The pipeline's joins and set operations, by name.
+
+Null keys match nothing: such rows stay in left and anti joins. Repeated rows stay repeated unless an
+operator says that it keeps one. Empty sides are allowed. Names that begin with `__` are the operators' own.
+"""
 
 from __future__ import annotations
 
@@ -9,6 +13,17 @@ from .. import dictionaries as D
 from ..functions import text as X
 
 
+def computed(rows: DataFrame, **columns: Column) -> DataFrame:
+    """rows with these columns (which replace others of the name), each computed once.
+
+    What is built inside an array and exploded is neither repeated in filters above nor merged with
+    projections above, so long chains of rules stay linear in size.
+    """
+    own = F.struct(*[c.alias(k) for k, c in columns.items()])
+    order = [c for c in rows.columns if c not in columns]
+    return rows.select(*order, F.explode(F.array(own)).alias("__own")).select(*order, "__own.*")
+
+
 def not_visited(frontier: DataFrame, visited: DataFrame, key: str = "url") -> DataFrame:
     return frontier.join(visited.select(key), key, "left_anti")
 
@@ -46,10 +61,6 @@ def search_queries(query: str, regions: DataFrame, templates: list[str]) -> Data
     return regions.select("*", each)
 
 
-def earliest(df: DataFrame, keys: list[str], at: Column, value: str) -> DataFrame:
-    return df.groupBy(*keys).agg(F.min_by(value, at).alias(value))
-
-
 def per_key_limit(df: DataFrame, key: str, most: int, *order: Column) -> DataFrame:
     return df.withColumn("__n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).filter(F.col("__n") <= most).drop("__n")
 
@@ -59,8 +70,3 @@ def best_by(df: DataFrame, key: str, score: str) -> DataFrame:
     order = F.struct((-F.col(score)).alias("s"), F.col("ord").alias("o"))
     others = [c for c in df.columns if c != key]
     return df.withColumn("__o", order).groupBy(key).agg(F.min_by(F.struct(*others), "__o").alias("r")).select(key, "r.*")
-
-
-def zipped(left: DataFrame, right: DataFrame, key: str = "ord") -> DataFrame:
-    """Rows matched by position: an equi-join on the ordinal."""
-    return left.join(right, key)

@@ -13,12 +13,18 @@ def pages(spark, *rows):
 
 
 def test_dom_tolerates_what_pages_hold():
-    root = dom.parse('<div class="company x"><h1>A &amp; B</h1><p>one<p>two<br>three</div><ul><li>a<li>b</ul><script>no</script></p></i>')
-    assert root.text("|") == "A & B|one|two|three|a|b"
-    assert dom.first(root, ".company h1").text() == "A & B"
-    assert dom.first(root, "[class*='comp']").tag == "div" and dom.first(root, "h2.company") is None
+    page = dom.Page('<div class="company x"><h1>A &amp; B</h1><p>one<p>two<br>three</div><ul><li>a<li>b</ul><script>no</script></p></i>')
+    assert "|".join(page.texts) == "A & B|one|two|three|a|b"
+    assert page.text(page.first(".company h1")) == "A & B" and page.text(0, "|") == "A & B|one|two|three"
+    assert page.tags[page.first("[class*='comp']")] == "div" and page.first("h2.company") is None
+    assert page.children(0) == [1, 2, 3] and page.inside(0, "p") == [2, 3] and page.raw == {8: "no"}
     with pytest.raises(ValueError):
-        dom.first(root, "a > b")
+        page.first("a > b")
+
+
+def test_dom_is_linear_on_hostile_pages():
+    for source in ("<div" * 200_000, "<div>" * 100_000, "<p '>' " * 60_000 + '"', "<a b=\"x>" * 100_001, "<!--" * 100_000, "<script>" * 50_000, "</p>" * 100_000, "<li>" * 100_000, "<" * 200_000 + ">"):
+        dom.Page(source)
 
 
 def test_schema_org_overlay_graph_and_open_graph(spark):
