@@ -14,9 +14,9 @@ context with its symbol) is named by a hash of its own prefix and suffix, so the
 state is found by a join, and it is always there, for it occurs at least as often. A token's
 log-probability is the root's plus, for each retained suffix context, log(left) and, where the
 symbol is kept, log(p / p of the suffix) - log(left). So each gram has one weight, and a row's
-score is a sum of weights over its grams. Grams that make up CELL_SHARE of all tokens, at most
-1 / CELL_SHARE of each order, are broadcast with their weights; the others are looked up by one join.
-Filters of at most 2^FILTER_BITS bits spare rows that no join would meet; they change no result.
+score is a sum of weights over its grams. The most frequent grams, HEAVY of them at most, are broadcast
+with their weights; the others are looked up by one join. Filters of at most 2^FILTER_BITS bits spare
+rows that no join would meet, and grams that surely occur once; they change no result.
 
 Defined results: null and empty texts consist of the end alone; repeated rows are scored, and
 counted in training, as often as they occur; rows with a null doc_id are neither held out (null)
@@ -27,12 +27,13 @@ long texts are read whole; an empty table gives an empty result; other columns a
 from __future__ import annotations
 
 import gc
+import time
 from collections.abc import Iterator
 from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import HashIndex, bounded_batches, chunks, dropped, flat_bytes, mix, stored, words
@@ -40,13 +41,13 @@ from .common import HashIndex, bounded_batches, chunks, dropped, flat_bytes, mix
 MAX_DEPTH = 3
 MIN_CONTEXT = 4
 MIN_CELL = 2
-CELL_SHARE = 2.0**-20
+HEAVY = 1 << 19
 DIVERGENCE = 0.05
 DISCOUNT = 0.5
 FILTER_BITS = 28
 END = np.uint64(0xE4D0F7E4DE4DE4DF)
 _SLICE = 8  # bits of a hash that name its part of a filter
-_FLUSH = 400_000
+_FLUSH = 1_500_000
 _PIECE = 50_000
 
 
@@ -119,8 +120,14 @@ class Counter:
         return out
 
 
-def _counting(order: int, wanted=None):
-    """Counts of the batches' grams of one order, by hash or by prefix and suffix; wanted: filters of prefixes and of suffixes."""
+def _held(own: np.ndarray, context: np.ndarray, suffix: np.ndarray, wanted) -> np.ndarray:
+    """Places of the grams whose prefix and suffix the filters hold."""
+    held = np.flatnonzero(wanted.value[0](context))
+    return held[wanted.value[1](suffix[held])]
+
+
+def _counting(order: int, wanted=None, twice=None):
+    """Counts of the batches' grams of one order: (h, n), or (ctx, suf, n) of those that the filters hold."""
 
     def batch(counter: Counter) -> Iterator[pa.RecordBatch]:
         given = counter.given()
@@ -133,13 +140,14 @@ def _counting(order: int, wanted=None):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counter = Counter()
         for part in chunks(batches, "text"):
-            for k, (_, own, context, suffix) in enumerate(grams(tokens(part)[0], order), 1):
-                if k == order == 1:
-                    counter.add(own)
-                elif k == order:
-                    held = np.flatnonzero(wanted.value[0](context))
-                    held = held[wanted.value[1](suffix[held])]
-                    counter.add(own[held], context[held], suffix[held])
+            *_, (_, own, context, suffix) = grams(tokens(part)[0], order)
+            if order == 1:
+                counter.add(own)
+            else:
+                held = _held(own, context, suffix, wanted)
+                if twice is not None:
+                    held = held[twice.value(own[held])]
+                counter.add(own[held], context[held], suffix[held])
             if counter.shrink():
                 yield from batch(counter)
         yield from batch(counter)
@@ -147,10 +155,87 @@ def _counting(order: int, wanted=None):
     return run
 
 
-def _with_hash(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _named(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of a level with h: a cell's gram, a state's context."""
     for b in batches:
-        context, suffix = (b.column(k).to_numpy().view(np.uint64) for k in ("ctx", "suf"))
-        yield pa.RecordBatch.from_arrays([*b.columns, pa.array(joined(context, suffix).view(np.int64))], names=[*b.schema.names, "h"])
+        context, suffix = (b.column(k).fill_null(0).to_numpy(zero_copy_only=False).view(np.uint64) for k in ("ctx", "suf"))
+        h = np.where(b.column("state").to_numpy(zero_copy_only=False), context, joined(context, suffix))
+        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), *(b.column(k) for k in b.schema.names if k != "ctx")], names=["h", *(k for k in b.schema.names if k != "ctx")])
+
+
+_LEVEL = "h long, state boolean, suf long, n long, p double, w double, left double, kept boolean"
+
+
+class Twice:
+    """One bit a slot: whether more than one gram fell into it. Never denies a gram that occurs twice."""
+
+    def __init__(self, bits: int):
+        self.bits = bits
+        self.held = np.zeros(1 << (bits - 3), np.uint8)
+
+    def slots(self, h: np.ndarray) -> np.ndarray:
+        return (mix(h ^ np.uint64(0x2545F4914F6CDD1D)) >> np.uint64(64 - self.bits)).astype(np.int64)
+
+    def __call__(self, h: np.ndarray) -> np.ndarray:
+        at = self.slots(h)
+        return ((self.held[at >> 3] >> (at & 7)) & 1).astype(bool)
+
+
+def _gaps(places: np.ndarray) -> bytes:
+    """Ascending places as 16-bit gaps; 65535 stands for that many places without an end."""
+    gap = np.diff(places, prepend=-1)
+    over = gap // 65535
+    out = np.full(len(gap) + int(over.sum()), 65535, np.uint16)
+    out[np.arange(len(gap)) + np.cumsum(over)] = gap % 65535
+    return out.tobytes()
+
+
+def _places(gaps: bytes) -> np.ndarray:
+    gap = np.frombuffer(gaps, np.uint16).astype(np.int64)
+    return (np.cumsum(gap) - 1)[gap != 65535]
+
+
+def twice_of(texts: DataFrame, order: int, wanted, tokens_in_all: int) -> Twice | None:
+    """Which slots more than one of the filtered grams of this order falls into; None where no filter of bounded size would spare any."""
+    bits = max(20, int(4 * tokens_in_all).bit_length())
+    if bits > FILTER_BITS + 3:
+        return None
+    out = Twice(min(FILTER_BITS, bits))
+    size = 1 << (out.bits - _SLICE)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts: list[np.ndarray] = []
+        held = 0
+
+        def given() -> pa.RecordBatch:
+            slot, n = np.unique(np.concatenate(parts), return_counts=True)
+            cut = np.searchsorted(slot, np.arange((1 << _SLICE) + 1) * size)
+            rows = [(k, _gaps(slot[a:b] - k * size), _gaps(slot[a:b][n[a:b] > 1] - k * size)) for k, (a, b) in enumerate(zip(cut[:-1], cut[1:], strict=True)) if b > a]
+            return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.binary()), pa.array([r[2] for r in rows], pa.binary())], names=["part", "once", "more"])
+
+        for part in chunks(batches, "text"):
+            *_, (_, own, context, suffix) = grams(tokens(part)[0], order)
+            parts.append(out.slots(own[_held(own, context, suffix, wanted)]))
+            held += len(parts[-1])
+            if held > 4 * _FLUSH:
+                yield given()
+                parts, held = [], 0
+        if held:
+            yield given()
+
+    def merged(key: tuple, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        once, more = np.zeros(size, bool), np.zeros(size, bool)
+        for batch in batches:
+            for a, b in zip(batch.column("once"), batch.column("more"), strict=True):
+                at = _places(a.as_py())
+                more[at] |= once[at]
+                once[at] = True
+                more[_places(b.as_py())] = True
+        yield pa.RecordBatch.from_arrays([pa.array([key[0].as_py()], pa.int32()), pa.array([np.packbits(more, bitorder="little").tobytes()], pa.binary())], names=["part", "held"])
+
+    for row in texts.mapInArrow(run, "part int, once binary, more binary").groupBy("part").applyInArrow(merged, "part int, held binary").toLocalIterator():
+        out.held[row["part"] * (size >> 3) : (row["part"] + 1) * (size >> 3)] = np.frombuffer(row["held"], np.uint8)
+    return out
 
 
 class Filter:
@@ -190,26 +275,25 @@ def filter_of(hashes: DataFrame) -> Filter:
 def _released(df: DataFrame) -> None:
     """Let Spark remove the shuffle files of finished queries, which nothing refers to any more."""
     gc.collect()
-    df.sparkSession.sparkContext._jvm.System.gc()
+    for _ in range(2):
+        df.sparkSession.sparkContext._jvm.System.gc()
+        time.sleep(0.2)
 
 
 class Tree:
-    """The tables of a tree: `root` (h, c), and for each level `states` (ctx, suf, n, left, kept) and `cells` (h, suf, n, p, w)."""
+    """The tables of a tree: `root` (h, c), and each level's rows: its cells (state false: h, suf, n, p, w) and its states
+    (state true: h is the context, n how often it occurs, left the mass of symbols not kept, w its weight, 0 unless kept)."""
 
     def __init__(self, root: DataFrame, total: int, kinds: int):
         self.root, self.total, self.kinds = root, total, kinds
         self.denominator = float(total + kinds + 1)
-        self.states: list[DataFrame] = []
-        self.cells: list[DataFrame] = []
+        self.tables: list[DataFrame] = []
 
     def weights(self) -> DataFrame:
         """h, c (null unless a token), n, w: the parts of the weight of every gram that matters to a score."""
         out = self.root.select("h", "c", F.col("c").alias("n"), F.lit(0.0).alias("w"))
-        for states, cells in zip(self.states, self.cells, strict=True):
-            none = F.lit(None).cast("long")
-            kept = states.filter("kept")
-            out = out.unionByName(kept.select(F.col("ctx").alias("h"), none.alias("c"), "n", F.log10("left").alias("w")))
-            out = out.unionByName(cells.filter("w <> 0").select("h", none.alias("c"), "n", "w"))
+        for table in self.tables:
+            out = out.unionByName(table.filter("w <> 0").select("h", F.lit(None).cast("long").alias("c"), "n", "w"))
         return out
 
     # What follows collects tables: it is for looking at small trees.
@@ -226,8 +310,9 @@ class Tree:
     @cached_property
     def levels(self) -> list[dict]:
         out = []
-        for states, cells in zip(self.states, self.cells, strict=True):
-            rows, held = states.toArrow().to_pydict(), cells.toArrow().to_pydict()
+        for table in self.tables:
+            rows = table.filter("state").select(F.col("h").alias("ctx"), "suf", "n", "left", "kept").toArrow().to_pydict()
+            held = table.filter("not state").select("h", "p").toArrow().to_pydict()
             place = {c: k for k, c in enumerate(rows["ctx"])}
             out.append(rows | {"place": place, "kept": np.array(rows["kept"], bool), "p": dict(zip(held["h"], held["p"], strict=True))})
         return out
@@ -263,34 +348,38 @@ def trained(rows: DataFrame) -> tuple[Tree, DataFrame]:
     for depth in range(1, MAX_DEPTH + 1):
         often = below.filter(F.col("n") >= MIN_CONTEXT)
         wanted = spark.sparkContext.broadcast((filter_of(often), filter_of(below.filter(F.col("n") >= MIN_CELL))))
-        cells = texts.mapInArrow(_counting(depth + 1, wanted), "ctx long, suf long, n long").groupBy("ctx", "suf").agg(F.sum("n").alias("n"))
-        cells = stored(cells.filter(F.col("n") >= MIN_CELL), "grams")
-        _released(cells)
-        met = cells.join(below.select(F.col("h").alias("suf"), F.col("p").alias("below")).hint("shuffle_hash"), "suf")
-        met = met.join(often.select(F.col("h").alias("ctx"), F.col("suf").alias("down"), F.col("n").alias("total")).hint("shuffle_hash"), "ctx")
-        met = stored(met, "met")
-        dropped(cells)
+        twice = twice_of(texts, depth + 1, wanted, tree.total)
+        twice = None if twice is None else spark.sparkContext.broadcast(twice)
+        counted = texts.mapInArrow(_counting(depth + 1, wanted, twice), "ctx long, suf long, n long").groupBy("ctx", "suf").agg(F.sum("n").alias("n"))
+        met = counted.filter(F.col("n") >= MIN_CELL).join(below.select(F.col("h").alias("suf"), F.col("p").alias("below")).hint("shuffle_hash"), "suf")
+        before = stored(met, "met")
+        for shared in (wanted, twice):
+            if shared is not None:
+                shared.destroy()
+        _released(before)
+        met = before.join(often.select(F.col("h").alias("ctx"), F.col("suf").alias("down"), F.col("n").alias("total")).hint("shuffle_hash"), "ctx")
+        # The join has brought each context's cells together: sums over them need no further shuffle, and spill.
+        first = Window.partitionBy("ctx").orderBy("suf")
+        every = first.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+        over = lambda c: F.sum(c).over(every)
         share = (F.col("n") - DISCOUNT) / F.col("total")
-        left = F.greatest(1.0 - F.sum(share), F.lit(1e-12)).alias("left")
-        sums = stored(met.groupBy("ctx").agg(left, F.sum("below").alias("base")), "sums")
-        full = (share + F.col("left") * F.col("below")).alias("full")
-        gain = met.join(sums.hint("shuffle_hash"), "ctx").select("ctx", "down", "total", "left", "base", "below", full)
-        first = [F.first(c).alias(c) for c in ("down", "total", "left", "base")]
-        gain = gain.groupBy("ctx").agg(*first, F.sum(F.col("full") * F.ln(F.col("full") / F.col("below"))).alias("gain"), F.sum("full").alias("full"))
-        rest, base = 1.0 - F.col("full"), 1.0 - F.col("base")
-        gain = gain.withColumn("gain", F.col("gain") + F.when((rest > 1e-12) & (base > 1e-12), rest * F.ln(rest / base)).otherwise(0.0))
-        states = stored(gain.select("ctx", F.col("down").alias("suf"), F.col("total").alias("n"), "left", (F.col("gain") >= DIVERGENCE).alias("kept")), "states")
-        dropped(sums)
-        _released(states)
-        held = met.join(states.select("ctx", "left", "kept").hint("shuffle_hash"), "ctx").select("*", full)
-        w = F.log10(F.col("full") / F.col("below")) - F.log10("left")
-        held = held.select("ctx", "suf", "n", F.when(F.col("kept"), F.col("full")).otherwise(F.col("below")).alias("p"), F.when(F.col("kept"), w).otherwise(0.0).alias("w"))
-        held = stored(held.mapInArrow(_with_hash, "ctx long, suf long, n long, p double, w double, h long").drop("ctx"), "cells")
-        dropped(met)
-        tree.states.append(states)
-        tree.cells.append(held)
-        below = held.select("h", "suf", "n", "p")
-        _released(held)
+        met = met.withColumn("place", F.row_number().over(first)).withColumn("share", share).withColumn("left", F.greatest(1.0 - over(share), F.lit(1e-12))).withColumn("base", over(F.col("below")))
+        met = met.withColumn("full", F.col("share") + F.col("left") * F.col("below"))
+        met = met.withColumn("gain", over(F.col("full") * F.ln(F.col("full") / F.col("below")))).withColumn("all", over(F.col("full")))
+        rest, base = 1.0 - F.col("all"), 1.0 - F.col("base")
+        kept = F.col("gain") + F.when((rest > 1e-12) & (base > 1e-12), rest * F.ln(rest / base)).otherwise(0.0) >= DIVERGENCE
+        met = met.withColumn("kept", kept)
+        p = F.when(F.col("kept"), F.col("full")).otherwise(F.col("below"))
+        w = F.when(F.col("kept"), F.log10(F.col("full") / F.col("below")) - F.log10("left")).otherwise(0.0)
+        cell = F.struct(F.lit(False).alias("state"), "ctx", "suf", "n", p.alias("p"), w.alias("w"), F.lit(None).cast("double").alias("left"), F.lit(None).cast("boolean").alias("kept"))
+        own = F.when(F.col("kept"), F.log10("left")).otherwise(0.0)
+        state = F.struct(F.lit(True).alias("state"), F.col("ctx").alias("ctx"), F.col("down").alias("suf"), F.col("total").alias("n"), F.lit(0.0).alias("p"), own.alias("w"), F.col("left").alias("left"), F.col("kept").alias("kept"))
+        rows = met.select(F.explode(F.when(F.col("place") == 1, F.array(cell, state)).otherwise(F.array(cell))).alias("r")).select("r.*")
+        done = stored(rows.mapInArrow(_named, _LEVEL), "level")
+        dropped(before)
+        _released(done)
+        tree.tables.append(done)
+        below = done.filter("not state").select("h", "suf", "n", "p")
     return tree, counts
 
 
@@ -301,6 +390,12 @@ class Model:
         self.index, self.rare = HashIndex(keys), rare
         self.base, self.weight = np.append(base, 0.0), np.append(weight, 0.0)
 
+    def __getstate__(self) -> tuple:
+        return self.index.keys[:-1], self.base[:-1][self.index.order], self.weight[:-1][self.index.order], self.rare
+
+    def __setstate__(self, state: tuple) -> None:
+        self.__init__(*state)  # the index is made again where it is used
+
     def scored(self, batch: pa.RecordBatch) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
         """(columns of the batch's rows, row and hash of the grams to be looked up)."""
         token, begins = tokens(batch)
@@ -330,10 +425,17 @@ def scores(docs: DataFrame) -> DataFrame:
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("held_out", held_out_of())
     tree, _ = trained(rows.filter("not held_out"))
     weights = stored(tree.weights(), "weights")
-    for table in (*tree.states, *tree.cells):
-        dropped(table)
+    for done in tree.tables:
+        dropped(done)
     _released(weights)
-    frequent = F.col("n") >= CELL_SHARE * tree.total
+    step = F.floor(F.log2(F.col("n").cast("double")) * 8).cast("int")
+    frequent = F.lit(False)
+    left = HEAVY
+    for row in sorted(weights.groupBy(step.alias("step")).count().collect(), key=lambda r: -r["step"]):  # a few hundred rows at most
+        left -= row["count"]
+        if left < 0:
+            break
+        frequent = step >= row["step"]
     heavy, rare = weights.filter(frequent).groupBy("h").agg(F.max("c").alias("c"), F.sum("w").alias("w")).toArrow(), weights.filter(~frequent)
     count = heavy["c"].to_numpy(zero_copy_only=False).astype(float)
     unknown = float(-np.log10(tree.denominator))

@@ -32,9 +32,9 @@ def check(rows, got):
     assert all(math.isfinite(r.score) and r.score <= 0 for r in got)
 
 
-@pytest.mark.parametrize("share", [2.0**-20, 2.0**-9])
-def test_base_is_exact_and_the_tree_is_better(spark, data, monkeypatch, share):
-    monkeypatch.setattr(suffixtree, "CELL_SHARE", share)  # the larger one leaves most tokens to the join
+@pytest.mark.parametrize("heavy", [1 << 20, 300])
+def test_base_is_exact_and_the_tree_is_better(spark, data, monkeypatch, heavy):
+    monkeypatch.setattr(suffixtree, "HEAVY", heavy)  # the smaller one leaves most tokens to the join
     docs = table(spark, data, "documents")
     got = suffixtree.scores(docs).collect()
     check([tuple(r) for r in docs.select("doc_id", "text").collect()], got)
@@ -43,7 +43,7 @@ def test_base_is_exact_and_the_tree_is_better(spark, data, monkeypatch, share):
 
 
 def test_repeated_rows_and_nulls(spark, odd, none, monkeypatch):
-    monkeypatch.setattr(suffixtree, "CELL_SHARE", 0.01)
+    monkeypatch.setattr(suffixtree, "HEAVY", 2)
     check([tuple(r) for r in odd.select("doc_id", "text").collect()], suffixtree.scores(odd).collect())
     assert suffixtree.scores(none).count() == 0
 
@@ -121,9 +121,30 @@ def test_rare_contexts_are_states_at_every_size(spark, monkeypatch):
 
     want = {i: sum(math.log10(chance(tuple(b), x)) for b, x in path(text)) for i, text in rows}
     assert 4 < n * 2.0**-16  # four occurrences lie below a share of 2^-16
-    for share in (2.0**-20, 2.0**-10):  # all broadcast, nearly all joined
-        monkeypatch.setattr(suffixtree, "CELL_SHARE", share)
+    for heavy in (1 << 20, 10):  # all broadcast, nearly all joined
+        monkeypatch.setattr(suffixtree, "HEAVY", heavy)
         got = {r.doc_id: r for r in suffixtree.scores(spark.createDataFrame(rows, "doc_id long, text string").repartition(4)).collect()}
         assert got.keys() == want.keys()
         assert all(abs(got[i].score - want[i]) < 1e-6 * max(1, abs(want[i])) for i in want)
     assert got[test].score > got[test].base_score + 10
+
+
+def test_the_filter_of_slots_never_denies_what_occurs_twice(spark):
+    import numpy as np
+
+    rng = np.random.default_rng(4)
+    places = np.unique(rng.integers(0, 1 << 19, 5000))
+    places = np.unique(np.concatenate([places, [0, 65534, 65535, 65536, 131071, (1 << 19) - 1]]))
+    assert suffixtree._places(suffixtree._gaps(places)).tolist() == places.tolist()
+    assert suffixtree._places(suffixtree._gaps(places[:0])).tolist() == []
+    rows = [(f"a{k % 50} b{k} c{k % 9}",) for k in range(500)]
+    texts = spark.createDataFrame(rows, "text string").repartition(3)
+
+    class Every:
+        value = (lambda h: np.ones(len(h), bool), lambda h: np.ones(len(h), bool))
+
+    token = np.concatenate([suffixtree.tokens(b)[0] for b in texts.toArrow().to_batches()])
+    _, (_, own, _, _) = suffixtree.grams(token, 2)
+    keys, n = np.unique(own, return_counts=True)
+    held = suffixtree.twice_of(texts, 2, Every, len(token))(keys)
+    assert held[n > 1].all() and not held[n == 1].all()
