@@ -7,7 +7,7 @@
    sorted). Spark counts the votes by host; the path with most votes wins, of tied ones that with the
    higher sum of scores.
 3. Pages are read again with their host's path; a page where it finds nothing uses its own best
-   container.
+   container and those beside it of the same path and a quarter of its score.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are
 left out by tag, role and class wherever they stand.
@@ -23,6 +23,8 @@ from __future__ import annotations
 
 import html as entities
 import re
+import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -31,7 +33,9 @@ from pyspark.sql import functions as F
 
 from .common import bounded_batches, chunks, stored
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][a-zA-Z0-9:-]*)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>|<[/!?a-zA-Z][^>]*+>", re.S)
+TAG = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)>")
+#: The same without regard to quotation marks, for a page in which one is never closed.
+LOOSE = re.compile(r"<(/?)([a-zA-Z][a-zA-Z0-9:-]*+)([^>]*+)>")
 ATTRIBUTE = re.compile(r"([a-zA-Z_:][-\w:.]*)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))|([a-zA-Z_:][-\w:.]*)")
 CLASS_WORD = re.compile(r"[a-z]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -43,8 +47,12 @@ LEFT_OUT_ROLES = frozenset("navigation banner contentinfo complementary search d
 LEFT_OUT_WORDS = frozenset(
     "ad ads adbox adsbygoogle adslot adunit alert announcement aside banner consent discussion disqus gdpr guestbook interstitial lightbox masthead menu modal nav navbar navigation navigator notice notices overlay pager pagination paywall popup promo promoted promotion rail reactions related replies reply respond responses share sharing skip social taboola outbrain toast toolbar topbar widget widgets".split()
 )
+#: Words that say nothing of the content: beside them a word of the list above still decides a class.
+LAYOUT_WORDS = frozenset(
+    "area articles bar blk block bottom box btn btns button buttons card cards center col column container content el element feed fixed footer form grid group head header holder icons inner item items left link links list main media message modal module outer pane panel placeholder post posts right row section site slot small sticky stories strip tab text thread title top unit view wrap wrapper wrappers zone".split()
+)
 #: Beginnings of such words.
-LEFT_OUT_STEMS = ("advert", "breadcrumb", "comment", "cookie", "footer", "newsletter", "sidebar", "sponsor", "subscri")
+LEFT_OUT_STEMS = ("advert", "breadcrumb", "comment", "cookie", "footer", "newsletter", "sidebar", "sponsor", "subscri")  # of the first word of a class
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 #: Elements that hold one block of running text; all other elements that are not inline are containers.
 BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre dt dd figcaption caption td th address summary legend".split())
@@ -52,47 +60,100 @@ BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre dt dd figcaption capti
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 
+def _signs(value: str) -> bool:
+    """Whether one of the names in a class or id marks what is no article: all its words but those of layout do."""
+    for name in value.split():
+        words = [w for w in CLASS_WORD.findall(name) if len(w) > 1]
+        if words and words[0].startswith(LEFT_OUT_STEMS):
+            return True
+        telling = [w for w in words if w not in LAYOUT_WORDS or w in LEFT_OUT_WORDS]
+        if telling and all(w in LEFT_OUT_WORDS or w.startswith(LEFT_OUT_STEMS) for w in telling):
+            return True
+    return False
+
+
 class Page:
-    """blocks: (container, text, length of linked text); containers: their path, parent, articles around."""
+    """blocks: (container, text, length of linked text); containers: label, parent and the hash of their path.
+
+    Time and memory are linear in the page, however deep or broken it is.
+    """
 
     def __init__(self, source: str):
-        self.paths: list[str] = [""]
+        self.labels: list[str] = [""]
         self.parents: list[int] = [-1]
+        self.hashes: list[int] = [0]
         self.blocks: list[tuple[int, str, int]] = []
         self.titles: list[int] = []  # places of h1 in blocks
         self._stack: list[tuple[str, int, bool]] = []  # tag, container, left out
+        self._count: dict[str, int] = defaultdict(int)  # open elements by tag
+        self._nested = 0  # inline elements of the same tag inside a left-out one
         self._text: list[str] = []
         self._linked = 0
         self._links = 0
-        at, n = 0, len(source)
+        at, n, form, low = 0, len(source), TAG, None
         while at < n:
-            found = TOKEN.search(source, at)
-            if not found:
+            to = source.find("<", at)
+            if to < 0:
                 self._add(source[at:])
                 break
-            if found.start() > at:
-                self._add(source[at : found.start()])
-            at = found.end()
-            tag = found.group(2)
-            if not tag:
+            if to > at:
+                self._add(source[at:to])
+            after = source[to + 1 : to + 2]
+            if after in ("!", "?"):
+                end = source.find("-->", to + 4) if source.startswith("<!--", to) else source.find(">", to)
+                at = n if end < 0 else end + (3 if source.startswith("<!--", to) else 1)
                 continue
-            tag = tag.lower()
+            found = form.match(source, to)
+            if not found and form is TAG and LOOSE.match(source, to):
+                form = LOOSE
+                found = form.match(source, to)
+            if not found:
+                if not (after == "/" or "a" <= after.lower() <= "z"):
+                    self._add("<")
+                    at = to + 1
+                    continue
+                end = source.find(">", to)
+                if end < 0:
+                    break  # a tag that never ends
+                at = end + 1
+                continue
+            at = found.end()
+            tag = found.group(2).lower()
             if found.group(1):
                 self._close(tag)
                 continue
             self._open(tag, found.group(3) or "")
             if tag in RAW and not (found.group(3) or "").endswith("/"):
-                end = re.compile(rf"</{tag}\s*>", re.I).search(source, at)
+                low = source.lower() if low is None else low
+                end = low.find(f"</{tag}", at)
+                close = low.find(">", end) if end >= 0 else -1
                 self._close(tag)
-                at = end.end() if end else n
+                at = close + 1 if close >= 0 else n
         self._flush()
 
+    def path(self, k: int) -> str:
+        out = []
+        while k > 0:
+            out.append(self.labels[k])
+            k = self.parents[k]
+        return "".join(f"/{x}" for x in reversed(out))
+
     def _out(self) -> bool:
         return bool(self._stack) and self._stack[-1][2]
 
     def _where(self) -> int:
         return self._stack[-1][1] if self._stack else 0
 
+    def _push(self, tag: str, where: int, out: bool) -> None:
+        self._stack.append((tag, where, out))
+        self._count[tag] += 1
+
+    def _drop(self) -> str:
+        tag = self._stack.pop()[0]
+        self._count[tag] -= 1
+        self._nested = 0
+        return tag
+
     def _add(self, text: str) -> None:
         if not self._out():
             self._text.append(text)
@@ -118,31 +179,39 @@ class Page:
         if tag in INLINE:
             if tag == "a":
                 self._links = 1
-            out = self._out() or bool(attributes) and self._marked(tag, attributes)[1]
-            if out and not self._out():
-                self._stack.append((tag, self._where(), True))
+            if not self._out():
+                if attributes and self._marked(tag, attributes)[1]:
+                    self._push(tag, self._where(), True)
+            elif self._stack[-1][0] == tag:
+                self._nested += 1
             return
         self._flush()
         self._links = 0
         if tag in CLOSES:
             self._pop(CLOSES[tag], {"ul", "ol", "dl", "table", "select"})
+        if len(self._stack) > 1 and self._stack[-1][0] in INLINE and self._stack[-2][0] == "p":
+            self._drop()
         if self._stack and self._stack[-1][0] == "p":
-            self._stack.pop()
+            self._drop()
         label, out = self._marked(tag, attributes)
         out = out or self._out()
         where = self._where()
         if tag not in BLOCKS and not out:
-            self.paths.append(f"{self.paths[where]}/{label}")
+            self.labels.append(label)
             self.parents.append(where)
-            where = len(self.paths) - 1
-        self._stack.append((tag, where, out))
+            self.hashes.append(_step(self.hashes[where], label))
+            where = len(self.labels) - 1
+        self._push(tag, where, out)
 
     def _pop(self, tags: set[str], limits: set[str]) -> None:
+        if not any(self._count[t] for t in tags):
+            return
         for k in range(len(self._stack) - 1, -1, -1):
             if self._stack[k][0] in limits:
                 return
             if self._stack[k][0] in tags:
-                del self._stack[k:]
+                while len(self._stack) > k:
+                    self._drop()
                 return
 
     def _close(self, tag: str) -> None:
@@ -150,22 +219,25 @@ class Page:
             if tag == "a":
                 self._links = 0
             if self._stack and self._stack[-1][0] == tag:
-                self._stack.pop()
+                if self._nested:
+                    self._nested -= 1
+                else:
+                    self._drop()
             return
-        if not any(t == tag for t, _, _ in self._stack):
+        if not self._count[tag]:
             if tag in BLOCKS:
                 self._flush()
             return
         self._flush()
         self._links = 0
-        while self._stack.pop()[0] != tag:
+        while self._drop() != tag:
             pass
 
     def _marked(self, tag: str, attributes: str) -> tuple[str, bool]:
         """(generalised tag and classes, whether the element is left out)."""
         classes: list[str] = []
         out = tag in LEFT_OUT
-        inside = any(t in ("article", "main") for t, _, _ in self._stack)
+        inside = self._count["article"] > 0 or self._count["main"] > 0
         if tag == "header" and not inside:
             out = True
         if attributes.strip(" /"):
@@ -175,56 +247,76 @@ class Page:
                 if name in ("class", "id") and tag not in ("html", "body"):
                     words = CLASS_WORD.findall(value)
                     if tag not in ("article", "main") or words[:1] and words[0] in ("comment", "ad", "advert", "sponsored"):
-                        out = out or not LEFT_OUT_WORDS.isdisjoint(words) or any(w.startswith(LEFT_OUT_STEMS) for w in words)
-                        out = out or ("header" in words and not inside)
+                        out = out or _signs(value) or ("header" in words and not inside)
                     if name == "class":
-                        classes += sorted({re.sub(r"\d+", "", c) for c in value.split()} - {""})
+                        classes += sorted({re.sub(r"[\d/]+", "", c) for c in value.split()} - {""})
                 elif name == "role":
                     out = out or value in LEFT_OUT_ROLES
                 elif name == "hidden" or (name == "aria-hidden" and value == "true"):
                     out = True
         return ".".join([tag, *classes]), out
 
-    def best(self) -> tuple[int, float]:
-        """The container of highest score, the first of equals."""
-        own = [0.0] * len(self.paths)
+    def _scores(self) -> list[float]:
+        score = [0.0] * len(self.labels)
         for where, text, linked in self.blocks:
-            own[where] += max(0, len(text) - 2 * linked)
-        score = own[:]
+            score[where] += max(0, len(text) - 2 * linked)
         for k in range(len(score) - 1, 0, -1):
             score[self.parents[k]] += score[k] / 2
+        return score
+
+    def best(self) -> tuple[int, float]:
+        """The container of highest score, the first of equals."""
+        score = self._scores()
         top = max(range(len(score)), key=lambda k: (score[k], -k))
         # An article as a whole stands for its parts; so does a parent that adds the title and little else.
         k = top
         while k > 0:
-            if self.paths[k].rpartition("/")[2].partition(".")[0] == "article":
+            if self.labels[k].partition(".")[0] == "article":
                 top = k
             k = self.parents[k]
-        size = [0] * len(self.paths)
+        size = [0] * len(self.labels)
+        titled = [False] * len(self.labels)
         for where, text, _ in self.blocks:
             size[where] += len(text)
+        for t in self.titles:
+            titled[self.blocks[t][0]] = True
         for k in range(len(size) - 1, 0, -1):
             size[self.parents[k]] += size[k]
-        while self.titles and (up := self.parents[top]) > 0 and not any(self._inside(self.blocks[t][0], top) for t in self.titles):
+            titled[self.parents[k]] |= titled[k]
+        while self.titles and (up := self.parents[top]) > 0 and not titled[top]:
             if size[up] - size[top] > size[top] / 4:
                 break
             top = up
         return top, score[top]
 
-    def _inside(self, k: int, of: int) -> bool:
-        while k > of:
-            k = self.parents[k]
-        return k == of
+    def own_choice(self) -> set[int]:
+        """The best container with those beside it that have its path and at least a quarter of its score."""
+        top, _ = self.best()
+        score = self._scores()
+        return {k for k in range(len(score)) if self.hashes[k] == self.hashes[top] and self.parents[k] == self.parents[top] and 4 * score[k] >= score[top]} | {top}
 
     def text_of(self, chosen: set[int]) -> str:
-        inside = [False] * len(self.paths)
+        inside = [False] * len(self.labels)
         for k in range(len(inside)):
             inside[k] = k in chosen or (k > 0 and inside[self.parents[k]])
         return "\n\n".join(text for where, text, _ in self.blocks if inside[where])
 
     def extract(self, path: str | None) -> str:
-        chosen = {k for k, p in enumerate(self.paths) if p == path and path is not None}
-        return self.text_of(chosen) if chosen and (out := self.text_of(chosen)) else self.text_of({self.best()[0]}) if self.blocks else ""
+        if not self.blocks:
+            return ""
+        if path is not None:
+            wanted = 0
+            for label in path.split("/")[1:]:
+                wanted = _step(wanted, label)
+            chosen = {k for k, h in enumerate(self.hashes) if h == wanted}
+            if chosen and (out := self.text_of(chosen)):
+                return out
+        return self.text_of(self.own_choice())
+
+
+def _step(above: int, label: str) -> int:
+    """Hash of a path from that of its parent's and its own label; the same in every process."""
+    return (above * 0x9E3779B97F4A7C15 + zlib.crc32(label.encode()) + 1 + (len(label) << 33)) % (1 << 61)
 
 
 def host_of(url: str = "url"):
@@ -239,7 +331,7 @@ def _voting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if page.blocks:
                 top, value = page.best()
                 host.append(name)
-                path.append(page.paths[top])
+                path.append(page.path(top))
                 score.append(value)
         yield pa.RecordBatch.from_arrays([pa.array(host, pa.string()), pa.array(path, pa.string()), pa.array(score, pa.float64())], names=["host", "path", "score"])
 

@@ -49,3 +49,42 @@ def test_odd_pages(spark):
 def test_title_beside_the_text():
     page = "<body><main><h1>Title</h1><div class='by'>Ann</div><div class='text'>" + "<p>words and words</p>" * 9 + "</div></main><div class='cookiebar'><p>" + "z " * 500 + "</p></div></body>"
     assert html.Page(page).extract(None) == "\n\n".join(["Title", "Ann", *["words and words"] * 9])
+
+
+def test_left_out_inlines_nest_and_end():
+    page = "<article><p>" + "good words " * 9 + '<span class="ad">x <span>y</span> LEAK</span> after <b>bold</b></p><p><span class="ad">z<p>last</article>'
+    assert html.Page(page).extract(None) == " ".join(["good words"] * 9) + " after bold\n\nlast"
+
+
+def test_classes_are_judged_as_wholes():
+    kept = ["promotion-history", "social-science", "menu-engineering", "navigation-in-birds", "related-work"]
+    gone = ["promo", "ad-slot", "share-buttons", "cookie-bar", "related-posts", "post-navigation", "comments-area", "newsletter_box", "widget"]
+    page = "<article><p>start of the text</p>" + "".join(f'<div class="{c}"><p>K {c}</p></div>' for c in kept) + "".join(f'<div class="{c}"><p>G {c}</p></div>' for c in gone) + "</article>"
+    assert html.Page(page).extract(None) == "\n\n".join(["start of the text", *(f"K {c}" for c in kept)])
+
+
+def test_several_articles_of_one_page_stay_together():
+    page = "<body><main>" + "".join(f"<article><h1>T{k}</h1><p>{'words of it ' * 20}</p></article>" for k in range(3)) + "</main></body>"
+    assert [f"T{k}" in html.Page(page).extract(None) for k in range(3)] == [True] * 3
+
+
+def test_unbalanced_quotes_lose_one_tag_at_most():
+    page = '<body><div class="menu>x</div><article><h1>T</h1><p title=\'it>one two three</p></article></body>'
+    assert "one two three" in html.Page(page).extract(None)
+
+
+def test_hostile_pages_take_seconds():
+    import time
+
+    began = time.perf_counter()
+    for page in ("<div" * 250_000, '<div class="container">' * 100_000 + "deep", "<p '>" * 100_000 + '"', "<li></li>" * 100_000, "<" * 500_000 + ">", "<b class=ad>" * 100_000, "<h1>x" * 50_000, "<span class=ad><i>" * 50_000, "<!--" * 200_000, "<textarea>" * 100_000):
+        html.Page(page).extract(None)
+    assert time.perf_counter() - began < 60
+
+
+def test_ties_of_paths_and_repeated_rows(spark):
+    a, b = "<body><main><p>alpha words here</p></main></body>", "<body><section><p>alpha words here</p></section></body>"
+    rows = [(1, "http://h.org/1", a), (2, "http://h.org/2", b), (2, "http://h.org/2", b), (1, "http://h.org/1", a)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    assert [r.path for r in html.host_paths(df).collect()] == ["/body/main"]
+    assert [r.text for r in html.extracted(df).collect()] == ["alpha words here"] * 4
