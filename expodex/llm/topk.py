@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-BLOCK, QUERY_BLOCK, SUB = 16384, 2048, 128
+BLOCK, QUERY_BLOCK, SUB = 16384, 512, 128
 DEPTHS = (0.5, 0.75, 0.9, 0.95, 0.99)
 #: A query's reading stops once at most this share of a block's rows can still qualify.
 RESOLVE = 1 / 32
@@ -101,7 +101,12 @@ class Lists:
         out_of = np.iinfo(np.int64).min // 4 if self.kind is np.int64 else -np.inf
         open_ = np.arange(len(queries))
         n = len(self.ids)
-        for depth in DEPTHS if n > 4 * k else ():
+        if n <= k:  # no outsiders: every row's score is final
+            for q in range(len(queries)):
+                at = np.flatnonzero(self.ids != names[q])
+                yield self._first(int(names[q]), at, queries[q] @ self.full[:, at], k)
+            return
+        for depth in DEPTHS:
             upper, lower = self.bounds(depth)
             low = both[open_] @ lower
             low[self.ids == names[open_, None]] = out_of
@@ -115,12 +120,6 @@ class Lists:
             open_ = open_[~few]
             if not len(open_):
                 return
-        exact = queries[open_] @ self.full
-        exact[self.ids == names[open_, None]] = out_of
-        reach = np.partition(exact, n - k, axis=1)[:, n - k] if n > k else np.full(len(open_), out_of)
-        for q, row, least in zip(open_.tolist(), exact, reach, strict=True):
-            at = np.flatnonzero((row >= least) & (self.ids != names[q]))
-            yield self._first(int(names[q]), at, row[at], k)
 
     def _first(self, name: int, at: np.ndarray, score: np.ndarray, k: int) -> tuple[int, np.ndarray, np.ndarray]:
         order = np.lexsort((self.ids[at], -score))[:k]
@@ -152,12 +151,13 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 20) -> DataFrame:
     """query_id, rank, vec_id, score: the k rows of `vectors` of highest integer inner product for each row of `queries`."""
     asked = usable(queries).groupBy("vec_id").agg(F.min("embedding").alias("embedding"))
     blob = "ids binary, matrix binary, bytes int"
-    blocks = usable(vectors).coalesce(max(1, vectors.sparkSession.sparkContext.defaultParallelism * 2)).mapInArrow(_packed(BLOCK), blob)
-    blocks = blocks.withColumn("block", F.xxhash64("ids", F.crc32("matrix")))
     parts = max(1, vectors.sparkSession.sparkContext.defaultParallelism)
+    blocks = usable(vectors).coalesce(2 * parts).mapInArrow(_packed(BLOCK), blob).withColumn("block", F.xxhash64("ids", F.crc32("matrix")))
     asked = asked.mapInArrow(_packed(QUERY_BLOCK), blob).select(F.col("ids").alias("q_ids"), F.col("matrix").alias("q_matrix"), F.col("bytes").alias("q_bytes"))
-    asked = asked.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
+    asked = asked.withColumn("q_block", F.xxhash64("q_ids", F.crc32("q_matrix"))).withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
     pairs = blocks.withColumn("part", F.pmod("block", F.lit(parts)).cast("int")).join(asked, "part")
+    # A fixed number of tasks: pairs are few and heavy, so they are not to be gathered by their bytes.
+    pairs = pairs.repartition(4 * parts, "block", "q_block").sortWithinPartitions("block")
     met = pairs.select("block", "ids", "matrix", "bytes", "q_ids", "q_matrix", "q_bytes").mapInArrow(_met(k), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     return met.withColumn("rank", F.row_number().over(order)).filter(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
