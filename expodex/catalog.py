@@ -72,7 +72,7 @@ FIXTURES = {
         "(4, 1, 'First', '', '', '', '', '', '', '', '', 'u7', 'llm')", "(4, 2, 'Second', '', 's@s.s', '', '', '', '', '', '', 'u8', 'enrichment')", "(4, 3, 'Third', '', '', '', '', '', '', '', '', 'u9', 'llm')",
     ]),
     "found_f": ("ord, website, email, phone, description, linkedin, category, city", ["(4, 'https://beta.de', 'info@beta.de', '', 'Beta builds small drones for farms', '', '', 'Bonn')", "(5, 'https://beta.de', 'other@beta.de', '+49 1', '', '', 'aerial', 'Bonn')", "(2, 'https://no.com', '', '', 'Never asked for', '', '', '')", "(6, '', '', '', '', '', '', '')"]),
-    "countries_f": ("ord, text", ["(1, 'from Korea to Japan')", "(2, 'south korea')", "(3, 'UK / SINGAPORE')", "(4, 'made in the USA, sold in Brazil')", "(5, 'nowhere at all')", "(6, 'rusty belarusian')", "(7, 'u.s.a. office')", "(8, '')", "(9, 'Papua New Guinea or Guinea')"]),
+    "countries_f": ("ord, text", ["(1, 'from Korea to Japan')", "(2, 'south korea')", "(3, 'UK / SINGAPORE')", "(4, 'made in the USA, sold in Brazil')", "(5, 'nowhere at all')", "(6, 'rusty belarusian')", "(7, 'u.s.a. office')", "(8, '')", "(9, 'Papua New Guinea or Guinea')", "(10, 'north korea')", "(11, 'from north korea to japan')"]),
     "contacts_f": ("ord, text", ["(1, 'Mail Info@Acme.com, noreply@acme.com or b@x.org. c@x.org d@x.org')", "(2, 'call 123 4567 or +1 (555) 010-9999; 12 34')", "(3, 'user@example.com only')", "(4, '')", "(5, 'a@b.co a@b.co')"]),
     "events_f": ("ord, cells", ["(1, 'Paris')", "(2, 'x')"]),
     "runs_f": ("crawled, failed, schema_org, rule_based, llm, tokens_in, tokens_out, elapsed", ["(10, 2, 5, 3, 2, 1000, 500, 20.0)", "(30, 0, 9, 1, 0, 2000, 100, 40.0)"]),
@@ -418,8 +418,9 @@ def country_exact(spark, d):
     return fixture(spark, "countries_f").select("ord", "text", X.country_exact(F.col("text")).alias("exact"), X.country_first(F.col("text")).alias("first"))
 
 
-@query(f"""WITH {_country_cte()}, t AS (SELECT * FROM {_values('countries_f')})
-SELECT t.ord, (SELECT arg_min(country, (length(regexp_extract(lower(text), '^((?s).*?)' || pattern, 0)), o)) FROM b WHERE regexp_matches(lower(text), pattern)) AS country FROM t""")
+@query(f"""WITH {_country_cte()}, t AS (SELECT * FROM {_values('countries_f')}),
+h AS (SELECT t.ord, o, country, lower(text) AS low, regexp_extract(lower(text), pattern, 0) AS hit, regexp_extract(lower(text), pattern, 1) AS edge FROM t, b WHERE regexp_matches(lower(text), pattern)),
+p AS (SELECT ord, arg_min(country, (strpos(low, hit) + length(edge), o)) AS country FROM h GROUP BY ord) SELECT t.ord, country FROM t LEFT JOIN p USING (ord)""")
 def country_earliest(spark, d):
     return fixture(spark, "countries_f").select("ord", X.country_earliest(F.col("text")).alias("country"))
 
@@ -444,17 +445,13 @@ SELECT ord, CASE WHEN tld = 'cn' OR contains(lower(url), '.com.cn') THEN 'baidu'
  WHEN {_has_sql('t', ['china', 'chinese', 'prc', 'beijing', 'shanghai', 'shenzhen', 'guangzhou'])} THEN 'baidu' WHEN {_has_sql('t', ['russia', 'russian', 'moscow', 'moskow'])} THEN 'yandex'
  WHEN {_has_sql('t', ['japan', 'japanese', 'tokyo', 'osaka', 'kyoto', 'nagoya'])} THEN 'yahoo' WHEN {_has_sql('t', ['korea', 'korean', 'seoul', 'busan', 'incheon'])} THEN 'naver' ELSE 'google' END AS engine FROM h""")
 def engine_route(spark, d):
-    text = F.lower(F.concat_ws(" ", "country", "name"))
-    tld = F.when(F.lower("url").contains(".com.cn"), "baidu").otherwise(U.engine_for_tld(U.bare_host(F.col("url"), anywhere=True)))
-    return fixture(spark, "hosts_f").select("ord", F.coalesce(tld, X.script_engine(F.col("name")), X.keyword_engine(text), F.lit("google")).alias("engine"))
+    return fixture(spark, "hosts_f").select("ord", U.engine(F.col("url"), F.col("country"), F.col("name")).alias("engine"))
 
 
 @query(f"""WITH m(label, field) AS (VALUES {', '.join("('{}', '{}')".format(k.replace("'", "''"), v) for k, v in D.LABELS.items())}), l AS (SELECT ord, trim(rtrim(trim(label), ':：')) AS k FROM {_values('labels_f')})
 SELECT l.ord, coalesce(a.field, b.field) AS field FROM l LEFT JOIN m a ON a.label = l.k LEFT JOIN m b ON b.label = lower(l.k)""")
 def label_map(spark, d):
-    k = F.trim(F.regexp_replace(F.trim("label"), "[:：]+$", ""))
-    m = D.map_of(D.LABELS)
-    return fixture(spark, "labels_f").select("ord", F.coalesce(F.try_element_at(m, k), F.try_element_at(m, F.lower(k))).alias("field"))
+    return fixture(spark, "labels_f").select("ord", extract.label_field(F.col("label")).alias("field"))
 
 
 @query(f"SELECT page_id, {_host('url')} AS host FROM pages WHERE NOT {_in_suffixes(_host('url'), ['example.net', 'casino-win.example.com'])}")
@@ -959,5 +956,8 @@ def event_sessions(spark, d):
 
 @query("SELECT doc_id, text FROM (SELECT doc_id, text, row_number() OVER (PARTITION BY text ORDER BY doc_id) AS n FROM documents) WHERE n = 1")
 def first_per_text(spark, d):
-    n = F.row_number().over(Window.partitionBy("text").orderBy("doc_id"))
-    return table(spark, d, "documents").select("doc_id", "text").withColumn("n", n).filter("n = 1").drop("n")
+    rows = table(spark, d, "documents").select("doc_id", "text")
+    return rows.groupBy(F.xxhash64("text"), F.md5("text"), F.length("text")).agg(F.min("doc_id").alias("doc_id"), F.min_by("text", "doc_id").alias("text")).select("doc_id", "text")
+
+
+from . import catalog_more as catalog_more  # noqa: E402  (registers its queries)

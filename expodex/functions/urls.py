@@ -171,4 +171,13 @@ def engine_for_tld(name: Column) -> Column:
 
 
 def safe_name(text: Column) -> Column:
+    """A name for files: everything but letters, digits, dots, underscores and hyphens becomes an underscore."""
     return F.regexp_replace(text, r"[^a-zA-Z0-9._\-]", "_")
+
+
+def engine(url: Column, country: Column, name: Column) -> Column:
+    """The search engine for a company: by its site's country, its name's script, words of country and name, else google."""
+    from . import text as X
+
+    tld = F.when(F.lower(url).contains(".com.cn"), "baidu").otherwise(engine_for_tld(bare_host(url, anywhere=True)))
+    return F.coalesce(tld, X.script_engine(name), X.keyword_engine(F.lower(F.concat_ws(" ", country, name))), F.lit("google"))

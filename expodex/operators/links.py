@@ -177,6 +177,20 @@ def vendor_urls(
     return best.select("page_id", F.explode("best").alias("r")).select("page_id", "r.a.url", "r.a.score", "r.rank")
 
 
+def profile_urls(links: DataFrame, words: list[str] = D.VENDOR_PATH_KEYWORDS, navigation: list[str] = D.NAV_PATH_KEYWORDS, group: int = 3, longest_query: int = 40, most: int | None = None) -> DataFrame:
+    """(ord, base, url) of a listing's links -> base, url, score: the simpler score of profile pages.
+
+    +3 for each keyword in the path, +5 once for a prefix shared by `group` URLs; other hosts, navigation
+    and long queries go; a URL counts once.
+    """
+    rows = links.filter((U.host(F.col("url")) == U.host(F.col("base"))) & (F.length(U.query(F.col("url"))) <= longest_query) & ~S.is_navigation(F.col("url"), navigation))
+    rows = rows.groupBy("base", "url").agg(F.min("ord").alias("ord")).withColumn("prefix", U.pattern_key(F.col("url")))
+    groups = rows.groupBy("base", "prefix").agg(F.count("*").alias("n"))
+    rows = rows.join(groups, ["base", "prefix"]).withColumn("score", S.vendor_path_score(F.col("url"), words) + F.when(F.col("n") >= group, 5).otherwise(0))
+    out = rows.filter("score > 0").select("base", "url", "score", "ord").orderBy(F.desc("score"), "ord")
+    return (out if most is None else out.limit(most)).drop("ord")
+
+
 def sitemap_vendor_urls(locs: DataFrame, words: list[str] = D.VENDOR_PATH_KEYWORDS, navigation: list[str] = D.NAV_PATH_KEYWORDS) -> DataFrame:
     """(site, ord, url) -> those of the site whose path has a vendor keyword and no navigation one, the first of each."""
     rows = locs.filter(U.host(F.col("url")).contains(F.col("site"))).filter(S.vendor_path_score(F.col("url"), words) > 0).filter(~S.is_navigation(F.col("url"), navigation))

@@ -1,8 +1,12 @@
-"""Reporting aggregates over a vendor table and over runs."""
+"""Reporting aggregates over a vendor table and over runs.
+
+NULL and blank values count as missing; repeated rows count as often as they occur; an empty table gives
+one row of zeros, or no rows where values are grouped.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
 from .. import dictionaries as D
@@ -81,3 +85,20 @@ def statistics(df: DataFrame, fields: list[str] | None = None) -> DataFrame:
     buckets = method_buckets(df).select(F.explode(F.array(*[F.struct(F.lit(k).alias("metric"), F.col(k).cast("string").alias("value")) for k in ("total", "pdf", "schema_org", "rule_based", "llm")])).alias("x")).select("x.*")
     rates = fill_rates(df, fields).select(F.concat(F.lit("with_"), "field").alias("metric"), F.concat("filled", F.lit(" ("), "percent", F.lit("%)")).alias("value"))
     return buckets.unionByName(rates)
+
+
+def run_metrics(listings: DataFrame, vendors: DataFrame) -> DataFrame:
+    """One row: listings, links and profile URLs of them, vendors, those with a name, those of confidence 0.5 and more, mean of filled fields (one place)."""
+    a = listings.agg(F.count("*").alias("listings"), F.coalesce(F.sum("links_found"), F.lit(0)).alias("links"), F.coalesce(F.sum(F.size("vendor_urls")), F.lit(0)).alias("profile_urls"))
+    b = vendors.agg(
+        F.count("*").alias("vendors"), F.count(X.missing(F.col("name"))).alias("named"), F.count_if(F.coalesce("confidence", F.lit(0.0)) >= 0.5).alias("confident"),
+        F.coalesce(F.round(F.avg("fields_filled"), 1), F.lit(0.0)).alias("mean_fields"),
+    )
+    return a.join(b)  # one row each
+
+
+def observed(df: DataFrame, name: str = "progress") -> tuple[DataFrame, Observation]:
+    """df with counters of rows and errors that fill while an action runs; the Observation gives them afterwards."""
+    counters = Observation(name)
+    failed = F.count_if(F.col("status") == "error") if "status" in df.columns else F.lit(0).cast("long") * F.count("*")
+    return df.observe(counters, F.count("*").alias("rows"), failed.alias("errors")), counters

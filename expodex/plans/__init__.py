@@ -27,7 +27,9 @@ def page_records(pages: DataFrame, enough: int = 3, translate: Callable[[Column]
     s, r = F.col("schema"), F.col("rules")
     core = [f for f in D.CORE_FIELDS if f != "category"]
     n_s, n_r = X.populated([s[f] for f in core]), X.populated([r[f] for f in D.CORE_FIELDS])
-    alone, both = (n_s >= enough) | ((n_s > 0) & (n_r == 0)), (n_s > 0) & (n_s < enough) & (n_r > 0)
+    rows = relational.computed(rows, n_s=n_s, n_r=n_r).filter("n_s > 0 or n_r > 0").withColumnRenamed("url", "source_url")
+    rows = relational.computed(rows, alone=F.expr(f"n_s >= {enough} or n_r = 0"), both=F.expr(f"n_s > 0 and n_s < {enough} and n_r > 0")).drop("n_s", "n_r")
+    alone, both = F.col("alone"), F.col("both")
 
     def field(f: str) -> Column:
         a, b = (s[f] if f in core else F.lit(None).cast("string")), r[f]
@@ -36,9 +38,8 @@ def page_records(pages: DataFrame, enough: int = 3, translate: Callable[[Column]
 
     method = F.when(alone, "schema_org").when(both, "schema_org+rule_based").otherwise("rule_based")
     extras = F.when(alone, F.create_map().cast("map<string,string>")).otherwise(r["extras"])
-    rows = rows.filter((n_s > 0) | (n_r > 0)).withColumnRenamed("url", "source_url")
     own = {f: field(f) for f in extract.RECORD} | {"extras": extras, "extraction_method": method}
-    return relational.computed(rows, **own).drop("schema", "rules")
+    return relational.computed(rows, **own).drop("schema", "rules", "alone", "both")
 
 
 def extraction(

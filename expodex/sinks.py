@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Callable
 from datetime import datetime
 
 from pyspark.sql import DataFrame, SparkSession
@@ -66,7 +67,10 @@ def write_json(df: DataFrame, path: str) -> None:
 
 def write_report(df: DataFrame, path: str) -> None:
     """vendors, statistics and duplicates as three tables below path."""
-    export_table(df).write.mode("overwrite").parquet(f"{path}/vendors")
+    sheet = export_table(df).withColumn("Confidence", F.concat(F.round(F.try_to_number(F.nullif("Confidence", F.lit("")), F.lit("9.999999")) * 100).cast("int").cast("string"), F.lit("%")))
+    for header in ("Website", "Source URL", "LinkedIn"):
+        sheet = sheet.withColumn(f"{header} Link", F.when(F.col(header).rlike("^https?://"), F.concat(F.lit('=HYPERLINK("'), F.replace(header, F.lit('"'), F.lit("%22")), F.lit('")'))))
+    sheet.write.mode("overwrite").parquet(f"{path}/vendors")
     report.statistics(df).write.mode("overwrite").parquet(f"{path}/statistics")
     from .operators.records import duplicate_names
 
@@ -88,6 +92,11 @@ class Registry:
     def count(self) -> int:
         return self.rows().count()
 
+    def clear(self) -> None:
+        """All rows go; the schema stays, in an empty table."""
+        none = self.spark.createDataFrame([], self.rows().schema)
+        none.write.mode("overwrite").parquet(self.path)
+
     def replaced(self, rows: DataFrame, path: str) -> Registry:
         """A new registry at another path: the old one stays until its readers are done."""
         rows.write.mode("overwrite").parquet(path)
@@ -105,6 +114,21 @@ def write_progress(df: DataFrame, path: str) -> None:
     df.withColumn("key", F.substring(F.md5("url"), 1, 12)).write.mode("append").partitionBy("session_id").json(path)
 
 
+def cleared_sessions(spark: SparkSession, path: str, session_id: str) -> bool:
+    """Remove the progress of one session; False if there is none."""
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{path}/session_id={session_id}")
+    return bool(folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True))
+
+
+def partial_exports(vendors: DataFrame, path: str, run: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """run(vendors); if it fails, what there is is exported below path before the error goes on."""
+    try:
+        return run(vendors)
+    except Exception:
+        write_json(vendors, f"{path}/partial")
+        raise
+
+
 def blocklist_feedback(rejected: DataFrame, known: DataFrame) -> DataFrame:
     """New patterns from rejected URLs: first path segments of four characters and more with a junk signal."""
     segment = F.lower(F.try_element_at(U.segments(U.path(F.col("url"))), F.lit(1)))
@@ -122,6 +146,13 @@ class ParserCache:
         row = [(domain, re.sub(r"[^a-zA-Z0-9._-]", "_", domain), datetime.now().isoformat(), success_count, attempt)]
         self.spark.createDataFrame(row, "domain string, name string, at string, success_count int, attempt int").write.mode("append").json(self.path)
 
+    def invalidate(self, domain: str) -> None:
+        """What was saved of the domain before counts no more."""
+        self.save(domain, 0, -1)
+
     def listed(self) -> DataFrame:
         rows = self.spark.read.schema("domain string, name string, at string, success_count int, attempt int").json(self.path)
+        rows = rows.withColumn("at", F.coalesce("at", F.lit("")))
+        gone = rows.filter("attempt < 0").groupBy("domain").agg(F.max("at").alias("gone"))
+        rows = rows.filter("attempt >= 0").join(gone, "domain", "left").filter("gone is null or at > gone")
         return rows.groupBy("domain").agg(F.min("at").alias("created_at"), F.max("at").alias("last_used"), F.sum("success_count").alias("success_count"), F.max_by("attempt", "at").alias("attempt"))

@@ -5,12 +5,16 @@ from __future__ import annotations
 import json
 from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from .. import dictionaries as D
+from ..functions import scoring
 from ..functions import urls as U
+from ..operators.links import first_by
+from ..operators.records import deduplicated_seeds
 
 SEARCH_SCHEMA = "query string, engine string, region string, ord int, title string, url string, snippet string"
 PROGRESS_SCHEMA = "url string, session_id string, last_updated string, status string, vendors_found int, pages_crawled int, errors int"
@@ -76,6 +80,118 @@ def blocklist(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.explode("blocked_path_patterns").alias("pattern")).filter("pattern <> ''").distinct()
 
 
+# Searches over saved hits (query, ord, title, url, snippet): what the network returned is data here.
+
+#: The shapes of a directory search, of a company search, and where sitemaps are looked for.
+DIRECTORY_SHAPES = ["{query} exhibitor list {year}", "{query} vendor directory {region}", "{query} companies participating {year}"]
+SITEMAP_PATHS = ["/sitemap.xml", "/sitemap_index.xml", "/sitemap-exhibitors.xml", "/exhibitors-sitemap.xml"]
+# End of fixed values.
+
+
+def scored_hits(hits: DataFrame, queries: list[str], each: int, most: int) -> DataFrame:
+    """The best `most` of the first `each` hits of every query, scored and deduplicated in the order of queries and hits."""
+    asked = F.array_position(F.array(*[F.lit(q) for q in queries]), F.col("query"))
+    rows = hits.withColumn("__asked", asked).filter((F.col("__asked") > 0) & (F.coalesce("url", F.lit("")) != ""))
+    n = F.row_number().over(Window.partitionBy("query").orderBy("ord", "url"))
+    rows = rows.withColumn("__n", n).filter(F.col("__n") <= each).withColumn("ord", (F.col("__asked") * 1000 + F.col("__n")).cast("int"))
+    rows = rows.withColumn("score", scoring.seed_score(F.col("url"), F.col("title"), F.col("snippet"))).drop("__asked", "__n")
+    return deduplicated_seeds(rows).orderBy(F.desc("score"), "ord").limit(most)
+
+
+def fallback_results(hits: DataFrame, query: str, most: int = 40) -> DataFrame:
+    """Seed discovery by the first six templates, fifteen hits each, for when regional engines give nothing."""
+    return scored_hits(hits, [t.replace("{query}", query) for t in D.SEARCH_TEMPLATES[:6]], 15, most)
+
+
+def directory_results(hits: DataFrame, query: str, region: str = "global", year: str = "2025 2026", each: int = 15, most: int = 30) -> DataFrame:
+    """The best hits of three searches for exhibitor lists."""
+    shapes = [x.replace("{query}", query).replace("{region}", region).replace("{year}", year) for x in DIRECTORY_SHAPES]
+    return scored_hits(hits, shapes, each, most)
+
+
+def company_facts(hits: DataFrame, key: str) -> DataFrame:
+    """key, linkedin, description, n: of each company's hits the first company profile, the first snippet (300 characters) and their number."""
+    linked, said = F.col("url").contains("linkedin.com/company"), F.coalesce("snippet", F.lit("")) != ""
+    return hits.groupBy(key).agg(
+        F.min_by("url", F.when(linked, F.col("ord"))).alias("linkedin"), F.left(F.min_by("snippet", F.when(said, F.col("ord"))), F.lit(300)).alias("description"), F.count("*").alias("n")
+    )
+
+
+def search_context(hits: DataFrame, key: str, skipped: list[str] = D.SKIP_DOMAINS) -> DataFrame:
+    """key, best_url, context: of each company's first six hits the first URL outside the skipped domains, and four snippets (else titles) of 200 characters."""
+    n = F.row_number().over(Window.partitionBy(key).orderBy("ord", "url"))
+    rows = hits.withColumn("__n", n).filter("__n <= 6")
+    fine = (F.coalesce("url", F.lit("")) != "") & ~U.host(F.col("url")).rlike("|".join(d.replace(".", r"\.") for d in skipped))
+    said = F.left(F.coalesce(F.nullif("snippet", F.lit("")), F.nullif("title", F.lit(""))), F.lit(200))
+    lines = F.slice(F.transform(F.array_sort(F.collect_list(F.when(said.isNotNull(), F.struct(F.col("__n").alias("n"), said.alias("t"))))), lambda x: x["t"]), 1, 4)
+    return rows.groupBy(key).agg(F.min_by("url", F.when(fine, F.col("__n"))).alias("best_url"), F.array_join(lines, "\n").alias("context"))
+
+
+def distinct_by_region(hits: DataFrame) -> DataFrame:
+    """The first hit of each URL in each region, in the order of ord."""
+    return first_by(hits, ["region", "url"], F.col("ord"))
+
+
+# Pages: lookups in the snapshot instead of requests.
+
+
+def fetchable(wanted: DataFrame, most: int = 500) -> DataFrame:
+    """(ord, url): a batch to fetch, the first of each URL, without files that are no pages; `most` by ord."""
+    rows = wanted.filter((F.coalesce("url", F.lit("")) != "") & ~U.has_ignored_extension(F.col("url")))
+    return rows.groupBy("url").agg(F.min("ord").alias("ord")).select("ord", "url").orderBy("ord").limit(most)
+
+
+def layered(wanted: DataFrame, cached: DataFrame, fetched_now: DataFrame, rendered: DataFrame | None = None) -> DataFrame:
+    """wanted (url) with the page of the first layer that holds it: cache, fetch, render (each url, html); `layer` says which, NULL if none does."""
+    every = None
+    for k, (name, df) in enumerate((("cache", cached), ("fetch", fetched_now), ("render", rendered))):
+        if df is not None:
+            own = df.filter(F.coalesce(F.trim("html"), F.lit("")) != "").select(U.cache_key(F.regexp_replace("url", "/+$", "")).alias("__key"), F.struct(F.lit(k).alias("k"), F.lit(name).alias("layer"), "html").alias("p"))
+            every = own if every is None else every.unionByName(own)
+    held = every.groupBy("__key").agg(F.min("p").alias("p"))
+    rows = wanted.withColumn("__key", U.cache_key(F.regexp_replace("url", "/+$", "")))
+    return rows.join(held, "__key", "left").select(*wanted.columns, F.col("p.html").alias("html"), F.col("p.layer").alias("layer"))
+
+
+def fresh(cached: DataFrame, now: Column, seconds: int = 3600, most: int | None = 5000) -> DataFrame:
+    """Cached rows (url, cached_at) that are not older than that; beyond `most` of them the latest stay."""
+    rows = cached.filter(F.unix_timestamp(now) - F.unix_timestamp("cached_at") < seconds)
+    return rows if most is None else rows.orderBy(F.desc("cached_at"), "url").limit(most)
+
+
+def markdown(spark: SparkSession, path: str) -> DataFrame:
+    """(url, markdown) of pages and documents that a reader has turned to text, one JSON object a line; of a URL the longest text."""
+    raw = spark.read.schema("url string, markdown string").json(path).filter("url is not null and trim(coalesce(markdown, '')) <> ''")
+    return raw.groupBy("url").agg(F.max_by("markdown", F.struct(F.length("markdown"), "markdown")).alias("markdown"))
+
+
+def redirected(rows: DataFrame, redirects: DataFrame, hops: int = 5) -> DataFrame:
+    """rows (url) with final_url, followed through (src, dst) at most `hops` times; of several targets the least, and a loop ends where it began."""
+    to = redirects.filter("src is not null and dst is not null and src <> dst").groupBy(F.col("src").alias("__src")).agg(F.min("dst").alias("__dst"))
+    out = rows.withColumn("final_url", F.col("url"))
+    for _ in range(hops):
+        out = out.join(to, out["final_url"] == to["__src"], "left").withColumn("final_url", F.coalesce(F.when(F.col("__dst") != F.col("url"), F.col("__dst")), "final_url")).drop("__src", "__dst")
+    return out
+
+
+def sitemap_urls(sites: DataFrame, files: DataFrame, most_parts: int = 10) -> DataFrame:
+    """(site, root) and saved XML files (url, xml) -> site, ord, url: the locations of each site's sitemaps.
+
+    The four usual places are looked at in turn; an index (more than half of it XML files) is followed
+    one level, to its first `most_parts` files. The first place of each location counts.
+    """
+    places = F.posexplode(F.array(*[F.lit(p) for p in SITEMAP_PATHS])).alias("place", "path")
+    looked = sites.select("site", "root", places).select("site", "place", F.concat("root", "path").alias("url"))
+    read = files.select(F.col("url").alias("url"), sitemap_locs(F.col("xml")).alias("locs"))
+    top = looked.join(read, "url").withColumn("index", is_sitemap_index(F.col("locs")))
+    plain = top.filter("not index").select("site", "place", F.lit(0).alias("part"), F.posexplode("locs").alias("n", "url"))
+    parts = F.slice(F.filter("locs", lambda x: F.lower(x).endswith(".xml")), 1, most_parts)
+    below = top.filter("index").select("site", "place", F.posexplode(parts).alias("part", "url")).join(read, "url").select("site", "place", "part", F.posexplode("locs").alias("n", "loc")).withColumnRenamed("loc", "url")
+    every = plain.unionByName(below).withColumn("__at", F.struct("place", "part", "n"))
+    first = every.groupBy("site", "url").agg(F.min("__at").alias("__at"))
+    return first.withColumn("ord", F.row_number().over(Window.partitionBy("site").orderBy("__at", "url"))).select("site", "ord", "url")
+
+
 class SearchReader(DataSourceReader):
     """Reads one JSON file of saved results per partition."""
 
