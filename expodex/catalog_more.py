@@ -382,10 +382,11 @@ def confidence_cut(spark, d):
     return records.confident(records.with_confidence(_vendors(spark, d)), 0.3).select("ord")
 
 
-@query(f"""WITH {_V}, e AS (SELECT ord, name, website, coalesce(email, CASE WHEN ord % 2 = 1 THEN 'found' || ord || '@x.org' END) AS email, phone, country, 'Anvils for ships number ' || ord AS description FROM v)
+@query(f"""WITH {_V}, f AS (SELECT ord, name, website, coalesce(email, CASE WHEN ord % 2 = 1 THEN 'found' || ord || '@x.org' END) AS email, phone, country FROM v),
+g AS (SELECT *, (website IS NOT NULL)::INTEGER + (email IS NOT NULL)::INTEGER + (phone IS NOT NULL)::INTEGER + (country IS NOT NULL)::INTEGER AS n FROM f),
+e AS (SELECT *, CASE WHEN n <= 3 THEN 'Anvils for ships number ' || ord END AS description, 1 + n + (n <= 3)::INTEGER AS filled FROM g)
 SELECT ord, name, website, email, phone, country, description, (CASE WHEN website IS NOT NULL THEN 'v' || ord || '.org' ELSE regexp_replace(lower(name), '[^a-z0-9 ]', '', 'g') END) || '|fair' AS dedup_key,
- round(greatest(CASE WHEN website IS NOT NULL OR email IS NOT NULL OR phone IS NOT NULL THEN n / 9.0::DOUBLE ELSE least(n / 9.0::DOUBLE, 0.35::DOUBLE) END - 0.1::DOUBLE, 0), 3)::DOUBLE AS confidence_score
-FROM (SELECT *, 2 + (website IS NOT NULL)::INTEGER + (email IS NOT NULL)::INTEGER + (phone IS NOT NULL)::INTEGER + (country IS NOT NULL)::INTEGER AS n FROM e)""")
+ round(greatest(CASE WHEN website IS NOT NULL OR email IS NOT NULL OR phone IS NOT NULL THEN filled / 9.0::DOUBLE ELSE least(filled / 9.0::DOUBLE, 0.35::DOUBLE) END - CASE WHEN n <= 3 THEN 0.1::DOUBLE ELSE 0 END, 0), 3)::DOUBLE AS confidence_score FROM e""")
 def directory_plan(spark, d):
     """Enrichment, a second pass, deduplication and ranking of a whole table."""
     v = _vendors(spark, d)
