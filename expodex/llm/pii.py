@@ -1,8 +1,10 @@
 """Personal data by weak supervision.
 
-Base spans follow fixed patterns (email, ip, card, phone) and always stay. Candidates beyond them
-(written-out addresses, numbers without the plus sign) are judged by labelers that vote yes, no or
-not at all: two regex labelers, a gazetteer and a context labeler. Expectation maximisation over the
+Base spans follow fixed patterns (email, ip, card, phone) and always stay. Candidates beyond them are
+written-out addresses, defanged IP addresses, card numbers with other separators, and numbers without
+the plus sign. They and the base spans are judged by labelers that vote yes, no or not at all, and that
+do not know which spans are base: two regex labelers (form, plausibility), a gazetteer (tables of
+domains, calling prefixes and card issuers) and a context labeler. Expectation maximisation over the
 counts of vote patterns estimates every labeler's reliability and each pattern's probability; a
 logistic span classifier on discrete features is then fitted to these, and decides on candidates.
 Only counts of patterns and features reach the driver: at most PATTERNS * FEATURES numbers.
@@ -20,8 +22,10 @@ from __future__ import annotations
 
 import hashlib
 import re
+from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -46,12 +50,34 @@ _DOMAIN = re.compile(r"[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++")
 _SPELLED = re.compile(r"(?i)[\[({]\s{0,3}at\s{0,3}[\])}]")
 _BEFORE = re.compile(r"[A-Za-z0-9._%+-]{1,64}\s{0,3}\Z")
 _AFTER = re.compile(r"(?i)\s{0,3}[A-Za-z0-9-]{1,63}(?:\s{0,3}(?:[\[({]\s{0,3}dot\s{0,3}[\])}]|\.)\s{0,3}[A-Za-z0-9-]{1,63}){1,5}")
+_WORDED = re.compile(r"(?i) at (?=[A-Za-z0-9-]{1,63} dot [A-Za-z])")
+_WORDS_AFTER = re.compile(r"(?i)[A-Za-z0-9-]{1,63}(?: dot [A-Za-z0-9-]{1,63}){1,4}")
+_DEFANGED = re.compile(r"(?i)(?<![0-9.\]])[0-9]{1,3}(?: ?[\[(](?:\.|dot)[\])] ?[0-9]{1,3}){3}(?![0-9])")
+_OTHER_CARD = re.compile(r"(?<![0-9])[0-9]{4}(?:[ .-]{1,3}[0-9]{3,6}){2,4}(?![0-9])")
 _PLAIN = re.compile(r"(?<![0-9])(?:\([0-9]{2,4}\) ?|[0-9]{2,4}[ .-])[0-9]{3,4}[ .-][0-9]{3,4}(?![0-9])")
-_CUES = re.compile(r"(?i)(?:phone|tel|call|fax|mobile|cell|whatsapp|contact|mail|write|reach|tél|teléfono|telefon|handy|correo|courriel|kontakt)\W{0,4}\w{0,8}\W{0,4}\Z")
-_AGAINST = re.compile(r"(?i)(?:isbn|issn|order|invoice|version|ref|page|part|serial|sku|no|nr|id|art|release)\W{0,4}\Z")
-#: Top-level domains and mail words, and calling prefixes, that speak for a span.
-GAZETTEER = frozenset("com org net edu gov info biz io eu us uk de fr es it nl ch at mail email gmail outlook hotmail yahoo proton icloud".split())
-PREFIXES = frozenset("1 33 34 39 41 43 44 49 31 32 351 52 54 55 91 81 86 61".split())
+_ABROAD = re.compile(r"(?<![0-9])00[ .-]?[1-9][0-9]{0,2}(?:[ .-]{1,2}\(?[0-9]{1,5}\)?){2,5}(?![0-9])")
+_SLASHED = re.compile(r"(?<![0-9/])0[0-9]{1,4}/[0-9]{4,10}(?![0-9/])")
+_RUN = re.compile(r"(?<![0-9])[0-9]{9,15}(?![0-9])")
+_CUES = re.compile(
+    r"(?i)(?:phone|tel|call|fax|mobile|cell|whatsapp|contact|mail|write|reach|tél|teléfono|telefon|handy|correo|courriel|kontakt|card|visa|mastercard|amex|credit|karte|tarjeta|carte|ip|host|server|login from)\W{0,4}\w{0,8}\W{0,4}\Z"
+)
+_AGAINST = re.compile(r"(?i)(?:isbn|issn|order|invoice|version|ref|page|part|serial|sku|no|nr|id|art|release|build)\W{0,4}\Z")
+
+
+@dataclass(frozen=True)
+class Gazetteer:
+    """Tables that speak for a span: ends of mail domains, calling prefixes, first digits of card numbers."""
+
+    domains: frozenset[str] = frozenset(
+        "com org net edu gov mil int info biz io ai app dev eu us uk de fr es it nl be ch at pl cz dk se no fi pt gr ie ru ua tr cn jp kr in br mx ar cl co au nz za ca mail email gmail outlook hotmail yahoo proton icloud gmx web example test".split()
+    )
+    prefixes: frozenset[str] = frozenset(
+        "1 7 20 27 30 31 32 33 34 36 39 40 41 43 44 45 46 47 48 49 51 52 53 54 55 56 57 58 60 61 62 63 64 65 66 81 82 84 86 90 91 92 93 94 95 98 212 213 216 218 234 254 351 352 353 354 355 356 357 358 359 370 371 372 380 381 385 386 420 421 852 886 961 962 965 966 971 972 974".split()
+    )
+    issuers: frozenset[str] = frozenset("4 51 52 53 54 55 22 23 24 25 26 27 34 37 36 38 6011 65 62 35 50 56 57 58 60".split())
+
+
+TABLES = Gazetteer()
 
 
 def _luhn(digits: str) -> bool:
@@ -103,26 +129,74 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 
 def more_candidates(text: str, base: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
-    """Spans that the fixed patterns miss and that overlap none of theirs."""
+    """Spans that the fixed patterns miss and that overlap none of theirs; of overlapping ones the first, then the longest."""
     found = []
-    for m in _SPELLED.finditer(text):
-        before, after = _BEFORE.search(text, max(0, m.start() - 67), m.start()), _AFTER.match(text, m.end())
-        if before and after:
-            found.append((0, before.start(), after.end()))
+    for marks, after_of in ((_SPELLED, _AFTER), (_WORDED, _WORDS_AFTER)):
+        for m in marks.finditer(text):
+            before, after = _BEFORE.search(text, max(0, m.start() - 67), m.start()), after_of.match(text, m.end())
+            if before and after:
+                found.append((0, before.start(), after.end()))
+    if "[" in text or "(" in text:
+        found += [(1, m.start(), m.end()) for m in _DEFANGED.finditer(text)]
+    if "/" in text:
+        found += [(3, m.start(), m.end()) for m in _SLASHED.finditer(text)]
     for region in _REGION.finditer(text):
-        if region.end() - region.start() >= 9:
-            start = region.start() - (region.start() > 0 and text[region.start() - 1] == "(")
-            found += [(3, m.start(), m.end()) for m in _PLAIN.finditer(text, start, region.end())]
+        a, b = region.span()
+        if b - a < 9:
+            continue
+        start = a - (a > 0 and text[a - 1] == "(")
+        found += [(3, m.start(), m.end()) for m in _PLAIN.finditer(text, start, b)]
+        found += [(3, m.start(), m.end()) for m in _ABROAD.finditer(text, a, b) if 9 <= sum(c.isdigit() for c in m.group()) <= 17]
+        found += [(3, m.start(), m.end()) for m in _RUN.finditer(text, a, b) if _CUES.search(text, max(0, m.start() - 32), m.start())]
+        for m in _OTHER_CARD.finditer(text, a, b):
+            if 13 <= sum(c.isdigit() for c in m.group()) <= 19:
+                found.append((2, m.start(), m.end()))
+    if not found:
+        return []
     taken = sorted(base, key=lambda s: s[1])
+    ends = [s[1] for s in taken]
     out, last = [], 0
-    for kind, a, b in sorted(set(found), key=lambda s: (s[1], -s[2])):
-        if a >= last and not any(x < b and a < y for _, x, y in taken):
+    for kind, a, b in sorted(set(found), key=lambda s: (s[1], -s[2], s[0])):
+        k = bisect_left(ends, b)
+        if a >= last and not any(y > a for _, _, y in taken[max(0, k - 8) : k]):
             out.append((kind, a, b))
             last = b
     return out
 
 
-def described(text: str, span: tuple[int, int, int], base: bool) -> tuple[int, int]:
+def _email_votes(own: str, edge: bool, tables: Gazetteer) -> tuple[int, int, int, int]:
+    words = re.findall(r"[a-z]+", own.lower()[-80:])
+    marked = "@" in own or any(c in own for c in "[({")
+    listed = 2 if words and words[-1] in tables.domains else 1 if not marked or (words and len(words[-1]) > 8) else 0
+    return 2 if marked else 0, 2 if edge else 1, listed, 2 if listed == 2 else 0
+
+
+def _ip_votes(own: str, tables: Gazetteer) -> tuple[int, int, int, int]:
+    parts = [int(p) for p in re.findall("[0-9]+", own)[:4]]
+    defanged = not set(own) <= set("0123456789.")
+    fits = all(p <= 255 for p in parts)
+    return 2 if defanged else 0, 2 if fits else 1, 2 if fits and 1 <= parts[0] <= 223 else 1, int(defanged)
+
+
+def _card_votes(own: str, tables: Gazetteer) -> tuple[int, int, int, int]:
+    groups = re.findall("[0-9]+", own)
+    digits = "".join(groups)
+    shape = [len(g) for g in groups]
+    good = _luhn(digits)
+    issued = any(digits.startswith(p) for p in tables.issuers)
+    return 2 if shape in ([4, 4, 4, 4], [4, 6, 5]) else 0 if len(shape) == 1 else 1, 2 if good else 1, 2 if issued else 1, 2 if good else 0
+
+
+def _phone_votes(own: str, tables: Gazetteer) -> tuple[int, int, int, int]:
+    digits = sum(c.isdigit() for c in own)
+    abroad = own.startswith(("+", "00"))
+    number = re.sub("[^0-9]", "", own)[2 if own.startswith("00") else 0 :]
+    known = any(number.startswith(p) for p in tables.prefixes)
+    form = 2 if abroad or own[:1] == "(" else 1 if own.count(".") > 1 else 0
+    return form, 2 if 9 <= digits <= 17 else 0 if digits in (7, 8) else 1, (2 if known else 1) if abroad else 0, int(own[0] in "+(")
+
+
+def described(text: str, span: tuple[int, int, int], tables: Gazetteer = TABLES) -> tuple[int, int]:
     """(vote pattern, features) of a span, as numbers."""
     kind, a, b = span
     own = text[a:b]
@@ -131,19 +205,9 @@ def described(text: str, span: tuple[int, int, int], base: bool) -> tuple[int, i
     cue = 2 if _CUES.search(lead) else 1 if _AGAINST.search(lead) else 0
     edge = int((a == 0 or not text[a - 1].isalnum()) and (b == len(text) or not text[b].isalnum()))
     separators = min(3, sum(not c.isalnum() for c in own) // 2)
-    shape = 2 if base else 0 if kind == 0 else 2 if own[:1] == "(" else 1 if own.count(".") > 1 else 0
-    amount = (2 if edge else 1) if kind == 0 else 2 if 9 <= digits <= 19 else 1
-    if kind == 0:
-        words = re.findall(r"[a-z]+", own.lower())
-        listed = 2 if words and words[-1] in GAZETTEER else 1 if words and len(words[-1]) > 8 else 0
-        tail = 2 if listed == 2 else 0
-    else:
-        first = re.match(r"[+(]?([0-9]{1,3})", own)
-        listed = 2 if kind == 3 and first and own[0] == "+" and first.group(1).lstrip("0")[:2] and any(first.group(1).startswith(p) for p in PREFIXES) else 0
-        tail = 1 if own[0] in "+(" else 0
-    votes = (shape, amount, listed, cue)
+    shape, amount, listed, tail = _email_votes(own, bool(edge), tables) if kind == 0 else (_ip_votes, _card_votes, _phone_votes)[kind - 1](own, tables)
     pattern = kind
-    for v in votes:
+    for v in (shape, amount, listed, cue):
         pattern = pattern * 3 + v
     feature = 0
     for value, size in zip((kind, min(7, digits // 3), separators, cue, edge, tail), SIZES, strict=True):
@@ -170,6 +234,7 @@ class Judge:
         n = count.astype(float)
         self.reliability = np.full((LABELERS, 2, 3), 1 / 3)
         self.weights = np.zeros(1 + sum(SIZES))
+        self.probability = np.zeros(0)
         if not len(n):
             return
         votes = np.stack(np.unravel_index(pattern, (len(KINDS), *[3] * LABELERS)), 1)
@@ -182,9 +247,11 @@ class Judge:
             for j in range(LABELERS):
                 for y, w in enumerate((n * (1 - p), n * p)):
                     seen = np.bincount(votes[:, j], w, 3) + 1.0
+                    seen[0] = 0.0  # who does not vote says nothing
                     self.reliability[j, y] = seen / seen.sum()
-                    log[:, y] += np.log(self.reliability[j, y][votes[:, j]])
+                    log[:, y] += np.log(np.where(votes[:, j] > 0, self.reliability[j, y][votes[:, j]], 1.0))
             p = 1 / (1 + np.exp(np.clip(log[:, 0] - log[:, 1], -50, 50)))
+        self.probability = p
         x = _unravel(feature)
         share = n / n.sum()
         for _ in range(steps):
@@ -201,8 +268,8 @@ def _counting(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for text in batch.column("text").to_pylist():
             if text:
                 base = base_spans(text)
-                counts.update(described(text, s, True) for s in base)
-                counts.update(described(text, s, False) for s in more_candidates(text, base))
+                counts.update(described(text, s) for s in base)
+                counts.update(described(text, s) for s in more_candidates(text, base))
     keys = list(counts)
     yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in keys], pa.int64()), pa.array([k[1] for k in keys], pa.int64()), pa.array([counts[k] for k in keys], pa.int64())], names=["pattern", "feature", "n"])
 
@@ -220,7 +287,7 @@ def _all_spans(text: str | None, accepted: dict[int, bool], judge: Judge) -> tup
     base = base_spans(text)
     added = []
     for span in more_candidates(text, base):
-        feature = described(text, span, False)[1]
+        feature = described(text, span)[1]
         if feature not in accepted:
             accepted[feature] = judge.accepts(feature)
         if accepted[feature]:
