@@ -43,3 +43,26 @@ def test_equal_texts_stay_together(spark):
     for r in got:
         where[rows[r.doc_id][1]].add(r.shard)
     assert all(len(v) == 1 for t, v in where.items() if t)
+
+
+def test_pack_equals_a_plain_packing():
+    rng = np.random.default_rng(2)
+    for _ in range(30):
+        vectors = rng.random((int(rng.integers(1, 60)), 3)) / 20
+        capacity = rng.random((int(rng.integers(1, 9)), 3))
+        want, left = [], [list(map(float, c)) for c in capacity]
+        for v in vectors.tolist():
+            dots = [sum(a * b for a, b in zip(c, v)) for c in left]
+            fitting = [k for k, c in enumerate(left) if all(a >= b for a, b in zip(c, v))] or range(len(left))
+            best = max(fitting, key=lambda k: (round(dots[k], 12), -k))
+            want.append(best)
+            left[best] = [a - b for a, b in zip(left[best], v)]
+        assert shard.pack(vectors, capacity.copy()).tolist() == want
+
+
+def test_whole_tables_are_balanced(spark, monkeypatch):
+    """Several ranges, long texts among short ones: every shard within two per cent of the mean."""
+    monkeypatch.setattr(shard, "PER_RANGE", 2000)
+    rows = [(k, f"t{k} " * (1 + k * 7919 % 200 if k % 50 else 1500)) for k in range(12000)]
+    load = check(df := spark.createDataFrame(rows, "doc_id long, text string"), shard.shards(df).collect())
+    assert (load.max(axis=0) / load.mean(axis=0) < 1.02).all()
