@@ -190,12 +190,14 @@ def _coder(ranks, pattern: str) -> ByteBPE:
     return _coders[key]
 
 
-def encoded(docs: DataFrame, rank_file: str, pattern: str, with_ids: bool = False) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 (and ids array<int>) of every row of docs.
+def encoded(docs: DataFrame, rank_file: str, pattern: str, with_ids: bool = False, keep: list[str] | None = None) -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256 (and ids array<int>) of every row of docs, with the columns in `keep` that it has.
 
     rank_file: path of a rank file on the driver (a vocabulary has a fixed size; it is broadcast).
     """
     bounded_batches(docs)
+    made = {"doc_id", "n_tokens", "ids_sha256", "decoded_sha256", "ids"}
+    kept = [c for c in keep or [] if c in docs.columns and c not in made]
     with open(rank_file, "rb") as f:
         ranks = docs.sparkSession.sparkContext.broadcast(f.read())
 
@@ -214,8 +216,11 @@ def encoded(docs: DataFrame, rank_file: str, pattern: str, with_ids: bool = Fals
             if with_ids:
                 columns.append(pa.ListArray.from_arrays(pa.array(first.astype(np.int32)), pa.array(ids.astype(np.int32))))
                 names.append("ids")
+            columns += [batch.column(f"keep{k}") for k in range(len(kept))]
+            names += kept
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
-    return docs.select(F.col("doc_id").cast("long"), "text").mapInArrow(
-        run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
+    kinds = dict(docs.dtypes)
+    return docs.select(F.col("doc_id").cast("long"), "text", *[F.col(c).alias(f"keep{k}") for k, c in enumerate(kept)]).mapInArrow(
+        run, "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids + "".join(f", `{c}` {kinds[c]}" for c in kept)
     )

@@ -28,10 +28,12 @@ _own_scratch: dict[str, str] = {}
 
 
 def scratch_dir(spark: SparkSession) -> str:
-    """The cluster's shared scratch folder; a temporary one only where the setting is absent."""
+    """The cluster's shared scratch folder; a temporary one only where the setting is absent and nothing runs on other machines."""
     named = spark.conf.get("spark.checkpoint.dir", None)
     if named:
         return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
     if "dir" not in _own_scratch:
         _own_scratch["dir"] = tempfile.mkdtemp(prefix="expodex-")
         atexit.register(shutil.rmtree, _own_scratch["dir"], True)
@@ -44,17 +46,21 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     path = f"{scratch_dir(spark)}/{name}-{uuid.uuid4().hex}"
     schema = df.schema
     df.write.parquet(path)
-    return spark.read.schema(schema).parquet(path)
+    out = spark.read.schema(schema).parquet(path)
+    out._scratch = path
+    return out
 
 
 def dropped(df: DataFrame) -> None:
-    """Remove the files of a table made by stored() that nothing reads any more."""
-    spark = df.sparkSession
-    jvm = spark.sparkContext._jvm
-    for f in df.inputFiles()[:1]:
-        folder = jvm.org.apache.hadoop.fs.Path(f).getParent()
-        if folder.getParent().toString().rstrip("/").endswith(scratch_dir(spark).split(":", 1)[-1].rstrip("/").lstrip("/")):
-            folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    """Remove the files of a table made by stored() that nothing reads any more; any other table is left alone."""
+    path = getattr(df, "_scratch", None)
+    if path is not None:
+        removed(df.sparkSession, path)
+
+
+def removed(spark: SparkSession, path: str) -> None:
+    folder = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 #: Rows of an Arrow batch: with texts of some kilobytes a batch stays below ten megabytes on both sides of the pipe.

@@ -7,9 +7,9 @@ documents of a chunk are searched in lockstep: every stretch of words has its ow
 moves all cursors at once.
 
 Patterns are grouped by their length (ten words, or fewer for short items), because the shortest
-pattern bounds every jump. They are held in blocks of at most PATTERNS_PER_BLOCK, so what is sent
-to the executors is bounded; more patterns make more blocks, each searched in turn in the same pass
-over a chunk.
+pattern bounds every jump. They are held in blocks of at most PATTERNS_PER_BLOCK; a task holds at most
+BLOCKS_AT_ONCE of them, and with more it builds one after the other for each large chunk of texts, so
+its memory is bounded whatever the number of patterns.
 
 Defined results: a null or wordless text has n_words 0, no hits and the digest of the empty list; a
 null or wordless item has no windows; a null item_id is left out; repeated rows of a table each
@@ -33,6 +33,8 @@ from .common import ALNUM, HashIndex, bounded_batches, chunks, flat_bytes, words
 WIDTH = 10
 STRETCH = 64
 PATTERNS_PER_BLOCK = 200_000
+#: Matchers that a task holds at once; beyond them each is built for a large chunk of texts, then let go.
+BLOCKS_AT_ONCE, LARGE_CHUNK = 4, 64 << 20
 _A = np.uint64(0x9E3779B97F4A7C15)
 _B = np.uint64(0xC2B2AE3D27D4EB4F)
 
@@ -161,7 +163,26 @@ def matchers(items: DataFrame) -> list:
     return blocks
 
 
-def _hits(batch: pa.RecordBatch, built: list[Windows]) -> tuple[np.ndarray, np.ndarray, list[set[str]]]:
+class Searched:
+    """Chunks of texts with the matchers to search them by."""
+
+    def __init__(self, blocks: list):
+        self.blocks = blocks
+        self.built = [Windows(*b.value) for b in blocks] if len(blocks) <= BLOCKS_AT_ONCE else None
+
+    def chunks(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return chunks(batches, "text") if self.built is not None else chunks(batches, "text", LARGE_CHUNK)
+
+    def __iter__(self) -> Iterator[Windows]:
+        if self.built is not None:
+            yield from self.built
+            return
+        for b in self.blocks:
+            yield Windows(*b.value)
+            b.__dict__.pop("_value", None)  # let it go; a worker reads it from its file again when it is needed
+
+
+def _hits(batch: pa.RecordBatch, built: Searched) -> tuple[np.ndarray, np.ndarray, list[set[str]]]:
     """Words, hit words and items of each row."""
     flat, offsets = flat_bytes(batch.column("text"))
     starts, ends, hashed, first = words(flat, offsets, ALNUM)
@@ -190,8 +211,8 @@ def contamination(docs: DataFrame, items: DataFrame) -> DataFrame:
     blocks = matchers(items)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        built = [Windows(*b.value) for b in blocks]
-        for batch in chunks(batches, "text"):
+        built = Searched(blocks)
+        for batch in built.chunks(batches):
             n_words, n_hit, found = _hits(batch, built)
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), pa.array(n_words.astype(np.int64)), pa.array(n_hit.astype(np.int64)), pa.array([len(x) for x in found], pa.int64()), pa.array([digest(x) for x in found], pa.string()), pa.array(n_hit > 0)],
@@ -208,8 +229,8 @@ def decontaminated(docs: DataFrame, items: DataFrame) -> DataFrame:
     blocks = matchers(items)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        built = [Windows(*b.value) for b in blocks]
-        for batch in chunks(batches, "text"):
+        built = Searched(blocks)
+        for batch in built.chunks(batches):
             yield batch.filter(pa.array(_hits(batch, built)[1] == 0))
 
     return docs.mapInArrow(run, docs.schema)

@@ -288,11 +288,11 @@ def one_of_each(docs: DataFrame, width: int = 5, percent: int = SIMILARITY) -> D
     judged = near_duplicates(docs, width, percent).select("doc_id", "kept")
     judged = stored(judged, "kept")
     gone = judged.filter("not kept").select(F.col("doc_id").alias("id")).distinct()
-    # Only rows whose id may be among those that go are shuffled to see whether it is.
-    names = docs.columns
-    marked = _held(docs.withColumn("__id", F.col("doc_id").cast("long")), "__id", gone)
+    # Only rows whose id may be among those that go are shuffled to see whether it is. Columns go by place, whatever their names.
+    inner = [f"c{k}" for k in range(len(docs.columns))]
+    marked = _held(docs.toDF(*inner).withColumn("__id", F.col(inner[docs.columns.index("doc_id")]).cast("long")), "__id", gone)
     doubtful = marked.filter("__held").join(gone.withColumnRenamed("id", "__id"), "__id", "left_anti")
-    return marked.filter("not __held").select(names).unionByName(doubtful.select(names))
+    return marked.filter("not __held").select(inner).unionByName(doubtful.select(inner)).toDF(*docs.columns)
 
 
 def _one_row_of_each(docs: DataFrame, width: int, percent: int) -> DataFrame:

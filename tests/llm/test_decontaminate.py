@@ -64,3 +64,15 @@ def test_odd_rows(spark, odd, none):
     assert decontaminate.contamination(odd, items.limit(0)).filter("contaminated").count() == 0
     kept = decontaminate.decontaminated(odd, items)
     assert kept.columns == odd.columns and kept.count() == odd.count() - 1
+
+
+def test_more_blocks_than_a_task_holds_give_the_same(spark, data, monkeypatch):
+    docs, items = table(spark, data, "documents"), table(spark, data, "benchmark")
+    want = sorted(map(tuple, decontaminate.contamination(docs, items).collect()))
+    monkeypatch.setattr(decontaminate, "PATTERNS_PER_BLOCK", 300)
+    monkeypatch.setattr(decontaminate, "BLOCKS_AT_ONCE", 1)
+    blocks = decontaminate.matchers(items)
+    assert len(blocks) > 1
+    searched = decontaminate.Searched(blocks)
+    assert searched.built is None and len(list(searched)) == len(blocks)
+    assert sorted(map(tuple, decontaminate.contamination(docs, items).collect())) == want
