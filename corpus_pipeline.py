@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from expodex.llm import bpe, decontaminate, langid, minhash, pii
-from expodex.llm.common import scratch_dir, table
+from expodex.llm.common import removed, scratch_dir, table
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -31,10 +31,10 @@ def personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """doc_id, n_tokens, ids and the digests of the ids and of the decoded bytes."""
+    """doc_id, n_tokens, ids and the digests of the ids and of the decoded bytes, with text, lang and source."""
     import public_tokenizers
 
-    return bpe.encoded(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=True)
+    return bpe.encoded(docs, public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN, with_ids=True, keep=["text", "lang", "source"])
 
 
 STAGES = [
@@ -50,7 +50,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents, each written as Parquet to the shared folder and read again."""
+    """All stages over documents, each written as Parquet to the shared folder and read again.
+
+    Of the written stages the last stays, since the result reads it."""
     docs = table(spark, sf_dir, "documents")
     base = f"{scratch_dir(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (_, stage) in enumerate(STAGES):
@@ -58,4 +60,6 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if k < len(STAGES) - 1:
             docs.write.parquet(f"{base}/{k}")
             docs = spark.read.parquet(f"{base}/{k}")
+            if k:  # nothing reads the stage before any more
+                removed(spark, f"{base}/{k - 1}")
     return docs
