@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from expodex import catalog, plans, sinks, streaming
-from expodex.operators import dom, extract, frontier, links, records
+from expodex.operators import dom, extract, frontier, hooks, links, records
 from expodex.sources import snapshot
 
 
@@ -159,3 +159,89 @@ def test_crawl_follows_long_chains_and_says_when_it_stops(spark):
     assert {r.url for r in frontier.crawl(seeds, edges).collect()} == {f"p{k}" for k in range(25)}
     with pytest.raises(RuntimeError):
         frontier.crawl(seeds, edges, max_rounds=3)
+
+
+def test_repeated_and_null_ids_give_a_record_each(spark):
+    html = "<h1>Acme</h1><p>info@acme.org</p>"
+    rows = spark.createDataFrame([(1, "https://e.org/1", html), (1, "https://e.org/1", html), (None, "https://e.org/2", html)], "page_id long, url string, html string")
+    assert sorted((r.page_id or 0, r.name, r.email) for r in extract.rule_based_records(rows).collect()) == [(0, "Acme", "info@acme.org"), (1, "Acme", "info@acme.org"), (1, "Acme", "info@acme.org")]
+    assert plans.extraction(rows).count() == 3
+
+
+def test_extraction_reads_a_page_once_and_takes_documents(spark):
+    rows = pages(spark, ("https://e.org/1", "<h1>Acme</h1>"))
+    docs = spark.createDataFrame([("https://e.org/list.pdf", "| NO. | COMPANY NAME | COUNTRY |\n|---|---|---|\n| 1 | Beta Ltd | Japan |\n| 2 | Gamma Ltd | USA |\n| 3 | Delta Ltd | |"), ("https://e.org/page", "1 Not Listed  Japan")], "url string, markdown string")
+    out = plans.extraction(rows, documents=docs)
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("MapInArrow") == 1
+    assert sorted((r.name, r.country) for r in out.collect()) == [("Acme", None), ("Beta Ltd", "Japan"), ("Delta Ltd", None), ("Gamma Ltd", "United States")]
+
+
+def test_links_of_a_page_need_no_shuffle(spark):
+    plan = links.best_links(pages(spark, ("https://e.org", "<a href='/exhibitors'>x</a>")))._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in plan
+
+
+def test_hooks_do_nothing_by_default(spark):
+    rows = spark.createDataFrame([(1, "a"), (None, None)], "id long, text string")
+    assert hooks.answers(rows, None).count() == 0
+    assert [r.answer for r in hooks.answers(rows, lambda texts: [t.upper() for t in texts]).collect()] == ["A"]
+    said = []
+
+    def once(error):
+        said.append(error)
+        if len(said) < 3:
+            raise ValueError(f"no {len(said)}")
+        return "done"
+
+    assert hooks.retried(once, sleep=lambda s: None) == "done" and said == [None, "no 1", "no 2"]
+    with pytest.raises(ValueError):
+        hooks.retried(lambda e: int("x"), attempts=2, sleep=lambda s: None)
+    assert hooks.must_stop(True, 0, 0) and hooks.must_stop(False, 5000, 0) and hooks.must_stop(False, 0, 31) and not hooks.must_stop(False, 4999, 30)
+    assert hooks.supervised({"errors": 12}, lambda s: "stop") == "stop" and hooks.supervised({"errors": 6, "phase": "crawl"}) == "continue"
+    assert hooks.needs_supervisor(6, "crawl") and not hooks.needs_supervisor(6, "extract")
+
+
+def test_discovery_follows_the_regions_of_a_query(spark):
+    from expodex import dictionaries as D
+
+    hits = [("drone expo tokyo exhibitors list", "yahoo", "Japan", k, f"t{k}", f"https://h{k}.jp/expo", "") for k in range(60)]
+    hits += [("drone expo tokyo exhibitors list", "naver", "Korea", 0, "t", "https://k.kr/expo", ""), ("other query", "yahoo", "Japan", 0, "t", "https://o.jp", "")]
+    results = spark.createDataFrame(hits, "query string, engine string, region string, ord int, title string, url string, snippet string")
+    got = plans.discovered("drone expo tokyo", results, D.region_table(spark)).collect()
+    assert len(got) == 60 and all(r.url.endswith(".jp/expo") for r in got)  # two regions asked: up to 100
+    assert len(plans.seeds(results).collect()) == 40
+    assert snapshot.fallback_results(results, "drone expo tokyo").count() == 15
+
+
+def test_state_can_be_cleared(spark, tmp_path):
+    cache = sinks.ParserCache(spark, str(tmp_path / "parsers"))
+    cache.save("a.org", 2)
+    cache.invalidate("a.org")
+    cache.save("b.org", 1)
+    assert [r.domain for r in cache.listed().collect()] == ["b.org"]
+    progress = catalog.fixture(spark, "progress_f").withColumn("session_id", F.lit("s"))
+    sinks.write_progress(progress, str(tmp_path / "progress"))
+    assert sinks.cleared_sessions(spark, str(tmp_path / "progress"), "s") and not sinks.cleared_sessions(spark, str(tmp_path / "progress"), "t")
+    registry = sinks.Registry(spark, str(tmp_path / "registry"))
+    registry.register(catalog.fixture(spark, "vendors_f"))
+    registry.clear()
+    assert registry.count() == 0
+    with pytest.raises(ZeroDivisionError):
+        sinks.partial_exports(catalog.fixture(spark, "vendors_f"), str(tmp_path), lambda df: 1 / 0)
+    assert spark.read.text(str(tmp_path / "partial")).count() == 10
+    from expodex.operators import report
+
+    df, counters = report.observed(catalog.fixture(spark, "progress_f"))
+    assert df.count() == 4 and counters.get == {"rows": 4, "errors": 1}
+    (tmp_path / "r.json").write_text('{"url":"u","markdown":"short"}\n{"url":"u","markdown":"longer text"}\n{"url":"v","markdown":" "}\n')
+    assert [(r.url, r.markdown) for r in snapshot.markdown(spark, str(tmp_path / "r.json")).collect()] == [("u", "longer text")]
+
+
+def test_blocked_patterns_are_bounded(spark, monkeypatch):
+    rows = spark.createDataFrame([("https://e.org/Book.x/1",), ("https://e.org/ok",), (None,)], "url string")
+    patterns = spark.createDataFrame([("book.x",), ("",), ("zz",)], "pattern string")
+    assert sorted(r.url or "" for r in links.blocked(rows, patterns).collect()) == ["", "https://e.org/ok"]
+    monkeypatch.setattr(links, "MOST_PATTERNS", 1)
+    with pytest.raises(ValueError):
+        links.blocked(rows, patterns)
