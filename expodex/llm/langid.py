@@ -28,8 +28,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import bounded_batches, chunks, flat_bytes, mix
+from .common import CHUNK_BYTES, bounded_batches, chunks, flat_bytes, mix
 
+#: Bytes of text that are looked at together: n-grams take about fifty times as much.
+CHUNK = CHUNK_BYTES // 4
 LENGTHS = (3, 5)
 HASHES = 3
 SLOT_BITS = 22
@@ -138,7 +140,7 @@ class Filters:
 
 
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in chunks(batches, "text"):
+    for batch in chunks(batches, "text", CHUNK):
         langs = np.array(batch.column("lang").to_pylist(), object)
         rows, code = grams(*flat_bytes(batch.column("text")))
         for lang in sorted(set(langs.tolist())):
@@ -178,7 +180,7 @@ def predictions(docs: DataFrame) -> DataFrame:
     shared = _filters(docs.sparkSession, rows.filter("not held_out"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "text"):
+        for batch in chunks(batches, "text", CHUNK):
             names, score, _ = shared.value.judge(batch.column("text"))
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("held_out"), pa.array(names, pa.string()), pa.array(score)], names=["doc_id", "held_out", "lang_pred", "score"])
 
@@ -191,7 +193,7 @@ def accepted(docs: DataFrame, least_known: float = LEAST_KNOWN) -> DataFrame:
     shared = _filters(docs.sparkSession, rows.filter(~held_out_of()))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "text"):
+        for batch in chunks(batches, "text", CHUNK):
             names, _, known = shared.value.judge(batch.column("text"))
             yield batch.filter(pa.array([n != "und" and k >= least_known for n, k in zip(names, known.tolist(), strict=True)], pa.bool_()))
 

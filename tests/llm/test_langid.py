@@ -40,3 +40,47 @@ def test_false_positives_are_corrected():
     total, counts = filters.counts(np.zeros(len(code), np.int64), code, 1)
     assert filters.wrong.min() > 0.05  # crowded on purpose
     assert total[0] == 10000 and abs(counts[0, 0] - 5000) < 300 and counts[0, 1] < 300
+
+
+def test_counts_equal_exact_sets():
+    """Filters against plain sets of n-grams: found counts of every text, and what is learned of every language."""
+    import numpy as np
+    import pyarrow as pa
+
+    rng = np.random.default_rng(3)
+    letters = {"aa": "abcdefgh", "bb": "efghijkl", "cc": "ijklmnop"}
+    word = lambda lang: "".join(rng.choice(list(letters[lang]), 5))
+    train = {lang: [" ".join(word(lang) for _ in range(200)) for _ in range(5)] for lang in letters}
+
+    def exact(text):
+        out = []
+        padded = " " + "".join(c if c.isalpha() else " " for c in text.lower()) + " "
+        for n in langid.LENGTHS:
+            for k in range(len(padded) - n + 1):
+                g = padded[k : k + n]
+                if " " not in g[1:-1] and g.strip():
+                    out.append(g)
+        return out
+
+    sets = {lang: {g for t in texts for g in exact(t)} for lang, texts in train.items()}
+
+    def codes(texts):
+        from expodex.llm.common import flat_bytes
+
+        return np.unique(langid.grams(*flat_bytes(pa.array(texts)))[1])
+
+    filters = langid.Filters({lang: codes(texts) for lang, texts in train.items()})
+    assert {lang: len(codes(texts)) for lang, texts in train.items()} == {lang: len(s) for lang, s in sets.items()}
+    tests = [" ".join(word(lang) for _ in range(30)) for lang in letters for _ in range(5)]
+    from expodex.llm.common import flat_bytes
+
+    total, counts = filters.counts(*langid.grams(*flat_bytes(pa.array(tests))), len(tests))
+    for k, text in enumerate(tests):
+        own = exact(text)
+        assert total[k] == len(own)
+        for j, lang in enumerate(filters.languages):
+            assert abs(counts[k, j] - sum(g in sets[lang] for g in own)) < 0.5 + 0.001 * len(own)
+    names, _, _ = filters.judge(pa.array([*tests, "", "123", None]))
+    assert names[-3:] == ["und"] * 3
+    both = langid.Filters({"bb": codes(train["aa"]), "aa": codes(train["aa"])})
+    assert both.judge(pa.array(tests[:1]))[0] == ["aa"]  # a tie goes to the alphabetically first
