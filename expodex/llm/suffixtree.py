@@ -15,8 +15,9 @@ state is found by a join, and it is always there, for it occurs at least as ofte
 log-probability is the root's plus, for each retained suffix context, log(left) and, where the
 symbol is kept, log(p / p of the suffix) - log(left). So each gram has one weight, and a row's
 score is a sum of weights over its grams. The most frequent grams, HEAVY of them at most, are broadcast
-with their weights; the others are looked up by one join. Filters of at most 2^FILTER_BITS bits spare
-rows that no join would meet, and grams that surely occur once; they change no result.
+with their weights; the occurrences of the others meet their weights in parts of bounded size, named by
+the hashes' top bits, as sorted packets rather than rows. Filters of at most 2^FILTER_BITS bits spare
+grams that no table holds, and grams that surely occur once; they change no result.
 
 Defined results: null and empty texts consist of the end alone; repeated rows are scored, and
 counted in training, as often as they occur; rows with a null doc_id are neither held out (null)
@@ -405,7 +406,7 @@ class Model:
             if k == 1:
                 base = np.bincount(rows, self.base[found], n)
                 known = np.bincount(rows[found >= 0], minlength=n)
-            open_ = (found < 0) & self.rare(own) if k > 1 else found < 0
+            open_ = (found < 0) & self.rare(own)
             light.append((rows[at[open_]], own[open_]))
         place = np.arange(len(token), dtype=np.uint64) - np.repeat(begins[:-1], np.diff(begins)).astype(np.uint64)
         with np.errstate(over="ignore"):
@@ -415,6 +416,136 @@ class Model:
         return columns, np.concatenate([r for r, _ in light]), np.concatenate([h for _, h in light])
 
 
+_OCCURRENCES, _ENTRIES = 1 << 22, 1 << 20  # about so many occurrences and weights meet in one part
+_COPIES = 1000
+_DOC = np.dtype([("uid", "<u8"), ("doc_id", "<i8"), ("no_id", "?"), ("held_out", "?"), ("n_tokens", "<i8"), ("n_known", "<i8"), ("base", "<f8"), ("score", "<f8"), ("copies", "<i8")])
+
+
+def _planes(x: np.ndarray) -> bytes:
+    """The values' first bytes, then their second ones, and so on: equal bytes come together and compress well."""
+    return x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
+
+
+def _lines(planes: bytes, kind: type) -> np.ndarray:
+    return np.frombuffer(planes, np.uint8).reshape(np.dtype(kind).itemsize, -1).T.copy().view(kind).ravel()
+
+
+def _steps(h: np.ndarray) -> bytes:
+    """Ascending hashes as their differences."""
+    return _planes(np.diff(h, prepend=np.uint64(0)))
+
+
+def _hashes(steps: bytes) -> np.ndarray:
+    return np.cumsum(_lines(steps, np.uint64), dtype=np.uint64)
+
+
+def _cuts(h: np.ndarray, bits: int) -> np.ndarray:
+    """Where each part of ascending hashes begins [+1]; a part is named by the top bits."""
+    return np.append(np.searchsorted(h, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)), len(h))
+
+
+def _found(shared, bits: int):
+    """Packets of the rare grams that rows hold, by part, and of the rows themselves; equal rows of a packet are one with copies."""
+
+    def packets(docs: np.ndarray, at: np.ndarray, h: np.ndarray) -> Iterator[pa.RecordBatch]:
+        _, first, place, n = np.unique(docs["uid"], return_index=True, return_inverse=True, return_counts=True)
+        held = first[place[at]] == at
+        at, h = place[at[held]], h[held]
+        docs = docs[first]
+        docs["copies"] = n
+        order = np.argsort(h)
+        at, h = at[order].astype(np.uint32), h[order]
+        cut = _cuts(h, bits)
+        for k in range(1 << bits):  # rows are spread evenly, wherever their grams go
+            own, part = docs[k :: 1 << bits], slice(cut[k], cut[k + 1])
+            if len(own) or part.start < part.stop:
+                some, local = np.unique(at[part], return_inverse=True)
+                columns = [docs["uid"][some].tobytes(), _planes(local.astype(np.uint32)), _steps(h[part]), own.tobytes()]
+                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), *(pa.array([x], pa.binary()) for x in columns)], names=["part", "uids", "at", "h", "docs"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        docs, at, h, rows, held = [], [], [], 0, 0
+        for batch in chunks(batches, "text"):
+            x, row, own = shared.value.scored(batch)
+            doc = np.zeros(batch.num_rows, _DOC)
+            for k in ("uid", "n_tokens", "n_known", "base", "score"):
+                doc[k] = x[k]
+            doc["doc_id"] = batch.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False)
+            doc["no_id"] = batch.column("doc_id").is_null().to_numpy(zero_copy_only=False)
+            doc["held_out"] = batch.column("held_out").fill_null(False).to_numpy(zero_copy_only=False)
+            docs.append(doc)
+            at.append(row + rows)
+            h.append(own)
+            rows += len(doc)
+            held += len(own) + len(doc)
+            if held > _FLUSH:
+                yield from packets(np.concatenate(docs), np.concatenate(at), np.concatenate(h))
+                docs, at, h, rows, held = [], [], [], 0, 0
+        if rows:
+            yield from packets(np.concatenate(docs), np.concatenate(at), np.concatenate(h))
+
+    return run
+
+
+def _known(bits: int):
+    """Packets of the weights by part."""
+
+    def packets(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(parts)
+        h, c, w = (rows[k].to_numpy() for k in ("h", "c", "w"))
+        order = np.argsort(h.view(np.uint64))
+        h, c, w = h.view(np.uint64)[order], c[order], w[order]
+        cut = _cuts(h, bits)
+        for k in np.flatnonzero(np.diff(cut)).tolist():
+            part = slice(cut[k], cut[k + 1])
+            columns = [_steps(h[part]), _planes(c[part]), _planes(w[part])]
+            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), *(pa.array([x], pa.binary()) for x in columns)], names=["part", "h", "c", "w"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        parts, held = [], 0
+        for batch in batches:
+            parts.append(batch)
+            held += batch.num_rows
+            if held > _FLUSH:
+                yield from packets(parts)
+                parts, held = [], 0
+        if held:
+            yield from packets(parts)
+
+    return run
+
+
+def _met(found: pa.Table, known: pa.Table) -> pa.Table:
+    """Rows of the packets of one part, and sums of the weights of the grams found in it by row."""
+    every = lambda values, kind: np.concatenate([np.zeros(0, kind), *values])
+    keys, place = np.unique(every((_hashes(x.as_py()) for x in known["h"]), np.uint64), return_inverse=True)
+    c, w = (np.bincount(place, every((_lines(x.as_py(), np.float64) for x in known[k]), np.float64), len(keys)) for k in ("c", "w"))
+    uids, sums = [np.zeros(0, np.uint64)], [np.zeros((3, 0))]
+    for uid, at, h in zip(found["uids"], found["at"], found["h"], strict=True):
+        uid, at, h = np.frombuffer(uid.as_py(), np.uint64), _lines(at.as_py(), np.uint32), _hashes(h.as_py())
+        if len(keys) and len(h):
+            place = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
+            held = keys[place] == h
+            at, place = at[held], place[held]
+            uids.append(uid)
+            sums.append(np.array([np.bincount(at, x, len(uid)) for x in (c[place] > 0, c[place], w[place])]))
+    uid, place = np.unique(np.concatenate(uids), return_inverse=True)
+    seen, root, w = (np.bincount(place, x, len(uid)) for x in np.concatenate(sums, axis=1))
+    docs = np.frombuffer(b"".join(x.as_py() for x in found["docs"]), _DOC)
+    none = [None] * len(uid)
+    both = lambda of_docs, of_sums, kind: pa.concat_arrays([pa.array(of_docs, kind), pa.array(of_sums, kind)])
+    zero, no = np.zeros(len(docs)), np.zeros(len(uid), np.int64)
+    column = {
+        "uid": both(docs["uid"].view(np.int64), uid.view(np.int64), pa.int64()),
+        "doc_id": pa.concat_arrays([pa.array(docs["doc_id"], pa.int64(), mask=docs["no_id"]), pa.array(none, pa.int64())]),
+        "held_out": pa.concat_arrays([pa.array(docs["held_out"], pa.bool_(), mask=docs["no_id"]), pa.array(none, pa.bool_())]),
+    }
+    column |= {k: both(docs[k], none, pa.int64()) for k in ("n_tokens", "n_known")} | {k: both(docs[k], none, pa.float64()) for k in ("base", "score")}
+    column |= {"copies": both(docs["copies"], no, pa.int64()), "times": both(np.ones(len(docs), np.int64), no, pa.int64()), "seen": both(zero.astype(np.int64), seen.astype(np.int64), pa.int64())}
+    column |= {"root": both(zero, root, pa.float64()), "w": both(zero, w, pa.float64())}
+    return pa.table(column)
+
+
 def scores(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of docs."""
     bounded_batches(docs)
@@ -436,33 +567,22 @@ def scores(docs: DataFrame) -> DataFrame:
     heavy, rare = weights.filter(frequent).groupBy("h").agg(F.max("c").alias("c"), F.sum("w").alias("w")).toArrow(), weights.filter(~frequent)
     count = heavy["c"].to_numpy(zero_copy_only=False).astype(float)
     unknown = float(-np.log10(tree.denominator))
-    model = Model(heavy["h"].to_numpy().view(np.uint64), np.where(np.isnan(count), 0.0, np.log10(np.nan_to_num(count) + 1.0) + unknown), heavy["w"].to_numpy(), filter_of(rare.filter("w <> 0")))
+    model = Model(heavy["h"].to_numpy().view(np.uint64), np.where(np.isnan(count), 0.0, np.log10(np.nan_to_num(count) + 1.0) + unknown), heavy["w"].to_numpy(), filter_of(rare.select("h")))
     shared = spark.sparkContext.broadcast(model)
 
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "text"):
-            x, _, _ = shared.value.scored(batch)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("held_out"), pa.array(x["uid"].view(np.int64)), pa.array(x["n_tokens"].astype(np.int64)), pa.array(x["n_known"].astype(np.int64)), pa.array(x["base"]), pa.array(x["score"])],
-                names=["doc_id", "held_out", "uid", "n_tokens", "n_known", "base", "score"],
-            )
-
-    def open_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in chunks(batches, "text"):
-            x, row, h = shared.value.scored(batch)
-            order = np.argsort(row, kind="stable")
-            uid = np.concatenate([x["uid"], x["uid"][row[order]]])
-            h = np.concatenate([x["uid"], h[order]])  # the first of these, which no table holds, count the copies of a row
-            yield pa.RecordBatch.from_arrays([pa.array(uid.view(np.int64)), pa.array(h.view(np.int64))], names=["uid", "h"])
-
-    # Rare grams: their weights come from the tables, sums go back to their rows.
-    met = rows.mapInArrow(open_grams, "uid long, h long").join(rare.select("h", "c", "w").hint("shuffle_hash"), "h", "left")
-    root = F.sum(F.when(F.col("c").isNotNull(), F.log10(F.col("c") + 1.0)))
-    per = met.groupBy("uid").agg(F.count("c").alias("seen"), root.alias("root"), F.sum("w").alias("w"), F.count_if(F.col("h") == F.col("uid")).alias("copies"))
-    share = lambda c: F.coalesce(F.col(c) / F.col("copies"), F.lit(0.0))
-    out = rows.mapInArrow(scored, "doc_id long, held_out boolean, uid long, n_tokens long, n_known long, base double, score double").join(per, "uid", "left")
+    # Rare grams: occurrences and weights meet by parts of the hashes, sums go back to their rows.
+    row = rare.agg(F.count("*").alias("k"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
+    bits = min(24, max(4, int(max(row["n"] / _OCCURRENCES, row["k"] / _ENTRIES)).bit_length()))
+    rare = rare.select("h", F.coalesce(F.log10(F.col("c") + 1.0), F.lit(0.0)).alias("c"), "w")
+    found = rows.mapInArrow(_found(shared, bits), "part int, uids binary, at binary, h binary, docs binary").groupBy("part")
+    known = rare.mapInArrow(_known(bits), "part int, h binary, c binary, w binary").groupBy("part")
+    columns = ("doc_id", "held_out", "n_tokens", "n_known", "base", "score")
+    met = found.cogroup(known).applyInArrow(_met, "uid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, copies long, times long, seen long, root double, w double")
+    per = met.groupBy("uid").agg(*(F.max(k).alias(k) for k in columns), *(F.sum(k).alias(k) for k in ("copies", "times", "seen", "root", "w")))
+    share = lambda c: F.col(c) / F.col("times")
     more = share("root") + (F.col("n_tokens") - F.col("n_known")) * F.lit(unknown)
-    return out.select(
+    out = per.select(
+        "copies",
         "doc_id",
         "held_out",
         "n_tokens",
@@ -471,3 +591,7 @@ def scores(docs: DataFrame) -> DataFrame:
         (F.col("base") + more).alias("base_score"),
         (F.col("score") + more + share("w")).alias("score"),
     )
+    # One row a copy, in steps of _COPIES, so that no array grows with the number of copies.
+    out = out.withColumn("step", F.explode(F.sequence(F.lit(0), F.expr(f"(copies - 1) div {_COPIES}"))))
+    out = out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.least(F.lit(_COPIES), F.col("copies") - F.col("step") * _COPIES))))
+    return out.drop("copies", "step", "copy")
