@@ -569,6 +569,7 @@ def scores(docs: DataFrame) -> DataFrame:
     unknown = float(-np.log10(tree.denominator))
     model = Model(heavy["h"].to_numpy().view(np.uint64), np.where(np.isnan(count), 0.0, np.log10(np.nan_to_num(count) + 1.0) + unknown), heavy["w"].to_numpy(), filter_of(rare.select("h")))
     shared = spark.sparkContext.broadcast(model)
+    _released(weights)
 
     # Rare grams: occurrences and weights meet by parts of the hashes, sums go back to their rows.
     row = rare.agg(F.count("*").alias("k"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
