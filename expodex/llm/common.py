@@ -16,6 +16,7 @@ import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHUNK_BYTES = 1 << 20
 
@@ -63,6 +64,27 @@ def removed(spark: SparkSession, path: str) -> None:
     folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
+#: A key is hot if it holds more than 1 / HOT of all rows: at most HOT keys are.
+HOT = 1024
+
+
+def looked_up(rows: DataFrame, table: DataFrame, keys: list[str], weight: str, total: int) -> DataFrame:
+    """rows joined (inner) with table, one row a key, on keys that are never null.
+
+    weight: column of table, the number of rows with the key (it is not returned); total: their sum or
+    more. The rows of a hot key are dealt, by a hash of the whole row, to parts of about total / HOT rows,
+    each of which gets the key's row of the table; the list of hot keys, HOT rows at most, is broadcast.
+    """
+    parts = F.ceil(F.col(weight) * F.lit(HOT) / F.lit(float(max(total, 1)))).cast("int")
+    shared = table.select("*", parts.alias("__parts"))
+    hot = shared.filter("__parts > 1").select(*keys, "__parts")
+    spread = shared.withColumn("__part", F.explode(F.sequence(F.lit(0), F.col("__parts") - 1))).drop("__parts", weight)
+    names = rows.columns
+    dealt = F.coalesce(F.pmod(F.xxhash64(*names), F.col("__parts")).cast("int"), F.lit(0))
+    held = rows.join(F.broadcast(hot), keys, "left").select(*names, dealt.alias("__part"))
+    return held.join(spread, [*keys, "__part"]).drop("__part")
+
+
 #: Rows of an Arrow batch: with texts of some kilobytes a batch stays below ten megabytes on both sides of the pipe.
 BATCH_ROWS = 2000
 

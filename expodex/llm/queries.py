@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import bpe, decontaminate, html, langid, minhash, pii, shard, suffixtree, topk, urlfilter
+from . import bpe, centroids, decontaminate, fim, html, langid, minhash, pii, shard, simhash, suffixtree, topk, urlfilter
 from .common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,8 +55,21 @@ def op10_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     return bpe.encoded(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
+def op11_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(table(spark, sf_dir, "documents"))
+
+
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.clustered(table(spark, sf_dir, "embeddings"))
+
+
+def op13_fim(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fim.digests(table(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_topk, op2_pii, op3_html, op4_urlfilter, op5_minhash, op6_decontaminate, op7_shard, op8_langid, op9_suffixtree, op10_bpe)}
+    every = (op1_topk, op2_pii, op3_html, op4_urlfilter, op5_minhash, op6_decontaminate, op7_shard, op8_langid, op9_suffixtree, op10_bpe, op11_simhash, op12_centroids, op13_fim)
+    return {f.__name__: f for f in every}
 
 
 _FOLD = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
@@ -100,6 +113,42 @@ FROM d LEFT JOIN h USING (doc_id) LEFT JOIN t USING (doc_id)
 """
 
 
+_MIDDLE = """
+WITH d AS (SELECT doc_id, coalesce(text, '') AS text, sha256('7:' || doc_id) AS h FROM documents),
+u AS (SELECT doc_id, text, regexp_extract_all(text, '[^\\n]*\\n|[^\\n]+') AS us,
+             ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2, ('0x' || h[25:32])::BIGINT AS h4 FROM d),
+r AS (SELECT *, len(us) AS n, least(h1 % (len(us) + 1), h2 % (len(us) + 1)) AS a, greatest(h1 % (len(us) + 1), h2 % (len(us) + 1)) AS b FROM u),
+p AS (SELECT *, array_to_string(us[1:a], '') AS pre, array_to_string(us[a + 1:b], '') AS mid, array_to_string(us[b + 1:n], '') AS suf,
+             CASE WHEN text = '' OR regexp_matches(text, '<[PSM]>') THEN 'plain' WHEN h4 % 100 < 50 THEN 'spm' ELSE 'psm' END AS form FROM r)
+SELECT doc_id, n::BIGINT AS n, form, CASE WHEN form <> 'plain' THEN length(pre) END AS prefix_chars, CASE WHEN form <> 'plain' THEN length(mid) END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+       sha256(text) AS restored_sha256
+FROM p
+"""
+
+
+def _clusters(k: int = 40, rounds: int = 5) -> str:
+    """Lloyd's rounds over all rows, one component a row, with means floored in integers."""
+    parts = [
+        "WITH e AS MATERIALIZED (SELECT row_number() OVER () AS r, vec_id, list_transform(embedding, lambda x: floor(256 * x::DOUBLE)::BIGINT) AS v FROM embeddings"
+        " WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)",
+        "x AS MATERIALIZED (SELECT r, i, v[i] AS c FROM e, unnest(range(1, 65)) AS t(i))",
+        f"o AS (SELECT r, row_number() OVER (ORDER BY sha256('2:' || vec_id), v) - 1 AS k FROM e QUALIFY k < {k})",
+        "m0 AS MATERIALIZED (SELECT k, i, c FROM o JOIN x USING (r))",
+    ]
+    for n in range(rounds + 1):
+        parts.append(f"d{n} AS (SELECT r, k, sum((x.c - m.c) * (x.c - m.c))::BIGINT AS d FROM x JOIN m{n} m USING (i) GROUP BY r, k)")
+        parts.append(f"a{n} AS MATERIALIZED (SELECT r, k, d FROM d{n} QUALIFY row_number() OVER (PARTITION BY r ORDER BY d, k) = 1)")
+        if n < rounds:
+            parts.append(f"s{n} AS (SELECT k, i, sum(c)::BIGINT AS s, count(*)::BIGINT AS q FROM a{n} JOIN x USING (r) GROUP BY k, i)")
+            parts.append(f"m{n + 1} AS MATERIALIZED (SELECT m.k, m.i, CASE WHEN s IS NULL THEN m.c ELSE (s - ((s % q) + q) % q) // q END AS c FROM m{n} m LEFT JOIN s{n} USING (k, i))")
+    parts.append(f"h AS (SELECT k, sha256(string_agg(c::VARCHAR, ',' ORDER BY i)) AS sha FROM m{rounds} GROUP BY k)")
+    return (
+        ", ".join(parts)
+        + f" SELECT vec_id, k::INTEGER AS cluster, d AS distance, (sum(d) OVER (PARTITION BY k))::BIGINT AS cluster_inertia, (sum(d) OVER ())::BIGINT AS inertia, sha AS centroid_sha256 FROM a{rounds} JOIN e USING (r) JOIN h USING (k)"
+    )
+
+
 def oracle_sql() -> dict[str, str]:
     """DuckDB SQL for the queries that it can express."""
-    return {"op1_topk": _TOPK, "op4_urlfilter": urlfilter.oracle(), "op5_minhash": _NEAR, "op6_decontaminate": _LEAKS}
+    return {"op12_centroids": _clusters(), "op13_fim": _MIDDLE, "op1_topk": _TOPK, "op4_urlfilter": urlfilter.oracle(), "op5_minhash": _NEAR, "op6_decontaminate": _LEAKS}
