@@ -1,7 +1,7 @@
 """The engine's queries by name, each with its DuckDB counterpart where SQL can express it.
 
-Domain vocabularies that never occur in the generated tables run on FIXTURES, rows that both engines
-build from the same text; on the tables the same operators take word lists that fire there.
+Domain vocabularies that never occur in the generated tables run on FIXTURES: every row of `customer` draws one
+of a few texts by its key, in both engines; on the tables the same operators take word lists that fire there.
 """
 
 from __future__ import annotations
@@ -92,13 +92,38 @@ FIXTURES = {
 }
 
 
-def _values(name: str) -> str:
+#: What a drawn row takes from its customer: a number of its own, a block of sources, a document's own URL.
+_OWN = {"ord": "c_custkey", "pdf_f.url": "t.url || '/' || CAST(c_custkey AS STRING)", "sources_f.ord": "t.ord", "sources_f.entity": "entity + 10 * CAST((c_custkey - c_custkey % 9) / 9 AS BIGINT)"}
+_OWN |= {f"edges_f.{c}": f"t.{c} || '-' || CAST(c_custkey AS STRING)" for c in ("src", "dst")}
+
+
+def _drawn(name: str) -> tuple[str, str, list[str]]:
+    """(rows with a number __k, condition that gives a customer its row, columns): every row of `customer` draws by its key.
+
+    found_f goes to the customers that draw the vendors of its numbers; every customer has all of edges_f.
+    """
     columns, rows = FIXTURES[name]
-    return f"(SELECT * FROM (VALUES {', '.join(rows)}) AS t({columns}))"
+    numbers = [int(r[1 : r.index(",")]) - 1 for r in rows] if name == "found_f" else [0] * len(rows) if name == "edges_f" else range(len(rows))
+    n = len(FIXTURES["vendors_f"][1]) if name == "found_f" else max(numbers) + 1
+    own = [f"{_OWN.get(f'{name}.{c}', _OWN.get(c, f't.{c}'))} AS {c}" for c in columns.split(", ")]
+    return f"(VALUES {', '.join(f'({k}, {r[1:]}' for k, r in zip(numbers, rows, strict=True))}) AS t(__k, {columns})", f"c_custkey % {n} = __k", own
+
+
+def _values(name: str) -> str:
+    rows, condition, columns = _drawn(name)
+    return f"(SELECT {', '.join(columns)} FROM customer JOIN {rows} ON {condition})"
 
 
 def fixture(spark: SparkSession, name: str) -> DataFrame:
-    return spark.sql(f"SELECT * FROM {_values(name)}")
+    """The texts themselves, for tests."""
+    columns, rows = FIXTURES[name]
+    return spark.sql(f"SELECT * FROM (VALUES {', '.join(rows)}) AS t({columns})")
+
+
+def drawn(spark: SparkSession, d: str, name: str) -> DataFrame:
+    rows, condition, columns = _drawn(name)
+    t = spark.sql(f"SELECT * FROM {rows}").alias("t")
+    return table(spark, d, "customer").select("c_custkey").join(F.broadcast(t), F.expr(condition)).selectExpr(*columns)
 
 
 # --- SQL helpers --------------------------------------------------------------------------------
@@ -212,7 +237,7 @@ def url_query_page(spark, d):
 
 @query(f"SELECT ord, url, {_in_suffixes(f'replace({_host("url")}, ' + chr(39) + 'www.' + chr(39) + ', ' + chr(39) * 2 + ')', D.NEWS_DOMAINS)} AS news FROM {_values('links_f')}")
 def url_news_filter(spark, d):
-    return fixture(spark, "links_f").select("ord", "url", U.is_news(F.col("url")).alias("news"))
+    return drawn(spark, d, "links_f").select("ord", "url", U.is_news(F.col("url")).alias("news"))
 
 
 # --- Links --------------------------------------------------------------------------------------
@@ -231,7 +256,7 @@ def link_score(spark, d):
 @query(f"""WITH f AS (SELECT *, lower(url) AS u, lower(url) || ' ' || lower(text) || ' ' || lower(title) AS every, len({_segments('url')}) AS depth, replace({_host('url')}, 'www.', '') AS h FROM {_values('links_f')})
 SELECT ord, url, (CASE WHEN {_in_suffixes('h', D.NEWS_DOMAINS)} THEN -10 ELSE {_scores(D.STRONG_KEYWORDS, D.MEDIUM_KEYWORDS)} END)::INTEGER AS score FROM f""")
 def link_score_domain_words(spark, d):
-    return fixture(spark, "links_f").select("ord", "url", S.link_score(F.col("url"), F.col("text"), F.col("title")).alias("score"))
+    return drawn(spark, d, "links_f").select("ord", "url", S.link_score(F.col("url"), F.col("text"), F.col("title")).alias("score"))
 
 
 @query(f"""WITH {_LINKS}, s AS (SELECT page_id, ord, url, {_scores(STRONG, MEDIUM)}::INTEGER AS score FROM l),
@@ -309,7 +334,7 @@ def _first_distinct(values: str, most: int) -> str:
 
 @query(f"SELECT ord, {_listed(_first_distinct(_EMAILS, 3))} AS emails FROM {_values('contacts_f')}")
 def email_extract(spark, d):
-    return fixture(spark, "contacts_f").select("ord", F.array_join(X.emails(F.col("text")), "|").alias("emails"))
+    return drawn(spark, d, "contacts_f").select("ord", F.array_join(X.emails(F.col("text")), "|").alias("emails"))
 
 
 @query(f"SELECT doc_id, {_listed(_first_distinct(_EMAILS.replace('|noreply', ''), 3))} AS emails FROM documents".replace("example", "nomatchatall"))
@@ -332,7 +357,7 @@ _KEY = "trim(regexp_replace(regexp_replace(regexp_replace(lower(trim({})), '\\b(
 
 @query(f"SELECT ord, name, {_KEY.format('name')} AS key FROM {_values('names_f')}")
 def company_key(spark, d):
-    return fixture(spark, "names_f").select("ord", "name", X.company_key(F.col("name")).alias("key"))
+    return drawn(spark, d, "names_f").select("ord", "name", X.company_key(F.col("name")).alias("key"))
 
 
 @query(f"SELECT {_KEY.format('p_name')} AS key, count(*) AS n FROM part GROUP BY 1")
@@ -413,14 +438,14 @@ def _country_cte() -> str:
 @query(f"""WITH {_country_cte()}, t AS (SELECT * FROM {_values('countries_f')})
 SELECT t.ord, text, (SELECT country FROM c WHERE alias = lower(trim(text))) AS exact, (SELECT arg_min(country, o) FROM b WHERE regexp_matches(lower(text), pattern)) AS first FROM t""")
 def country_exact(spark, d):
-    return fixture(spark, "countries_f").select("ord", "text", X.country_exact(F.col("text")).alias("exact"), X.country_first(F.col("text")).alias("first"))
+    return drawn(spark, d, "countries_f").select("ord", "text", X.country_exact(F.col("text")).alias("exact"), X.country_first(F.col("text")).alias("first"))
 
 
 @query(f"""WITH {_country_cte()}, t AS (SELECT * FROM {_values('countries_f')}),
 h AS (SELECT t.ord, o, country, lower(text) AS low, regexp_extract(lower(text), pattern, 0) AS hit, regexp_extract(lower(text), pattern, 1) AS edge FROM t, b WHERE regexp_matches(lower(text), pattern)),
 p AS (SELECT ord, arg_min(country, (strpos(low, hit) + length(edge), o)) AS country FROM h GROUP BY ord) SELECT t.ord, country FROM t LEFT JOIN p USING (ord)""")
 def country_earliest(spark, d):
-    return fixture(spark, "countries_f").select("ord", X.country_earliest(F.col("text")).alias("country"))
+    return drawn(spark, d, "countries_f").select("ord", X.country_earliest(F.col("text")).alias("country"))
 
 
 def _region_cte() -> str:
@@ -430,7 +455,7 @@ def _region_cte() -> str:
 
 @query(f"""WITH {_region_cte()}, q AS (SELECT * FROM {_values('regions_f')}) SELECT DISTINCT q.ord, label, engine FROM q JOIN r ON contains(lower(query), keyword) OR regexp_matches(lower(query), '{'|'.join(D.GLOBAL_KEYWORDS)}') UNION ALL SELECT ord, 'Global', 'google' FROM q""")
 def region_detect(spark, d):
-    return relational.detected_regions(fixture(spark, "regions_f"), D.region_table(spark))
+    return relational.detected_regions(drawn(spark, d, "regions_f"), D.region_table(spark))
 
 
 def _has_sql(text: str, words: list[str]) -> str:
@@ -443,13 +468,13 @@ SELECT ord, CASE WHEN tld = 'cn' OR contains(lower(url), '.com.cn') THEN 'baidu'
  WHEN {_has_sql('t', ['china', 'chinese', 'prc', 'beijing', 'shanghai', 'shenzhen', 'guangzhou'])} THEN 'baidu' WHEN {_has_sql('t', ['russia', 'russian', 'moscow', 'moskow'])} THEN 'yandex'
  WHEN {_has_sql('t', ['japan', 'japanese', 'tokyo', 'osaka', 'kyoto', 'nagoya'])} THEN 'yahoo' WHEN {_has_sql('t', ['korea', 'korean', 'seoul', 'busan', 'incheon'])} THEN 'naver' ELSE 'google' END AS engine FROM h""")
 def engine_route(spark, d):
-    return fixture(spark, "hosts_f").select("ord", U.engine(F.col("url"), F.col("country"), F.col("name")).alias("engine"))
+    return drawn(spark, d, "hosts_f").select("ord", U.engine(F.col("url"), F.col("country"), F.col("name")).alias("engine"))
 
 
 @query(f"""WITH m(label, field) AS (VALUES {', '.join("('{}', '{}')".format(k.replace("'", "''"), v) for k, v in D.LABELS.items())}), l AS (SELECT ord, trim(rtrim(trim(label), ':：')) AS k FROM {_values('labels_f')})
 SELECT l.ord, coalesce(a.field, b.field) AS field FROM l LEFT JOIN m a ON a.label = l.k LEFT JOIN m b ON b.label = lower(l.k)""")
 def label_map(spark, d):
-    return fixture(spark, "labels_f").select("ord", extract.label_field(F.col("label")).alias("field"))
+    return drawn(spark, d, "labels_f").select("ord", extract.label_field(F.col("label")).alias("field"))
 
 
 @query(f"SELECT page_id, {_host('url')} AS host FROM pages WHERE NOT {_in_suffixes(_host('url'), ['example.net', 'casino-win.example.com'])}")
@@ -544,38 +569,38 @@ def domain_parser(spark, d):
 # --- PDF, sitemap, JSON -------------------------------------------------------------------------
 
 
-@query("SELECT * FROM (VALUES ('u1', 'Alpha Corp', 'United Kingdom', 'A1', 0.85::DOUBLE), ('u1', 'Beta', NULL, 'B2', 0.567), ('u1', 'Gamma Ltd', 'Turkey', 'S9', 0.85)) t(url, name, country, booth_number, confidence)")
+@query("SELECT t.url || '/' || c_custkey AS url, name, country, booth_number, confidence FROM (VALUES ('u1', 'Alpha Corp', 'United Kingdom', 'A1', 0.85::DOUBLE), ('u1', 'Beta', NULL, 'B2', 0.567), ('u1', 'Gamma Ltd', 'Turkey', 'S9', 0.85)) t(url, name, country, booth_number, confidence) JOIN customer ON c_custkey % 2 = 0")
 def pdf_table_parse(spark, d):
-    return pdf.table_rows(fixture(spark, "pdf_f")).select("url", "name", "country", "booth_number", F.round("confidence_score", 3).alias("confidence"))
+    return pdf.table_rows(drawn(spark, d, "pdf_f")).select("url", "name", "country", "booth_number", F.round("confidence_score", 3).alias("confidence"))
 
 
-@query("SELECT * FROM (VALUES ('u2', 'SADAS', 'Afghanistan', NULL, 0.467::DOUBLE), ('u2', 'AMDA Foundation Limited', 'Australia', '4500A', 0.7), ('u2', 'ARB 4x4 ACCESSORIES', 'Australia', NULL, 0.467), ('u2', 'Delta Works', 'USA', 'H1-23', 0.7)) t(url, name, country, booth_number, confidence)")
+@query("SELECT t.url || '/' || c_custkey AS url, name, country, booth_number, confidence FROM (VALUES ('u2', 'SADAS', 'Afghanistan', NULL, 0.467::DOUBLE), ('u2', 'AMDA Foundation Limited', 'Australia', '4500A', 0.7), ('u2', 'ARB 4x4 ACCESSORIES', 'Australia', NULL, 0.467), ('u2', 'Delta Works', 'USA', 'H1-23', 0.7)) t(url, name, country, booth_number, confidence) JOIN customer ON c_custkey % 2 = 1")
 def pdf_numbered_parse(spark, d):
-    return pdf.numbered_rows(fixture(spark, "pdf_f")).select("url", "name", "country", "booth_number", F.round("confidence_score", 3).alias("confidence"))
+    return pdf.numbered_rows(drawn(spark, d, "pdf_f")).select("url", "name", "country", "booth_number", F.round("confidence_score", 3).alias("confidence"))
 
 
-@query("SELECT * FROM (VALUES ('u1', 3::BIGINT), ('u2', 4)) t(source_url, n)")
+@query("SELECT source_url || '/' || c_custkey AS source_url, n FROM (VALUES (0, 'u1', 3::BIGINT), (1, 'u2', 4)) t(k, source_url, n) JOIN customer ON c_custkey % 2 = k")
 def pdf_cascade(spark, d):
-    return pdf.vendors(fixture(spark, "pdf_f")).groupBy("source_url").agg(F.count("*").alias("n"))
+    return pdf.vendors(drawn(spark, d, "pdf_f")).groupBy("source_url").agg(F.count("*").alias("n"))
 
 
 @query(r"""WITH l AS (SELECT site, list_transform(regexp_extract_all(xml, '<loc>([^<]*)', 1), lambda x: trim(x)) AS ls FROM """ + _values("sitemaps_f") + r""")
 SELECT site, (i - 1)::INTEGER AS ord, ls[i] AS url, len(list_filter(ls, lambda x: suffix(lower(x), '.xml'))) > len(ls) * 0.5 AS is_index FROM l, unnest(range(1, len(ls) + 1)) AS u(i)""")
 def sitemap_locs(spark, d):
-    rows = fixture(spark, "sitemaps_f").withColumn("ls", snapshot.sitemap_locs(F.col("xml")))
+    rows = drawn(spark, d, "sitemaps_f").withColumn("ls", snapshot.sitemap_locs(F.col("xml")))
     return rows.select("site", snapshot.is_sitemap_index(F.col("ls")).alias("is_index"), F.posexplode("ls").alias("ord", "url")).select("site", "ord", "url", "is_index")
 
 
 @query("SELECT * FROM (VALUES ('ex.org', 'https://ex.org/exhibitor/1'), ('bad.org', 'https://bad.org/company/9')) t(site, url)")
 def sitemap_vendor_urls(spark, d):
-    rows = fixture(spark, "sitemaps_f").select("site", F.posexplode(snapshot.sitemap_locs(F.col("xml"))).alias("ord", "url"))
+    rows = drawn(spark, d, "sitemaps_f").select("site", F.posexplode(snapshot.sitemap_locs(F.col("xml"))).alias("ord", "url"))
     return links.sitemap_vendor_urls(rows).select("site", "url")
 
 
-@query("SELECT * FROM (VALUES ('a.org', 2.5::DOUBLE, '/admin|/tmp', false, true), ('b.org', NULL, '', true, true)) t(site, crawl_delay, disallowed, admin_allowed, home_allowed)")
+@query("SELECT site, crawl_delay, disallowed, admin_allowed, home_allowed FROM (VALUES (0, 'a.org', 2.5::DOUBLE, '/admin|/tmp', false, true), (1, 'b.org', NULL, '', true, true)) t(k, site, crawl_delay, disallowed, admin_allowed, home_allowed) JOIN customer ON c_custkey % 2 = k")
 def robots_rules(spark, d):
     r = snapshot.robots_rules(F.col("body"))
-    rows = fixture(spark, "robots_f")
+    rows = drawn(spark, d, "robots_f")
     return rows.select("site", r["crawl_delay"].alias("crawl_delay"), F.array_join(r["disallowed"], "|").alias("disallowed"), snapshot.robots_allow(F.col("body"), F.lit("/admin/x")).alias("admin_allowed"), snapshot.robots_allow(F.col("body"), F.lit("/")).alias("home_allowed"))
 
 
@@ -595,7 +620,7 @@ def url_ignored_extension(spark, d):
 
 @query(f"""WITH f AS (SELECT *, lower(url) AS u FROM {_values('links_f')}) SELECT ord, ({' + '.join(f"CASE WHEN contains(u, '{w}') THEN 2 ELSE 0 END + CASE WHEN contains(lower(text), '{w}') THEN 1 ELSE 0 END" for w in ('exhibitor', 'directory', 'booth'))})::INTEGER AS score FROM f""")
 def link_score_simple(spark, d):
-    return fixture(spark, "links_f").select("ord", S.simple_score(F.col("url"), F.col("text"), ["exhibitor", "directory", "booth"]).alias("score"))
+    return drawn(spark, d, "links_f").select("ord", S.simple_score(F.col("url"), F.col("text"), ["exhibitor", "directory", "booth"]).alias("score"))
 
 
 _BARE = "regexp_replace(html, '(?is)<script.*?</script>|<style.*?</style>|<head.*?</head>|<!--.*?-->', '', 'g')"
@@ -640,7 +665,7 @@ def listing_ranks(spark, d):
 
 @query(f"SELECT ord, round(({' + '.join(f'CASE WHEN {f} <> {chr(39) * 2} THEN 1 ELSE 0 END' for f in ('name', 'website', 'email', 'phone'))}) / 4.0::DOUBLE, 2) AS share FROM {_values('vendors_f')}")
 def share_filled(spark, d):
-    return fixture(spark, "vendors_f").select("ord", report.share_filled([F.col(f) for f in ("name", "website", "email", "phone")]).alias("share"))
+    return drawn(spark, d, "vendors_f").select("ord", report.share_filled([F.col(f) for f in ("name", "website", "email", "phone")]).alias("share"))
 
 
 # --- Validation ---------------------------------------------------------------------------------
@@ -655,12 +680,12 @@ def _confidence_sql() -> str:
 
 @query(f"SELECT ord, {_confidence_sql()} AS confidence_score FROM {_values('vendors_f')}")
 def confidence(spark, d):
-    return records.with_confidence(fixture(spark, "vendors_f").drop("confidence_score")).select("ord", "confidence_score")
+    return records.with_confidence(drawn(spark, d, "vendors_f").drop("confidence_score")).select("ord", "confidence_score")
 
 
 @query(f"SELECT ord, ({' + '.join(f'CASE WHEN {f} <> {chr(39) * 2} THEN 1 ELSE 0 END' for f in D.CORE_FIELDS)})::INTEGER AS n FROM {_values('vendors_f')}")
 def populated_count(spark, d):
-    return fixture(spark, "vendors_f").select("ord", X.populated([F.col(f) for f in D.CORE_FIELDS]).alias("n"))
+    return drawn(spark, d, "vendors_f").select("ord", X.populated([F.col(f) for f in D.CORE_FIELDS]).alias("n"))
 
 
 @query(rf"""WITH n AS (SELECT ord, trim(regexp_replace(name, '\s+', ' ', 'g')) AS n FROM {_values('names_f')})
@@ -668,7 +693,7 @@ SELECT ord, CASE WHEN length(n) < 2 OR length(n) > 300 OR regexp_matches(n, '^\d
  OR regexp_matches(n, '(?i)(^|[^A-Za-z0-9_])(series|zone|pavilion|sector|segment|division|corridor|gallery|court)\s*$') OR length(n) - length(replace(n, '/', '')) >= 2
  OR (length(n) - length(replace(n, '/', '')) = 1 AND length(n) <= 40 AND NOT regexp_matches(n, '[A-Z][a-z]{{2,}}.*[A-Z][a-z]{{2,}}')) THEN NULL ELSE n END AS name FROM n""")
 def validate_name(spark, d):
-    return fixture(spark, "names_f").select("ord", X.valid_name(F.col("name")).alias("name"))
+    return drawn(spark, d, "names_f").select("ord", X.valid_name(F.col("name")).alias("name"))
 
 
 @query(f"""WITH {_country_cte()}, v AS (SELECT * FROM {_values('vendors_f')})
@@ -679,12 +704,12 @@ SELECT v.ord, CASE WHEN regexp_matches(email, '^{D.EMAIL}') THEN email END AS em
  CASE WHEN length(description) >= 20 THEN left(description, 1000) END AS description FROM v""")
 def validate_fields(spark, d):
     c = F.col
-    return fixture(spark, "vendors_f").select("ord", X.valid_email(c("email")).alias("email"), X.valid_website(c("website")).alias("website"), X.valid_phone(c("phone")).alias("phone"), X.valid_country(c("country")).alias("country"), X.valid_description(c("description")).alias("description"))
+    return drawn(spark, d, "vendors_f").select("ord", X.valid_email(c("email")).alias("email"), X.valid_website(c("website")).alias("website"), X.valid_phone(c("phone")).alias("phone"), X.valid_country(c("country")).alias("country"), X.valid_description(c("description")).alias("description"))
 
 
 @query()
 def validate_records(spark, d):
-    return records.validated(fixture(spark, "vendors_f").drop("confidence_score"))
+    return records.validated(drawn(spark, d, "vendors_f").drop("confidence_score"))
 
 
 # --- Merge and deduplication --------------------------------------------------------------------
@@ -703,7 +728,7 @@ SELECT entity, {', '.join(f"nullif({f}, '') AS {f}" for f in fields)}, source_ur
 @query(_merge_sql())
 def merge_sources(spark, d):
     fields = [f for f in D.MERGE_FIELDS if f in FIXTURES["sources_f"][0].split(", ")]
-    out = records.merged_sources(fixture(spark, "sources_f"), "entity")
+    out = records.merged_sources(drawn(spark, d, "sources_f"), "entity")
     return out.select("entity", *[F.nullif(F.col(f), F.lit("")).alias(f) for f in fields], "source_url", "extraction_method")
 
 
@@ -716,7 +741,7 @@ _DEDUP_FIELDS = ["name", "website", "email", "phone", "address", "city", "countr
 @query(f"""WITH {_DEDUP_KEY} SELECT dedup_key, arg_min(ord, (-confidence_score, ord)) AS ord, max(confidence_score)::DOUBLE AS confidence_score, count(*) AS merged,
  {', '.join(f"coalesce(nullif(arg_min({f}, (-confidence_score, ord)), ''), arg_min({f}, ord) FILTER ({f} <> '')) AS {f}" for f in _DEDUP_FIELDS)} FROM k GROUP BY dedup_key""")
 def dedup_vendors(spark, d):
-    rows = fixture(spark, "vendors_f").withColumn("confidence_score", F.col("confidence_score").cast("double"))
+    rows = drawn(spark, d, "vendors_f").withColumn("confidence_score", F.col("confidence_score").cast("double"))
     return records.deduplicated(rows).select("dedup_key", "ord", "confidence_score", "merged", *_DEDUP_FIELDS)
 
 
@@ -735,20 +760,20 @@ sc AS (SELECT ord, url, domain, ({_cases(D.SEED_KEYWORDS_3, 'every', 'every', 3,
 
 @query(f"WITH {_SEED} SELECT ord, score FROM sc")
 def seed_score(spark, d):
-    return fixture(spark, "seeds_f").select("ord", S.seed_score(F.col("url"), F.col("title"), F.col("snippet")).alias("score"))
+    return drawn(spark, d, "seeds_f").select("ord", S.seed_score(F.col("url"), F.col("title"), F.col("snippet")).alias("score"))
 
 
 @query(f"""WITH {_SEED}, a AS (SELECT *, row_number() OVER (PARTITION BY lower(regexp_replace(url, '/+$', '')) ORDER BY ord) AS n FROM sc WHERE url <> ''),
 b AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY ord) AS m FROM a WHERE n = 1) SELECT ord, url, score FROM b WHERE m = 1 OR score >= 5""")
 def dedup_seeds(spark, d):
-    rows = fixture(spark, "seeds_f").withColumn("score", S.seed_score(F.col("url"), F.col("title"), F.col("snippet")))
+    rows = drawn(spark, d, "seeds_f").withColumn("score", S.seed_score(F.col("url"), F.col("title"), F.col("snippet")))
     return records.deduplicated_seeds(rows).select("ord", "url", "score")
 
 
 @query(f"""WITH {_SEED}, a AS (SELECT *, row_number() OVER (PARTITION BY lower(regexp_replace(url, '/+$', '')) ORDER BY ord) AS n FROM sc WHERE url <> ''),
 b AS (SELECT *, row_number() OVER (PARTITION BY domain ORDER BY ord) AS m FROM a WHERE n = 1) SELECT url, score FROM b WHERE m = 1 OR score >= 5 ORDER BY score DESC, ord LIMIT 3""")
 def seed_discovery(spark, d):
-    return plans.seeds(fixture(spark, "seeds_f"), most=3).select("url", "score")
+    return plans.seeds(drawn(spark, d, "seeds_f"), most=3).select("url", "score")
 
 
 @query("""WITH k AS (SELECT lower(trim(text)) AS key, doc_id FROM documents WHERE trim(text) <> ''), g AS (SELECT left(key, 100) AS name, count(*) AS n, min(doc_id) AS first_ord FROM k GROUP BY key HAVING count(*) > 1)
@@ -787,7 +812,7 @@ def metadata_left_join(spark, d):
 
 @query(f"SELECT ord, coalesce(nullif(event_name, ''), 'Fair') AS event_name, coalesce(nullif(city, ''), 'Bonn') AS city, '2026' AS event_date FROM {_values('vendors_f')}")
 def context_cross_fill(spark, d):
-    return relational.context_filled(fixture(spark, "vendors_f"), {"event_name": "Fair", "city": "Bonn", "event_date": "2026"}).select("ord", "event_name", "city", "event_date")
+    return relational.context_filled(drawn(spark, d, "vendors_f"), {"event_name": "Fair", "city": "Bonn", "event_date": "2026"}).select("ord", "event_name", "city", "event_date")
 
 
 @query(f"""WITH t(o, t) AS (VALUES {', '.join(f"({k}, '{t}')" for k, t in enumerate(D.SEARCH_TEMPLATES))}), r AS (SELECT r_regionkey, r_name FROM region) SELECT r_regionkey, r_name, o::INTEGER AS template_ord, replace(t, '{{query}}', 'drone') AS query FROM r, t""")
@@ -826,10 +851,10 @@ def source_cascade(spark, d):
 # --- Frontier -----------------------------------------------------------------------------------
 
 
-@query("SELECT * FROM (VALUES ('a', 0, 0, 10), ('b', 1, 1, 3), ('c', 0, 1, 9), ('d', 2, 2, 10), ('e', 3, 3, 1)) t(url, depth, round, priority)")
+@query("SELECT t.url || '-' || c_custkey AS url, depth, round, priority FROM customer, (VALUES ('a', 0, 0, 10), ('b', 1, 1, 3), ('c', 0, 1, 9), ('d', 2, 2, 10), ('e', 3, 3, 1)) t(url, depth, round, priority)")
 def crawl_frontier_bfs(spark, d):
-    seeds = spark.createDataFrame([("a",)], "url string")
-    return frontier.crawl(seeds, fixture(spark, "edges_f"), max_depth=3).select("url", "depth", "round", "priority")
+    seeds = table(spark, d, "customer").select(F.concat(F.lit("a-"), F.col("c_custkey").cast("string")).alias("url"))
+    return frontier.crawl(seeds, drawn(spark, d, "edges_f"), max_depth=3).select("url", "depth", "round", "priority")
 
 
 @query("""WITH RECURSIVE e AS (SELECT n_name AS src, r_name AS dst, 'list' AS kind FROM nation JOIN region ON n_regionkey = r_regionkey UNION ALL SELECT r_name, n_name, 'link' FROM nation JOIN region ON n_regionkey = r_regionkey),
@@ -853,17 +878,17 @@ def priority_pop(spark, d):
 
 @query(f"SELECT count(*) AS total, {', '.join(f'count_if(contains(extraction_method, {chr(39)}{w}{chr(39)}))::BIGINT AS {w}' for w in ('pdf', 'schema_org', 'rule_based', 'llm'))} FROM {_values('vendors_f')}")
 def method_buckets(spark, d):
-    return report.method_buckets(fixture(spark, "vendors_f"))
+    return report.method_buckets(drawn(spark, d, "vendors_f"))
 
 
 @query("\nUNION ALL ".join(f"SELECT '{f}' AS field, count_if({f} <> '')::BIGINT AS filled, (count_if({f} <> '') * 100 // count(*))::BIGINT AS percent FROM {_values('vendors_f')}" for f in ("country", "website", "email", "phone", "description", "linkedin", "event_name")))
 def fill_rates(spark, d):
-    return report.fill_rates(fixture(spark, "vendors_f"), ["country", "website", "email", "phone", "description", "linkedin", "event_name"])
+    return report.fill_rates(drawn(spark, d, "vendors_f"), ["country", "website", "email", "phone", "description", "linkedin", "event_name"])
 
 
 @query(f"SELECT count(DISTINCT nullif(country, '')) AS countries, count(DISTINCT nullif(event_name, '')) AS events FROM {_values('vendors_f')}")
 def distinct_values(spark, d):
-    return report.distinct_values(fixture(spark, "vendors_f"))
+    return report.distinct_values(drawn(spark, d, "vendors_f"))
 
 
 @query("SELECT source AS value, count(*) AS n, min(doc_id) AS first_ord FROM documents GROUP BY 1 ORDER BY n DESC, first_ord LIMIT 15")
@@ -881,13 +906,13 @@ def dynamic_columns(spark, d):
 @query(f"""WITH s AS (SELECT sum(crawled)::BIGINT AS crawled, sum(failed)::BIGINT AS failed, sum(schema_org) AS a, sum(rule_based) AS b, sum(llm)::BIGINT AS llm, sum(tokens_in) AS ti, sum(tokens_out) AS t2, max(elapsed)::DOUBLE AS elapsed FROM {_values('runs_f')})
 SELECT crawled, failed, llm, elapsed, llm * 100.0::DOUBLE / (a + b + llm) AS llm_percentage, crawled * 100.0::DOUBLE / (crawled + failed) AS success_rate, ti * 0.15::DOUBLE / 1000000 + t2 * 0.60::DOUBLE / 1000000 AS cost_usd, crawled / elapsed AS requests_per_second FROM s""")
 def run_stats(spark, d):
-    rows = fixture(spark, "runs_f").withColumn("elapsed", F.col("elapsed").cast("double"))
+    rows = drawn(spark, d, "runs_f").withColumn("elapsed", F.col("elapsed").cast("double"))
     return report.run_stats(rows).select("crawled", "failed", "llm", "elapsed", F.col("llm_percentage").cast("double").alias("llm_percentage"), F.col("success_rate").cast("double").alias("success_rate"), F.col("cost_usd").cast("double").alias("cost_usd"), "requests_per_second")
 
 
 @query(f"SELECT count(*) AS workers, count_if(status = 'done')::BIGINT AS done, count_if(status = 'error')::BIGINT AS failed, count_if(status = 'running')::BIGINT AS running, sum(vendors_found)::BIGINT AS vendors FROM {_values('progress_f')}")
 def pool_status(spark, d):
-    return report.pool_status(fixture(spark, "progress_f"))
+    return report.pool_status(drawn(spark, d, "progress_f"))
 
 
 # --- Enrichment ---------------------------------------------------------------------------------
@@ -898,41 +923,41 @@ _EMPTY = " + ".join(f"CASE WHEN {f} = '' THEN 1 ELSE 0 END" for f in _SIX)
 
 @query(f"SELECT ord, name FROM {_values('vendors_f')} WHERE {_EMPTY} >= 3")
 def needs_enrichment(spark, d):
-    return records.needs_enrichment(fixture(spark, "vendors_f")).select("ord", "name")
+    return records.needs_enrichment(drawn(spark, d, "vendors_f")).select("ord", "name")
 
 
 @query(f"SELECT ord, name FROM {_values('vendors_f')} WHERE {' + '.join(f'CASE WHEN {f} = {chr(39) * 2} THEN 1 ELSE 0 END' for f in ('website', 'email', 'phone', 'description', 'country'))} >= 2")
 def needs_websearch(spark, d):
-    return records.needs_enrichment(fixture(spark, "vendors_f"), ["website", "email", "phone", "description", "country"], 2).select("ord", "name")
+    return records.needs_enrichment(drawn(spark, d, "vendors_f"), ["website", "email", "phone", "description", "country"], 2).select("ord", "name")
 
 
 @query(f"""WITH v AS (SELECT * FROM {_values('vendors_f')}), f AS (SELECT * FROM {_values('found_f')})
 SELECT v.ord, coalesce(nullif(v.website, ''), nullif(f.website, '')) AS website, coalesce(nullif(v.email, ''), nullif(f.email, '')) AS email, coalesce(nullif(v.phone, ''), nullif(f.phone, '')) AS phone, coalesce(nullif(v.city, ''), nullif(f.city, '')) AS city FROM v LEFT JOIN f USING (ord)""")
 def enrich_merge(spark, d):
-    return records.enriched(fixture(spark, "vendors_f"), fixture(spark, "found_f"), "ord").select("ord", "website", "email", "phone", "city")
+    return records.enriched(drawn(spark, d, "vendors_f"), drawn(spark, d, "found_f"), "ord").select("ord", "website", "email", "phone", "city")
 
 
 @query(f"""WITH v AS (SELECT * FROM {_values('vendors_f')}), f AS (SELECT * FROM {_values('found_f')})
 SELECT v.ord, extraction_method || CASE WHEN {' OR '.join(f"(v.{f} = '' AND coalesce(f.{f}, '') <> '')" for f in ('website', 'email', 'phone', 'description', 'linkedin', 'category', 'city'))} THEN '+websearch' ELSE '' END AS extraction_method, coalesce(nullif(v.description, ''), nullif(f.description, '')) AS description FROM v LEFT JOIN f USING (ord)""")
 def websearch_fill(spark, d):
-    out = records.websearch_filled(fixture(spark, "vendors_f"), fixture(spark, "found_f"), "ord")
+    out = records.websearch_filled(drawn(spark, d, "vendors_f"), drawn(spark, d, "found_f"), "ord")
     return out.select("ord", "extraction_method", F.nullif("description", F.lit("")).alias("description"))
 
 
 @query(f"""SELECT ord, regexp_matches({_host('url')}, '\\.(cn|ru|su)$') OR contains(lower(url), '.com.cn') OR regexp_matches(lower(name || ' ' || country), 'china|shanghai|russia') OR regexp_matches(name, '[\\x{{4e00}}-\\x{{9fff}}\\x{{0400}}-\\x{{04ff}}]') AS hit FROM {_values('hosts_f')}""")
 def china_russia_filter(spark, d):
-    rows = fixture(spark, "hosts_f").withColumnRenamed("url", "website")
+    rows = drawn(spark, d, "hosts_f").withColumnRenamed("url", "website")
     return rows.select("ord", records.chinese_or_russian(rows).alias("hit"))
 
 
 @query()
 def directory_pipeline(spark, d):
-    return plans.directory(fixture(spark, "vendors_f").drop("confidence_score"), fixture(spark, "found_f"))
+    return plans.directory(drawn(spark, d, "vendors_f").drop("confidence_score"), drawn(spark, d, "found_f"))
 
 
 @query(f"SELECT count(*) AS n, count(DISTINCT ord) AS keys FROM {_values('vendors_f')}")
 def export_json_rows(spark, d):
-    rows = sinks.json_rows(fixture(spark, "vendors_f")).select(F.get_json_object("value", "$.source_url").alias("u"), F.get_json_object("value", "$.name").alias("n"), F.monotonically_increasing_id().alias("k"))
+    rows = sinks.json_rows(drawn(spark, d, "vendors_f")).select(F.get_json_object("value", "$.source_url").alias("u"), F.get_json_object("value", "$.name").alias("n"), F.monotonically_increasing_id().alias("k"))
     return rows.filter("u is not null and n is not null").agg(F.count("*").alias("n"), F.count_distinct("k").alias("keys"))
 
 
@@ -958,3 +983,5 @@ def first_per_text(spark, d):
 
 
 from . import catalog_more as catalog_more  # noqa: E402  (registers its queries)
+from . import catalog_state as catalog_state  # noqa: E402
+from . import catalog_repeats as catalog_repeats  # noqa: E402

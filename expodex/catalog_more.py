@@ -463,10 +463,13 @@ def pdf_numbered(spark, d):
     return pdf.numbered_rows(docs).select(F.col("url").cast("long").alias("l_orderkey"), "name", "country", "booth_number", F.round("confidence_score", 3).alias("confidence"))
 
 
-@query("""WITH RECURSIVE r(i) AS (SELECT 0 UNION ALL SELECT i + 1 FROM r WHERE i < 40) SELECT 'p' || i AS url, 0 AS depth, i AS round FROM r""")
+@query("""WITH c AS (SELECT c_custkey // 40 AS b, c_custkey % 40 AS i FROM customer)
+SELECT 'p' || b || '-' || i AS url, 0 AS depth, i::INTEGER AS round FROM c UNION SELECT 'p' || b || '-' || (i + 1), 0, (i + 1)::INTEGER FROM c""")
 def crawl_long_chain(spark, d):
-    """A chain of forty pagination links, which keep their depth."""
+    """Chains of forty pagination links, which keep their depth."""
     from .operators import frontier
 
-    edges = spark.range(40).select(_s("p", F.col("id")).alias("src"), _s("p", F.col("id") + 1).alias("dst"), F.lit("page").alias("kind"), F.lit(0).alias("score"))
-    return frontier.crawl(spark.createDataFrame([("p0",)], "url string"), edges, max_depth=2).select("url", "depth", "round")
+    k = F.col("c_custkey")
+    block, place = F.floor(k / 40).cast("long"), k % 40
+    edges = table(spark, d, "customer").select(_s("p", block, "-", place).alias("src"), _s("p", block, "-", place + 1).alias("dst"), F.lit("page").alias("kind"), F.lit(0).alias("score"))
+    return frontier.crawl(edges.filter("src like '%-0'").select(F.col("src").alias("url")), edges, max_depth=2).select("url", "depth", "round")

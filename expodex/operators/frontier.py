@@ -31,7 +31,19 @@ def scratch(spark: SparkSession) -> str:
 def _stored(df: DataFrame) -> DataFrame:
     path = f"{scratch(df.sparkSession)}/frontier-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    out = df.sparkSession.read.schema(df.schema).parquet(path)
+    out._scratch = path
+    return out
+
+
+def _dropped(*tables: DataFrame | None) -> None:
+    """Remove the files of tables made by _stored() that nothing reads any more."""
+    for df in tables:
+        path = getattr(df, "_scratch", None)
+        if path is not None:
+            jvm = df.sparkSession.sparkContext._jvm
+            folder = jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(df.sparkSession.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
 
 def popped(frontier: DataFrame, size: int = 100) -> DataFrame:
@@ -44,26 +56,45 @@ def crawl(seeds: DataFrame, edges: DataFrame, max_depth: int = 3, max_rounds: in
 
     kind `page` and `list` keep the depth (priority 8 and 9), `link` adds one (priority 1 to 10 by
     score). A URL takes the best entry of the round that first finds it. batch: URLs crawled in a
-    round by priority, the rest wait; limit: rounds end once so many were crawled. Otherwise rounds go
-    on until nothing waits; RuntimeError if something still does after max_rounds.
+    round by priority, the rest wait; limit: URLs crawled in all, the best of what waits; URLs that were
+    found but not crawled by then are returned as well. Otherwise rounds go on until nothing waits;
+    RuntimeError if something still does after max_rounds. The result's files stay in the scratch folder, those of rounds do not.
     """
-    visited = _stored(seeds.select("url").distinct().select("url", F.lit(0).alias("depth"), F.lit(10).alias("priority"), F.lit(0).alias("round")))
-    waiting = visited
+    first = seeds.filter("url is not null").select("url").distinct().select("url", F.lit(0).alias("depth"), F.lit(10).alias("priority"), F.lit(0).alias("round"))
+    parts = [_stored(first)]  # visited, in parts by round
+    waiting = parts[0]
     done = 0
     for k in range(1, max_rounds + 1):
-        now = waiting.orderBy(F.desc("priority"), "depth", "url").limit(batch) if batch else waiting
-        now = _stored(now) if batch else now
+        visited = parts[0]
+        for part in parts[1:]:
+            visited = visited.unionByName(part)
+        if limit is not None and done >= limit:
+            return visited
+        room = [n for n in (batch, None if limit is None else limit - done) if n is not None]
+        now = waiting
+        if room:
+            now = _stored(waiting.orderBy(F.desc("priority"), "depth", "url").limit(min(room)))
+            done += now.count()
         found = now.join(edges, now["url"] == edges["src"]).select(
             F.col("dst").alias("url"),
             F.when(F.col("kind") == "link", F.col("depth") + 1).otherwise(F.col("depth")).alias("depth"),
             F.when(F.col("kind") == "list", 9).when(F.col("kind") == "page", 8).otherwise(F.least(F.greatest(F.col("score"), F.lit(1)), F.lit(10))).alias("priority"),
         )
-        found = found.filter(F.col("depth") <= max_depth).join(visited.select("url"), "url", "left_anti")
+        found = found.filter((F.col("depth") <= max_depth) & F.col("url").isNotNull()).join(visited.select("url"), "url", "left_anti")
         new = _stored(first_by(found, ["url"], F.desc("priority"), F.col("depth")).withColumn("round", F.lit(k)))
-        left = waiting.join(now.select("url"), "url", "left_anti") if batch else None
-        waiting = _stored(left.unionByName(new)) if batch else new
-        done += batch or 0
-        visited = _stored(visited.unionByName(new)) if k % 8 == 0 else visited.unionByName(new)
-        if waiting.isEmpty() or (limit and done >= limit):
-            return visited
+        parts.append(new)
+        if room:
+            left = _stored(waiting.join(now.select("url"), "url", "left_anti").unionByName(new))
+            _dropped(now)
+        else:
+            left = new
+        if not any(waiting is p for p in parts):
+            _dropped(waiting)
+        waiting = left
+        if waiting.isEmpty():
+            return visited.unionByName(new)
+        if len(parts) >= 8:
+            whole = _stored(visited.unionByName(new))
+            _dropped(*[p for p in parts if p is not waiting])
+            parts = [whole]
     raise RuntimeError(f"the crawl did not end within {max_rounds} rounds")

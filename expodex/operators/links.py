@@ -122,26 +122,96 @@ def list_pages(scored: DataFrame, strong: list[str] = D.STRONG_KEYWORDS, medium:
 
 #: Patterns that blocked() takes at most: they are collected into one expression.
 MOST_PATTERNS = 10_000
+#: Lengths of the pieces that patterns are looked up by.
+GRAMS = (1, 2, 4, 8, 16)
+
+
+def _collected(patterns: DataFrame) -> list[str]:
+    """The distinct patterns, one more than MOST_PATTERNS at most."""
+    return [r["pattern"] for r in patterns.select(F.lower("pattern").alias("pattern")).filter("pattern <> ''").distinct().limit(MOST_PATTERNS + 1).collect()]
 
 
 def blocked(rows: DataFrame, patterns: DataFrame) -> DataFrame:
     """rows whose URL path holds none of the patterns, lower-cased; ValueError beyond MOST_PATTERNS of them. A null URL stays."""
-    held = [r["pattern"] for r in patterns.select(F.lower("pattern").alias("pattern")).filter("pattern <> ''").distinct().limit(MOST_PATTERNS + 1).collect()]
+    held = _collected(patterns)
     if len(held) > MOST_PATTERNS:
         raise ValueError(f"more than {MOST_PATTERNS} blocked patterns")
     return rows.filter(~F.coalesce(holds_any(U.path(F.col("url")), held), F.lit(False)))
 
 
+def not_blocked(rows: DataFrame, patterns: DataFrame) -> DataFrame:
+    """blocked() of any number of patterns: one expression up to MOST_PATTERNS, an index that is joined beyond."""
+    many = len(_collected(patterns)) > MOST_PATTERNS
+    return without_patterns(rows, patterns) if many else blocked(rows, patterns)
+
+
+def _grams(text: Column, size: int) -> Column:
+    """The distinct pieces of that length, none if the text is shorter."""
+    return F.when(F.length(text) >= size, F.array_distinct(F.transform(F.sequence(F.lit(1), F.length(text) - size + 1), lambda i: F.substring(text, i, F.lit(size))))).otherwise(F.array().cast("array<string>"))
+
+
+def pattern_index(patterns: DataFrame) -> DataFrame:
+    """gram, pattern: every pattern (lower-cased, not empty) under one of its pieces, that which fewest patterns hold.
+
+    The piece's length is the largest of GRAMS that fits, so a text holds the pattern only if it holds the piece.
+    """
+    own = patterns.select(F.lower("pattern").alias("pattern")).filter("pattern <> ''").distinct()
+    pieces = F.when(F.length("pattern") >= GRAMS[-1], _grams(F.col("pattern"), GRAMS[-1]))
+    for size in reversed(GRAMS[:-1]):
+        pieces = pieces.when(F.length("pattern") >= size, _grams(F.col("pattern"), size))
+    each = own.select("pattern", F.explode(pieces).alias("gram"))
+    return each.join(each.groupBy("gram").agg(F.count("*").alias("n")), "gram").groupBy("pattern").agg(F.min_by("gram", F.struct("n", "gram")).alias("gram"))
+
+
+def texts_holding(texts: DataFrame, patterns: DataFrame) -> DataFrame:
+    """The distinct values of the column `text` that hold a pattern, exact: pieces are joined, then compared.
+
+    Texts and patterns meet by equal pieces, so work follows the pieces they share, not their product; the index is
+    broadcast only if Spark finds it small.
+    """
+    index = pattern_index(patterns)
+    sizes = sorted(r["n"] for r in index.select(F.length("gram").alias("n")).distinct().collect())  # of GRAMS
+    none = F.array().cast("array<string>")
+    pieces = F.concat(none, *[_grams(F.col("text"), n) for n in sizes])
+    each = texts.select("text").filter("text is not null").distinct().select("text", F.explode(pieces).alias("gram"))
+    return each.join(index, "gram").filter(F.col("text").contains(F.col("pattern"))).select("text").distinct()
+
+
+def without_patterns(rows: DataFrame, patterns: DataFrame) -> DataFrame:
+    """blocked() by an index of the patterns; rows are shuffled by their path."""
+    marked = rows.withColumn("__path", F.lower(U.path(F.col("url"))))
+    gone = texts_holding(marked.select(F.col("__path").alias("text")), patterns).withColumnRenamed("text", "__path")
+    return marked.join(gone, "__path", "left_anti").drop("__path")
+
+
 def holds_any(path: Column, patterns: list[str]) -> Column:
     """Whether the path, lower-cased, holds one of the words."""
     return F.lower(path).rlike("|".join("".join("\\" + c if c in ".^$*+?()[]{}|\\-" else c for c in p) for p in sorted(patterns))) if patterns else F.lit(False)
 
 
+def runs(rows: Column, key: Callable[[Column], Column], made: Callable[[Column], Column]) -> Column:
+    """made(the elements of each key) for every key of an array, in the order of the keys; linear after one sort.
+
+    key: a value that is never null; elements of a key keep the array's order.
+    """
+    places = F.array_sort(F.transform(rows, lambda a, k: F.struct(key(a).alias("k"), k.alias("n"))))
+
+    def cut(placed: Column) -> Column:
+        starts = F.filter(F.transform(placed, lambda p, k: F.when((k == 0) | (F.get(placed, k - 1)["k"] != p["k"]), k)), lambda k: k.isNotNull())
+        return U.let(starts, lambda at: F.transform(at, lambda k, i: made(F.transform(F.slice(placed, k + 1, F.coalesce(F.get(at, i + 1), F.size(placed)) - k), lambda p: F.get(rows, p["n"])))))
+
+    return U.let(places, cut)
+
+
 def vendor_urls(
     pages: DataFrame, sitemap: DataFrame | None = None, words: list[str] = D.VENDOR_PATH_KEYWORDS, navigation: list[str] = D.NAV_PATH_KEYWORDS, patterns: DataFrame | None = None, most: int = 100, group: int = 3
 ) -> DataFrame:
     """Profile URLs of listing pages: keywords in the path, +5 for every occurrence in a repeated prefix,
-    +8 for a place in the site's own sitemap (page_id, url). Long queries (over 30 characters) are no profiles."""
+    +8 for a place in the site's own sitemap (page_id, url). Long queries (over 30 characters) are no profiles.
+
+    Occurrences, prefixes and the sitemap are counted within a page's array by sorting it, so the work is linear (but for the sort)
+    in a page's links and in its sitemap.
+    """
     short = r"/+$"
 
     def good(a: Column) -> Column:
@@ -149,31 +219,29 @@ def vendor_urls(
         return (a["absolute"] != "") & ~F.startswith(F.trim(a["href"]), F.lit("#")) & own & (F.length(U.query(a["absolute"])) <= 30) & ~S.is_navigation(a["absolute"], navigation)
 
     rows = computed(page_anchors(pages), links=F.filter("links", good))
-    each = lambda a: F.struct(a["absolute"].alias("url"), U.pattern_key(a["absolute"]).alias("prefix"), S.vendor_path_score(a["absolute"], words).alias("by_path"), a["ord"].alias("ord"))
-    rows = rows.select("page_id", F.explode(F.transform("links", each)).alias("a")).select("page_id", "a.*")
-    if patterns is not None:
-        rows = blocked(rows, patterns)
-    # URLs and prefixes of a page are counted by map-side sums of its few rows.
-    urls = rows.groupBy("page_id", "prefix", "url").agg(F.min("ord").alias("ord"), F.count("*").alias("times"), F.first("by_path").alias("by_path"))
-    within = urls.groupBy("page_id").agg(F.collect_list(F.struct("prefix", "url", "ord", "times", "by_path")).alias("links"))
-    if sitemap is not None:
-        listed = sitemap.groupBy("page_id").agg(F.collect_set("url").alias("listed"))
-        within = within.join(listed, "page_id", "full").withColumn("links", F.coalesce("links", F.expr("cast(array() as array<struct<prefix:string,url:string,ord:int,times:bigint,by_path:int>>)")))
-    counts = F.aggregate("links", F.create_map().cast("map<string,bigint>"), lambda m, a: F.map_concat(F.map_filter(m, lambda k, v: k != a["prefix"]), F.create_map(a["prefix"], F.coalesce(F.try_element_at(m, a["prefix"]), F.lit(0).cast("bigint")) + a["times"])))
-    within = computed(within, counts=counts)
-    boost = lambda a: F.when(F.try_element_at("counts", a["prefix"]) >= group, 5 * a["times"]).otherwise(0)
-    score = lambda a: (a["by_path"] + boost(a)).cast("long")
-    place = lambda a: a["ord"]
-    if sitemap is not None:
-        in_map = lambda a: F.coalesce(F.array_contains("listed", a["url"]), F.lit(False))
-        score = lambda a: F.when(in_map(a), 8 + boost(a)).otherwise(a["by_path"] + boost(a)).cast("long")
-        place = lambda a: F.when(in_map(a), F.lit(-1)).otherwise(a["ord"])
-    found = F.transform("links", lambda a: F.struct(a["url"].alias("url"), score(a).alias("score"), place(a).alias("ord")))
+    each = lambda a: F.struct(a["absolute"].alias("url"), a["ord"].alias("ord"), F.lit(1).alias("times"), F.lit(False).alias("listed"))
+    rows = computed(rows, links=F.transform("links", each))
+    none = F.expr("cast(array() as array<struct<url:string,ord:int,times:int,listed:boolean>>)")
+    if patterns is not None:  # as rows, since there may be any number of patterns
+        kept = not_blocked(rows.select("page_id", F.explode("links").alias("a")).select("page_id", "a.*"), patterns)
+        rows = kept.groupBy("page_id").agg(F.collect_list(F.struct("url", "ord", "times", "listed")).alias("links"))
     if sitemap is not None:
-        only = F.filter("listed", lambda u: ~F.exists("links", lambda a: a["url"] == u))
-        found = F.concat(found, F.coalesce(F.transform(only, lambda u: F.struct(u.alias("url"), F.lit(8).cast("long").alias("score"), F.lit(-1).alias("ord"))), F.expr("cast(array() as array<struct<url:string,score:bigint,ord:int>>)")))
-    within = computed(within, found=F.filter(found, lambda a: a["score"] > 0))
-    best = computed(within, best=ranked(F.col("found"), lambda a: [-a["score"], a["ord"], a["url"]], most))
+        listed = sitemap.filter("url is not null").groupBy("page_id").agg(F.collect_set("url").alias("sitemap"))
+        told = F.transform(F.coalesce("sitemap", F.array().cast("array<string>")), lambda u: F.struct(u.alias("url"), F.lit(-1).alias("ord"), F.lit(0).alias("times"), F.lit(True).alias("listed")))
+        rows = rows.select("page_id", "links").join(listed, "page_id", "full").select("page_id", F.concat(F.coalesce("links", none), told).alias("links"))
+    total = lambda group, f: F.aggregate(group, F.lit(0), lambda n, a: n + a[f])
+    place = lambda group: F.array_min(F.transform(group, lambda a: a["ord"]))
+    by_url = lambda g: F.struct(F.get(g, 0)["url"].alias("url"), place(g).alias("ord"), total(g, "times").alias("times"), F.exists(g, lambda a: a["listed"]).alias("listed"))
+    rows = computed(rows, links=runs(F.col("links"), lambda a: a["url"], by_url))
+    rows = computed(rows, links=F.transform("links", lambda a: F.struct(U.pattern_key(a["url"]).alias("prefix"), S.vendor_path_score(a["url"], words).alias("by_path"), a.alias("a"))))
+
+    def scored(g: Column) -> Column:
+        often = F.aggregate(g, F.lit(0), lambda n, b: n + b["a"]["times"]) >= group
+        score = lambda b: F.when(b["a"]["listed"], 8).otherwise(b["by_path"]) + F.when(often, 5 * b["a"]["times"]).otherwise(0)
+        return F.transform(g, lambda b: F.struct(b["a"]["url"].alias("url"), score(b).cast("long").alias("score"), b["a"]["ord"].alias("ord")))
+
+    found = computed(rows, found=F.flatten(runs(F.col("links"), lambda b: b["prefix"], scored)))
+    best = computed(found, best=ranked(F.filter("found", lambda a: a["score"] > 0), lambda a: [-a["score"], a["ord"], a["url"]], most))
     return best.select("page_id", F.explode("best").alias("r")).select("page_id", "r.a.url", "r.a.score", "r.rank")
 
 

@@ -24,6 +24,16 @@ def _country_of_cell(raw: Column) -> Column:
     return F.when(X.missing(raw).isNotNull(), F.coalesce(F.try_element_at(named, F.lit(1)), F.trim(F.element_at(F.split(raw, "/"), 1))))
 
 
+def documents(docs: DataFrame) -> DataFrame:
+    """(url, markdown) with `doc`, a document's own name; a document that is repeated, URL and text, is one."""
+    return docs.select("url", "markdown").dropDuplicates().withColumn("doc", F.xxhash64(F.lit(1), "url", "markdown"))
+
+
+def _by(docs: DataFrame) -> list[str]:
+    """What tells documents apart: their own name if they have one, else the URL."""
+    return ["url", "doc"] if "doc" in docs.columns else ["url"]
+
+
 def _confidence(weight: float) -> Column:
     return F.least(X.populated([F.col("name"), F.col("country"), F.col("booth_number")]) / F.lit(3.0), F.lit(1.0)) * F.lit(weight)
 
@@ -33,7 +43,8 @@ def table_rows(docs: DataFrame) -> DataFrame:
 
     Header rows carry forward to the next header; the first row of each name in a document stays.
     """
-    lines = docs.select("url", F.posexplode(F.split("markdown", "\n")).alias("line", "raw")).withColumn("raw", F.trim("raw")).filter("startswith(raw, '|')")
+    by = _by(docs)
+    lines = docs.select(*by, F.posexplode(F.split("markdown", "\n")).alias("line", "raw")).withColumn("raw", F.trim("raw")).filter("startswith(raw, '|')")
     parts = F.split("raw", r"\|")
     cells = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0))), lambda c: F.trim(c))
     rows = lines.withColumn("cells", cells).filter(F.exists("cells", lambda c: (c != "") & ~c.rlike("^-+$")))
@@ -43,12 +54,12 @@ def table_rows(docs: DataFrame) -> DataFrame:
     is_name, is_land = lambda c: F.array_contains(names, c), lambda c: F.array_contains(lands, c)
     header = F.struct(last(is_name).alias("name"), last(is_land).alias("country"), last(lambda c: ~is_name(c) & ~is_land(c) & c.rlike(BOOTH_HEADERS)).alias("booth"))
     rows = rows.withColumn("header", F.when(F.exists(upper, is_name), header))
-    so_far = Window.partitionBy("url").orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    so_far = Window.partitionBy(*by).orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     rows = rows.withColumn("at", F.last("header", ignorenulls=True).over(so_far)).filter("header is null and at is not null")
     cell = lambda k: F.when(k >= 0, F.get("cells", k))
-    rows = rows.select("url", "line", cell(F.col("at.name")).alias("name"), _country_of_cell(cell(F.col("at.country"))).alias("country"), X.missing(F.left(cell(F.col("at.booth")), F.lit(60))).alias("booth_number"))
+    rows = rows.select(*by, "line", cell(F.col("at.name")).alias("name"), _country_of_cell(cell(F.col("at.country"))).alias("country"), X.missing(F.left(cell(F.col("at.booth")), F.lit(60))).alias("booth_number"))
     rows = rows.filter((F.length("name") >= 2) & ~F.col("name").rlike("^-+$") & ~F.upper("name").isin(NAME_HEADERS + NUMBER_HEADERS))
-    rows = first_by(rows.withColumn("__key", F.lower("name")), ["url", "__key"], F.col("line")).drop("__key")
+    rows = first_by(rows.withColumn("__key", F.lower("name")), [*by, "__key"], F.col("line")).drop("__key")
     return rows.withColumn("extraction_method", F.lit("pdf_table")).withColumn("confidence_score", _confidence(0.85))
 
 
@@ -57,18 +68,19 @@ def numbered_rows(docs: DataFrame, country_first: bool = True) -> DataFrame:
 
     country_first=False reads an all-capital country in the second column as a booth.
     """
+    by = _by(docs)
     body = F.regexp_replace("markdown", r"(?s)^.*?Markdown Content:", "")
-    blocks = docs.select("url", F.posexplode(F.split(body, r"\n\n+")).alias("line", "block"))
+    blocks = docs.select(*by, F.posexplode(F.split(body, r"\n\n+")).alias("line", "block"))
     blocks = blocks.withColumn("block", F.trim(F.regexp_replace(F.trim("block"), r"\s*\n\s*", " "))).filter(F.col("block") != "").filter(~F.col("block").rlike(SKIPPED))
     blocks = blocks.withColumn("starts", F.col("block").rlike(r"^\d+\s{1,2}.").cast("int"))
-    so_far = Window.partitionBy("url").orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    so_far = Window.partitionBy(*by).orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
     blocks = blocks.withColumn("entry", F.sum("starts").over(so_far)).filter("entry > 0")
     blocks = blocks.withColumn("block", F.when(F.col("starts") == 1, F.regexp_replace("block", r"^\d+\s{1,2}", "")).otherwise(F.col("block")))
     # An entry is a few blocks; the list is short.
     text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "block"))), lambda b: b["block"]), "  ")
-    rows = blocks.groupBy("url", "entry").agg(text.alias("text"), F.min("line").alias("line"))
+    rows = blocks.groupBy(*by, "entry").agg(text.alias("text"), F.min("line").alias("line"))
     part = lambda k: F.try_element_at(F.filter(F.transform(F.split("text", r"\s{2,}"), lambda p: F.trim(p)), lambda p: p != ""), F.lit(k))
-    rows = rows.select("url", "line", part(1).alias("p1"), F.trim(F.regexp_replace(part(2), r"\s*\([^)]+\)\s*$", "")).alias("p2"), part(3).alias("p3"))
+    rows = rows.select(*by, "line", part(1).alias("p1"), F.trim(F.regexp_replace(part(2), r"\s*\([^)]+\)\s*$", "")).alias("p2"), part(3).alias("p3"))
     rows = rows.filter(F.length("p1").between(2, 200) & ~F.col("p1").rlike(r"^\d+$") & ~F.col("p1").rlike(SKIPPED))
     known = lambda c: F.coalesce(X.country_exact(c).isNotNull() | X.country_first(c).isNotNull(), F.lit(False))
     coded = F.coalesce(F.col("p2").rlike(r"^[A-Z0-9][A-Za-z0-9_,\-\s]{0,15}$") & (F.length("p2") <= 12) & ~F.col("p2").rlike("[a-z]"), F.lit(False))
@@ -79,7 +91,7 @@ def numbered_rows(docs: DataFrame, country_first: bool = True) -> DataFrame:
     rows = rows.withColumn("name", name).withColumn("third", third)
     country = F.coalesce(F.when(F.col("second") == "country", F.col("p2")), F.when(F.col("third") == "country", F.col("p3")), X.country_earliest(F.col("name")))
     booth = F.coalesce(F.when(F.col("second") == "booth", F.col("p2")), F.when(F.col("third") == "booth", F.col("p3")))
-    rows = rows.select("url", "line", "name", country.alias("country"), X.missing(F.left(booth, F.lit(60))).alias("booth_number"))
+    rows = rows.select(*by, "line", "name", country.alias("country"), X.missing(F.left(booth, F.lit(60))).alias("booth_number"))
     return rows.withColumn("extraction_method", F.lit("pdf_rule_based")).withColumn("confidence_score", _confidence(0.7))
 
 
@@ -92,15 +104,19 @@ def event_header(docs: DataFrame) -> DataFrame:
     form = rf"(?i)(\d{{1,2}}(?:\s*[-–]\s*\d{{1,2}})?\s+(?:{months})[a-z]*\.?,?\s+\d{{4}}|(?:{months})[a-z]*\.?\s+\d{{1,2}}(?:\s*[-–]\s*\d{{1,2}})?,?\s+\d{{4}}|\d{{4}}-\d{{2}}-\d{{2}})"
     date = F.filter(F.transform(lines, lambda x: F.regexp_extract(x, form, 1)), lambda x: x != "")
     first = lambda c: F.try_element_at(c, F.lit(1))
-    return docs.select("url", F.left(first(name), F.lit(200)).alias("event_name"), F.trim(F.regexp_replace(first(place), r"^[^:]*:", "")).alias("event_location"), first(date).alias("event_date"))
+    return docs.select(*_by(docs), F.left(first(name), F.lit(200)).alias("event_name"), F.trim(F.regexp_replace(first(place), r"^[^:]*:", "")).alias("event_location"), first(date).alias("event_date"))
 
 
 def vendors(docs: DataFrame, enough: int = 3) -> DataFrame:
-    """Cascade of each document: its table if that has `enough` rows, else its numbered entries, else both."""
-    table, numbered = table_rows(docs), numbered_rows(docs)
-    n = table.groupBy("url").agg(F.count("*").alias("n_table")).join(numbered.groupBy("url").agg(F.count("*").alias("n_numbered")), "url", "full")
+    """Cascade of each document: its table if that has `enough` rows, else its numbered entries, else both.
+
+    Documents that share a URL are read one by one; one that is repeated is read once.
+    """
+    held = documents(docs)
+    table, numbered = table_rows(held), numbered_rows(held)
+    n = table.groupBy("doc").agg(F.count("*").alias("n_table")).join(numbered.groupBy("doc").agg(F.count("*").alias("n_numbered")), "doc", "full")
     n = n.na.fill(0, ["n_table", "n_numbered"])
-    from_table = table.join(n, "url").filter(f"n_table >= {enough} or n_numbered < {enough}")
-    from_numbered = numbered.join(n, "url").filter(f"n_table < {enough}")
+    from_table = table.join(n, "doc").filter(f"n_table >= {enough} or n_numbered < {enough}")
+    from_numbered = numbered.join(n, "doc").filter(f"n_table < {enough}")
     out = from_table.unionByName(from_numbered).drop("n_table", "n_numbered")
-    return out.join(event_header(docs), "url", "left").withColumnRenamed("url", "source_url").withColumnRenamed("line", "ord")
+    return out.join(event_header(held).drop("url"), "doc", "left").drop("doc").withColumnRenamed("url", "source_url").withColumnRenamed("line", "ord")

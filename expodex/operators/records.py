@@ -133,15 +133,28 @@ def confident(df: DataFrame, least: float = 0.10) -> DataFrame:
     return df.filter(F.coalesce("confidence_score", F.lit(0.0)) >= least)
 
 
-def enriched(df: DataFrame, found: DataFrame, key: str, fields: list[str] = D.ENRICHABLE, blank_short: bool = False, only: Column | None = None) -> DataFrame:
-    """Left merge: empty fields filled from `found` (of several rows of a key the first by its values), never overwritten.
+def first_values(found: DataFrame, key: str, fields: list[str], order: Column | None = None) -> DataFrame:
+    """key and `__new`, a struct of the fields: of a key's rows the first value of each field that is not missing.
+
+    order: which row comes first; by default that with fewest missing fields, then by the values themselves.
+    """
+    value = lambda f: X.missing(F.col(f))
+    if order is None:
+        order = F.struct(F.lit(len(fields)) - X.populated([F.col(f) for f in fields]), *[F.struct(value(f).isNull(), value(f)) for f in fields])
+    picked = [F.min_by(f, F.when(value(f).isNotNull(), F.col("__order"))).alias(f) for f in fields]
+    rows = found.select(key, *fields, order.alias("__order")).groupBy(key).agg(*picked)
+    return rows.select(key, F.struct(*fields).alias("__new"))
+
+
+def enriched(df: DataFrame, found: DataFrame, key: str, fields: list[str] = D.ENRICHABLE, blank_short: bool = False, only: Column | None = None, order: Column | None = None) -> DataFrame:
+    """Left merge: empty fields filled from `found` (of several rows of a key, each field's first_values()), never overwritten.
 
     Existing and new values are cleaned first; blank_short=True also empties values that are shorter
     than three characters; rows outside `only` stay as they are.
     """
     both = [f for f in fields if f in found.columns and f in df.columns]
     only = F.lit(True) if only is None else only
-    new = found.groupBy(key).agg(F.min(F.struct(*[F.col(f) for f in both])).alias("__new")) if both else found.select(key, F.lit(None).alias("__new")).distinct()
+    new = first_values(found, key, both, order) if both else found.select(key, F.lit(None).alias("__new")).distinct()
     out = df.withColumn("__only", only).join(new, key, "left")
     columns = []
     for f, kind in df.dtypes:
@@ -155,10 +168,10 @@ def enriched(df: DataFrame, found: DataFrame, key: str, fields: list[str] = D.EN
     return out.select(*columns)
 
 
-def websearch_filled(df: DataFrame, found: DataFrame, key: str, only: Column | None = None, mark: str = "+websearch") -> DataFrame:
-    """Any string field of `found` (of several rows of a key the first by its values) fills an empty one; the method says so if anything was filled."""
+def websearch_filled(df: DataFrame, found: DataFrame, key: str, only: Column | None = None, mark: str = "+websearch", order: Column | None = None) -> DataFrame:
+    """Any string field of `found` (of several rows of a key, each field's first_values()) fills an empty one; the method says so if anything was filled."""
     fields = [f for f in found.columns if f != key and f in df.columns and f != "extraction_method"]
-    new = found.groupBy(key).agg(F.min(F.struct(*[F.col(f) for f in fields])).alias("__new"))
+    new = first_values(found, key, fields, order)
     out = df.withColumn("__only", F.lit(True) if only is None else only).join(new, key, "left")
     fill = {f: F.when(F.col("__only"), X.missing(F.col("__new")[f])) for f in fields}
     filled = F.lit(False)

@@ -99,14 +99,18 @@ def discovered(query: str, results: DataFrame, regions: DataFrame, most: int | N
 
 
 def domain_enriched(vendors: DataFrame, pages: DataFrame) -> DataFrame:
-    """vendors (with `ord`) filled from the home pages of their own domains (page_id, url, html), one parse a page.
+    """vendors (with `ord`) filled from the pages of their own registered domains (page_id, url, html), one parse a page.
 
-    A vendor with several home pages takes the least page_id; the vendor's own values stay first.
+    A domain is the vendor's own unless the page it was found on has it too or it belongs to a host that many share
+    (SKIP_DOMAINS). Of several pages of a domain that with the least page_id is taken; the vendor's own values stay first.
     """
-    home = pages.withColumn("__host", U.bare_host(F.col("url"))).filter("__host <> ''")
-    wanted = vendors.select(U.bare_host(F.coalesce("website", F.lit(""))).alias("__host"), "ord").filter("__host <> ''")
-    home = home.join(wanted.select("__host").distinct(), "__host", "left_semi").groupBy("__host").agg(F.min_by(F.struct("page_id", "url", "html"), "page_id").alias("p")).select("p.*")
-    found = page_records(home).withColumn("__host", U.bare_host(F.col("source_url"))).drop("page_id", "text", "extras", "source_url", "extraction_method", "name", "organizer")
+    domain = lambda url: U.registered_domain(U.bare_host(F.coalesce(url, F.lit(""))))
+    home = pages.withColumn("__host", domain(F.col("url"))).filter("__host <> ''")
+    source = domain(F.col("source_url")) if "source_url" in vendors.columns else F.lit("")
+    owners = records.without_skipped(vendors.filter(records.own_domain(vendors).isNotNull()), "website")
+    wanted = owners.select(domain(F.col("website")).alias("__host"), source.alias("__source"), "ord").filter("__host <> '' and __host <> __source").drop("__source")
+    home = home.join(wanted.select("__host").distinct(), "__host", "left_semi").groupBy("__host").agg(F.min_by(F.struct("page_id", "url", "html"), F.struct("page_id", "url")).alias("p")).select("p.*")
+    found = page_records(home).withColumn("__host", domain(F.col("source_url"))).drop("page_id", "text", "extras", "source_url", "extraction_method", "name", "organizer")
     found = found.join(wanted, "__host").drop("__host")
     return records.websearch_filled(vendors, found, "ord", mark="+enrichment")
 

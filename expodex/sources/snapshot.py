@@ -2,21 +2,17 @@
 
 from __future__ import annotations
 
-import json
-from collections.abc import Iterator
-
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
 from .. import dictionaries as D
 from ..functions import scoring
 from ..functions import urls as U
 from ..operators.links import first_by
 from ..operators.records import deduplicated_seeds
+from .search import SCHEMA as SEARCH_SCHEMA  # noqa: F401
+from .search import SearchSource  # noqa: F401
 
-SEARCH_SCHEMA = "query string, engine string, region string, ord int, title string, url string, snippet string"
 PROGRESS_SCHEMA = "url string, session_id string, last_updated string, status string, vendors_found int, pages_crawled int, errors int"
 
 
@@ -24,15 +20,42 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def search_results(spark: SparkSession, path: str, limit: int = 30) -> DataFrame:
-    """Saved result pages, one JSON object a line with `organic` or `results`; rows without a URL go."""
-    row = "array<struct<title:string,url:string,snippet:string>>"
-    raw = spark.read.schema(f"query string, engine string, region string, organic {row}, results {row}").json(path)
-    hits = raw.select("query", "engine", "region", F.posexplode(F.coalesce("organic", "results", F.array().cast(row))).alias("ord", "r"))
+def table_stream(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A table, one file or a folder of them, as a stream; a path with a pattern is read as it is."""
+    return spark.readStream.schema(table(spark, sf_dir, name).schema).parquet(f"{sf_dir}/{name[:-1]}[{name[-1]}].parquet")
+
+
+_HITS = "array<struct<title:string,url:string,snippet:string>>"
+_PAGE = f"query string, engine string, region string, organic {_HITS}, results {_HITS}"
+
+
+def hits_of(pages: DataFrame, limit: int = 30) -> DataFrame:
+    """Result pages (query, engine, region, organic, results) -> SEARCH_SCHEMA; hits without a URL go."""
+    hits = pages.select("query", "engine", "region", F.posexplode(F.coalesce("organic", "results", F.array().cast(_HITS))).alias("ord", "r"))
     out = hits.select("query", "engine", "region", "ord", F.coalesce("r.title", F.lit("")).alias("title"), "r.url", F.left(F.coalesce("r.snippet", F.lit("")), F.lit(300)).alias("snippet"))
     return out.filter(F.coalesce("url", F.lit("")) != "").filter(F.col("ord") < limit)
 
 
+def search_results(spark: SparkSession, path: str, limit: int = 30) -> DataFrame:
+    """Saved result pages, one JSON object a line with `organic` or `results`."""
+    return hits_of(spark.read.schema(_PAGE).json(path), limit)
+
+
+def search_stream(spark: SparkSession, path: str, limit: int = 30, files_a_batch: int | None = None) -> DataFrame:
+    """search_results() of the files that arrive in a folder; any store that Spark opens."""
+    reader = spark.readStream.schema(_PAGE)
+    return hits_of((reader if files_a_batch is None else reader.option("maxFilesPerTrigger", files_a_batch)).json(path), limit)
+
+
+def search_table(spark: SparkSession, path: str) -> DataFrame:
+    """Hits kept as Parquet by engine (write_search()): filters on engine choose folders, others reach the scan."""
+    return spark.read.schema(SEARCH_SCHEMA).parquet(path)
+
+
+def write_search(hits: DataFrame, path: str) -> None:
+    hits.select(*[c.split()[0] for c in SEARCH_SCHEMA.split(", ")]).write.mode("append").partitionBy("engine").parquet(path)
+
+
 def first_non_empty(sources: list[DataFrame], key: str, value: str) -> DataFrame:
     """Cascade of sources: of each key the value of the first source that has one."""
     every = None
@@ -43,9 +66,15 @@ def first_non_empty(sources: list[DataFrame], key: str, value: str) -> DataFrame
 
 
 def fetched(wanted: DataFrame, pages: DataFrame) -> DataFrame:
-    """URLs joined to the snapshot by their cache key; `success` says whether the page is held."""
-    held = pages.select(U.cache_key(F.regexp_replace("url", "/+$", "")).alias("__key"), F.col("url").alias("final_url"), "html")
-    out = wanted.withColumn("__key", U.cache_key(F.regexp_replace("url", "/+$", ""))).join(held, "__key", "left").drop("__key")
+    """wanted (url) joined to the snapshot by cache key, a row each; `success` says whether the page is held.
+
+    Of pages whose URLs have one key (they differ by case, blanks or a final slash) the first by URL that has a text counts.
+    """
+    key = U.cache_key(F.regexp_replace("url", "/+$", ""))
+    order = F.struct(F.when(F.col("html").isNull(), 1).otherwise(0), "url", "html")
+    held = pages.filter("url is not null").groupBy(key.alias("__key")).agg(F.min_by(F.struct("url", "html"), order).alias("__p"))
+    rows = wanted.withColumn("__key", key).join(held, "__key", "left")
+    out = rows.select(*wanted.columns, F.col("__p.url").alias("final_url"), F.col("__p.html").alias("html"))
     return out.withColumn("success", F.col("html").isNotNull()).withColumn("text_length", F.coalesce(F.length("html"), F.lit(0)))
 
 
@@ -190,37 +219,3 @@ def sitemap_urls(sites: DataFrame, files: DataFrame, most_parts: int = 10) -> Da
     every = plain.unionByName(below).withColumn("__at", F.struct("place", "part", "n"))
     first = every.groupBy("site", "url").agg(F.min("__at").alias("__at"))
     return first.withColumn("ord", F.row_number().over(Window.partitionBy("site").orderBy("__at", "url"))).select("site", "ord", "url")
-
-
-class SearchReader(DataSourceReader):
-    """Reads one JSON file of saved results per partition."""
-
-    def __init__(self, options: dict[str, str]):
-        self.paths = [p for p in options.get("paths", options.get("path", "")).split(",") if p]
-
-    def partitions(self) -> list[InputPartition]:
-        return [InputPartition(p) for p in self.paths] or [InputPartition("")]
-
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        if not partition.value:
-            return
-        with open(partition.value, encoding="utf-8") as f:
-            for line in f:
-                page = json.loads(line)
-                for k, r in enumerate(page.get("organic") or page.get("results") or []):
-                    if r.get("url"):
-                        yield (page.get("query"), page.get("engine"), page.get("region"), k, r.get("title") or "", r["url"], (r.get("snippet") or "")[:300])
-
-
-class SearchSource(DataSource):
-    """spark.read.format("expodex_search"): saved search results as a batch data source."""
-
-    @classmethod
-    def name(cls) -> str:
-        return "expodex_search"
-
-    def schema(self) -> str:
-        return SEARCH_SCHEMA
-
-    def reader(self, schema: T.StructType) -> DataSourceReader:
-        return SearchReader(dict(self.options))
