@@ -10,7 +10,10 @@
    container and those beside it of the same path and a quarter of its score.
 
 Menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles and reader comments are
-left out by tag, role and class wherever they stand.
+left out by tag, role and class wherever they stand. Where the sign is weak (a form, a class such as `sidebar-right`
+or `widget`, which may as well name the layout around the article), the page as a whole decides: an element
+stays if it holds a `main` or `article` with at least half of the page's running text, or more than four times
+the running text of all that is not left out.
 
 Defined results: null and empty pages, and pages without text, give empty text and n_chars 0; text
 outside every tag counts as the body's; unclosed and stray tags are tolerated; long pages are read
@@ -41,7 +44,7 @@ CLASS_WORD = re.compile(r"[a-z]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = frozenset("script style textarea title iframe noembed noframes xmp".split())
 #: Elements whose text is never part of an article.
-LEFT_OUT = frozenset("head script style noscript template nav footer aside form button select option textarea input iframe svg object dialog menu canvas math title".split())
+LEFT_OUT = frozenset("head script style noscript template nav footer aside button select option textarea input iframe svg object dialog menu canvas math title".split())
 LEFT_OUT_ROLES = frozenset("navigation banner contentinfo complementary search dialog alertdialog menu menubar form".split())
 #: Words in a class or id that mark what is no article.
 LEFT_OUT_WORDS = frozenset(
@@ -51,8 +54,14 @@ LEFT_OUT_WORDS = frozenset(
 LAYOUT_WORDS = frozenset(
     "area articles bar blk block bottom box btn btns button buttons card cards center col column container content el element feed fixed footer form grid group head header holder icons inner item items left link links list main media message modal module outer pane panel placeholder post posts right row section site slot small sticky stories strip tab text thread title top unit view wrap wrapper wrappers zone".split()
 )
-#: Beginnings of such words.
-LEFT_OUT_STEMS = ("advert", "breadcrumb", "comment", "cookie", "footer", "newsletter", "sidebar", "sponsor", "subscri")  # of the first word of a class
+#: Beginnings of such words, of the first word of a class.
+LEFT_OUT_STEMS = re.compile(r"advert|breadcrumb|comment(?:s|ed|er|ers|ing|list|box|form|section|area)?$|cookie|footer|newsletter|sidebar|sponsor|subscri")
+#: Of all these, those that may name what is around an article or of what kind it is.
+WEAK_WORDS = re.compile(r"(?:aside|rail|related|promo|promoted|promotion|notice|notices|announcement|alert|banner|masthead|modal|overlay|discussion|toolbar|widget|widgets)$|sidebar|subscri")
+#: Names of which one in a list of classes says that the element holds the content, whatever weak sign stands beside it.
+CONTENT_WORDS = frozenset("article content copy entry main post prose story text".split())
+#: A weakly marked element is looked at again from so many characters of running text.
+RUNNING = 140
 INLINE = frozenset("a abbr acronym b bdi bdo big br cite code data del dfn em font i img ins kbd label mark q rp rt ruby s samp small span strike strong sub sup time tt u var wbr".split())
 #: Elements that hold one block of running text; all other elements that are not inline are containers.
 BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre dt dd figcaption caption td th address summary legend".split())
@@ -60,33 +69,47 @@ BLOCKS = frozenset("p h1 h2 h3 h4 h5 h6 li blockquote pre dt dd figcaption capti
 CLOSES = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr", "td", "th"}, "td": {"td", "th"}, "th": {"td", "th"}, "option": {"option"}}
 
 
-def _signs(value: str) -> bool:
-    """Whether one of the names in a class or id marks what is no article: all its words but those of layout do."""
+NONE, WEAK, STRONG = 0, 1, 2
+
+
+def _signs(value: str) -> int:
+    """How a list of classes, or an id, marks what is no article: by a name all of whose words but those of layout do.
+
+    One strong name is enough; a weak one does not count beside a name that says it is the content.
+    """
+    sign, content = NONE, False
     for name in value.split():
         words = [w for w in CLASS_WORD.findall(name) if len(w) > 1]
-        if words and words[0].startswith(LEFT_OUT_STEMS):
-            return True
         telling = [w for w in words if w not in LAYOUT_WORDS or w in LEFT_OUT_WORDS]
-        if telling and all(w in LEFT_OUT_WORDS or w.startswith(LEFT_OUT_STEMS) for w in telling):
-            return True
-    return False
+        stem = words and LEFT_OUT_STEMS.match(words[0])
+        if stem or (telling and all(w in LEFT_OUT_WORDS or LEFT_OUT_STEMS.match(w) for w in telling)):
+            weak = WEAK_WORDS.match(words[0]) if stem else all(WEAK_WORDS.match(w) for w in telling)
+            sign = max(sign, WEAK if weak else STRONG)
+        content |= name in CONTENT_WORDS
+    return NONE if sign == WEAK and content else sign
 
 
 class Page:
     """blocks: (container, text, length of linked text); containers: label, parent and the hash of their path.
 
-    Time and memory are linear in the page, however deep or broken it is.
+    What is weakly marked is a region: read as all else is, and judged at the end. Time and memory are linear in
+    the page, however deep or broken it is.
     """
 
+    #: Looks at nested regions, from the outside in.
+    LOOKS = 8
+
     def __init__(self, source: str):
         self.labels: list[str] = [""]
         self.parents: list[int] = [-1]
         self.hashes: list[int] = [0]
         self.blocks: list[tuple[int, str, int]] = []
         self.titles: list[int] = []  # places of h1 in blocks
-        self._stack: list[tuple[str, int, bool]] = []  # tag, container, left out
+        self._regions: list[int] = [-1]  # of each region that around it; all that is not marked is region 0
+        self._in: list[int] = []  # the region of each block
+        self._articles: list[tuple[int, int]] = []  # container and region of each article and main
+        self._stack: list[list] = []  # tag, container, region (-1: left out), inline elements of the tag within it
         self._count: dict[str, int] = defaultdict(int)  # open elements by tag
-        self._nested = 0  # inline elements of the same tag inside a left-out one
         self._text: list[str] = []
         self._linked = 0
         self._links = 0
@@ -130,6 +153,7 @@ class Page:
                 self._close(tag)
                 at = close + 1 if close >= 0 else n
         self._flush()
+        self._judge()
 
     def path(self, k: int) -> str:
         out = []
@@ -138,24 +162,33 @@ class Page:
             k = self.parents[k]
         return "".join(f"/{x}" for x in reversed(out))
 
-    def _out(self) -> bool:
-        return bool(self._stack) and self._stack[-1][2]
+    def _region(self) -> int:
+        return self._stack[-1][2] if self._stack else 0
 
     def _where(self) -> int:
         return self._stack[-1][1] if self._stack else 0
 
-    def _push(self, tag: str, where: int, out: bool) -> None:
-        self._stack.append((tag, where, out))
+    def _entered(self, sign: int) -> int:
+        """The region of an element that is marked so."""
+        around = self._region()
+        if around < 0 or sign == STRONG:
+            return -1
+        if sign == NONE:
+            return around
+        self._regions.append(around)
+        return len(self._regions) - 1
+
+    def _push(self, tag: str, where: int, region: int) -> None:
+        self._stack.append([tag, where, region, 0])
         self._count[tag] += 1
 
     def _drop(self) -> str:
         tag = self._stack.pop()[0]
         self._count[tag] -= 1
-        self._nested = 0
         return tag
 
     def _add(self, text: str) -> None:
-        if not self._out():
+        if self._region() >= 0:
             self._text.append(text)
             if self._links:
                 self._linked += len(text)
@@ -164,26 +197,26 @@ class Page:
         if self._text:
             text = " ".join(entities.unescape("".join(self._text)).split())
             if text:
-                if any(t == "h1" for t, _, _ in self._stack[-3:]):
+                if any(e[0] == "h1" for e in self._stack[-3:]):
                     self.titles.append(len(self.blocks))
                 self.blocks.append((self._where(), text, self._linked))
+                self._in.append(self._region())
             self._text, self._linked = [], 0
 
     def _open(self, tag: str, attributes: str) -> None:
         if tag in VOID:
             if tag == "hr":
                 self._flush()
-            elif not self._out():
+            elif self._region() >= 0:
                 self._text.append(" ")
             return
         if tag in INLINE:
             if tag == "a":
                 self._links = 1
-            if not self._out():
-                if attributes and self._marked(tag, attributes)[1]:
-                    self._push(tag, self._where(), True)
-            elif self._stack[-1][0] == tag:
-                self._nested += 1
+            if self._region() >= 0 and attributes and self._marked(tag, attributes)[1]:
+                self._push(tag, self._where(), -1)
+            elif self._stack and self._stack[-1][0] == tag:
+                self._stack[-1][3] += 1
             return
         self._flush()
         self._links = 0
@@ -193,15 +226,17 @@ class Page:
             self._drop()
         if self._stack and self._stack[-1][0] == "p":
             self._drop()
-        label, out = self._marked(tag, attributes)
-        out = out or self._out()
+        label, sign = self._marked(tag, attributes)
+        region = self._entered(sign)
         where = self._where()
-        if tag not in BLOCKS and not out:
+        if tag not in BLOCKS and region >= 0:
             self.labels.append(label)
             self.parents.append(where)
             self.hashes.append(_step(self.hashes[where], label))
             where = len(self.labels) - 1
-        self._push(tag, where, out)
+            if tag in ("article", "main") and region > 0:
+                self._articles.append((where, region))
+        self._push(tag, where, region)
 
     def _pop(self, tags: set[str], limits: set[str]) -> None:
         if not any(self._count[t] for t in tags):
@@ -219,8 +254,8 @@ class Page:
             if tag == "a":
                 self._links = 0
             if self._stack and self._stack[-1][0] == tag:
-                if self._nested:
-                    self._nested -= 1
+                if self._stack[-1][3]:
+                    self._stack[-1][3] -= 1
                 else:
                     self._drop()
             return
@@ -233,13 +268,13 @@ class Page:
         while self._drop() != tag:
             pass
 
-    def _marked(self, tag: str, attributes: str) -> tuple[str, bool]:
-        """(generalised tag and classes, whether the element is left out)."""
+    def _marked(self, tag: str, attributes: str) -> tuple[str, int]:
+        """(generalised tag and classes, how the element is marked as no part of an article)."""
         classes: list[str] = []
-        out = tag in LEFT_OUT
+        sign = STRONG if tag in LEFT_OUT else WEAK if tag == "form" else NONE
         inside = self._count["article"] > 0 or self._count["main"] > 0
         if tag == "header" and not inside:
-            out = True
+            sign = STRONG
         if attributes.strip(" /"):
             for m in ATTRIBUTE.finditer(attributes):
                 name = (m.group(1) or m.group(5) or "").lower()
@@ -247,14 +282,48 @@ class Page:
                 if name in ("class", "id") and tag not in ("html", "body"):
                     words = CLASS_WORD.findall(value)
                     if tag not in ("article", "main") or words[:1] and words[0] in ("comment", "ad", "advert", "sponsored"):
-                        out = out or _signs(value) or ("header" in words and not inside)
+                        sign = max(sign, _signs(value), WEAK if "header" in words and not inside else NONE)
                     if name == "class":
                         classes += sorted({re.sub(r"[\d/]+", "", c) for c in value.split()} - {""})
                 elif name == "role":
-                    out = out or value in LEFT_OUT_ROLES
+                    sign = max(sign, STRONG if value in LEFT_OUT_ROLES else NONE)
                 elif name == "hidden" or (name == "aria-hidden" and value == "true"):
-                    out = True
-        return ".".join([tag, *classes]), out
+                    sign = STRONG
+        return ".".join([tag, *classes]), sign
+
+    def _judge(self) -> None:
+        """Keep the blocks of the regions that turn out to hold the article, and those of none."""
+        if len(self._regions) == 1:
+            return
+        own = [0] * len(self._regions)  # running text of each region without that of regions in it
+        held = [0] * len(self.labels)  # of each container
+        for (where, text, linked), region in zip(self.blocks, self._in, strict=True):
+            n = max(0, len(text) - 2 * linked)
+            own[region] += n
+            held[where] += n
+        for k in range(len(held) - 1, 0, -1):
+            held[self.parents[k]] += held[k]
+        whole = own[:]  # with them
+        for k in range(len(whole) - 1, 0, -1):
+            whole[self._regions[k]] += whole[k]
+        kept = [False] * len(own)
+        kept[0] = True
+        for where, region in self._articles:
+            if held[where] >= RUNNING and 2 * held[where] >= whole[0]:
+                while region > 0 and not kept[region]:
+                    kept[region] = True
+                    region = self._regions[region]
+        for _ in range(self.LOOKS):
+            rest = sum(n for n, k in zip(own, kept, strict=True) if k)
+            open_ = [k for k in range(1, len(own)) if not kept[k] and kept[self._regions[k]]]
+            top = max(open_, key=lambda k: (whole[k], -k), default=None)
+            if top is None or whole[top] < RUNNING or whole[top] <= 4 * rest:
+                break
+            kept[top] = True
+        places = [k for k, region in enumerate(self._in) if kept[region]]
+        number = {k: n for n, k in enumerate(places)}
+        self.titles = [number[t] for t in self.titles if t in number]
+        self.blocks = [self.blocks[k] for k in places]
 
     def _scores(self) -> list[float]:
         score = [0.0] * len(self.labels)

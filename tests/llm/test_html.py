@@ -88,3 +88,51 @@ def test_ties_of_paths_and_repeated_rows(spark):
     df = spark.createDataFrame(rows, "page_id long, url string, html string")
     assert [r.path for r in html.host_paths(df).collect()] == ["/body/main"]
     assert [r.text for r in html.extracted(df).collect()] == ["alpha words here"] * 4
+
+
+TEXT = "".join(f"<p>Sentence number {k} of the article, which runs on for a while.</p>" for k in range(12))
+SAID = "\n\n".join(f"Sentence number {k} of the article, which runs on for a while." for k in range(12))
+AROUND = {
+    "layout with the article in it": '<div class="sidebar-right"><div class="entry">{}</div></div>',
+    "layout around main": '<div class="sidebar-layout"><main><article>{}</article></main></div>',
+    "a word that begins like another": '<div class="commentary">{}</div>',
+    "content for subscribers": '<div class="subscriber-content">{}</div>',
+    "content beside a weak word": '<div class="content widget">{}</div>',
+    "a form around the page": '<form id="aspnetForm"><input type="hidden"><div id="page"><div class="body">{}</div></div></form>',
+    "regions in regions": '<form><div class="sidebar-left"><div class="widget"><section>{}</section></div></div></form>',
+    "a weak word around main with a long rest": '<p>Some words that stand outside.</p><div class="rail"><main>{}</main></div><div><p>' + "other words " * 30 + "</p></div>",
+}
+
+
+def test_signs_of_layout_lose_no_article():
+    for what, around in AROUND.items():
+        for noise in ("", '<nav>Menu</nav><div class="cookie-bar">Accept all of it</div><section id="comments"><p>' + "a comment " * 90 + '</p></section><div class="sidebar"><p>Short notes</p></div>'):
+            page = f"<html><body>{around.format(TEXT)}{noise}</body></html>"
+            assert SAID in html.Page(page).extract(None), what
+            assert not any(x in html.Page(page).extract(None) for x in ("Accept", "comment", "Menu", "Short notes")), what
+
+
+def test_weak_signs_still_leave_out():
+    page = "<body><div class='text'>" + TEXT + "</div>" + "".join(f"<{t}><p>{'left out words ' * 30}</p></{t.split()[0]}>" for t in ("div class='sidebar'", "div class='widget'", "form", "div class='related-posts'", "div class='subscribe'")) + "</body>"
+    assert html.Page(page).extract(None) == SAID
+    teasers = "".join(f"<article><p>{'teaser ' * 30}</p></article>" for _ in range(3))
+    assert html.Page("<body><article>" + TEXT + f"</article><div class='related'>{teasers}</div></body>").extract(None) == SAID
+
+
+def test_nesting_survives_blocks_in_inlines():
+    page = '<article><p>before</p><span class="ad">a <span>b <div>c</div> d</span> LEAK</span><p>' + "after " * 40 + "</p></article>"
+    assert html.Page(page).extract(None) == "before\n\n" + " ".join(["after"] * 40)
+
+
+def test_hosts_disagree_and_each_decides_for_its_pages(spark):
+    """Three hosts of different paths; on each, pages with a longer box of another path follow their host."""
+    shapes = {"a.org": '<main class="m{}">{}</main>', "b.org": '<div class="wrap"><div class="story n{}">{}</div></div>', "c.org": '<table><tr><td><section id="x{}">{}</section></td></tr></table>'}
+    rows, k = [], 0
+    for host, shape in shapes.items():
+        for n in range(7):
+            box = f"<div class='box'><p>{'a longer box of words ' * 60}</p></div>" if n > 4 else ""
+            rows.append((k, f"https://{host}/{n}", f"<body>{box}{shape.format(n, TEXT)}</body>"))
+            k += 1
+    got = html.extracted(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()
+    assert len({r.host_path for r in got}) == 3 and all(r.text == SAID for r in got)
+    assert sum(html.Page(r[2]).extract(None) != SAID for r in rows) == 6
