@@ -15,6 +15,7 @@ from ..functions import scoring
 from ..functions import text as X
 from ..functions import urls as U
 from ..operators import extract, hooks, links, pdf, records, relational
+from ..sources import snapshot
 
 
 def page_records(pages: DataFrame, enough: int = 3, translate: Callable[[Column], Column] = lambda c: c) -> DataFrame:
@@ -115,6 +116,28 @@ def domain_enriched(vendors: DataFrame, pages: DataFrame) -> DataFrame:
     return records.websearch_filled(vendors, found, "ord", mark="+enrichment")
 
 
+_FIVE = ["website", "email", "phone", "description", "country"]
+
+
+def context_enriched(vendors: DataFrame, hits: DataFrame, model: hooks.Model | None, least: int = 2) -> DataFrame:
+    """vendors (with `ord` and name) that lack `least` of five fields, filled from what searches found of them.
+
+    hits: (vendor, ord, title, url, snippet), vendor being a vendor's `ord`. The snippets are put to the model, whose JSON fills
+    gaps; a website that it does not name is the best URL of the hits. Without a model, that alone is filled.
+    """
+    poor = F.coalesce(records.lacking(_FIVE) >= least, F.lit(True))
+    asked = vendors.filter(poor & X.missing(F.col("name")).isNotNull()).select("ord", "name")
+    context = snapshot.search_context(hits, "vendor").withColumnRenamed("vendor", "ord")
+    rows = asked.join(context, "ord")
+    prompt = F.concat_ws("\n", F.concat(F.lit("Company: "), "name"), "context")
+    said = hooks.answers(rows.select(F.col("ord").alias("id"), prompt.alias("text")), model)
+    told = said.select(F.col("id").alias("ord"), hooks.json_fields(F.col("answer")).alias("f"))
+    found = rows.select("ord", "best_url").join(told, "ord", "left")
+    fields = [f for f in D.MERGE_FIELDS if f in vendors.columns and f not in ("name", "source_url", "extraction_method")]
+    value = {f: F.try_element_at("f", F.lit(f)) for f in fields} | {"website": F.coalesce(X.missing(F.try_element_at("f", F.lit("website"))), F.col("best_url"))}
+    return records.websearch_filled(vendors, found.select("ord", *[value[f].alias(f) for f in fields]), "ord", only=poor)
+
+
 def crawl_edges(pages: DataFrame) -> DataFrame:
     """(src, dst, kind, score) for operators.frontier.crawl."""
     scored = links.links(pages)

@@ -110,7 +110,7 @@ def progress_name(url: str) -> str:
 
 
 def write_progress(df: DataFrame, path: str) -> None:
-    """One row per URL, partitioned by its 12-digit key, so a later run rewrites only its own."""
+    """Appends rows with their 12-digit key, a folder for each session; keyed.save_progress() replaces a URL's row instead."""
     df.withColumn("key", F.substring(F.md5("url"), 1, 12)).write.mode("append").partitionBy("session_id").json(path)
 
 

@@ -171,11 +171,16 @@ def fetchable(wanted: DataFrame, most: int = 500) -> DataFrame:
 
 
 def layered(wanted: DataFrame, cached: DataFrame, fetched_now: DataFrame, rendered: DataFrame | None = None) -> DataFrame:
-    """wanted (url) with the page of the first layer that holds it: cache, fetch, render (each url, html); `layer` says which, NULL if none does."""
+    """wanted (url) with the page of the first layer that holds it: cache, fetch, render (each url, html); `layer` says which, NULL if none does.
+
+    Files that are no pages, by their extension, are taken from the cache alone: they are neither fetched nor rendered.
+    """
     every = None
     for k, (name, df) in enumerate((("cache", cached), ("fetch", fetched_now), ("render", rendered))):
         if df is not None:
-            own = df.filter(F.coalesce(F.trim("html"), F.lit("")) != "").select(U.cache_key(F.regexp_replace("url", "/+$", "")).alias("__key"), F.struct(F.lit(k).alias("k"), F.lit(name).alias("layer"), "html").alias("p"))
+            own = df.filter(F.coalesce(F.trim("html"), F.lit("")) != "")
+            own = own if k == 0 else own.filter(~U.has_ignored_extension(F.col("url")))
+            own = own.select(U.cache_key(F.regexp_replace("url", "/+$", "")).alias("__key"), F.struct(F.lit(k).alias("k"), F.lit(name).alias("layer"), "html").alias("p"))
             every = own if every is None else every.unionByName(own)
     held = every.groupBy("__key").agg(F.min("p").alias("p"))
     rows = wanted.withColumn("__key", U.cache_key(F.regexp_replace("url", "/+$", "")))

@@ -21,13 +21,17 @@ from pyspark.sql.streaming.listener import StreamingQueryListener
 SCHEMA = "event string, query string, run string, name string, batch long, input_rows long, output_rows long, rows_per_second double, millis long, watermark string, state_rows long, error string, at string"
 
 
-def put(spark: SparkSession, folder: str, name: str, text: str) -> None:
-    """A small file, whole or not at all."""
+def put(spark: SparkSession, folder: str, name: str, text: str, replace: bool = True) -> None:
+    """A small file, whole or not at all; FileExistsError if there is one of the name and it is not to be replaced."""
     jvm = spark.sparkContext._jvm
     where = jvm.org.apache.hadoop.fs.Path(folder)
     fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     fs.mkdirs(where)
-    half, whole = (jvm.org.apache.hadoop.fs.Path(where, n) for n in (f"_{name}", name))
+    half, whole = (jvm.org.apache.hadoop.fs.Path(where, n) for n in (f"_{uuid.uuid4().hex}-{name}", name))
+    if fs.exists(whole):
+        if not replace:
+            raise FileExistsError(f"{folder}/{name}")
+        fs.delete(whole, False)
     out = fs.create(half, True)
     try:
         out.write(bytearray(text.encode()))
