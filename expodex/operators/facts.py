@@ -19,14 +19,16 @@ from __future__ import annotations
 
 import json
 import re
+from bisect import bisect_left
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .dom import Page
 
+# What marks boxes, companies, logos, pagers, places and dates, and how long texts may be.
 _BOX = re.compile(r"item|info.?row|detail|meta.?row|field", re.I)
 _COMPANY = re.compile("company|exhibitor|vendor|sponsor", re.I)
 _LOGO = re.compile("logo|brand", re.I)
@@ -35,8 +37,10 @@ _PLACE = re.compile("location|venue|city|place", re.I)
 _DATES = re.compile("startDate|endDate|datePublished", re.I)
 _CUE = re.compile("venue:|location:|held at|taking place at", re.I)
 _DATED = re.compile(r"\b(\d{1,2}[\s\-/]\w+[\s\-/]\d{2,4}|\w+\s+\d{1,2}[-–]\d{1,2},?\s*\d{4}|\d{4})\b")
+_NO_TEXT = frozenset("script style nav footer header".split())
+_LINE, _LABEL, _LONG, _SHORT, _MARKED, _DATE = 150, 40, 80, 100, 50, 80
+# End of fixed values.
 _JSON = re.compile(r"ld\+json", re.I)
-_LONG = 80
 
 
 def _said(page: Page, k: int, linked: bool) -> str:
@@ -61,26 +65,50 @@ def _picks(page: Page, selectors: list[str]) -> dict[str, str]:
     return out
 
 
-def _pairs(page: Page) -> list[tuple[str, str]]:
+#: Where a label and its value stand, the plainest first.
+_ROW, _LIST, _IN_BOX, _IN_LINE = range(4)
+
+
+def _couples(page: Page, k: int) -> Iterator[tuple[int, int, int]]:
+    """(kind, element of the label, element of the value) that element k brings together."""
+    tag, own = page.tags[k], page.attrs[k].get("class", "")
+    if tag == "dl":
+        yield from ((_LIST, a, b) for a, b in zip(page.inside(k, "dt"), page.inside(k, "dd"), strict=False))
+    for kind, held in ((_ROW, tag == "tr" and page.inside(k, "td", "th")), (_IN_BOX, own and _BOX.search(own) and page.children(k))):
+        if held and len(held) == 2:
+            yield kind, *held
+
+
+def _notes(page: Page) -> list[tuple[int, int, str, str]]:
+    """(kind, place, label, value) of all that may be a label with its value, in one walk; which count, and in what order, is not decided here."""
     out = []
-    for row in page.with_tags("tr"):
-        cells = page.inside(row, "td", "th")
-        if len(cells) == 2:
-            out.append((page.text(cells[0]), page.text(cells[1])))
-    for dl in page.with_tags("dl"):
-        out += [(page.text(a), page.text(b)) for a, b in zip(page.inside(dl, "dt"), page.inside(dl, "dd"), strict=False)]
-    for box in page.where("class", _BOX):
-        below = page.children(box)
-        if len(below) == 2:
-            out.append((page.text(below[0]), page.text(below[1])))
-    for p in page.with_tags("p"):
-        if page.size(p) <= 150:
-            label, colon, value = page.text(p).partition(":")
-            if colon and len(label.strip()) < 40:
-                out.append((label, value))
+    for k, tag in enumerate(page.tags):
+        out += [(kind, a, page.text(a), page.text(b)) for kind, a, b in _couples(page, k)]
+        if tag == "p" and page.size(k) <= _LINE:
+            label, colon, value = page.text(k).partition(":")
+            if colon:
+                out.append((_IN_LINE, k, label, value))
     return out
 
 
+def _long_texts(page: Page) -> list[tuple[str, str]]:
+    """(where, text): the first long text beside the first heading's box, and the first long paragraphs of the page, its main part and its article."""
+    found: dict[str, str] = {}
+    heading = min((page.by_tag[h][0] for h in ("h1", "h2", "h3", "h4") if page.by_tag.get(h)), default=None)
+    box = -1 if heading is None else page.parents[heading]
+    scopes = {name: page.by_tag[name][0] for name in ("main", "article") if page.by_tag.get(name)}
+    for k, tag in enumerate(page.tags):
+        if page.size(k) <= _LONG:
+            continue
+        if box >= 0 and k >= page.ends[box] and page.parents[k] == page.parents[box] and tag not in _NO_TEXT and "beside" not in found:
+            found["beside"] = page.text(k, " ")
+        if tag == "p":
+            for where in ("page", *(name for name, s in scopes.items() if s < k < page.ends[s])):
+                if where not in found:
+                    found[where] = page.text(k)
+    return [*found.items(), *((f"has {name}", "") for name in scopes)]
+
+
 def flattened(value: object, prefix: str = "", depth: int = 0) -> Iterator[tuple[str, str]]:
     """(dotted path, text) of the strings in a JSON value, list places as numbers."""
     if isinstance(value, str):
@@ -128,42 +156,34 @@ def _meta(page: Page) -> list[tuple[str, str]]:
 
 
 def _cued(page: Page) -> str | None:
-    if not any(_CUE.search(t) for t in page.texts) and not _CUE.search("".join(page.texts)):
-        return None
-    return next((t for k in page.with_tags("p", "div", "span", "li") if _CUE.search(t := page.text(k))), None)
-
-
-def _dated(page: Page) -> str | None:
-    marked = next(page.where("itemprop", _DATES), None)
-    if marked is not None:
-        return (page.attrs[marked].get("content") or page.text(marked))[:50]
-    return next((t[:80] for k in page.with_tags("time", "span", "div", "p") if 4 <= page.size(k) < 100 and _DATED.search(t := page.text(k))), None)
-
-
-def _sibling(page: Page) -> str | None:
-    for k in page.with_tags("h1", "h2", "h3", "h4")[:1]:
-        box = page.parents[k]
-        if box >= 0:
-            j = page.ends[box]
-            last = page.ends[page.parents[box]] if page.parents[box] >= 0 else len(page.tags)
-            while j < last:
-                if page.size(j) > _LONG and page.tags[j] not in ("script", "style", "nav", "footer", "header"):
-                    return page.text(j, " ")
-                j = page.ends[j]
+    """The text of the first block that a cue lies in: cues are looked for once, in the page's whole text."""
+    cues = [m.span() for m in _CUE.finditer("".join(page.texts))]
+    for k in page.with_tags("p", "div", "span", "li") if cues else ():
+        begin, end = page.sizes[page.starts[k]], page.sizes[page.stops[k]]
+        at = bisect_left(cues, (begin, 0))
+        if at < len(cues) and cues[at][1] <= end:
+            return page.text(k)
+    return None
+
+
+def _marked_date(page: Page) -> str | None:
+    for k in page.where("itemprop", _DATES):
+        return page.attrs[k].get("content") or page.text(k)
     return None
 
 
-def _paragraph(page: Page) -> str | None:
-    scope = next(iter(page.with_tags("main") or page.with_tags("article")), None)
-    places = page.with_tags("p") if scope is None else page.inside(scope, "p")
-    return next((page.text(k) for k in places if page.size(k) > _LONG), None)
+def _short_date(page: Page) -> str | None:
+    """The first text of a small element that holds a date."""
+    small = (page.text(k) for k in page.with_tags("time", "span", "div", "p") if 4 <= page.size(k) < _SHORT)
+    return next(filter(_DATED.search, small), None)
 
 
 def _first_text(page: Page, tag: str) -> str | None:
     return next((page.text(k) for k in page.with_tags(tag)), None)
 
 
-_TEXTS, _PAIRS, _MAP = pa.list_(pa.string()), pa.list_(pa.struct([("label", pa.string()), ("value", pa.string())])), pa.map_(pa.string(), pa.string())
+_TEXTS, _MAP = pa.list_(pa.string()), pa.map_(pa.string(), pa.string())
+_NOTES = pa.list_(pa.struct([("kind", pa.int32()), ("place", pa.int32()), ("label", pa.string()), ("value", pa.string())]))
 _LINK = pa.list_(pa.struct([("href", pa.string()), ("text", pa.string()), ("title", pa.string())]))
 #: name -> (SQL type, Arrow type, how it is had from a page and the selectors)
 _PARTS: dict[str, tuple[str, pa.DataType, Callable]] = {
@@ -174,15 +194,15 @@ _PARTS: dict[str, tuple[str, pa.DataType, Callable]] = {
     "deeper": ("array<string>", _TEXTS, lambda p, s: [p.text(k) for k in p.with_tags("h3", "h4")]),
     "meta": ("map<string,string>", _MAP, lambda p, s: _meta(p)),
     "picks": ("map<string,string>", _MAP, lambda p, s: list(_picks(p, s).items())),
-    "pairs": ("array<struct<label:string,value:string>>", _PAIRS, lambda p, s: [{"label": a, "value": b} for a, b in _pairs(p)]),
+    "notes": ("array<struct<kind:int,place:int,label:string,value:string>>", _NOTES, lambda p, s: [dict(zip(("kind", "place", "label", "value"), n, strict=True)) for n in _notes(p)]),
+    "long_texts": ("map<string,string>", _MAP, lambda p, s: _long_texts(p)),
+    "marked_date": ("string", pa.string(), lambda p, s: _marked_date(p)),
+    "short_date": ("string", pa.string(), lambda p, s: _short_date(p)),
     "links": ("array<struct<href:string,text:string,title:string>>", _LINK, lambda p, s: [{"href": p.attrs[k]["href"], "text": p.text(k), "title": p.attrs[k].get("title", "")} for k in p.with_tags("a") if "href" in p.attrs[k]]),
     "items": ("array<map<string,string>>", pa.list_(_MAP), lambda p, s: _items(p)),
     "micro": ("array<map<string,string>>", pa.list_(_MAP), lambda p, s: _micro(p)),
     "place": ("string", pa.string(), lambda p, s: next((p.text(k) for k in p.where("class", _PLACE)), None)),
     "cued": ("string", pa.string(), lambda p, s: _cued(p)),
-    "dated": ("string", pa.string(), lambda p, s: _dated(p)),
-    "sibling": ("string", pa.string(), lambda p, s: _sibling(p)),
-    "paragraph": ("string", pa.string(), lambda p, s: _paragraph(p)),
     "n_company": ("int", pa.int32(), lambda p, s: sum(1 for _ in p.where("class", _COMPANY))),
     "n_logo": ("int", pa.int32(), lambda p, s: sum(p.tags[k] == "img" for k in p.where("class", _LOGO))),
     "has_pager": ("boolean", pa.bool_(), lambda p, s: next(p.where("class", _PAGER), None) is not None),
@@ -190,8 +210,31 @@ _PARTS: dict[str, tuple[str, pa.DataType, Callable]] = {
 }
 
 
+def _pairs() -> Column:
+    """Notes in the order of their kinds, then of the page; a line counts if its label is short."""
+    good = F.filter("notes", lambda n: (n["kind"] != _IN_LINE) | (F.length(F.trim(n["label"])) < _LABEL))
+    return F.transform(F.array_sort(good), lambda n: F.struct(n["label"].alias("label"), n["value"].alias("value")))
+
+
+def _paragraph() -> Column:
+    """The first long paragraph of the main part if the page has one, else of the article, else of the page."""
+    text = lambda where: F.try_element_at("long_texts", F.lit(where))
+    return F.when(text("has main").isNotNull(), text("main")).when(text("has article").isNotNull(), text("article")).otherwise(text("page"))
+
+
+#: Parts that Column rules make of others: name -> (the others, the rule).
+_RULED: dict[str, tuple[list[str], Callable[[], Column]]] = {
+    "pairs": (["notes"], _pairs),
+    "sibling": (["long_texts"], lambda: F.try_element_at("long_texts", F.lit("beside"))),
+    "paragraph": (["long_texts"], _paragraph),
+    "dated": (["marked_date", "short_date"], lambda: F.coalesce(F.left("marked_date", F.lit(_MARKED)), F.left("short_date", F.lit(_DATE)))),
+}
+
+
 def facts(pages: DataFrame, parts: list[str], selectors: list[str] | None = None) -> DataFrame:
     """page_id, url and the asked parts of every row of pages."""
+    wanted = parts
+    parts = list(dict.fromkeys(x for p in wanted for x in (_RULED[p][0] if p in _RULED else [p])))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -206,4 +249,5 @@ def facts(pages: DataFrame, parts: list[str], selectors: list[str] | None = None
                 yield pa.RecordBatch.from_arrays([piece.column("page_id"), piece.column("url"), *columns], names=["page_id", "url", *parts])
 
     schema = ", ".join(["page_id long", "url string", *(f"{p} {_PARTS[p][0]}" for p in parts)])
-    return pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(run, schema)
+    held = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html").mapInArrow(run, schema)
+    return held.select("page_id", "url", *[_RULED[p][1]().alias(p) if p in _RULED else F.col(p) for p in wanted])
