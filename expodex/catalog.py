@@ -986,3 +986,4 @@ from . import catalog_more as catalog_more  # noqa: E402  (registers its queries
 from . import catalog_state as catalog_state  # noqa: E402
 from . import catalog_repeats as catalog_repeats  # noqa: E402
 from . import catalog_models as catalog_models  # noqa: E402
+from . import catalog_files as catalog_files  # noqa: E402
