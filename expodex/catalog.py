@@ -339,8 +339,7 @@ def email_extract(spark, d):
 
 @query(f"SELECT doc_id, {_listed(_first_distinct(_EMAILS.replace('|noreply', ''), 3))} AS emails FROM documents".replace("example", "nomatchatall"))
 def email_extract_documents(spark, d):
-    found = F.transform(F.regexp_extract_all("text", F.lit(rf"(?<![A-Za-z0-9_]){D.EMAIL}"), F.lit(0)), lambda e: F.regexp_replace(F.lower(e), "^[.,;]+|[.,;]+$", ""))
-    return table(spark, d, "documents").select("doc_id", F.array_join(F.slice(F.array_distinct(F.filter(found, lambda e: ~e.rlike("no-reply"))), 1, 3), "|").alias("emails"))
+    return table(spark, d, "documents").select("doc_id", F.array_join(X.emails(F.col("text"), unwanted="no-reply"), "|").alias("emails"))
 
 
 _PHONES = f"list_filter(list_transform(regexp_extract_all(text, '{D.PHONE}'), lambda p: trim(regexp_replace(p, '\\s+', ' ', 'g'))), lambda p: len(regexp_replace(p, '[^0-9]', '', 'g')) >= 7)"

@@ -72,13 +72,19 @@ def company_key(name: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(n, r"[^a-z0-9\s]", ""), r"\s+", " "))
 
 
-def emails(text: Column, most: int = 3) -> Column:
-    found = F.transform(F.regexp_extract_all(text, F.lit(rf"(?<![A-Za-z0-9_]){D.EMAIL}"), F.lit(0)), lambda e: F.regexp_replace(F.lower(e), "^[.,;]+|[.,;]+$", ""))
-    return F.slice(F.array_distinct(F.filter(found, lambda e: ~e.rlike("example|noreply|no-reply"))), 1, most)
+def _all_of(text: Column, pattern: str, needs: Column) -> Column:
+    """All matches of a pattern, which is only tried where what every match needs is there; NULL for NULL."""
+    none = F.array().cast("array<string>")
+    return F.when(text.isNotNull(), F.when(needs, F.regexp_extract_all(text, F.lit(pattern), F.lit(0))).otherwise(none))
+
+
+def emails(text: Column, most: int = 3, unwanted: str = "example|noreply|no-reply") -> Column:
+    found = F.transform(_all_of(text, rf"(?<![A-Za-z0-9_]){D.EMAIL}", text.contains("@")), lambda e: F.regexp_replace(F.lower(e), "^[.,;]+|[.,;]+$", ""))
+    return F.slice(F.array_distinct(F.filter(found, lambda e: ~e.rlike(unwanted))), 1, most)
 
 
 def phones(text: Column, most: int = 2) -> Column:
-    found = F.transform(F.regexp_extract_all(text, F.lit(D.PHONE), F.lit(0)), lambda p: F.trim(F.regexp_replace(p, r"\s+", " ")))
+    found = F.transform(_all_of(text, D.PHONE, text.rlike("[0-9]{3}")), lambda p: F.trim(F.regexp_replace(p, r"\s+", " ")))
     return F.slice(F.array_distinct(F.filter(found, lambda p: count_of(p, "[0-9]") >= 7)), 1, most)
 
 
