@@ -26,6 +26,8 @@ from pyspark.sql import functions as F
 
 BLOCK, QUERY_BLOCK, SUB = 16384, 512, 128
 DEPTHS = (0.5, 0.75, 0.9, 0.95, 0.99)
+#: The first queries of a block, whose reading is tried at every depth; that of others begins where one of these stopped.
+PROBES = 4
 #: A query's reading stops once at most this share of a block's rows can still qualify.
 RESOLVE = 1 / 32
 
@@ -81,6 +83,7 @@ class Lists:
         self.least, self.most = self.ordered[0], self.ordered[-1]
         self.full = np.ascontiguousarray(rows.T.astype(self.kind))
         self.read: dict[float, tuple[np.ndarray, np.ndarray]] = {}
+        self.begin: int | None = None  # place in DEPTHS
 
     def bounds(self, depth: float) -> tuple[np.ndarray, np.ndarray]:
         """(upper, lower) bounds of every row's products once the lists are read to the depth; made when first asked for."""
@@ -106,20 +109,28 @@ class Lists:
                 at = np.flatnonzero(self.ids != names[q])
                 yield self._first(int(names[q]), at, queries[q] @ self.full[:, at], k)
             return
-        for depth in DEPTHS:
-            upper, lower = self.bounds(depth)
-            low = both[open_] @ lower
-            low[self.ids == names[open_, None]] = out_of
-            reach = np.partition(low, n - k, axis=1)[:, n - k]
-            can = both[open_] @ upper >= reach[:, None]
-            can &= self.ids != names[open_, None]
-            few = (can.sum(axis=1) <= max(2 * k, RESOLVE * n)) | (depth == DEPTHS[-1])  # at last, whatever can still qualify
-            for q, row in zip(open_[few].tolist(), can[few], strict=True):
-                at = np.flatnonzero(row)
+        def read_on(open_: np.ndarray, begin: int) -> Iterator[tuple[int, int, np.ndarray]]:
+            """(place of the depth where reading stops, query, rows that can still qualify)"""
+            for place in range(begin, len(DEPTHS)):
+                if not len(open_):
+                    return
+                upper, lower = self.bounds(DEPTHS[place])
+                low = both[open_] @ lower
+                low[self.ids == names[open_, None]] = out_of
+                reach = np.partition(low, n - k, axis=1)[:, n - k]
+                can = both[open_] @ upper >= reach[:, None]
+                can &= self.ids != names[open_, None]
+                few = (can.sum(axis=1) <= max(2 * k, RESOLVE * n)) | (place == len(DEPTHS) - 1)  # at last, whatever can still qualify
+                yield from ((place, q, np.flatnonzero(row)) for q, row in zip(open_[few].tolist(), can[few], strict=True))
+                open_ = open_[~few]
+
+        stopped = []
+        for part in (open_[:PROBES], open_[PROBES:]):
+            for place, q, at in read_on(part, self.begin or 0):
+                stopped.append(place)
                 yield self._first(int(names[q]), at, queries[q] @ self.full[:, at], k)
-            open_ = open_[~few]
-            if not len(open_):
-                return
+            if self.begin is None:
+                self.begin = min(stopped, default=0)
 
     def _first(self, name: int, at: np.ndarray, score: np.ndarray, k: int) -> tuple[int, np.ndarray, np.ndarray]:
         order = np.lexsort((self.ids[at], -score))[:k]
