@@ -11,7 +11,7 @@ from . import dictionaries as D
 from . import plans, sinks
 from .catalog import _values, drawn, query
 from .catalog_more import _choice, _pick, _s
-from .operators import frontier, links, report
+from .operators import extract, frontier, links, report
 from .sources import snapshot
 from .sources.snapshot import table
 
@@ -149,3 +149,27 @@ def observed_counters(spark, d):
     rows.write.format("noop").mode("overwrite").save()
     told = counters.get
     return spark.createDataFrame([(told["rows"], told["errors"])], "rows long, errors long")
+
+
+@query("""SELECT s_suppkey AS page_id, CASE s_suppkey % 5 WHEN 0 THEN 'https://e.org/list/2' ELSE '' END AS next_url, s_suppkey % 5 IN (1, 2, 3) AS needs_click,
+ CASE s_suppkey % 5 WHEN 1 THEN '#more' || s_suppkey WHEN 2 THEN '.pager.page-next' WHEN 3 THEN 'button' ELSE '' END AS selector FROM supplier""")
+def next_page_steps(spark, d):
+    """Pages that lead on by a link, a button with an id, a marked element, a bare button, or not at all."""
+    k = F.col("s_suppkey")
+    more = F.when(k % 5 == 0, F.lit('<span class="nextgen-banner-of-words">' + "words " * 20 + '</span><a href="#">Next</a><a href="/list/2" rel="nofollow next">2</a>'))
+    more = more.when(k % 5 == 1, _s('<button id="more', k, '" class="b">Next page</button>')).when(k % 5 == 2, F.lit('<li class="pager page-next"><i></i></li>'))
+    more = more.when(k % 5 == 3, F.lit("<button>»</button>")).otherwise(F.lit("<p>The nextdoor shop</p><div>What comes after</div>"))
+    pages = table(spark, d, "supplier").select(k.alias("page_id"), F.when(k % 5 == 0, "https://e.org/list").otherwise("https://e.org/x").alias("url"), F.concat(F.lit("<body>"), more, F.lit("</body>")).alias("html"))
+    return extract.next_steps(pages)
+
+
+@query("""SELECT s_suppkey AS page_id, s_name AS name, NULL AS country, 'https://expo.org/' || s_suppkey AS source_url FROM supplier JOIN nation ON s_nationkey = n_nationkey
+UNION ALL SELECT NULL, 'Firm ' || c_custkey || '-' || i, CASE WHEN i = 2 THEN 'Japan' ELSE 'France' END, 'https://e.org/' || c_custkey || '.pdf' FROM customer, unnest(range(1, 4)) AS u(i) WHERE c_custkey % 3 = 0""")
+def extraction_with_documents(spark, d):
+    """Pages and PDF lists in one extraction; other documents are left out."""
+    k = F.col("c_custkey")
+    listed = F.concat(F.lit("| COMPANY | COUNTRY |\n|---|---|"), *[_s("\n| Firm ", k, f"-{i} | {'JAPAN' if i == 2 else 'FRANCE'} |") for i in (1, 2, 3)])
+    docs = table(spark, d, "customer").select(_s("https://e.org/", k, F.when(k % 3 == 0, ".pdf").otherwise(".html")).alias("url"), listed.alias("markdown"))
+    s = table(spark, d, "supplier").join(table(spark, d, "nation"), F.col("s_nationkey") == F.col("n_nationkey"))
+    pages = s.select(F.col("s_suppkey").alias("page_id"), _s("https://expo.org/", F.col("s_suppkey")).alias("url"), F.concat(F.lit('<body><h1 class="company">'), "s_name", F.lit("</h1><p>A firm of some kind that makes what its clients ask for, and has done so for many years.</p></body>")).alias("html"))
+    return plans.extraction(pages, documents=docs).select("page_id", "name", "country", "source_url")

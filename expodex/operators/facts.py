@@ -9,6 +9,7 @@ facts() gives for each row of pages: page_id, url and whichever of these are ask
 * links: (href, text, title) of anchors; items: flattened JSON-LD objects; micro: flattened microdata
 * cued, dated: first text of a block that holds a cue, first short text that holds a date; sibling: the
   first long text beside the first heading's box; paragraph: the first long paragraph
+* steps: links, buttons and other small elements that may lead to a next page
 * n_company, n_logo, has_pager: counts of marked elements; next_data: the application state's JSON
 
 Null and empty pages give nulls and empty collections; repeated rows and null ids pass as they are;
@@ -37,8 +38,10 @@ _PLACE = re.compile("location|venue|city|place", re.I)
 _DATES = re.compile("startDate|endDate|datePublished", re.I)
 _CUE = re.compile("venue:|location:|held at|taking place at", re.I)
 _DATED = re.compile(r"\b(\d{1,2}[\s\-/]\w+[\s\-/]\d{2,4}|\w+\s+\d{1,2}[-–]\d{1,2},?\s*\d{4}|\d{4})\b")
+_ONWARD = re.compile("next|selanjutnya|forward|arrow|[>›»]", re.I)
+_CLICKED = frozenset("button li span div".split())
 _NO_TEXT = frozenset("script style nav footer header".split())
-_LINE, _LABEL, _LONG, _SHORT, _MARKED, _DATE = 150, 40, 80, 100, 50, 80
+_LINE, _LABEL, _LONG, _SHORT, _MARKED, _DATE, _BUTTON = 150, 40, 80, 100, 50, 80, 40
 # End of fixed values.
 _JSON = re.compile(r"ld\+json", re.I)
 
@@ -178,6 +181,18 @@ def _short_date(page: Page) -> str | None:
     return next(filter(_DATED.search, small), None)
 
 
+def _steps(page: Page) -> list[dict[str, str]]:
+    """Links, and small or marked elements that can be clicked, that may lead on."""
+    out = []
+    for k, tag in enumerate(page.tags):
+        own = page.attrs[k]
+        if (tag == "a" and "href" in own) or tag in _CLICKED:
+            said = page.text(k) if page.size(k) <= _BUTTON else ""
+            if any(_ONWARD.search(x) for x in (said, own.get("class", ""), own.get("aria-label", ""), own.get("rel", ""))):
+                out.append({"tag": tag, "href": own.get("href", ""), "text": said, "cls": own.get("class", ""), "aria": own.get("aria-label", ""), "rel": own.get("rel", "").lower(), "id": own.get("id", "")})
+    return out
+
+
 def _first_text(page: Page, tag: str) -> str | None:
     return next((page.text(k) for k in page.with_tags(tag)), None)
 
@@ -185,6 +200,7 @@ def _first_text(page: Page, tag: str) -> str | None:
 _TEXTS, _MAP = pa.list_(pa.string()), pa.map_(pa.string(), pa.string())
 _NOTES = pa.list_(pa.struct([("kind", pa.int32()), ("place", pa.int32()), ("label", pa.string()), ("value", pa.string())]))
 _LINK = pa.list_(pa.struct([("href", pa.string()), ("text", pa.string()), ("title", pa.string())]))
+_STEPS = pa.list_(pa.struct([(c, pa.string()) for c in ("tag", "href", "text", "cls", "aria", "rel", "id")]))
 #: name -> (SQL type, Arrow type, how it is had from a page and the selectors)
 _PARTS: dict[str, tuple[str, pa.DataType, Callable]] = {
     "text": ("string", pa.string(), lambda p, s: " ".join(p.texts)),
@@ -203,6 +219,7 @@ _PARTS: dict[str, tuple[str, pa.DataType, Callable]] = {
     "micro": ("array<map<string,string>>", pa.list_(_MAP), lambda p, s: _micro(p)),
     "place": ("string", pa.string(), lambda p, s: next((p.text(k) for k in p.where("class", _PLACE)), None)),
     "cued": ("string", pa.string(), lambda p, s: _cued(p)),
+    "steps": ("array<struct<tag:string,href:string,text:string,cls:string,aria:string,rel:string,id:string>>", _STEPS, lambda p, s: _steps(p)),
     "n_company": ("int", pa.int32(), lambda p, s: sum(1 for _ in p.where("class", _COMPANY))),
     "n_logo": ("int", pa.int32(), lambda p, s: sum(p.tags[k] == "img" for k in p.where("class", _LOGO))),
     "has_pager": ("boolean", pa.bool_(), lambda p, s: next(p.where("class", _PAGER), None) is not None),
