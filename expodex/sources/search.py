@@ -92,12 +92,23 @@ def _lines(f) -> Iterator[bytes]:
 
 
 class SearchReader(DataSourceReader):
-    """One partition a file; filters on query, engine and region are the reader's own."""
+    """One partition a file."""
 
     def __init__(self, options: dict[str, str]):
         self.paths = [p for p in options.get("paths", options.get("path", "")).split(",") if p]
         self.wanted: dict[str, list[str]] = {}
 
+    def partitions(self) -> Sequence[InputPartition]:
+        held = [SearchFile(p, self.wanted) for p in files(self.paths) if all(_of_path(p).get(c, v[0] if v else None) in v for c, v in self.wanted.items())]
+        return held or [InputPartition(None)]
+
+    def read(self, partition: InputPartition) -> Iterator[tuple]:
+        return _rows(partition) if isinstance(partition, SearchFile) else iter(())
+
+
+class FilteringReader(SearchReader):
+    """Filters on query, engine and region are the reader's own."""
+
     def pushFilters(self, filters: list[Filter]) -> Iterable[Filter]:
         for f in filters:
             name = f.attribute[0] if isinstance(f, (EqualTo, In)) and len(f.attribute) == 1 else None
@@ -107,13 +118,6 @@ class SearchReader(DataSourceReader):
             values = [v for v in ([f.value] if isinstance(f, EqualTo) else f.value) if v is not None]
             self.wanted[name] = [v for v in values if v in self.wanted.get(name, values)]
 
-    def partitions(self) -> Sequence[InputPartition]:
-        held = [SearchFile(p, self.wanted) for p in files(self.paths) if all(_of_path(p).get(c, v[0] if v else None) in v for c, v in self.wanted.items())]
-        return held or [InputPartition(None)]
-
-    def read(self, partition: InputPartition) -> Iterator[tuple]:
-        return _rows(partition) if isinstance(partition, SearchFile) else iter(())
-
 
 class SearchStreamReader(DataSourceStreamReader):
     """New files in the order of their names; an offset is the last name that was read."""
@@ -162,7 +166,14 @@ class SearchSource(DataSource):
         return SearchStreamReader(self._options())
 
 
+class FilteringSource(SearchSource):
+    """The same with filters pushed into it, which a session must allow."""
+
+    def reader(self, schema: T.StructType) -> DataSourceReader:
+        return FilteringReader(self._options())
+
+
 def registered(spark) -> None:
     """Make the source known to the session, with filters pushed into it."""
     spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
-    spark.dataSource.register(SearchSource)
+    spark.dataSource.register(FilteringSource)

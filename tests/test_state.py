@@ -214,7 +214,7 @@ def test_search_source_filters_and_offsets(spark, tmp_path):
     plan = some._sc._jvm.PythonSQLUtils.explainString(some._jdf.queryExecution(), "formatted")
     pushed = [line for line in plan.splitlines() if "PushedFilters" in line and "engine" in line]
     assert pushed and "region" in pushed[0]
-    reader = search.SearchReader({"path": path})
+    reader = search.FilteringReader({"path": path})
     left = list(reader.pushFilters([search.EqualTo(("engine",), "one"), search.EqualTo(("url",), "u"), search.In(("engine",), ("one", None, "z"))]))
     assert len(left) == 1 and [p.path for p in reader.partitions()] == [f"{path}/engine=one/a.json"]
 
