@@ -9,9 +9,10 @@ from pyspark.sql import functions as F
 
 from . import dictionaries as D
 from . import plans, sinks
-from .catalog import _values, drawn, query
+from .catalog import _values, drawn
 from .catalog_more import _choice, _pick, _s
 from .operators import extract, frontier, links, report
+from .registry import query
 from .sources import snapshot
 from .sources.snapshot import table
 

@@ -9,9 +9,10 @@ import uuid
 from pyspark.sql import functions as F
 
 from . import keyed, plans
-from .catalog import _row_parser, query
+from .catalog import _row_parser
 from .catalog_more import _s
 from .operators import frontier, listings, parsers
+from .registry import query
 from .sources import snapshot
 from .sources.snapshot import table
 

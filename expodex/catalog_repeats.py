@@ -5,9 +5,9 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from . import plans
-from .catalog import query
 from .catalog_more import _s
 from .operators import frontier, links, pdf, records
+from .registry import query
 from .sources import snapshot
 from .sources.snapshot import table
 

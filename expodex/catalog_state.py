@@ -8,10 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import workers
-from .catalog import query
 from .catalog_more import _choice, _s
 from .functions import urls as U
 from .operators import domains, frontier, links
+from .registry import query
 from .sources import search, snapshot
 from .sources.snapshot import table
 from .streaming import cache, feedback, progress
