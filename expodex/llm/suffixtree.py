@@ -16,7 +16,7 @@ log-probability is the root's plus, for each retained suffix context, log(left)
 symbol is kept, log(p / p of the suffix) - log(left). So each gram has one weight, and a row's
 score is a sum of weights over its grams. The most frequent grams, HEAVY of them at most, are broadcast
 with their weights; the occurrences of the others meet their weights in parts of bounded size, named by
-the hashes' top bits, as sorted packets rather than rows. Filters of at most 2^FILTER_BITS bits spare
+the hashes' top bits, as sorted packets rather than rows, in _SLICES passes, so that only one pass's packets lie on disk. Filters of at most 2^FILTER_BITS bits spare
 grams that no table holds, and grams that surely occur once; they change no result.
 
 Defined results: null and empty texts consist of the end alone; repeated rows are scored, and
@@ -417,6 +417,7 @@ class Model:
 
 
 _OCCURRENCES, _ENTRIES = 1 << 22, 1 << 20  # about so many occurrences and weights meet in one part
+_SLICES = 2  # passes over the texts in which parts are met: each has its share of the packets
 _COPIES = 1000
 _DOC = np.dtype([("uid", "<u8"), ("doc_id", "<i8"), ("no_id", "?"), ("held_out", "?"), ("n_tokens", "<i8"), ("n_known", "<i8"), ("base", "<f8"), ("score", "<f8"), ("copies", "<i8")])
 
@@ -444,8 +445,10 @@ def _cuts(h: np.ndarray, bits: int) -> np.ndarray:
     return np.append(np.searchsorted(h, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)), len(h))
 
 
-def _found(shared, bits: int):
-    """Packets of the rare grams that rows hold, by part, and of the rows themselves; equal rows of a packet are one with copies."""
+def _found(shared, bits: int, turn: int, slices: int):
+    """Packets of the rare grams that rows hold, by part, of the parts whose number leaves `turn`, and of the rows themselves;
+    equal rows of a packet are one with copies."""
+    own_parts = range(turn, 1 << bits, slices)
 
     def packets(docs: np.ndarray, at: np.ndarray, h: np.ndarray) -> Iterator[pa.RecordBatch]:
         _, first, place, n = np.unique(docs["uid"], return_index=True, return_inverse=True, return_counts=True)
@@ -456,8 +459,8 @@ def _found(shared, bits: int):
         order = np.argsort(h)
         at, h = at[order].astype(np.uint32), h[order]
         cut = _cuts(h, bits)
-        for k in range(1 << bits):  # rows are spread evenly, wherever their grams go
-            own, part = docs[k :: 1 << bits], slice(cut[k], cut[k + 1])
+        for place, k in enumerate(own_parts):  # rows are spread evenly, wherever their grams go
+            own, part = docs[place :: len(own_parts)], slice(cut[k], cut[k + 1])
             if len(own) or part.start < part.stop:
                 some, local = np.unique(at[part], return_inverse=True)
                 columns = [docs["uid"][some].tobytes(), _planes(local.astype(np.uint32)), _steps(h[part]), own.tobytes()]
@@ -467,6 +470,8 @@ def _found(shared, bits: int):
         docs, at, h, rows, held = [], [], [], 0, 0
         for batch in chunks(batches, "text"):
             x, row, own = shared.value.scored(batch)
+            mine = (own >> np.uint64(64 - bits)) % np.uint64(slices) == turn
+            row, own = row[mine], own[mine]
             doc = np.zeros(batch.num_rows, _DOC)
             for k in ("uid", "n_tokens", "n_known", "base", "score"):
                 doc[k] = x[k]
@@ -546,6 +551,9 @@ def _met(found: pa.Table, known: pa.Table) -> pa.Table:
     return pa.table(column)
 
 
+_MET = "uid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, copies long, times long, seen long, root double, w double"
+
+
 def scores(docs: DataFrame) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score of every row of docs."""
     bounded_batches(docs)
@@ -575,19 +583,27 @@ def scores(docs: DataFrame) -> DataFrame:
     row = rare.agg(F.count("*").alias("k"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
     bits = min(24, max(4, int(max(row["n"] / _OCCURRENCES, row["k"] / _ENTRIES)).bit_length()))
     rare = rare.select("h", F.coalesce(F.log10(F.col("c") + 1.0), F.lit(0.0)).alias("c"), "w")
-    found = rows.mapInArrow(_found(shared, bits), "part int, uids binary, at binary, h binary, docs binary").groupBy("part")
-    known = rare.mapInArrow(_known(bits), "part int, h binary, c binary, w binary").groupBy("part")
+    met = None
+    for turn in range(_SLICES):
+        found = rows.mapInArrow(_found(shared, bits, turn, _SLICES), "part int, uids binary, at binary, h binary, docs binary").groupBy("part")
+        own = rare.filter(F.shiftrightunsigned("h", 64 - bits) % _SLICES == turn)
+        known = own.mapInArrow(_known(bits), "part int, h binary, c binary, w binary").groupBy("part")
+        part = stored(found.cogroup(known).applyInArrow(_met, _MET).withColumn("turn", F.lit(turn)), "sums")
+        _released(part)
+        met = part if met is None else met.unionByName(part)
+    shared.destroy()
+    dropped(weights)
     columns = ("doc_id", "held_out", "n_tokens", "n_known", "base", "score")
-    met = found.cogroup(known).applyInArrow(_met, "uid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, copies long, times long, seen long, root double, w double")
-    per = met.groupBy("uid").agg(*(F.max(k).alias(k) for k in columns), *(F.sum(k).alias(k) for k in ("copies", "times", "seen", "root", "w")))
-    share = lambda c: F.col(c) / F.col("times")
+    per = met.groupBy("uid").agg(*(F.max(k).alias(k) for k in columns), F.sum(F.when(F.col("turn") == 0, F.col("copies"))).alias("copies"), *(F.sum(F.when(F.col("turn") == t, F.col(k))).alias(f"{k}{t}") for t in range(_SLICES) for k in ("times", "seen", "root", "w")))
+    # A row that lies in several packets of a turn has its sums as often; packets of two turns may be cut at different rows.
+    share = lambda c: sum((F.col(f"{c}{t}") / F.col(f"times{t}") for t in range(_SLICES)), F.lit(0.0))
     more = share("root") + (F.col("n_tokens") - F.col("n_known")) * F.lit(unknown)
     out = per.select(
         "copies",
         "doc_id",
         "held_out",
         "n_tokens",
-        (F.col("n_known") + share("seen").cast("long")).alias("n_known"),
+        (F.col("n_known") + F.round(share("seen")).cast("long")).alias("n_known"),
         F.lit(tree.total).cast("long").alias("train_tokens"),
         (F.col("base") + more).alias("base_score"),
         (F.col("score") + more + share("w")).alias("score"),

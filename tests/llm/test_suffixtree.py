@@ -49,6 +49,21 @@ def test_repeated_rows_and_nulls(spark, odd, none, monkeypatch):
     assert suffixtree.scores(none).count() == 0
 
 
+def test_turns_share_the_parts_and_change_no_result(spark, data, monkeypatch):
+    monkeypatch.setattr(suffixtree, "HEAVY", 300)
+    docs = table(spark, data, "documents")
+    docs = docs.union(docs.limit(20))
+    seen = []
+    monkeypatch.setattr(suffixtree, "_found", lambda *a, f=suffixtree._found: seen.append(a[2:]) or f(*a))
+    of = lambda: sorted((r.doc_id, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in suffixtree.scores(docs).collect())
+    monkeypatch.setattr(suffixtree, "_SLICES", 1)
+    whole = of()
+    monkeypatch.setattr(suffixtree, "_SLICES", 3)
+    monkeypatch.setattr(suffixtree, "_FLUSH", 3000)  # rows lie in several packets
+    assert of() == whole
+    assert seen == [(0, 1), (0, 3), (1, 3), (2, 3)]
+
+
 def test_no_training_rows(spark, odd):
     only = odd.filter("pmod(crc32(cast(cast(doc_id as string) as binary)), 7) = 2 or doc_id is null")
     check([tuple(r) for r in only.select("doc_id", "text").collect()], suffixtree.scores(only).collect())
