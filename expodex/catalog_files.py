@@ -139,7 +139,7 @@ def external_links(spark, d):
     """Links to the page's own registered domain, its subdomains, and others."""
     k = F.col("c_custkey")
     html = F.concat(F.lit('<a href="/a">a</a><a href="https://other'), k.cast("string"), F.lit('.com/">b</a><a href="https://shop.firm'), k.cast("string"), F.lit('.co.uk/c">c</a><a href="https://firm.co.uk/d">d</a>'))
-    pages = table(spark, d, "customer").select(k.alias("page_id"), _s("https://www.firm", k, ".co.uk/x").alias("url"), html.alias("html"))
+    pages = snapshot.spread(table(spark, d, "customer").select("c_custkey"), "c_custkey").select(k.alias("page_id"), _s("https://www.firm", k, ".co.uk/x").alias("url"), html.alias("html"))
     return links.links(pages).groupBy("page_id").agg(F.count("*").alias("n"), F.count_if("is_external").alias("externals"))
 
 
