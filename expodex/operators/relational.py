@@ -49,9 +49,10 @@ def detected_regions(queries: DataFrame, regions: DataFrame) -> DataFrame:
     """(ord, query) -> ord, label, engine: Global and every region with a keyword in the query; all of them
     for a query that asks for the whole world. regions: (ord, label, engine, keyword), a short fixed list."""
     low = F.lower(F.col("query"))
-    world = low.rlike("|".join(D.GLOBAL_KEYWORDS))
-    r = F.broadcast(regions.withColumnRenamed("ord", "__o"))
-    hits = queries.join(r, world | low.contains(F.col("keyword"))).select("ord", "label", "engine").distinct()
+    every = F.broadcast(regions.agg(F.collect_list(F.struct("label", "engine", "keyword")).alias("__r")))
+    rows = computed(queries.select("ord", "query").crossJoin(every), __low=low, __world=low.rlike("|".join(D.GLOBAL_KEYWORDS)))
+    said = F.transform(F.filter("__r", lambda r: F.col("__world") | F.contains("__low", r["keyword"])), lambda r: F.struct(r["label"].alias("label"), r["engine"].alias("engine")))
+    hits = rows.select("ord", F.explode(F.array_distinct(said)).alias("__h")).select("ord", "__h.*").distinct()
     return hits.unionByName(queries.select("ord", F.lit(D.GLOBAL_REGION[0]).alias("label"), F.lit(D.GLOBAL_REGION[1]).alias("engine")))
 
 

@@ -5,7 +5,7 @@ import pytest
 from expodex import catalog
 
 
-@pytest.mark.parametrize("name", ["external_links"])
+@pytest.mark.parametrize("name", ["external_links", "region_detect"])
 def test_the_long_step_has_a_task_for_every_core(spark, data, name):
     plan = catalog.QUERIES[name](spark, data)._jdf.queryExecution().optimizedPlan().toString()
     assert "RepartitionByExpression [c_custkey#" in plan and f"], {4 * spark.sparkContext.defaultParallelism}" in plan
