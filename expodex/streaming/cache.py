@@ -91,29 +91,54 @@ class Cache(StatefulProcessor):
         return tuple(self.counts.get()) if self.counts.exists() else (0, 0)
 
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues: TimerValues) -> Iterator[Row]:
-        for row in sorted(rows, key=lambda r: (r["us"] is not None, r["us"], r["ord"] is not None, r["ord"], r["entry"] or "")):
+        rows = sorted(rows, key=lambda r: (r["us"] is not None, r["us"], r["ord"] is not None, r["ord"], r["entry"] or ""))
+        entries = {r["entry"] for r in rows if r["us"] is not None and r["entry"] is not None} if key[0] is not None else set()
+        count, following = self._counts() if entries else (0, 0)
+        before = self._read(entries, count)
+        held = dict(before)
+        for row in rows:
             entry, at = row["entry"], row["us"]
-            hit, since = (False, at) if key[0] is None or entry is None or at is None else self._ask(entry, at)
+            hit, since = False, at
+            if entry in entries and at is not None:
+                hit, since = self._ask(held, entry, at, following)
+                following += not hit
             yield Row(key=key[0], entry=entry, us=at, ord=row["ord"], hit=hit, since=since)
-
-    def _ask(self, entry: str, at: int) -> tuple[bool, int]:
-        known = self.held.getValue((entry,)) if self.held.containsKey((entry,)) else None
+        if held != before:
+            self._write(held, before)
+            self.counts.update((count + len(held) - len(before), following))
+
+    def _read(self, entries: set[str], count: int) -> dict[str, tuple[int, int]]:
+        """What is held of these entries: all that is held where it is little beside them, or where some must leave."""
+        if not count:
+            return {}
+        if count + len(entries) > self.most or count <= 4 * len(entries):
+            return {k[0]: tuple(v) for k, v in self.held.iterator()}
+        return {e: tuple(self.held.getValue((e,))) for e in entries if self.held.containsKey((e,))}
+
+    def _ask(self, held: dict[str, tuple[int, int]], entry: str, at: int, number: int) -> tuple[bool, int]:
+        known = held.pop(entry, None)
         if known is not None and at - known[0] < self.ttl:
+            held[entry] = known
             return True, known[0]
-        if known is not None:
-            self._remove([(entry,)])
-        if self._counts()[0] > self.most:
-            every = list(self.held.iterator())  # `most` and one, and what has expired since the last timer
-            self._remove([k for k, v in every if at - v[0] >= self.ttl])
-            left = sorted((v[1], k) for k, v in every if at - v[0] < self.ttl)
-            if len(left) > self.most:
-                self._remove([k for _, k in left[: self.evict]])
-        held, following = self._counts()
-        self.held.updateValue((entry,), (at, following))
-        self.counts.update((held + 1, following + 1))
-        self.handle.registerTimer(-(-(at + self.ttl) // 1000))
+        if len(held) > self.most:  # `most` and one, and what has expired since the last timer
+            for e in [e for e, v in held.items() if at - v[0] >= self.ttl]:
+                del held[e]
+            if len(held) > self.most:
+                for e in sorted(held, key=lambda e: held[e][1])[: self.evict]:
+                    del held[e]
+        held[entry] = (at, number)
         return False, at
 
+    def _write(self, held: dict[str, tuple[int, int]], before: dict[str, tuple[int, int]]) -> None:
+        """The state is written once a batch, however many rows asked."""
+        for e in before.keys() - held.keys():
+            self.held.removeKey((e,))
+        new = {e: v for e, v in held.items() if before.get(e) != v}
+        for e, v in new.items():
+            self.held.updateValue((e,), v)
+        for ms in {-(-(at + self.ttl) // 1000) for at, _ in new.values()}:
+            self.handle.registerTimer(ms)
+
     def _remove(self, entries: list[tuple]) -> None:
         for k in entries:
             self.held.removeKey(k)
