@@ -1,4 +1,4 @@
-"""Exhibitor lists from PDF text: piped tables and numbered blocks, with window functions per document."""
+"""Exhibitor lists from PDF text: piped tables by window functions per document, numbered blocks within the array of its blocks."""
 
 from __future__ import annotations
 
@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from .. import dictionaries as D
 from ..functions import text as X
 from .links import first_by
+from .relational import computed
 
 # Cells that make a header row, and lines that are no entries.
 NAME_HEADERS = ["COMPANY NAME", "COMPANY", "EXHIBITOR", "EXHIBITOR NAME", "NAME", "FIRM", "PARTICIPANT", "EXHIBITOR/PARTICIPANT"]
@@ -38,6 +39,11 @@ def _confidence(weight: float) -> Column:
     return F.least(X.populated([F.col("name"), F.col("country"), F.col("booth_number")]) / F.lit(3.0), F.lit(1.0)) * F.lit(weight)
 
 
+def _runs(items: Column, begins: Column) -> Column:
+    """An array cut at ascending places: from each place up to the next one, or the end."""
+    return F.transform(begins, lambda at, k: F.slice(items, at + 1, F.coalesce(F.get(begins, k + 1), F.size(items)) - at))
+
+
 def table_rows(docs: DataFrame) -> DataFrame:
     """(url, markdown) -> url, line, name, country, booth_number, confidence_score.
 
@@ -64,34 +70,32 @@ def table_rows(docs: DataFrame) -> DataFrame:
 
 
 def numbered_rows(docs: DataFrame, country_first: bool = True) -> DataFrame:
-    """(url, markdown) -> one row for each numbered entry; blocks without a number continue the one before.
+    """(url, markdown) -> one row for each numbered entry; blocks without a number continue the one before. Every row of docs is a document.
 
     country_first=False reads an all-capital country in the second column as a booth.
     """
     by = _by(docs)
     body = F.regexp_replace("markdown", r"(?s)^.*?Markdown Content:", "")
-    blocks = docs.select(*by, F.posexplode(F.split(body, r"\n\n+")).alias("line", "block"))
-    blocks = blocks.withColumn("block", F.trim(F.regexp_replace(F.trim("block"), r"\s*\n\s*", " "))).filter(F.col("block") != "").filter(~F.col("block").rlike(SKIPPED))
-    blocks = blocks.withColumn("starts", F.col("block").rlike(r"^\d+\s{1,2}.").cast("int"))
-    so_far = Window.partitionBy(*by).orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    blocks = blocks.withColumn("entry", F.sum("starts").over(so_far)).filter("entry > 0")
-    blocks = blocks.withColumn("block", F.when(F.col("starts") == 1, F.regexp_replace("block", r"^\d+\s{1,2}", "")).otherwise(F.col("block")))
-    # An entry is a few blocks; the list is short.
-    text = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line", "block"))), lambda b: b["block"]), "  ")
-    rows = blocks.groupBy(*by, "entry").agg(text.alias("text"), F.min("line").alias("line"))
-    part = lambda k: F.try_element_at(F.filter(F.transform(F.split("text", r"\s{2,}"), lambda p: F.trim(p)), lambda p: p != ""), F.lit(k))
-    rows = rows.select(*by, "line", part(1).alias("p1"), F.trim(F.regexp_replace(part(2), r"\s*\([^)]+\)\s*$", "")).alias("p2"), part(3).alias("p3"))
+    blocks = F.transform(F.split(body, r"\n\n+"), lambda b, k: F.struct(k.alias("line"), F.trim(F.regexp_replace(F.trim(b), r"\s*\n\s*", " ")).alias("block")))
+    docs = computed(docs.select(*by, "markdown"), blocks=F.filter(blocks, lambda b: (b["block"] != "") & ~b["block"].rlike(SKIPPED))).drop("markdown")
+    docs = computed(docs, begins=F.filter(F.transform("blocks", lambda b, k: F.when(b["block"].rlike(r"^\d+\s{1,2}."), k)), lambda k: k.isNotNull()))
+    own = lambda run: F.transform(run, lambda b, k: F.when(k == 0, F.regexp_replace(b["block"], r"^\d+\s{1,2}", "")).otherwise(b["block"]))
+    entries = F.transform(_runs(F.col("blocks"), F.col("begins")), lambda run: F.struct(F.get(run, F.lit(0))["line"].alias("line"), F.array_join(own(run), "  ").alias("text")))
+    rows = docs.select(*by, F.explode(entries).alias("e")).select(*by, "e.*")
+    rows = computed(rows, parts=F.filter(F.transform(F.split("text", r"\s{2,}"), lambda p: F.trim(p)), lambda p: p != ""))
+    part = lambda k: F.try_element_at("parts", F.lit(k))
+    rows = computed(rows, p1=part(1), p2=F.trim(F.regexp_replace(part(2), r"\s*\([^)]+\)\s*$", "")), p3=part(3)).drop("text", "parts")
     rows = rows.filter(F.length("p1").between(2, 200) & ~F.col("p1").rlike(r"^\d+$") & ~F.col("p1").rlike(SKIPPED))
-    known = lambda c: F.coalesce(X.country_exact(c).isNotNull() | X.country_first(c).isNotNull(), F.lit(False))
+    known = lambda c: F.coalesce(X.country_exact(c).isNotNull() | X.has_country(c), F.lit(False))
     coded = F.coalesce(F.col("p2").rlike(r"^[A-Z0-9][A-Za-z0-9_,\-\s]{0,15}$") & (F.length("p2") <= 12) & ~F.col("p2").rlike("[a-z]"), F.lit(False))
     second = F.when(known(F.col("p2")), "country").when(coded, "booth") if country_first else F.when(coded, "booth").when(known(F.col("p2")), "country")
-    rows = rows.withColumn("second", F.when(F.col("p2").isNotNull(), F.coalesce(second, F.lit("name"))))
+    rows = computed(rows, second=F.when(F.col("p2").isNotNull(), F.coalesce(second, F.lit("name"))))
     name = F.when(F.col("second") == "name", F.trim(F.concat_ws(" ", "p1", "p2"))).otherwise(F.col("p1"))
     third = F.when(known(F.col("p3")) & ~(F.coalesce("second", F.lit("")) == "country"), "country").when((F.length("p3") <= 25) & ~(F.coalesce("second", F.lit("")) == "booth"), "booth")
-    rows = rows.withColumn("name", name).withColumn("third", third)
+    rows = computed(rows, name=name, third=third)
     country = F.coalesce(F.when(F.col("second") == "country", F.col("p2")), F.when(F.col("third") == "country", F.col("p3")), X.country_earliest(F.col("name")))
     booth = F.coalesce(F.when(F.col("second") == "booth", F.col("p2")), F.when(F.col("third") == "booth", F.col("p3")))
-    rows = rows.select(*by, "line", "name", country.alias("country"), X.missing(F.left(booth, F.lit(60))).alias("booth_number"))
+    rows = computed(rows, country=country, booth_number=X.missing(F.left(booth, F.lit(60)))).select(*by, "line", "name", "country", "booth_number")
     return rows.withColumn("extraction_method", F.lit("pdf_rule_based")).withColumn("confidence_score", _confidence(0.7))
 
 
