@@ -55,8 +55,8 @@ def anchors(pages: DataFrame) -> DataFrame:
 def firsts(links: Column, key: Callable[[Column], Column]) -> Column:
     """The first element of each key of an array, in order; linear, by a map of the places."""
     keyed = F.transform(links, lambda a, k: F.struct(key(a).alias("k"), k.alias("n")))
-    places = F.array_sort(keyed)
-    kept = F.filter(places, lambda p, k: (k == 0) | (F.get(places, k - 1)["k"] != p["k"]))
+    # Sorted once and named: what a lambda's body builds itself is built again for every element.
+    kept = U.let(F.array_sort(keyed), lambda places: F.filter(places, lambda p, k: (k == 0) | (F.get(places, k - 1)["k"] != p["k"])))
     return F.transform(F.array_sort(F.transform(kept, lambda p: p["n"])), lambda n: F.get(links, n))
 
 

@@ -1,13 +1,14 @@
-"""Exhibitor lists from PDF text: piped tables by window functions per document, numbered blocks within the array of its blocks."""
+"""Exhibitor lists from PDF text: piped tables and numbered blocks, within the arrays of a document's lines, so nothing is shuffled."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .. import dictionaries as D
 from ..functions import text as X
-from .links import first_by
+from ..functions import urls as U
+from .links import firsts
 from .relational import computed
 
 # Cells that make a header row, and lines that are no entries.
@@ -21,8 +22,10 @@ SKIPPED = r"(?i)EXHIBITOR LIST|PARTICIPATING COMPANIES|Updated as of|Country\s*/
 
 def _country_of_cell(raw: Column) -> Column:
     """The first of the parts split by / , & that names a country, else the part before the first slash."""
-    named = F.filter(F.transform(F.split(raw, "[/,&]"), lambda p: F.coalesce(X.country_exact(p), X.country_first(F.lower(F.trim(p))))), lambda c: c.isNotNull())
-    return F.when(X.missing(raw).isNotNull(), F.coalesce(F.try_element_at(named, F.lit(1)), F.trim(F.element_at(F.split(raw, "/"), 1))))
+    country = lambda p: F.coalesce(X.country_exact(p), X.country_first(F.lower(F.trim(p))))
+    named = F.filter(F.transform(F.split(raw, "[/,&]"), country), lambda c: c.isNotNull())
+    several = F.coalesce(F.try_element_at(named, F.lit(1)), F.trim(F.element_at(F.split(raw, "/"), 1)))
+    return F.when(X.missing(raw).isNotNull(), F.when(raw.rlike("[/,&]"), several).otherwise(F.coalesce(country(raw), F.trim(raw))))
 
 
 def documents(docs: DataFrame) -> DataFrame:
@@ -45,27 +48,39 @@ def _runs(items: Column, begins: Column) -> Column:
 
 
 def table_rows(docs: DataFrame) -> DataFrame:
-    """(url, markdown) -> url, line, name, country, booth_number, confidence_score.
+    """(url, markdown) -> url, line, name, country, booth_number, confidence_score; every row of docs is a document.
 
     Header rows carry forward to the next header; the first row of each name in a document stays.
     """
     by = _by(docs)
-    lines = docs.select(*by, F.posexplode(F.split("markdown", "\n")).alias("line", "raw")).withColumn("raw", F.trim("raw")).filter("startswith(raw, '|')")
-    parts = F.split("raw", r"\|")
-    cells = F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0))), lambda c: F.trim(c))
-    rows = lines.withColumn("cells", cells).filter(F.exists("cells", lambda c: (c != "") & ~c.rlike("^-+$")))
-    upper = F.transform("cells", lambda c: F.upper(c))
+    lines = F.transform(F.split("markdown", "\n"), lambda x, k: F.struct(k.alias("line"), F.trim(x).alias("raw")))
+    parts = lambda x: F.split(x["raw"], r"\|")
+    cells = lambda parts: F.transform(F.slice(parts, 2, F.greatest(F.size(parts) - 2, F.lit(0))), lambda c: F.trim(c))
+    lines = F.transform(F.filter(lines, lambda x: F.startswith(x["raw"], F.lit("|"))), lambda x: F.struct(x["line"].alias("line"), x["raw"].alias("raw"), U.let(parts(x), cells).alias("cells")))
+    lines = F.filter(lines, lambda x: F.exists(x["cells"], lambda c: (c != "") & ~c.rlike("^-+$")))
     names, lands = F.array(*[F.lit(h) for h in NAME_HEADERS]), F.array(*[F.lit(h) for h in COUNTRY_HEADERS])
-    last = lambda test: F.coalesce(F.array_max(F.filter(F.transform(upper, lambda c, k: F.when(test(c), k)), lambda k: k.isNotNull())), F.lit(-1))
     is_name, is_land = lambda c: F.array_contains(names, c), lambda c: F.array_contains(lands, c)
-    header = F.struct(last(is_name).alias("name"), last(is_land).alias("country"), last(lambda c: ~is_name(c) & ~is_land(c) & c.rlike(BOOTH_HEADERS)).alias("booth"))
-    rows = rows.withColumn("header", F.when(F.exists(upper, is_name), header))
-    so_far = Window.partitionBy(*by).orderBy("line").rowsBetween(Window.unboundedPreceding, Window.currentRow)
-    rows = rows.withColumn("at", F.last("header", ignorenulls=True).over(so_far)).filter("header is null and at is not null")
-    cell = lambda k: F.when(k >= 0, F.get("cells", k))
-    rows = rows.select(*by, "line", cell(F.col("at.name")).alias("name"), _country_of_cell(cell(F.col("at.country"))).alias("country"), X.missing(F.left(cell(F.col("at.booth")), F.lit(60))).alias("booth_number"))
-    rows = rows.filter((F.length("name") >= 2) & ~F.col("name").rlike("^-+$") & ~F.upper("name").isin(NAME_HEADERS + NUMBER_HEADERS))
-    rows = first_by(rows.withColumn("__key", F.lower("name")), [*by, "__key"], F.col("line")).drop("__key")
+
+    def header(upper: Column) -> Column:
+        last = lambda test: F.coalesce(F.array_max(F.filter(F.transform(upper, lambda c, k: F.when(test(c), k)), lambda k: k.isNotNull())), F.lit(-1))
+        found = F.struct(last(is_name).alias("name"), last(is_land).alias("country"), last(lambda c: ~is_name(c) & ~is_land(c) & c.rlike(BOOTH_HEADERS)).alias("booth"))
+        return F.when(F.exists(upper, is_name), found)
+
+    def heads(lines: Column) -> Column:
+        # A line without any of the words has no cell that is one.
+        own = lambda x: F.when(F.upper(x["raw"]).rlike("|".join(NAME_HEADERS)), U.let(F.transform(x["cells"], lambda c: F.upper(c)), header))
+        return F.filter(F.transform(lines, lambda x, k: F.struct(k.alias("at"), own(x).alias("header"))), lambda h: h["header"].isNotNull())
+
+    def entry(x: Column, at: Column) -> Column:
+        cell = lambda k: F.when(k >= 0, F.get(x["cells"], k))
+        return F.struct(x["line"].alias("line"), cell(at["name"]).alias("name"), cell(at["country"]).alias("land"), X.missing(F.left(cell(at["booth"]), F.lit(60))).alias("booth_number"))
+
+    below = lambda run, head: F.transform(F.slice(run, 2, F.size(run)), lambda x: entry(x, head["header"]))
+    named = lambda e: (F.length(e["name"]) >= 2) & ~e["name"].rlike("^-+$") & ~F.upper(e["name"]).isin(NAME_HEADERS + NUMBER_HEADERS)
+    under = lambda lines, heads: U.let(heads.getField("at"), lambda at: F.flatten(F.zip_with(_runs(lines, at), heads, below)))
+    entries = U.let(lines, lambda lines: U.let(heads(lines), lambda heads: F.filter(under(lines, heads), named)))
+    rows = docs.select(*by, F.explode(U.let(entries, lambda e: firsts(e, lambda e: F.lower(e["name"])))).alias("e")).select(*by, "e.*")
+    rows = rows.select(*by, "line", "name", _country_of_cell(F.col("land")).alias("country"), "booth_number")
     return rows.withColumn("extraction_method", F.lit("pdf_table")).withColumn("confidence_score", _confidence(0.85))
 
 

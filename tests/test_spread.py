@@ -11,7 +11,7 @@ def test_the_long_step_has_a_task_for_every_core(spark, data, name):
     assert "RepartitionByExpression [c_custkey#" in plan and f"], {4 * spark.sparkContext.defaultParallelism}" in plan
 
 
-@pytest.mark.parametrize("name", ["pdf_numbered"])
+@pytest.mark.parametrize("name", ["pdf_numbered", "pdf_tables"])
 def test_documents_are_shuffled_once(spark, data, name):
     plan = catalog.QUERIES[name](spark, data)._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning(") == 1 and "Window" not in plan
