@@ -1,7 +1,7 @@
 """Breadth-first crawl over an edge table, by priority, with visited marked when a URL is enqueued.
 
 Each round is a join and an aggregation; the visited and frontier tables are written to the shared
-scratch folder, so a round can be repeated after a lost executor and lineage stays short.
+scratch folder, so a round can be repeated after a lost executor and lineage stays short. The edges lie there too.
 """
 
 from __future__ import annotations
@@ -64,6 +64,16 @@ def crawl(seeds: DataFrame, edges: DataFrame, max_depth: int = 3, max_rounds: in
     RuntimeError if something still does after max_rounds. failing: URLs (url) that give nothing but an error when
     they are crawled; rounds end when more than `most_errors` have, or when `decide`, asked where there are many errors (hooks.supervised), says `stop`. The result's files stay in the scratch folder, those of rounds do not.
     """
+    rows = edges.select("src", "dst", "kind", "score").filter("src is not null and dst is not null")
+    held = _stored(rows.repartition(4 * edges.sparkSession.sparkContext.defaultParallelism, "src"))  # made once, read by every round on all cores
+    try:
+        return _rounds(seeds, held, max_depth, max_rounds, batch, limit, failing, most_errors, decide)
+    finally:
+        _dropped(held)
+
+
+def _rounds(seeds: DataFrame, edges: DataFrame, max_depth: int, max_rounds: int, batch: int | None, limit: int | None, failing: DataFrame | None, most_errors: int, decide: Callable[[dict], str] | None) -> DataFrame:
+    """The rounds of crawl()."""
     first = seeds.filter("url is not null").select("url").distinct().select("url", F.lit(0).alias("depth"), F.lit(10).alias("priority"), F.lit(0).alias("round"))
     parts = [_stored(first)]  # visited, in parts by round
     waiting = parts[0]
