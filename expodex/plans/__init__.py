@@ -110,7 +110,8 @@ def domain_enriched(vendors: DataFrame, pages: DataFrame) -> DataFrame:
     source = domain(F.col("source_url")) if "source_url" in vendors.columns else F.lit("")
     owners = records.without_skipped(vendors.filter(records.own_domain(vendors).isNotNull()), "website")
     wanted = owners.select(domain(F.col("website")).alias("__host"), source.alias("__source"), "ord").filter("__host <> '' and __host <> __source").drop("__source")
-    home = home.join(wanted.select("__host").distinct(), "__host", "left_semi").groupBy("__host").agg(F.min_by(F.struct("page_id", "url", "html"), F.struct("page_id", "url")).alias("p")).select("p.*")
+    home = home.join(wanted.select("__host").distinct(), "__host", "left_semi").groupBy("__host").agg(F.min_by(F.struct("page_id", "url", "html"), F.struct("page_id", "url")).alias("p"))
+    home = snapshot.spread(home, "__host").select("p.*")  # a parse is long for each row
     found = page_records(home).withColumn("__host", domain(F.col("source_url"))).drop("page_id", "text", "extras", "source_url", "extraction_method", "name", "organizer")
     found = found.join(wanted, "__host").drop("__host")
     return records.websearch_filled(vendors, found, "ord", mark="+enrichment")
