@@ -9,15 +9,19 @@ at least MIN_CELL times, discounted by DISCOUNT; the rest of its mass goes to th
 distribution. Each token is scored in its longest suffix state. The thresholds are counts, the same
 at every size, so the tree grows with the corpus.
 
-Root and levels lie in written tables and are joined, never collected. A gram (a context, or a
-context with its symbol) is named by a hash of its own prefix and suffix, so the cell of the suffix
-state is found by a join, and it is always there, for it occurs at least as often. A token's
-log-probability is the root's plus, for each retained suffix context, log(left) and, where the
-symbol is kept, log(p / p of the suffix) - log(left). So each gram has one weight, and a row's
-score is a sum of weights over its grams. The most frequent grams, HEAVY of them at most, are broadcast
-with their weights; the occurrences of the others meet their weights in parts of bounded size, named by
-the hashes' top bits, as sorted packets rather than rows, in _SLICES passes, so that only one pass's packets lie on disk. Filters of at most 2^FILTER_BITS bits spare
-grams that no table holds, and grams that surely occur once; they change no result.
+A state hangs on its last token, so all contexts that end in one token grow apart from all others.
+scores() sends each occurrence once, as the codes of its last MAX_DEPTH + 1 tokens, to the part that
+its context's last token names; there the states of all lengths are made and each row's occurrences
+are summed up. A part holds about _OCCURRENCES of them and works in steps of about _STEP. Contexts that would
+fill a part alone (large) are counted beforehand; their occurrences go by the next longer context, and
+meet the chances of their cells, as they meet the root's counts, in a broadcast table of the HEAVY most frequent ones
+and, for the rest, by a join on the hashes that a part wants. Occurrences travel in packets, one a part and flush of rows;
+a part gives back one packet for each that it got, so the rows of tables do not grow with parts and rows.
+Tokens that occur once, or too seldom for a context, have one code. Filters of at most 2^FILTER_BITS
+bits tell most of them; they change no result. Grams are named by 64-bit hashes.
+
+trained() gives the tree itself as tables, for looking at it: root and levels are counted and joined
+gram by gram. scores() does not use it.
 
 Defined results: null and empty texts consist of the end alone; repeated rows are scored, and
 counted in training, as often as they occur; rows with a null doc_id are neither held out (null)
@@ -33,6 +37,7 @@ from functools import cached_property
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -287,13 +292,6 @@ class Tree:
         self.denominator = float(total + kinds + 1)
         self.tables: list[DataFrame] = []
 
-    def weights(self) -> DataFrame:
-        """h, c (null unless a token), n, w: the parts of the weight of every gram that matters to a score."""
-        out = self.root.select("h", "c", F.col("c").alias("n"), F.lit(0.0).alias("w"))
-        for table in self.tables:
-            out = out.unionByName(table.filter("w <> 0").select("h", F.lit(None).cast("long").alias("c"), "n", "w"))
-        return out
-
     # What follows collects tables: it is for looking at small trees.
 
     @cached_property
@@ -335,21 +333,27 @@ def held_out_of():
     return F.pmod(F.crc32(F.col("doc_id").cast("string").cast("binary")), F.lit(7)) == 2
 
 
+def counted(texts: DataFrame) -> Tree:
+    """A tree that is its root alone."""
+    counts = stored(texts.mapInArrow(_counting(1), "h long, n long").groupBy("h").agg(F.sum("n").alias("c")), "counts")
+    row = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
+    return Tree(counts, int(row["n"]), int(row["v"]))
+
+
 def trained(rows: DataFrame) -> tuple[Tree, DataFrame]:
     """(the tree, the root's table h, c) from the rows' text."""
     spark = rows.sparkSession
     texts = rows.select("text")
-    counts = stored(texts.mapInArrow(_counting(1), "h long, n long").groupBy("h").agg(F.sum("n").alias("c")), "counts")
-    row = counts.agg(F.coalesce(F.sum("c"), F.lit(0)).alias("n"), F.count("*").alias("v")).first()
-    tree = Tree(counts, int(row["n"]), int(row["v"]))
+    tree = counted(texts)
+    counts = tree.root
     below = counts.select("h", F.lit(None).cast("long").alias("suf"), F.col("c").alias("n"), ((F.col("c") + 1.0) / F.lit(tree.denominator)).alias("p"))
     for depth in range(1, MAX_DEPTH + 1):
         often = below.filter(F.col("n") >= MIN_CONTEXT)
         wanted = spark.sparkContext.broadcast((filter_of(often), filter_of(below.filter(F.col("n") >= MIN_CELL))))
         twice = twice_of(texts, depth + 1, wanted, tree.total)
         twice = None if twice is None else spark.sparkContext.broadcast(twice)
-        counted = texts.mapInArrow(_counting(depth + 1, wanted, twice), "ctx long, suf long, n long").groupBy("ctx", "suf").agg(F.sum("n").alias("n"))
-        met = counted.filter(F.col("n") >= MIN_CELL).join(below.select(F.col("h").alias("suf"), F.col("p").alias("below")).hint("shuffle_hash"), "suf")
+        met = texts.mapInArrow(_counting(depth + 1, wanted, twice), "ctx long, suf long, n long").groupBy("ctx", "suf").agg(F.sum("n").alias("n"))
+        met = met.filter(F.col("n") >= MIN_CELL).join(below.select(F.col("h").alias("suf"), F.col("p").alias("below")).hint("shuffle_hash"), "suf")
         before = stored(met, "met")
         for shared in (wanted, twice):
             if shared is not None:
@@ -381,177 +385,429 @@ def trained(rows: DataFrame) -> tuple[Tree, DataFrame]:
     return tree, counts
 
 
+def windows(token: np.ndarray, stops: np.ndarray, first: int) -> list[np.ndarray]:
+    """The last MAX_DEPTH + 1 tokens at every place, oldest first. Behind the last one, what would lie before a token that stops is that token again; `first` stands before all."""
+
+    def back(x: np.ndarray, one) -> np.ndarray:
+        return np.append(np.array([one], x.dtype), x[:-1])
+
+    out, stop = [back(token, first), token], back(stops, True)
+    for _ in range(MAX_DEPTH - 1):
+        out.insert(0, np.where(stop, out[0], back(out[0], first)))
+        stop = stop | back(stop, True)
+    return out
+
+
+def named(tokens_: list[np.ndarray]) -> np.ndarray:
+    """Hash of the gram of these tokens."""
+    return tokens_[0] if len(tokens_) == 1 else joined(named(tokens_[:-1]), named(tokens_[1:]))
+
+
+class Large:
+    """Contexts of one length that are too frequent for one task: their names, the mass left to symbols not kept, and whether they are kept."""
+
+    def __init__(self, rows: list[tuple[int, float, bool]]):
+        self.rows = rows
+        self.index = HashIndex(np.array([r[0] for r in rows], np.int64).view(np.uint64))
+        self.left, self.kept = np.array([r[1] for r in rows], float), np.array([r[2] for r in rows], bool)
+
+
 class Model:
-    """What the executors know: the frequent grams with their weights, and a filter of all others that have one."""
+    """What the executors know: the most frequent tokens with their counts, the most frequent cells of large contexts with their
+    chances, the large contexts, and filters of all other tokens that may be contexts, and of all other tokens and cells that
+    occur twice."""
 
-    def __init__(self, keys: np.ndarray, base: np.ndarray, weight: np.ndarray, rare: Filter):
-        self.index, self.rare = HashIndex(keys), rare
-        self.base, self.weight = np.append(base, 0.0), np.append(weight, 0.0)
+    def __init__(self, token: np.ndarray, count: np.ndarray, cell: np.ndarray, chance: np.ndarray, large: list, often: Filter, twice: Filter, denominator: float, parts: int):
+        self.state = token, count, cell, chance, large, often, twice, denominator, parts
+        self.token, self.chance, self.often, self.twice, self.denominator, self.parts = token, chance, often, twice, denominator, parts
+        self.once = len(token)  # code of a token that surely occurs once or, in a context, too seldom
+        self.count = np.append(count, 1.0)
+        self.codes, self.cells, self.large = HashIndex(token), HashIndex(cell), [Large(rows) for rows in large]
 
     def __getstate__(self) -> tuple:
-        return self.index.keys[:-1], self.base[:-1][self.index.order], self.weight[:-1][self.index.order], self.rare
+        return self.state
 
     def __setstate__(self, state: tuple) -> None:
-        self.__init__(*state)  # the index is made again where it is used
+        self.__init__(*state)  # the indexes are made again where they are used
 
-    def scored(self, batch: pa.RecordBatch) -> tuple[dict[str, np.ndarray], np.ndarray, np.ndarray]:
-        """(columns of the batch's rows, row and hash of the grams to be looked up)."""
+    def read(self, batch: pa.RecordBatch) -> tuple[np.ndarray, ...]:
+        """(tokens, where rows begin, codes of the tokens (-1: rare), whether a token is too seldom for a context, then of each occurrence the
+        hashes of its last tokens, how many of its contexts are large, and its part). All occurrences of a context that is not large share a part."""
         token, begins = tokens(batch)
-        n = len(begins) - 1
-        rows = np.repeat(np.arange(n), np.diff(begins))
-        base, score, light, known = np.zeros(n), np.zeros(n), [], None
-        for k, (at, own, _, _) in enumerate(grams(token, MAX_DEPTH + 1), 1):
-            found = self.index(own)
-            score += np.bincount(rows[at], self.weight[found], n)
-            if k == 1:
-                base = np.bincount(rows, self.base[found], n)
-                known = np.bincount(rows[found >= 0], minlength=n)
-            open_ = (found < 0) & self.rare(own)
-            light.append((rows[at[open_]], own[open_]))
-        place = np.arange(len(token), dtype=np.uint64) - np.repeat(begins[:-1], np.diff(begins)).astype(np.uint64)
-        with np.errstate(over="ignore"):
-            doc = batch.column("doc_id").fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
-            uid = mix(np.add.reduceat(mix(token + place), begins[:-1]) + mix(doc + np.array(batch.column("doc_id").is_null().to_numpy(zero_copy_only=False), np.uint64) * np.uint64(7**20)))
-        columns = {"uid": uid, "n_tokens": np.diff(begins), "n_known": known, "base": base, "score": base + score}
-        return columns, np.concatenate([r for r, _ in light]), np.concatenate([h for _, h in light])
-
-
-_OCCURRENCES, _ENTRIES = 1 << 22, 1 << 20  # about so many occurrences and weights meet in one part
-_SLICES = 2  # passes over the texts in which parts are met: each has its share of the packets
-_COPIES = 1000
-_DOC = np.dtype([("uid", "<u8"), ("doc_id", "<i8"), ("no_id", "?"), ("held_out", "?"), ("n_tokens", "<i8"), ("n_known", "<i8"), ("base", "<f8"), ("score", "<f8"), ("copies", "<i8")])
-
-
-def _planes(x: np.ndarray) -> bytes:
-    """The values' first bytes, then their second ones, and so on: equal bytes come together and compress well."""
-    return x.view(np.uint8).reshape(-1, x.itemsize).T.tobytes()
-
-
-def _lines(planes: bytes, kind: type) -> np.ndarray:
-    return np.frombuffer(planes, np.uint8).reshape(np.dtype(kind).itemsize, -1).T.copy().view(kind).ravel()
-
-
-def _steps(h: np.ndarray) -> bytes:
-    """Ascending hashes as their differences."""
-    return _planes(np.diff(h, prepend=np.uint64(0)))
-
-
-def _hashes(steps: bytes) -> np.ndarray:
-    return np.cumsum(_lines(steps, np.uint64), dtype=np.uint64)
-
-
-def _cuts(h: np.ndarray, bits: int) -> np.ndarray:
-    """Where each part of ascending hashes begins [+1]; a part is named by the top bits."""
-    return np.append(np.searchsorted(h, np.arange(1 << bits, dtype=np.uint64) << np.uint64(64 - bits)), len(h))
-
-
-def _found(shared, bits: int, turn: int, slices: int):
-    """Packets of the rare grams that rows hold, by part, of the parts whose number leaves `turn`, and of the rows themselves;
-    equal rows of a packet are one with copies."""
-    own_parts = range(turn, 1 << bits, slices)
-
-    def packets(docs: np.ndarray, at: np.ndarray, h: np.ndarray) -> Iterator[pa.RecordBatch]:
-        _, first, place, n = np.unique(docs["uid"], return_index=True, return_inverse=True, return_counts=True)
-        held = first[place[at]] == at
-        at, h = place[at[held]], h[held]
-        docs = docs[first]
-        docs["copies"] = n
-        order = np.argsort(h)
-        at, h = at[order].astype(np.uint32), h[order]
-        cut = _cuts(h, bits)
-        for place, k in enumerate(own_parts):  # rows are spread evenly, wherever their grams go
-            own, part = docs[place :: len(own_parts)], slice(cut[k], cut[k + 1])
-            if len(own) or part.start < part.stop:
-                some, local = np.unique(at[part], return_inverse=True)
-                columns = [docs["uid"][some].tobytes(), _planes(local.astype(np.uint32)), _steps(h[part]), own.tobytes()]
-                yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), *(pa.array([x], pa.binary()) for x in columns)], names=["part", "uids", "at", "h", "docs"])
+        code = self.codes(token)
+        open_ = np.flatnonzero(code < 0)
+        seldom = np.zeros(len(token), bool)
+        seldom[open_] = ~self.often(token[open_])
+        train = ~(batch.column("held_out").fill_null(True).to_numpy(zero_copy_only=False))
+        open_ = open_[np.repeat(train, np.diff(begins))[open_]]
+        code[open_[~self.twice(token[open_])]] = self.once
+        w = windows(token, token == END, END)
+        depth, at = np.zeros(len(token), np.uint8), np.arange(len(token))
+        key, own = np.where(np.append(False, seldom[:-1]) & (w[-2] != END), token, w[-2]), w
+        for k in range(1, MAX_DEPTH + 1):
+            context = named(own[MAX_DEPTH - k : MAX_DEPTH])
+            if k > 1:
+                key[at] = context
+            large = self.large[k - 1].index(context) >= 0
+            at, own = at[large], [x[large] for x in own]
+            if not len(at):
+                break
+            depth[at] = k
+            key[at] = named(own[MAX_DEPTH - k :])  # no context of this length, or a large one: its cells are spread
+            there = own[MAX_DEPTH - k] != END
+            at, own = at[there], [x[there] for x in own]
+        return token, begins, code, seldom, w, depth, (mix(key ^ np.uint64(0x9FB21C651E98DF25)) % np.uint64(self.parts)).astype(np.min_scalar_type(self.parts))
+
+
+def _large_grams(shared):
+    """Counts of the cells of contexts all of whose tokens are large."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        docs, at, h, rows, held = [], [], [], 0, 0
+        counter = Counter()
+
+        def given() -> Iterator[pa.RecordBatch]:
+            if counter.size:
+                h, n, *also = counter.given()
+                columns = [pa.array(also[0].astype(np.int32)), *(pa.array(x.view(np.int64)) for x in (h, *also[1:])), pa.array(n.astype(np.int64))]
+                whole = pa.RecordBatch.from_arrays(columns, names=["level", "h", "ctx", "suf", "n"])
+                yield from (whole.slice(at, _PIECE) for at in range(0, len(n), _PIECE))
+
+        index = HashIndex(shared.value)
+        for part in chunks(batches, "text"):
+            token = tokens(part)[0]
+            own = windows(token, token == END, END)
+            for k in range(1, MAX_DEPTH + 1):
+                held = index(own[MAX_DEPTH - k]) >= 0
+                if k > 1:
+                    held &= own[MAX_DEPTH - k + 1] != END
+                own = [x[held] for x in own]
+                counter.add(named(own[MAX_DEPTH - k :]), np.full(len(own[0]), k), named(own[MAX_DEPTH - k : MAX_DEPTH]), named(own[MAX_DEPTH - k + 1 :]))
+            if counter.shrink():
+                yield from given()
+        yield from given()
+
+    return run
+
+
+def _large(texts: DataFrame, tree: Tree, parts: int) -> tuple[list[list[tuple[int, float, bool]]], DataFrame | None, list[DataFrame]]:
+    """(the large contexts by length, the table h, n, p of their cells, scratch tables to drop). A context is large if it holds more than a mean
+    part; there are at most as many of a length as parts."""
+    spark = texts.sparkSession
+    most = max(_LARGE, tree.total // parts)
+    out: list[list[tuple[int, float, bool]]] = [[] for _ in range(MAX_DEPTH)]
+    keys = tree.root.filter(F.col("c") > most).select("h").toArrow()["h"].to_numpy().view(np.uint64)
+    if not len(keys):
+        return out, None, []
+    shared = spark.sparkContext.broadcast(keys)
+    counted = texts.mapInArrow(_large_grams(shared), "level int, h long, ctx long, suf long, n long").groupBy("level", "h", "ctx", "suf").agg(F.sum("n").alias("n"))
+    table = stored(counted, "large")
+    shared.destroy()
+    totals = table.groupBy("level", "ctx").agg(F.sum("n").alias("total")).filter(F.col("total") > most).collect()
+    cells, scratch = None, [table]
+    below = tree.root.select(F.col("h").alias("suf"), ((F.col("c") + 1.0) / F.lit(tree.denominator)).alias("below"))
+    for k in range(1, MAX_DEPTH + 1):
+        own = [(r["ctx"], r["total"]) for r in totals if r["level"] == k]
+        if not own:
+            break
+        met = table.filter((F.col("level") == k) & (F.col("n") >= MIN_CELL)).join(F.broadcast(spark.createDataFrame(own, "ctx long, total long")), "ctx").join(below, "suf")
+        met = stored(met.select("h", "ctx", "n", "below", ((F.col("n") - DISCOUNT) / F.col("total")).alias("share")), "met")
+        left = {r["ctx"]: max(1.0 - r["share"], 1e-12) for r in met.groupBy("ctx").agg(F.sum("share").alias("share")).collect()}
+        full = met
+        if left:
+            full = met.join(F.broadcast(spark.createDataFrame(list(left.items()), "ctx long, left double")), "ctx").withColumn("full", F.col("share") + F.col("left") * F.col("below"))
+            sums = full.groupBy("ctx").agg(F.sum(F.col("full") * F.ln(F.col("full") / F.col("below"))).alias("gain"), F.sum("full").alias("full"), F.sum("below").alias("below")).collect()
+            kept = {r["ctx"] for r in sums if _gained(np.array([r["gain"]]), np.array([r["full"]]), np.array([r["below"]]))[0] >= DIVERGENCE}
+            done = stored(full.select("h", "n", F.when(F.col("ctx").isin(list(kept)), F.col("full")).otherwise(F.col("below")).alias("p")), "cells")
+            scratch.append(done)
+            cells = done if cells is None else cells.unionByName(done)
+            below = done.select(F.col("h").alias("suf"), F.col("p").alias("below"))
+        scratch.append(met)
+        out[k - 1] = [(c, left.get(c, 1.0), bool(left) and c in kept) for c, _ in own]
+        if not left:
+            break
+    for level in range(MAX_DEPTH):  # contexts of which no cell occurs twice are large all the same
+        out[level] = out[level] or [(r["ctx"], 1.0, False) for r in totals if r["level"] == level + 1]
+    return out, cells, scratch
+
+
+def _gained(gain: np.ndarray, full: np.ndarray, below: np.ndarray) -> np.ndarray:
+    """Divergence of contexts from their suffixes, from the sums over their cells."""
+    rest, base = np.maximum(1.0 - full, 0.0), np.maximum(1.0 - below, 0.0)
+    both = (rest > 1e-12) & (base > 1e-12)
+    return gain + np.where(both, rest * np.log(np.where(both, rest, 1.0) / np.where(both, base, 1.0)), 0.0)
+
+
+_OCCURRENCES = 1 << 20  # about so many occurrences lie in one part
+_PARTS = 128  # parts at least: below that size of a corpus a row's sums come from as many parts at every size
+_LARGE = 1 << 14  # a context of fewer occurrences is never large
+_SLICES = 1  # passes over the texts in which parts are met: each has its share of the packets
+_COPIES = 1000  # rows are given out in batches of so many
+_STEP = 1 << 19  # about so many occurrences of a part are looked at together
+_DOC = np.dtype([("row", "<u4"), ("doc_id", "<i8"), ("no_id", "?"), ("held_out", "?"), ("n_tokens", "<i8"), ("n_known", "<i8"), ("base", "<f8"), ("sent", "<i8")])
+_ZSTD = pa.Codec("zstd", 1)
+
+
+def _packed(x: np.ndarray) -> bytes:
+    """Columns of whole numbers below 2^24, by planes of bytes: equal bytes come together and compress well."""
+    return _ZSTD.compress(np.ascontiguousarray(x.view(np.uint8).reshape(*x.shape, 4).transpose(0, 2, 1)[:, :3]), asbytes=True)
+
+
+def _unpacked(data: bytes, columns: int, n: int) -> np.ndarray:
+    out = np.zeros((columns, n, 4), np.uint8)
+    out[:, :, :3] = np.frombuffer(_ZSTD.decompress(data, 3 * columns * n), np.uint8).reshape(columns, 3, n).transpose(0, 2, 1)
+    return out.view(np.uint32)[:, :, 0]
+
+
+def _wanted(shared):
+    """Rare tokens and cells (h) that the occurrences of a part need."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        hashes, parts, held = [], [], 0
+
+        def given() -> Iterator[pa.RecordBatch]:
+            h, part = np.concatenate(hashes), np.concatenate(parts).astype(np.int32)
+            order = np.lexsort((part, h))
+            h, part = h[order], part[order]
+            one = np.append(True, (h[1:] != h[:-1]) | (part[1:] != part[:-1]))[: len(h)]
+            whole = pa.RecordBatch.from_arrays([pa.array(h[one].view(np.int64)), pa.array(part[one])], names=["h", "part"])
+            yield from (whole.slice(at, _PIECE) for at in range(0, whole.num_rows, _PIECE))
+
         for batch in chunks(batches, "text"):
-            x, row, own = shared.value.scored(batch)
-            mine = (own >> np.uint64(64 - bits)) % np.uint64(slices) == turn
-            row, own = row[mine], own[mine]
-            doc = np.zeros(batch.num_rows, _DOC)
-            for k in ("uid", "n_tokens", "n_known", "base", "score"):
-                doc[k] = x[k]
+            _, _, code, _, w, depth, part = model.read(batch)
+            for k in range(MAX_DEPTH + 1):
+                at = np.flatnonzero(depth >= k) if k else np.flatnonzero(code < 0)
+                h = named([x[at] for x in w[MAX_DEPTH - k :]])
+                if k:
+                    rare = (model.cells(h) < 0) & model.twice(h)
+                    at, h = at[rare], h[rare]
+                hashes.append(h)
+                parts.append(part[at])
+                held += len(h)
+            if held > _FLUSH:
+                yield from given()
+                hashes, parts, held = [], [], 0
+        if hashes:
+            yield from given()
+
+    return run
+
+
+def _found(shared, parts: int, turn: int, slices: int):
+    """Packets of the occurrences by part, of the parts whose number leaves `turn`: `codes` of the last tokens and how many contexts are large,
+    `rare` tokens behind the codes from model.once + 1 on, `runs` of occurrences in one row, and `docs`, the rows' records.
+    A row is named by its place in a `flush` of rows, which one task reads together in every turn."""
+
+    def packets(flush: int, docs: np.ndarray, row: np.ndarray, token: np.ndarray, code: np.ndarray, seldom: np.ndarray, depth: np.ndarray, part: np.ndarray) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        open_, ends = code < 0, token == END
+        rare, place = np.unique(np.append(token[open_], END), return_inverse=True)
+        code[open_] = model.once + 1 + place[:-1]
+        end = model.codes(np.array([END]))[0]
+        end = model.once + 1 + place[-1] if end < 0 else end
+        context = np.where(ends, end, np.where(seldom, model.once, code))
+        # A token of code -1 only as a last one may be seldom in contexts, and one that occurs once is always seldom.
+        context = windows(context, ends | seldom, end)[:-1]
+        sent = np.flatnonzero((context[-1] != model.once) | open_)  # any other occurrence has no context, and its row's record has its count
+        docs["row"], docs["sent"] = np.arange(len(docs)), np.bincount(row[sent], minlength=len(docs))
+        train = ~(docs["held_out"] | docs["no_id"])
+        docs = docs if turn == 0 else docs[:0]
+        mine = range(turn, parts, slices)
+        if slices > 1:
+            sent = sent[part[sent] % slices == turn]
+        order = sent[np.argsort(part[sent], kind="stable")]
+        cut = np.searchsorted(part[order], np.arange(parts + 1))
+        codes, row = np.array([x[order] for x in (*context, code, depth)], np.uint32), row[order]
+        for at, k in enumerate(mine):  # records are spread evenly, wherever their occurrences go
+            own, rows, records = codes[:, cut[k] : cut[k + 1]], row[cut[k] : cut[k + 1]], docs[at :: len(mine)]
+            if not len(rows) and not len(records):
+                continue
+            begin = np.flatnonzero(np.append(True, rows[1:] != rows[:-1]))[: len(rows)]
+            runs = np.array([np.diff(rows[begin], prepend=0), np.diff(np.append(begin, len(rows))), train[rows[begin]]], np.uint32)
+            beyond = own[:-1] > model.once
+            some, place = np.unique(own[:-1][beyond], return_inverse=True)
+            if len(some):
+                own = own.copy()
+                own[:-1][beyond] = model.once + 1 + place
+            columns = [_packed(runs), rare[some.astype(np.int64) - model.once - 1].tobytes(), _packed(own), records.tobytes()]
+            numbers = [pa.array([k], pa.int32()), pa.array([flush], pa.int64()), pa.array([len(begin)], pa.int32()), pa.array([len(rows)], pa.int32())]
+            yield pa.RecordBatch.from_arrays([*numbers, *(pa.array([x], pa.binary()) for x in columns)], names=["part", "flush", "m", "n", "runs", "rare", "codes", "docs"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = shared.value
+        flush = TaskContext.get().partitionId() << 32
+        docs, held, rows, n = [], [], 0, 0
+        unknown = float(-np.log10(model.denominator))
+        weight = np.append(np.log10(model.count + 1.0) + unknown, 0.0)
+        for batch in chunks(batches, "text"):
+            token, begins, code, seldom, _, depth, part = model.read(batch)
+            size = np.diff(begins)
+            row = np.repeat(np.arange(len(size)), size)
+            doc = np.zeros(len(size), _DOC)
             doc["doc_id"] = batch.column("doc_id").fill_null(0).to_numpy(zero_copy_only=False)
             doc["no_id"] = batch.column("doc_id").is_null().to_numpy(zero_copy_only=False)
             doc["held_out"] = batch.column("held_out").fill_null(False).to_numpy(zero_copy_only=False)
+            doc["n_tokens"], doc["n_known"], doc["base"] = size, np.bincount(row[code >= 0], minlength=len(size)), np.bincount(row, weight[code], len(size))
             docs.append(doc)
-            at.append(row + rows)
-            h.append(own)
+            held.append((row + rows, token, code.astype(np.int32), seldom, depth, part))
             rows += len(doc)
-            held += len(own) + len(doc)
-            if held > _FLUSH:
-                yield from packets(np.concatenate(docs), np.concatenate(at), np.concatenate(h))
-                docs, at, h, rows, held = [], [], [], 0, 0
-        if rows:
-            yield from packets(np.concatenate(docs), np.concatenate(at), np.concatenate(h))
+            n += len(token) + len(doc)
+            if n > _FLUSH:
+                yield from packets(flush, np.concatenate(docs), *(np.concatenate(x) for x in zip(*held, strict=True)))
+                docs, held, rows, n, flush = [], [], 0, 0, flush + 1
+        if docs:
+            yield from packets(flush, np.concatenate(docs), *(np.concatenate(x) for x in zip(*held, strict=True)))
 
     return run
 
 
-def _known(bits: int):
-    """Packets of the weights by part."""
-
-    def packets(parts: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = pa.Table.from_batches(parts)
-        h, c, w = (rows[k].to_numpy() for k in ("h", "c", "w"))
-        order = np.argsort(h.view(np.uint64))
-        h, c, w = h.view(np.uint64)[order], c[order], w[order]
-        cut = _cuts(h, bits)
-        for k in np.flatnonzero(np.diff(cut)).tolist():
-            part = slice(cut[k], cut[k + 1])
-            columns = [_steps(h[part]), _planes(c[part]), _planes(w[part])]
-            yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), *(pa.array([x], pa.binary()) for x in columns)], names=["part", "h", "c", "w"])
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        parts, held = [], 0
-        for batch in batches:
-            parts.append(batch)
-            held += batch.num_rows
-            if held > _FLUSH:
-                yield from packets(parts)
-                parts, held = [], 0
-        if held:
-            yield from packets(parts)
+def _coded(x: np.ndarray) -> tuple[np.ndarray, int]:
+    """(numbers of equal values, how many), numbered as they first occur."""
+    out = pa.array(x).dictionary_encode()
+    return out.indices.to_numpy(), len(out.dictionary)
+
+
+def _chances(w: np.ndarray, train: np.ndarray, depth: np.ndarray, p: np.ndarray, end: int, seldom: int, size: int, met) -> np.ndarray:
+    """Chance of each occurrence's last token in its longest retained context. p: by the root; depth: how many of its contexts are large,
+    for which met(level, places, p) answers; every other context has all its occurrences here, and its state is made from them.
+    end, seldom: codes of END and of tokens that no state's context holds; size: all codes lie below."""
+    at, ids = np.arange(len(p)), np.zeros(len(p), np.int64)
+    twice = w[MAX_DEPTH] != seldom  # the cell of the shorter context occurs often enough
+    for k in range(1, MAX_DEPTH + 1):
+        there = w[MAX_DEPTH - k, at] != seldom
+        if k > 1:
+            there &= w[MAX_DEPTH - k + 1, at] != end
+        at, ids = at[there], ids[there]
+        ids, n = _coded(ids * size + w[MAX_DEPTH - k, at])
+        ids = ids.astype(np.int64)
+        total = np.bincount(ids, train[at], n)
+        large = depth[at] >= k
+        held = large | (total[ids] >= MIN_CONTEXT)
+        at, ids, large = at[held], ids[held], large[held]
+        own = np.flatnonzero(~large)
+        if large.any():
+            where = at[large]
+            p[where] = met(k, where, p[where])
+        some = own[twice[at[own]]]
+        cells, m = _coded(ids[some] * size + w[MAX_DEPTH, at[some]])
+        count = np.bincount(cells, train[at[some]], m)
+        first = np.zeros(m, np.int64)
+        first[cells[::-1]] = some[::-1]
+        often = count >= MIN_CELL
+        context, below = ids[first[often]], p[at[first[often]]]
+        share = (count[often] - DISCOUNT) / total[context]
+        left = np.maximum(1.0 - np.bincount(context, share, n), 1e-12)
+        full = share + left[context] * below
+        sums = (np.bincount(context, x, n) for x in (full * np.log(full / below), full, below))
+        kept = (_gained(*sums) >= DIVERGENCE) & (np.bincount(context, minlength=n) > 0)
+        p[at[own]] *= np.where(kept, left, 1.0)[ids[own]]
+        chance = np.zeros(m)
+        chance[often] = np.where(kept[context], full, below)
+        inside = often[cells]
+        p[at[some[inside]]] = chance[cells[inside]]
+        twice[at[own]] = False
+        twice[at[some[inside]]] = True
+    return p
+
+
+def _sums(shared):
+    """From the packets of one part, and the rare tokens and cells that it needs: for each packet its rows' sums."""
+
+    def run(key: tuple, found: pa.Table, known: pa.Table) -> pa.Table:
+        model = shared.value
+        m, sizes = found["m"].to_pylist(), found["n"].to_pylist()
+        rare = [np.frombuffer(x.as_py(), np.uint64) for x in found["rare"]]
+        some, place = np.unique(np.concatenate([np.array([END]), *rare]), return_inverse=True)
+        codes = np.zeros((MAX_DEPTH + 2, sum(sizes)), np.int32)
+        at, seen, beyond = 0, 1, model.once + 1
+        for x, own, n in zip(found["codes"], rare, sizes, strict=True):
+            part = _unpacked(x.as_py(), MAX_DEPTH + 2, n).astype(np.int32)
+            again = part[:-1] >= beyond
+            part[:-1][again] = beyond + place[seen - beyond + part[:-1][again]]
+            codes[:, at : at + n] = part
+            at, seen = at + n, seen + len(own)
+        runs = np.concatenate([np.zeros((3, 0), np.uint32), *(_unpacked(x.as_py(), 3, k) for x, k in zip(found["runs"], m, strict=True))], axis=1)
+        doc = np.repeat(np.arange(runs.shape[1], dtype=np.int32), runs[1])
+        h = known["h"].to_numpy().astype(np.int64).view(np.uint64)
+        c, chance = (known[k].to_numpy().astype(float) for k in ("c", "p"))
+        root = ~np.isnan(c)
+        own = HashIndex(h[root])(some)
+        hashes = np.concatenate([model.token, [~END], some])  # a token that occurs once is in no cell
+        count = np.append(model.count, np.where(own >= 0, np.append(c[root], 0.0)[own], 0.0))
+        end = model.codes(np.array([END]))[0]
+        end = beyond + place[0] if end < 0 else end
+        rest, rest_chance, common = HashIndex(h[~root]), np.append(chance[~root], 0.0), np.append(model.chance, 0.0)
+        n_known, base, gain = np.zeros(len(runs[0])), np.zeros(len(runs[0])), np.zeros(len(runs[0]))
+        # Occurrences with one last token but one are looked at together: all of a context, and some others.
+        steps = max(1, sum(sizes) // _STEP)
+        step = (mix(codes[MAX_DEPTH - 1].astype(np.uint64)) % np.uint64(steps)).astype(np.min_scalar_type(steps))
+        order = np.argsort(step, kind="stable")
+        cut = np.searchsorted(step[order], np.arange(steps + 1))
+        for a, b in zip(cut[:-1], cut[1:], strict=True):
+            own = codes[:, order[a:b]]
+            w, of = own[:-1], doc[order[a:b]]
+
+            def met(k: int, where: np.ndarray, p: np.ndarray, w: np.ndarray = w) -> np.ndarray:
+                tokens_ = [hashes[w[j, where]] for j in range(MAX_DEPTH - k, MAX_DEPTH + 1)]
+                large = model.large[k - 1]
+                at = large.index(named(tokens_[:-1]))
+                out = np.where(large.kept[at], large.left[at], 1.0) * p
+                cell = named(tokens_)
+                for index, value in ((model.cells, common), (rest, rest_chance)):
+                    held = index(cell)
+                    out = np.where(held >= 0, value[held], out)
+                return out
+
+            n = count[w[MAX_DEPTH]]
+            p = (n + 1.0) / model.denominator
+            rooted = np.log10(p)
+            fresh = np.flatnonzero(w[MAX_DEPTH] >= beyond)  # what the row's record does not have
+            n_known += np.bincount(of[fresh], n[fresh] > 0, len(gain))
+            base += np.bincount(of[fresh], rooted[fresh], len(gain))
+            gain += np.bincount(of, np.log10(_chances(w, runs[2][of].astype(float), own[-1], p, end, model.once, len(hashes), met)) - rooted, len(gain))
+        out, at = [], 0
+        for k in m:
+            some = np.flatnonzero(base[at : at + k])
+            out.append((gain[at : at + k].tobytes(), np.array([some, n_known[at + some], base[at + some]], float).tobytes()))
+            at += k
+        gains, bases = (pa.array([x[j] for x in out], pa.binary()) for j in (0, 1))
+        return pa.table([found["flush"], found["m"], found["runs"], gains, bases, found["docs"]], names=["flush", "m", "runs", "gains", "bases", "docs"])
 
     return run
 
 
-def _met(found: pa.Table, known: pa.Table) -> pa.Table:
-    """Rows of the packets of one part, and sums of the weights of the grams found in it by row."""
-    every = lambda values, kind: np.concatenate([np.zeros(0, kind), *values])
-    keys, place = np.unique(every((_hashes(x.as_py()) for x in known["h"]), np.uint64), return_inverse=True)
-    c, w = (np.bincount(place, every((_lines(x.as_py(), np.float64) for x in known[k]), np.float64), len(keys)) for k in ("c", "w"))
-    uids, sums = [np.zeros(0, np.uint64)], [np.zeros((3, 0))]
-    for uid, at, h in zip(found["uids"], found["at"], found["h"], strict=True):
-        uid, at, h = np.frombuffer(uid.as_py(), np.uint64), _lines(at.as_py(), np.uint32), _hashes(h.as_py())
-        if len(keys) and len(h):
-            place = np.minimum(np.searchsorted(keys, h), len(keys) - 1)
-            held = keys[place] == h
-            at, place = at[held], place[held]
-            uids.append(uid)
-            sums.append(np.array([np.bincount(at, x, len(uid)) for x in (c[place] > 0, c[place], w[place])]))
-    uid, place = np.unique(np.concatenate(uids), return_inverse=True)
-    seen, root, w = (np.bincount(place, x, len(uid)) for x in np.concatenate(sums, axis=1))
-    docs = np.frombuffer(b"".join(x.as_py() for x in found["docs"]), _DOC)
-    none = [None] * len(uid)
-    both = lambda of_docs, of_sums, kind: pa.concat_arrays([pa.array(of_docs, kind), pa.array(of_sums, kind)])
-    zero, no = np.zeros(len(docs)), np.zeros(len(uid), np.int64)
-    column = {
-        "uid": both(docs["uid"].view(np.int64), uid.view(np.int64), pa.int64()),
-        "doc_id": pa.concat_arrays([pa.array(docs["doc_id"], pa.int64(), mask=docs["no_id"]), pa.array(none, pa.int64())]),
-        "held_out": pa.concat_arrays([pa.array(docs["held_out"], pa.bool_(), mask=docs["no_id"]), pa.array(none, pa.bool_())]),
+_SUMS = "flush long, m int, runs binary, gains binary, bases binary, docs binary"
+
+
+def _rows(key: tuple, sums: pa.Table) -> pa.Table:
+    """The rows of one flush."""
+    docs = np.frombuffer(b"".join(x.as_py() for x in sums["docs"]), _DOC)
+    docs = docs[np.argsort(docs["row"])]
+    sent, n_known, base, gain = (np.zeros(len(docs)) for _ in range(4))
+    for m, runs, gains, bases in zip(sums["m"].to_pylist(), sums["runs"], sums["gains"], sums["bases"], strict=True):
+        row, n, _ = _unpacked(runs.as_py(), 3, m)
+        row = np.cumsum(row, dtype=np.int64)  # each once
+        sent[row] += n
+        gain[row] += np.frombuffer(gains.as_py(), float)
+        some, known, of_base = np.frombuffer(bases.as_py(), float).reshape(3, -1)
+        some = row[some.astype(np.int64)]
+        n_known[some] += known
+        base[some] += of_base
+    if (sent != docs["sent"]).any() or (docs["row"] != np.arange(len(docs))).any():
+        raise RuntimeError("a task that was repeated has read its rows in another order; store the table first")
+    base += docs["base"]
+    out = {
+        "doc_id": pa.array(docs["doc_id"], pa.int64(), mask=docs["no_id"]),
+        "held_out": pa.array(docs["held_out"], pa.bool_(), mask=docs["no_id"]),
+        "n_tokens": pa.array(docs["n_tokens"], pa.int64()),
+        "n_known": pa.array(docs["n_known"] + np.rint(n_known).astype(np.int64), pa.int64()),
+        "base_score": pa.array(base),
+        "score": pa.array(base + gain),
     }
-    column |= {k: both(docs[k], none, pa.int64()) for k in ("n_tokens", "n_known")} | {k: both(docs[k], none, pa.float64()) for k in ("base", "score")}
-    column |= {"copies": both(docs["copies"], no, pa.int64()), "times": both(np.ones(len(docs), np.int64), no, pa.int64()), "seen": both(zero.astype(np.int64), seen.astype(np.int64), pa.int64())}
-    column |= {"root": both(zero, root, pa.float64()), "w": both(zero, w, pa.float64())}
-    return pa.table(column)
+    return pa.Table.from_batches(pa.table(out).to_batches(max_chunksize=_COPIES))
 
 
-_MET = "uid long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, score double, copies long, times long, seen long, root double, w double"
+_ROWS = "doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
 def scores(docs: DataFrame) -> DataFrame:
@@ -559,56 +815,40 @@ def scores(docs: DataFrame) -> DataFrame:
     bounded_batches(docs)
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").withColumn("held_out", held_out_of())
-    tree, _ = trained(rows.filter("not held_out"))
-    weights = stored(tree.weights(), "weights")
-    for done in tree.tables:
-        dropped(done)
-    _released(weights)
+    texts = rows.filter("not held_out").select("text")
+    tree = counted(texts)
+    parts = max(_PARTS, -(-tree.total // _OCCURRENCES))
+    large, cells, scratch = _large(texts, tree, parts)
+    table = tree.root.select("h", "c", F.lit(None).cast("double").alias("p"), F.col("c").alias("n"))
+    if cells is not None:
+        table = table.unionByName(cells.select("h", F.lit(None).cast("long").alias("c"), "p", "n"))
     step = F.floor(F.log2(F.col("n").cast("double")) * 8).cast("int")
     frequent = F.lit(False)
     left = HEAVY
-    for row in sorted(weights.groupBy(step.alias("step")).count().collect(), key=lambda r: -r["step"]):  # a few hundred rows at most
+    for row in sorted(table.groupBy(step.alias("step")).count().collect(), key=lambda r: -r["step"]):  # a few hundred rows at most
         left -= row["count"]
         if left < 0:
             break
         frequent = step >= row["step"]
-    heavy, rare = weights.filter(frequent).groupBy("h").agg(F.max("c").alias("c"), F.sum("w").alias("w")).toArrow(), weights.filter(~frequent)
-    count = heavy["c"].to_numpy(zero_copy_only=False).astype(float)
-    unknown = float(-np.log10(tree.denominator))
-    model = Model(heavy["h"].to_numpy().view(np.uint64), np.where(np.isnan(count), 0.0, np.log10(np.nan_to_num(count) + 1.0) + unknown), heavy["w"].to_numpy(), filter_of(rare.select("h")))
-    shared = spark.sparkContext.broadcast(model)
-    _released(weights)
-
-    # Rare grams: occurrences and weights meet by parts of the hashes, sums go back to their rows.
-    row = rare.agg(F.count("*").alias("k"), F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first()
-    bits = min(24, max(4, int(max(row["n"] / _OCCURRENCES, row["k"] / _ENTRIES)).bit_length()))
-    rare = rare.select("h", F.coalesce(F.log10(F.col("c") + 1.0), F.lit(0.0)).alias("c"), "w")
+    heavy, rare = table.filter(frequent).toArrow().sort_by([("n", "descending"), ("h", "ascending")]), table.filter(~frequent)
+    is_token = heavy["c"].is_valid().to_numpy()
+    h, c, p = heavy["h"].to_numpy().view(np.uint64), heavy["c"].to_numpy().astype(float), heavy["p"].to_numpy().astype(float)
+    often, twice = filter_of(rare.filter(F.col("c") >= MIN_CONTEXT).select("h")), filter_of(rare.filter(F.col("n") >= MIN_CELL).select("h"))
+    rare = rare.select("h", "c", "p")
+    shared = spark.sparkContext.broadcast(Model(h[is_token], c[is_token], h[~is_token], p[~is_token], large, often, twice, tree.denominator, parts))
+    if left < 0:
+        known = rows.mapInArrow(_wanted(shared), "h long, part int").distinct().join(rare, "h").select("part", "h", "c", "p")
+    else:
+        known = spark.createDataFrame([], "part int, h long, c long, p double")
     met = None
     for turn in range(_SLICES):
-        found = rows.mapInArrow(_found(shared, bits, turn, _SLICES), "part int, uids binary, at binary, h binary, docs binary").groupBy("part")
-        own = rare.filter(F.shiftrightunsigned("h", 64 - bits) % _SLICES == turn)
-        known = own.mapInArrow(_known(bits), "part int, h binary, c binary, w binary").groupBy("part")
-        part = stored(found.cogroup(known).applyInArrow(_met, _MET).withColumn("turn", F.lit(turn)), "sums")
+        found = rows.mapInArrow(_found(shared, parts, turn, _SLICES), "part int, flush long, m int, n int, runs binary, rare binary, codes binary, docs binary").groupBy("part")
+        own = known.filter(F.col("part") % _SLICES == turn).groupBy("part")
+        part = stored(found.cogroup(own).applyInArrow(_sums(shared), _SUMS), "sums")
         _released(part)
         met = part if met is None else met.unionByName(part)
     shared.destroy()
-    dropped(weights)
-    columns = ("doc_id", "held_out", "n_tokens", "n_known", "base", "score")
-    per = met.groupBy("uid").agg(*(F.max(k).alias(k) for k in columns), F.sum(F.when(F.col("turn") == 0, F.col("copies"))).alias("copies"), *(F.sum(F.when(F.col("turn") == t, F.col(k))).alias(f"{k}{t}") for t in range(_SLICES) for k in ("times", "seen", "root", "w")))
-    # A row that lies in several packets of a turn has its sums as often; packets of two turns may be cut at different rows.
-    share = lambda c: sum((F.col(f"{c}{t}") / F.col(f"times{t}") for t in range(_SLICES)), F.lit(0.0))
-    more = share("root") + (F.col("n_tokens") - F.col("n_known")) * F.lit(unknown)
-    out = per.select(
-        "copies",
-        "doc_id",
-        "held_out",
-        "n_tokens",
-        (F.col("n_known") + F.round(share("seen")).cast("long")).alias("n_known"),
-        F.lit(tree.total).cast("long").alias("train_tokens"),
-        (F.col("base") + more).alias("base_score"),
-        (F.col("score") + more + share("w")).alias("score"),
-    )
-    # One row a copy, in steps of _COPIES, so that no array grows with the number of copies.
-    out = out.withColumn("step", F.explode(F.sequence(F.lit(0), F.expr(f"(copies - 1) div {_COPIES}"))))
-    out = out.withColumn("copy", F.explode(F.sequence(F.lit(1), F.least(F.lit(_COPIES), F.col("copies") - F.col("step") * _COPIES))))
-    return out.drop("copies", "step", "copy")
+    for done in (tree.root, *scratch):
+        dropped(done)
+    out = met.groupBy("flush").applyInArrow(_rows, _ROWS)
+    return out.select("doc_id", "held_out", "n_tokens", "n_known", F.lit(tree.total).cast("long").alias("train_tokens"), "base_score", "score")

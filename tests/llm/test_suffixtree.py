@@ -164,3 +164,57 @@ def test_the_filter_of_slots_never_denies_what_occurs_twice(spark):
     keys, n = np.unique(own, return_counts=True)
     held = suffixtree.twice_of(texts, 2, Every, len(token))(keys)
     assert held[n > 1].all() and not held[n == 1].all()
+
+
+def test_large_contexts_rare_tokens_and_steps_change_no_result(spark, data, monkeypatch):
+    docs = table(spark, data, "documents")
+    docs = docs.union(docs.limit(20)).union(docs.limit(5).selectExpr("cast(null as bigint)", "text", "lang", "source", "n_chars"))
+    of = lambda: sorted((str(r.doc_id), r.n_tokens, r.n_known, round(r.base_score, 6), round(r.score, 6)) for r in suffixtree.scores(docs).collect())
+    whole = of()
+    large = []
+    monkeypatch.setattr(suffixtree, "_large", lambda *a, f=suffixtree._large: large.append(f(*a)) or large[-1])
+    monkeypatch.setattr(suffixtree, "_LARGE", 8)  # contexts of every length are large
+    monkeypatch.setattr(suffixtree, "_PARTS", 4096)
+    monkeypatch.setattr(suffixtree, "HEAVY", 300)
+    monkeypatch.setattr(suffixtree, "_STEP", 20)
+    assert of() == whole
+    assert all(large[0][0])
+
+
+def test_an_occurrence_travels_once_and_a_part_gives_back_a_row_a_packet(spark, data, monkeypatch):
+    packets, back = [], []
+
+    def counted(kind, f):
+        def of(*a):
+            df = f(*a)
+            kind.append(df)
+            return df
+
+        return of
+
+    monkeypatch.setattr(suffixtree, "stored", counted(back, suffixtree.stored))
+    monkeypatch.setattr(suffixtree, "_found", counted(packets, suffixtree._found))
+    monkeypatch.setattr(suffixtree, "_PARTS", 16)
+    docs = table(spark, data, "documents")
+    got = suffixtree.scores(docs).collect()
+    assert len(packets) == suffixtree._SLICES == 1
+    sums = back[-1].select("flush", "m").collect()  # rows of the tables: packets, not rows of documents
+    assert len(sums) <= 16 * len({r.flush for r in sums}) < len(got) * 16
+    assert sum(r.m for r in sums) <= sum(r.n_tokens for r in got)
+
+
+def test_rows_in_another_order_are_refused():
+    import numpy as np
+    import pyarrow as pa
+
+    docs = np.zeros(2, suffixtree._DOC)
+    docs["row"], docs["n_tokens"], docs["sent"] = [0, 1], 3, [2, 3]
+
+    def rows(n):
+        runs = suffixtree._packed(np.array([[0, 1], n, [1, 1]], np.uint32))
+        zero = np.zeros(2).tobytes()
+        return suffixtree._rows((0,), pa.table({"flush": [0], "m": [2], "runs": [runs], "gains": [zero], "bases": [b""], "docs": [docs.tobytes()]}))
+
+    assert rows([2, 3]).num_rows == 2
+    with pytest.raises(RuntimeError):
+        rows([3, 2])
