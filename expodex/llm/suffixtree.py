@@ -503,7 +503,7 @@ def _large(texts: DataFrame, tree: Tree, parts: int) -> tuple[list[list[tuple[in
     table = stored(counted, "large")
     shared.destroy()
     totals = table.groupBy("level", "ctx").agg(F.sum("n").alias("total")).filter(F.col("total") > most).collect()
-    cells, scratch = None, [table]
+    cells, scratch = None, []
     below = tree.root.select(F.col("h").alias("suf"), ((F.col("c") + 1.0) / F.lit(tree.denominator)).alias("below"))
     for k in range(1, MAX_DEPTH + 1):
         own = [(r["ctx"], r["total"]) for r in totals if r["level"] == k]
@@ -521,10 +521,11 @@ def _large(texts: DataFrame, tree: Tree, parts: int) -> tuple[list[list[tuple[in
             scratch.append(done)
             cells = done if cells is None else cells.unionByName(done)
             below = done.select(F.col("h").alias("suf"), F.col("p").alias("below"))
-        scratch.append(met)
+        dropped(met)
         out[k - 1] = [(c, left.get(c, 1.0), bool(left) and c in kept) for c, _ in own]
         if not left:
             break
+    dropped(table)
     for level in range(MAX_DEPTH):  # contexts of which no cell occurs twice are large all the same
         out[level] = out[level] or [(r["ctx"], 1.0, False) for r in totals if r["level"] == level + 1]
     return out, cells, scratch
@@ -840,6 +841,7 @@ def scores(docs: DataFrame) -> DataFrame:
         known = rows.mapInArrow(_wanted(shared), "h long, part int").distinct().join(rare, "h").select("part", "h", "c", "p")
     else:
         known = spark.createDataFrame([], "part int, h long, c long, p double")
+    _released(table)
     met = None
     for turn in range(_SLICES):
         found = rows.mapInArrow(_found(shared, parts, turn, _SLICES), "part int, flush long, m int, n int, runs binary, rare binary, codes binary, docs binary").groupBy("part")
